@@ -102,7 +102,7 @@ def query(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     known = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], known.schema)
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     # A log without streaming: each row is a whole message. Rows that repeat a turn count one by one.
     log = known.unionByName(extra).withColumns({"kind": F.lit("append"), "seq": F.col("turn")})
     done = read_back(render(messages(log)))

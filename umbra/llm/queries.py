@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import chat, pii, secrets
+from umbra.llm import chat, imatch, license_scan, pii, secrets, simhash
 from umbra.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license": lambda spark, d: license_scan.query(documents(spark, d)),
+        "op3_simhash": lambda spark, d: simhash.query(documents(spark, d)),
+        "op4_imatch": lambda spark, d: imatch.query(documents(spark, d)),
         "op5_pii": lambda spark, d: pii.query(documents(spark, d)),
         "op6_chat": lambda spark, d: chat.query(spark.read.parquet(f"{d}/conversations.parquet")),
         "op8_secrets": lambda spark, d: secrets.query(documents(spark, d)),
