@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import chat, imatch, license_scan, pii, secrets, simhash
+from umbra.llm import bpe, chat, imatch, langid, license_scan, mixing, pii, quality, secrets, simhash
 from umbra.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license": lambda spark, d: license_scan.query(documents(spark, d)),
+        "op2_bpe": lambda spark, d: bpe.query(documents(spark, d), public_tokenizers.path("word_bpe_49k.json")),
         "op3_simhash": lambda spark, d: simhash.query(documents(spark, d)),
         "op4_imatch": lambda spark, d: imatch.query(documents(spark, d)),
         "op5_pii": lambda spark, d: pii.query(documents(spark, d)),
         "op6_chat": lambda spark, d: chat.query(spark.read.parquet(f"{d}/conversations.parquet")),
+        "op7_mixing": lambda spark, d: mixing.query(documents(spark, d)),
         "op8_secrets": lambda spark, d: secrets.query(documents(spark, d)),
+        "op9_quality": lambda spark, d: quality.query(documents(spark, d)),
+        "op10_langid": lambda spark, d: langid.query(documents(spark, d)),
     }
 
 
