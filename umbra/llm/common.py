@@ -40,3 +40,17 @@ def ascii_lower(text: Column) -> Column:
 def words_by(text: Column, separators: str) -> Column:
     """The non-empty pieces of `text` between runs of a separator class, e.g. `[\\x20\\x09-\\x0D]`."""
     return F.array_remove(F.split(text, f"{separators}+", -1), "")
+
+
+#: Texts that a Python worker holds at a time.
+BATCH = 256
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with its session handing Python workers few rows at a time: texts have no bound, and Spark's own batches of
+    10,000 rows would hold 10,000 of them. The setting stays for the session; a smaller one is left as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
