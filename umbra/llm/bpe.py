@@ -17,23 +17,30 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from umbra.llm.common import small_batches
+
 #: Code points of text that one task encodes in one go.
 BLOCK = 1 << 16
 #: Code points of a first window, and what may still change before a cut: a contraction has three.
 WINDOW, UNSURE = 64, 3
-CACHE = 1 << 20
+CACHE = 1 << 18
+#: Up to here letters and numbers keep their classes in all Unicode versions in use, and texts are in normal form as they are.
+FAR = 0x250
 #: White space up to U+024F.
 SPACE = r"\t-\r\x20\x85\xa0"
 
@@ -59,10 +66,12 @@ class Encoder:
         self.bytes_of = {c: i for i, c in enumerate(chars)}
         pattern = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
         self.cut = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
-        self.words = regex.compile(pattern.replace(r"\s", SPACE))
-        self.far = regex.compile(r"[^\x00-\u024f]")
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.known: dict[str, list[int]] = {}
+        near = {kind: "".join(re.escape(chr(c)) for c in range(FAR) if unicodedata.category(chr(c))[0] == kind) for kind in "LN"}
+        self.words = re.compile(pattern.replace(r"\s", SPACE).replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^" + SPACE + r"\p{L}\p{N}]", f"[^{SPACE}{near['L']}{near['N']}]").replace(r"\p{L}", f"[{near['L']}]").replace(r"\p{N}", f"[{near['N']}]"))
+        self.far = re.compile(f"[^\x00-{chr(FAR - 1)}]")
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.known: dict[str, int] = {}
+        self.flat, self.first = array("i"), array("q", [0])
         self.fit: dict[tuple[int, int, bool], bool] = {}
 
     def normal(self, text: str) -> str:
@@ -103,13 +112,40 @@ class Encoder:
                     heapq.heappush(heap, (m[0], x, m[1]))
         return [x for x in ids if x >= 0]
 
+    def learn(self, word: str) -> int:
+        """The place of a word's tokens among those kept."""
+        self.flat.extend(self.merged(word.encode("utf-8", "surrogatepass"), True))
+        self.first.append(len(self.flat))
+        place = self.known[word] = len(self.first) - 2
+        return place
+
+    def forget(self) -> None:
+        if len(self.known) >= CACHE:
+            self.known.clear()
+            self.flat, self.first = array("i"), array("q", [0])
+
     def word(self, word: str) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            found = self.known[word] = self.merged(word.encode("utf-8", "surrogatepass"), True)
-        return found
+        self.forget()
+        place = self.known.get(word)
+        if place is None:
+            place = self.learn(word)
+        return self.flat[self.first[place] : self.first[place + 1]].tolist()
+
+    def tokens(self, words: list[str]) -> np.ndarray:
+        """The tokens of many words, in order."""
+        self.forget()
+        try:
+            places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            for w in words:
+                if w not in self.known:
+                    self.learn(w)
+            places = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        first = np.frombuffer(self.first, np.int64)
+        starts, counts = first[places], first[places + 1] - first[places]
+        upto = np.cumsum(counts)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - upto + counts, counts)
+        return np.frombuffer(self.flat, np.int32)[at] if len(at) else np.zeros(0, np.int32)
 
     def data(self, ids: list[int]) -> tuple[bytes, bool]:
         """The bytes of tokens of one word, and whether the last one ends it."""
@@ -155,14 +191,13 @@ class Encoder:
             at = m.end()
         return [*out, (self.normal(text[at:]), -1)]
 
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
+    def ids(self, text: str) -> np.ndarray:
+        out = []
         for unit, mark in self.units(text):
-            for w in self.word_list(unit):
-                out += self.word(w)
+            out.append(self.tokens(self.word_list(unit)))
             if mark >= 0:
-                out.append(mark)
-        return out
+                out.append(np.array([mark], np.int32))
+        return out[0] if len(out) == 1 else np.concatenate(out)
 
     def block(self, text: str, last: bool) -> Block:
         """Words of a block. Unless it is the last, a word that reaches its end is left open."""
@@ -249,10 +284,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", block: int = BLOC
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
         for b in batches:
-            lists = [encoder.ids(t or "") for t in b.column(text_col).to_pylist()]
+            lists = [encoder.ids(t.as_py() or "") for t in b.column(text_col)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat)], [*b.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, np.concatenate(lists))], [*b.schema.names, "ids"])
 
     def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(held.value)
@@ -288,7 +322,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", block: int = BLOC
                     out.append(int(r.mark))
         return pd.DataFrame({"__row": [b["__row"].iloc[0]], "ids": [out]})
 
-    near = keep.where(size <= block).mapInArrow(short, schema)
+    near = small_batches(keep.where(size <= block)).mapInArrow(short, schema)
     far = keep.where(size > block).withColumn("__row", F.monotonically_increasing_id())
     dealt = far.select("__row", F.col(text_col).alias("__text")).mapInPandas(halves, "__row bigint, at int, part string, last boolean, mark int")
     encoded = dealt.repartition("__row", "at").mapInPandas(parts, "__row bigint, at int, part string, last boolean, mark int, starts array<int>, stops array<int>, counts array<int>, flat array<int>, opened boolean")
@@ -311,11 +345,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _encoder(held.value).token
+        table = pa.array([token.get(i) for i in range(max(token) + 1)], pa.string())
         for b in batches:
-            lists = b.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if x is None else " ".join(map(token.__getitem__, x)) for x in lists], pa.string())], [*b.schema.names, "decoded"])
+            lists = b.column("ids")
+            # An unknown number gives nothing, as in the library.
+            shown = pa.ListArray.from_arrays(lists.offsets, table.take(lists.values), mask=lists.is_null()) if not lists.offset else pa.array([None if x is None else [token[i] for i in x if i in token] for x in lists.to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pc.binary_join(shown, " ")], [*b.schema.names, "decoded"])
 
-    return keep.mapInArrow(each, schema)
+    return small_batches(keep).mapInArrow(each, schema)
 
 
 def query(docs: DataFrame, path: str) -> DataFrame:
