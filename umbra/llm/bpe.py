@@ -38,7 +38,7 @@ from umbra.llm.common import small_batches
 BLOCK = 1 << 16
 #: Code points of a first window, and what may still change before a cut: a contraction has three.
 WINDOW, UNSURE = 64, 3
-CACHE = 1 << 18
+CACHE = 1 << 15
 #: Up to here letters and numbers keep their classes in all Unicode versions in use, and texts are in normal form as they are.
 FAR = 0x250
 #: White space up to U+024F.
@@ -49,10 +49,8 @@ class Encoder:
     """The tokenizer file's merges by token numbers."""
 
     def __init__(self, text: str) -> None:
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
-
         spec = json.loads(text)
-        self.library = Tokenizer.from_str(text)
+        self.text = text
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -65,7 +63,7 @@ class Encoder:
         self.last = [vocab[c + self.suffix] for c in chars]
         self.bytes_of = {c: i for i, c in enumerate(chars)}
         pattern = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")["pattern"]["Regex"]
-        self.cut = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        self.pattern = pattern
         near = {kind: "".join(re.escape(chr(c)) for c in range(FAR) if unicodedata.category(chr(c))[0] == kind) for kind in "LN"}
         self.words = re.compile(pattern.replace(r"\s", SPACE).replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^" + SPACE + r"\p{L}\p{N}]", f"[^{SPACE}{near['L']}{near['N']}]").replace(r"\p{L}", f"[{near['L']}]").replace(r"\p{N}", f"[{near['N']}]"))
         self.far = re.compile(f"[^\x00-{chr(FAR - 1)}]")
@@ -74,18 +72,25 @@ class Encoder:
         self.flat, self.first = array("i"), array("q", [0])
         self.fit: dict[tuple[int, int, bool], bool] = {}
 
+    @functools.cached_property
+    def library(self) -> tuple:
+        """The library's normaliser and pre-tokenizer, for texts with far characters; made only where one comes."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        return Tokenizer.from_str(self.text).normalizer, pre_tokenizers.Split(Regex(self.pattern), "removed", invert=True)
+
     def normal(self, text: str) -> str:
-        return self.library.normalizer.normalize_str(text) if self.far.search(text) else text.lower()
+        return self.library[0].normalize_str(text) if self.far.search(text) else text.lower()
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Where the words of normalised text lie."""
         if self.far.search(text):
-            return [at for _, at in self.cut.pre_tokenize_str(text)]
+            return [at for _, at in self.library[1].pre_tokenize_str(text)]
         return [m.span() for m in self.words.finditer(text)]
 
     def word_list(self, text: str) -> list[str]:
         if self.far.search(text):
-            return [text[a:b] for _, (a, b) in self.cut.pre_tokenize_str(text)]
+            return [text[a:b] for _, (a, b) in self.library[1].pre_tokenize_str(text)]
         return self.words.findall(text)
 
     def merged(self, data: bytes, closed: bool) -> list[int]:
