@@ -38,7 +38,7 @@ from umbra.llm.common import small_batches
 BLOCK = 1 << 16
 #: Code points of a first window, and what may still change before a cut: a contraction has three.
 WINDOW, UNSURE = 64, 3
-CACHE = 1 << 15
+CACHE = 1 << 17
 #: Up to here letters and numbers keep their classes in all Unicode versions in use, and texts are in normal form as they are.
 FAR = 0x250
 #: White space up to U+024F.
