@@ -1 +1,196 @@
+"""The star catalog: build, lookups, cross-matches, companions; caches of bodies."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from umbra.functions import light, sky
+from umbra.functions.sky import num
+from umbra.operators import catalog
+from umbra.plans.registry import query
+from umbra.plans.tables import base, table
+
+KIND = "CASE WHEN pmra IS NULL OR parallax IS NULL THEN 2 WHEN ruwe < 1.4 THEN 0 ELSE 1 END"
+CELL = "CAST(least(greatest(floor((dec+90)/0.25::DOUBLE),0),719)*1440 + floor(ra/0.25::DOUBLE)%1440 AS BIGINT)"
+BUILT = f"(SELECT *, {KIND} AS kind, {CELL} AS cell FROM {{stars}} WHERE g <= 16)"
+
+
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.encoded(catalog.admitted(table(spark, sf_dir, "stars"), 16.0))
+
+
+@query("admit_stars", f"SELECT source_id, kind FROM {BUILT}")
+def admit_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).select("source_id", "kind")
+
+
+@query("kind_counts", f"SELECT kind, count(*) AS n, round(avg(g),6) AS mean_g FROM {BUILT} GROUP BY kind")
+def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("g"), 6).alias("mean_g"))
+
+
+@query("cell_histogram_offsets", f"SELECT cell, count(*) AS n, CAST(coalesce(sum(count(*)) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS first_row FROM {BUILT} GROUP BY cell")
+def cell_histogram_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.offsets(built(spark, sf_dir))
+
+
+BIG = "CAST(floor((dec+90)/10::DOUBLE)*36+floor(ra/10::DOUBLE) AS BIGINT)"
+
+
+@query("rank_in_cell", f"SELECT source_id, cell, CAST(row_number() OVER (PARTITION BY cell ORDER BY g, source_id) AS INTEGER) AS rank FROM (SELECT source_id, g, {BIG} AS cell FROM {{stars}} WHERE g<=16)")
+def rank_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = built(spark, sf_dir).withColumn("cell", (F.floor((F.col("dec") + 90.0) / 10) * 36 + F.floor(F.col("ra") / 10)).cast("bigint"))
+    return catalog.ranked(wide).select("source_id", "cell", "rank")
+
+
+@query("high_pm", "SELECT source_id, round(sqrt(pmra*pmra+pmdec*pmdec),6) AS pm FROM {stars} WHERE sqrt(pmra*pmra+pmdec*pmdec) > 1500")
+def high_pm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.fast(table(spark, sf_dir, "stars")).select("source_id", F.round(light.hypot(F.col("pmra"), F.col("pmdec")), 6).alias("pm"))
+
+
+@query("mag_code", "SELECT source_id, CAST(floor(g*1000+0.5::DOUBLE) AS INTEGER) AS mmag, round(floor(g*1000+0.5::DOUBLE)/1000,6) AS g_back FROM {stars} WHERE g<=16")
+def mag_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir).select("source_id", "mmag", F.round(catalog.decoded_mag(F.col("mmag")), 6).alias("g_back"))
+
+
+@query("cells_prefix", f"SELECT source_id, cell FROM {BUILT} WHERE g <= 12 AND cell IN (SELECT {CELL} FROM {{stars}} WHERE source_id % 9000 = 0)")
+def cells_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stars = built(spark, sf_dir)
+    cells = catalog.encoded(table(spark, sf_dir, "stars").where("source_id % 9000 = 0"))
+    return catalog.bright(stars, cells, 12.0).select("source_id", "cell")
+
+
+@query("cone_filter", "SELECT source_id FROM {stars} WHERE pow(cos(radians(dec))*cos(radians(ra))-cos(radians(20::DOUBLE))*cos(radians(100::DOUBLE)),2)+pow(cos(radians(dec))*sin(radians(ra))-cos(radians(20::DOUBLE))*sin(radians(100::DOUBLE)),2)+pow(sin(radians(dec))-sin(radians(20::DOUBLE)),2) <= pow(2*sin(radians(8::DOUBLE)/2),2) AND pmra IS NOT NULL AND ruwe < 1.4 AND g <= 15")
+def cone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    away = sky.direction(F.col("ra"), F.col("dec")).minus(sky.direction(num(100), num(20)))
+    limit = 2 * F.sin(F.radians(num(8)) / 2)
+    return table(spark, sf_dir, "stars").where((away.dot(away) <= limit * limit) & F.col("pmra").isNotNull() & (F.col("ruwe") < 1.4) & (F.col("g") <= 15)).select("source_id")
+
+
+@query("circles_filter", "SELECT DISTINCT s.source_id FROM {stars} s JOIN {sites} c ON s.dec BETWEEN c.lat-3.1 AND c.lat+3.1 AND pow(cos(radians(s.dec))*cos(radians(s.ra))-cos(radians(c.lat))*cos(radians(c.lon+180)),2)+pow(cos(radians(s.dec))*sin(radians(s.ra))-cos(radians(c.lat))*sin(radians(c.lon+180)),2)+pow(sin(radians(s.dec))-sin(radians(c.lat)),2) <= pow(2*sin(radians(3::DOUBLE)/2),2)")
+def circles_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centres = table(spark, sf_dir, "sites").select((F.col("lon") + 180.0).alias("ra"), F.col("lat").alias("dec"))
+    stars = table(spark, sf_dir, "stars").select("source_id", F.col("ra").alias("star_ra"), F.col("dec").alias("star_dec"))
+    return catalog.cell_join(centres, stars, 3.0, 2.0).select("source_id").distinct()
+
+
+@query("merged_first_wins", "SELECT source_id, side, round(g,6) AS g FROM (SELECT source_id, 'main' AS side, g FROM {stars} WHERE (source_id//1000)%3<>0 UNION ALL SELECT source_id, 'more' AS side, g+1 AS g FROM {stars} WHERE (source_id//1000)%3=0)")
+def merged_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stars, key = table(spark, sf_dir, "stars"), F.expr("source_id div 1000")
+    main = stars.where(key % 3 != 0).select("source_id", F.lit("main").alias("side"), "g")
+    more = stars.select("source_id", F.lit("more").alias("side"), (F.col("g") + 1).alias("g"))
+    return catalog.first_wins(main, more, "source_id").select("source_id", "side", F.round("g", 6).alias("g"))
+
+
+OTHERS = "(SELECT source_id AS other_id, ra + (CASE WHEN (source_id//1000)%4=0 THEN 0.00008::DOUBLE ELSE 0.00003::DOUBLE END)/cos(radians(dec)) AS ora, dec + 0.00002::DOUBLE AS odec, g + ((source_id//1000)%5)*0.2::DOUBLE AS og FROM {stars} WHERE abs(dec) < 85)"
+HAV = "degrees(2*asin(sqrt(least(greatest(pow(sin((radians(o.odec)-radians(s.dec))/2),2)+cos(radians(s.dec))*cos(radians(o.odec))*pow(sin((radians(o.ora)-radians(s.ra))/2),2),0),1))))*3600"
+
+
+def others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.expr("source_id div 1000")
+    shift = F.when(key % 4 == 0, num(0.00008)).otherwise(num(0.00003))
+    return table(spark, sf_dir, "stars").where("abs(dec) < 85").select(F.col("source_id").alias("other_id"), (F.col("ra") + shift / F.cos(F.radians("dec"))).alias("other_ra"), (F.col("dec") + 0.00002).alias("other_dec"), (F.col("g") + (key % 5) * 0.2).alias("other_g"))
+
+
+def _match_sql(radius: float, accept: str) -> str:
+    return f"WITH p AS (SELECT s.source_id, o.other_id, {HAV} AS sep FROM {{stars}} s JOIN {OTHERS} o ON o.odec BETWEEN s.dec - 0.001 AND s.dec + 0.001 WHERE {accept}), b AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sep, other_id) AS k FROM p WHERE sep <= {radius}) SELECT source_id, other_id, round(sep,4) AS sep FROM b WHERE k=1"
+
+
+@query("xmatch_close", _match_sql(0.2, "abs(s.g-o.og) <= 0.5"))
+def xmatch_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first catalog's rule: within 0.2 arcseconds and half a magnitude."""
+    ours = table(spark, sf_dir, "stars")
+    found = catalog.matched(ours, others(spark, sf_dir), 0.2, F.abs(F.col("g") - F.col("other_g")) <= 0.5)
+    return found.select("source_id", "other_id", F.round("sep", 4).alias("sep"))
+
+
+@query("xmatch_wide", _match_sql(0.5, "abs(s.g - CASE WHEN o.other_id % 7 = 0 THEN s.g ELSE o.og END) <= 1"))
+def xmatch_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second catalog's rule: within half an arcsecond and one magnitude, of its own magnitude or, without one, another."""
+    ours = table(spark, sf_dir, "stars")
+    own = F.when(F.col("other_id") % 7 != 0, F.col("other_g"))
+    found = catalog.matched(ours, others(spark, sf_dir), 0.5, F.abs(F.col("g") - F.coalesce(own, F.col("g"))) <= 1)
+    return found.select("source_id", "other_id", F.round("sep", 4).alias("sep"))
+
+
+@query(
+    "companions_blend",
+    """WITH s AS (SELECT * FROM {stars}), m AS (SELECT source_id AS oid, ra+coalesce(pmra,0)/greatest(cos(radians(dec)),1e-6::DOUBLE)*10/3.6e6::DOUBLE AS r0, dec+coalesce(pmdec,0)*10/3.6e6::DOUBLE AS od, g AS og FROM s),
+    n AS (SELECT oid, r0-floor(r0/360)*360 AS orr, od, og FROM m),
+    p AS (SELECT s.source_id, s.g, n.og, n.oid, degrees(2*asin(sqrt(least(greatest(pow(sin((radians(n.od)-radians(s.dec))/2),2)+cos(radians(s.dec))*cos(radians(n.od))*pow(sin((radians(n.orr)-radians(s.ra))/2),2),0),1))))*3600 AS sep FROM s JOIN n ON n.od BETWEEN s.dec-0.9 AND s.dec+0.9 WHERE n.oid<>s.source_id AND n.og<=s.g+5 AND s.g < 9),
+    c AS (SELECT source_id, count(*) AS n, min(sep) AS nearest, arg_min(og, sep) AS near_g, sum(pow(10,og*-0.4::DOUBLE)) AS light FROM p WHERE sep <= 3000 GROUP BY source_id)
+    SELECT s.source_id, CAST(coalesce(c.n,0) AS INTEGER) AS n, round(nearest,2) AS nearest, round(near_g,4) AS near_g, round(2.5::DOUBLE*log10((pow(10,-0.4::DOUBLE*s.g)+coalesce(light,0)+pow(10,-0.4::DOUBLE*14))/(coalesce(light,0)+pow(10,-0.4::DOUBLE*14))),5) AS blended FROM s LEFT JOIN c USING (source_id) WHERE s.g < 9""",
+)
+def companions_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stars = table(spark, sf_dir, "stars")
+    events = stars.where("g < 9").select("source_id", "ra", "dec", "g")
+    found = catalog.companions(events, stars, 10.0, 3000.0)
+    first = F.get("companions", F.lit(0))
+    drop = light.blended_drop(F.col("g"), num(14), F.transform("companions", lambda c: c["g"]))
+    return found.select("source_id", F.size("companions").alias("n"), F.round(first["sep"], 2).alias("nearest"), F.round(first["g"], 4).alias("near_g"), F.round(drop, 5).alias("blended"))
+
+
+@query(
+    "double_hints",
+    """SELECT source_id, array_to_string(list_filter([CASE WHEN (source_id//1000)%13=0 THEN 'non-single star (NSS '||((source_id//1000)%4)||')' END, CASE WHEN (source_id//1000)%17>2 AND (source_id//1000)%5=0 THEN 'two peaks in '||((source_id//1000)%17)||' % of scans' END, CASE WHEN (source_id//1000)%19=0 THEN 'duplicated source' END], lambda x: x IS NOT NULL), '; ') AS hint FROM {stars}""",
+)
+def double_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.expr("source_id div 1000")
+    nss, peaks, twice = key % 13 == 0, F.when(key % 5 == 0, key % 17), key % 19 == 0
+    hint = F.concat_ws(
+        "; ",
+        F.when(nss, F.concat(F.lit("non-single star (NSS "), (key % 4).cast("string"), F.lit(")"))),
+        F.when(peaks > 2, F.concat(F.lit("two peaks in "), peaks.cast("string"), F.lit(" % of scans"))),
+        F.when(twice, F.lit("duplicated source")),
+    )
+    return table(spark, sf_dir, "stars").select("source_id", hint.alias("hint"))
+
+
+@query(
+    "bulk_bodies",
+    """SELECT p_partkey+1 AS number, trim(p_name) AS name, round(8+9*(p_partkey*0.2360679775::DOUBLE-floor(p_partkey*0.2360679775::DOUBLE)),4) AS h, CASE WHEN p_partkey%3=0 THEN 0.15::DOUBLE ELSE 0.25::DOUBLE END AS g, p_partkey%11=0 AS neo FROM part
+    WHERE p_size%10<>3 AND p_partkey%7<>2 AND round(8+9*(p_partkey*0.2360679775::DOUBLE-floor(p_partkey*0.2360679775::DOUBLE)),4) < 15""",
+)
+def bulk_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.round(8.0 + 9.0 * (F.col("p_partkey") * num(0.2360679775) - F.floor(F.col("p_partkey") * num(0.2360679775))), 4)
+    text = lambda c: c.cast("string")
+    row = F.array(
+        text(F.col("p_partkey") + 1 + F.when(F.col("p_partkey") % 2 == 0, 20000000).otherwise(2000000)),
+        F.concat(F.lit("  "), F.col("p_name")),
+        F.when(F.col("p_partkey") % 7 != 2, text(h)),
+        F.when(F.col("p_partkey") % 3 != 0, F.lit("0.25")),
+        F.lit(None).cast("string"),
+        F.lit("n/a"),
+        F.lit("2.5"),
+        F.when(F.col("p_size") % 10 == 3, F.lit("1.2")).otherwise(F.lit("0.1")),
+        F.lit("2460800.5"),
+        F.when(F.col("p_partkey") % 11 == 0, F.lit("Y")).otherwise(F.lit("N")),
+    )
+    fields = ["spkid", "full_name", "H", "G", "diameter", "diameter_sigma", "a", "e", "epoch", "neo"]
+    return catalog.typed_bodies(base(spark, sf_dir, "part").select(row.alias("row")), fields, 15.0).select("number", "name", "h", "g", "neo")
+
+
+@query("size_cache_newest", "SELECT number, source, CAST(fetched AS BIGINT) AS fetched FROM (SELECT l_partkey+1 AS number, l_returnflag||l_linestatus AS source, l_orderkey*10+l_linenumber AS fetched, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey*10+l_linenumber DESC, l_returnflag||l_linestatus DESC) AS k FROM lineitem) WHERE k=1 AND fetched > 1000")
+def size_cache_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest entry of each body, if it is fresh enough."""
+    entries = base(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 1).alias("number"), F.concat("l_returnflag", "l_linestatus").alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fetched"))
+    return catalog.newest(entries, ["number"], "fetched", ["source"]).where("fetched > 1000").select("number", "source", "fetched")
+
+
+@query(
+    "coverage_gaps",
+    """WITH s AS (SELECT s_nationkey AS body, s_suppkey*100 AS a, s_suppkey*100 + 3000 + CAST(s_suppkey%7 AS BIGINT)*700 AS b FROM supplier), r AS (SELECT body, a, max(b) OVER (PARTITION BY body ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM s) SELECT body, c AS gap_from, a AS gap_to FROM r WHERE a > c""",
+)
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = base(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("body"), (F.col("s_suppkey") * 100).alias("a"), (F.col("s_suppkey") * 100 + 3000 + F.col("s_suppkey") % 7 * 700).alias("b"))
+    return catalog.gaps(spans, ["body"], "a", "b")
+
+
+@query("build_guard", "SELECT count(*) AS n FROM {stars} WHERE (source_id//1000)%4 = (source_id//1000)%2")
+def build_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column groups go together only if they come from one build."""
+    key = F.expr("source_id div 1000")
+    core = table(spark, sf_dir, "stars").select("source_id", (key % 4).alias("build"))
+    quality = table(spark, sf_dir, "stars").select("source_id", (key % 2).alias("build"), "pos_err")
+    return core.join(quality, ["source_id", "build"]).agg(F.count("*").alias("n"))

@@ -1 +1,202 @@
+"""Shadow elements, ground tracks, sites and regions, pre-screens."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from umbra.functions import earth
+from umbra.functions.sky import num
+from umbra.operators import shadow, tracks
+from umbra.plans.registry import query
+from umbra.plans.tables import table
+
+ARRAYS = "list_transform(range(9), lambda i: {0}0 + v{0}*(half*(i/4-1::DOUBLE)) + a{0}*pow(half*(i/4-1::DOUBLE),2) + 0.05::DOUBLE*sin(i::DOUBLE*7))"
+
+
+@query(
+    "elements_fit",
+    f"""WITH p AS (SELECT event_id, half, {ARRAYS.format('x')} AS px, {ARRAYS.format('y')} AS py FROM {{elements}}),
+    f AS (SELECT *, px[5] AS x0, (px[9]-px[1])/(2*half) AS vx, (px[9]-2*px[5]+px[1])/(2*half*half) AS ax, py[5] AS y0, (py[9]-py[1])/(2*half) AS vy, (py[9]-2*py[5]+py[1])/(2*half*half) AS ay FROM p)
+    SELECT event_id, round(x0,4) AS x0, round(vy,6) AS vy, round(ax*1e4::DOUBLE,5) AS ax4, round(list_max(list_transform(range(9), lambda i: sqrt(pow(px[i+1]-(x0+vx*(half*(i/4-1::DOUBLE))+ax*pow(half*(i/4-1::DOUBLE),2)),2)+pow(py[i+1]-(y0+vy*(half*(i/4-1::DOUBLE))+ay*pow(half*(i/4-1::DOUBLE),2)),2)))),4) AS err FROM f""",
+)
+def elements_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def points(axis: str):
+        at = lambda i: F.col("half") * (i / 4 - 1.0)
+        import math
+
+        return F.array(*[F.col(f"{axis}0") + F.col(f"v{axis}") * at(i) + F.col(f"a{axis}") * F.pow(at(i), num(2)) + 0.05 * math.sin(i * 7.0) for i in range(9)])
+
+    made = table(spark, sf_dir, "elements").select("event_id", "half", points("x").alias("px"), points("y").alias("py"))
+    fit = shadow.fitted(F.col("px"), F.col("py"), F.col("half"))
+    return made.select("event_id", F.round(fit["x0"], 4).alias("x0"), F.round(fit["vy"], 6).alias("vy"), F.round(fit["ax"] * 1e4, 5).alias("ax4"), F.round(fit["err"], 4).alias("err"))
+
+
+@query("element_positions", "SELECT event_id, k, round(x0+vx*(half*(k/4-1::DOUBLE))+ax*pow(half*(k/4-1::DOUBLE),2),3) AS px, round(y0+vy*(half*(k/4-1::DOUBLE))+ay*pow(half*(k/4-1::DOUBLE),2),3) AS py FROM {elements} CROSS JOIN (SELECT CAST(unnest(range(9)) AS INTEGER) AS k)")
+def element_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "elements").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    px, py = shadow.plane_at(shadow.tau_of(F.col("k"), 9))
+    return rows.select("event_id", "k", F.round(px, 3).alias("px"), F.round(py, 3).alias("py"))
+
+
+def _track_sql(n: int, reach: str, sin_alt: str, sin_sun: str) -> str:
+    """Ground-track samples as rows (event_id, k, lat, lon, gs, dg, star_up, sun_up, ok)."""
+    return f"""a AS (SELECT *, cos(radians(dec))*cos(radians(ra)) AS sx, cos(radians(dec))*sin(radians(ra)) AS sy, sin(radians(dec)) AS sz, -sin(radians(ra)) AS ex, cos(radians(ra)) AS ey FROM {{elements}}),
+  t AS (SELECT a.*, k, half*(k*(2/{n - 1}::DOUBLE)-1) AS dt FROM a CROSS JOIN (SELECT CAST(unnest(range({n})) AS INTEGER) AS k)),
+  p AS (SELECT *, x0+vx*dt+ax*dt*dt AS px, y0+vy*dt+ay*dt*dt AS py, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz FROM t),
+  r AS (SELECT *, sqrt(px*px+py*py) AS rho FROM p),
+  v AS (SELECT *, CASE WHEN rho>6378.137::DOUBLE THEN 6378.137::DOUBLE/rho ELSE 1 END AS sc, sqrt(greatest(pow(6378.137::DOUBLE,2)-rho*rho,0)) AS dp FROM r),
+  g AS (SELECT *, ex*px*sc+nx*py*sc+sx*dp AS gx, ey*px*sc+ny*py*sc+sy*dp AS gy, nz*py*sc+sz*dp AS gz, 2451545+(et+dt)/86400 AS jd FROM v),
+  h AS (SELECT *, sqrt(pow(gx-lag(gx) OVER w,2)+pow(gy-lag(gy) OVER w,2)+pow(gz-lag(gz) OVER w,2)) AS d1, sqrt(pow(gx-lead(gx) OVER w,2)+pow(gy-lead(gy) OVER w,2)+pow(gz-lead(gz) OVER w,2)) AS d2,
+     sqrt(pow(px-lag(px) OVER w,2)+pow(py-lag(py) OVER w,2)) AS q1, sqrt(pow(px-lead(px) OVER w,2)+pow(py-lead(py) OVER w,2)) AS q2, sqrt(gx*gx+gy*gy+gz*gz) AS gn FROM g WINDOW w AS (PARTITION BY event_id ORDER BY k)),
+  s AS (SELECT *, 0.5::DOUBLE*greatest(coalesce(d1,0),coalesce(d2,0)) AS gs, 0.5::DOUBLE*greatest(coalesce(q1,0),coalesce(q2,0)) AS ps, (gx*sx+gy*sy+gz*sz)/gn AS star_up, r_km+{reach} AS wide,
+     radians(280.460::DOUBLE+0.9856474::DOUBLE*(jd-2451545)+1.915::DOUBLE*sin(radians(357.528::DOUBLE+0.9856003::DOUBLE*(jd-2451545)))+0.020::DOUBLE*sin(2*radians(357.528::DOUBLE+0.9856003::DOUBLE*(jd-2451545)))) AS sl, radians(23.439::DOUBLE-4e-7::DOUBLE*(jd-2451545)) AS tilt,
+     2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(jd-2451545)-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(jd-2451545))) AS era FROM h),
+  u AS (SELECT *, (gx*cos(sl)+gy*cos(tilt)*sin(sl)+gz*sin(tilt)*sin(sl))/gn AS sun_up, sqrt(greatest(1-star_up*star_up,0)) AS c, wide/6378.137::DOUBLE AS q FROM s),
+  w AS (SELECT *, CASE WHEN c-q<=0 THEN 1 ELSE sqrt(greatest(1-(c-q)*(c-q),0)) END AS hi, greatest(CASE WHEN c+q>=1 THEN -1 ELSE sqrt(greatest(1-(c+q)*(c+q),0)) END, {sin_alt}) AS lo FROM u),
+  x AS (SELECT *, 2*6378.137::DOUBLE*asin(least(sqrt(wide*wide+pow(6378.137::DOUBLE*greatest(greatest(hi-star_up,star_up-lo),0),2))/(2*6378.137::DOUBLE),1)) AS dg FROM w),
+  track AS (SELECT event_id, number, k, r_km, gs, dg, star_up, sun_up, degrees(asin(least(greatest(gz/6378.137::DOUBLE,-1),1))) AS lat, degrees(atan2(gy*cos(era)-gx*sin(era), gx*cos(era)+gy*sin(era))) AS lon,
+     rho < 6378.137::DOUBLE+wide+ps AND star_up > {sin_alt}-(gs+dg)/6378.137::DOUBLE AND sun_up < {sin_sun}+(gs+dg)/6378.137::DOUBLE AS ok FROM x)"""
+
+
+REACH, ALT, SUN = 30.0, 5.0, -6.0
+TRACK = _track_sql(17, "30", "sin(radians(5::DOUBLE))", "sin(radians(-6::DOUBLE))")
+
+
+def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shadow.track(table(spark, sf_dir, "elements"), REACH, ALT, SUN, 17)
+
+
+@query("ground_track", f"WITH {TRACK} SELECT event_id, k, round(lat,5) AS lat, round(lon,4) AS lon, round(star_up,6) AS star_up, round(sun_up,6) AS sun_up, ok FROM track WHERE k % 4 = 0")
+def ground_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tracked(spark, sf_dir).where("k % 4 = 0")
+    return rows.select("event_id", "k", F.round("lat", 5).alias("lat"), F.round("lon", 4).alias("lon"), F.round("star_up", 6).alias("star_up"), F.round("sun_up", 6).alias("sun_up"), "ok")
+
+
+@query(
+    "track_bounds",
+    f"""WITH {TRACK}, o AS (SELECT * FROM track WHERE ok),
+    l AS (SELECT event_id, lon, coalesce(lead(lon) OVER w, min(lon) OVER (PARTITION BY event_id)+360)-lon AS gap, coalesce(lead(lon) OVER w, min(lon) OVER (PARTITION BY event_id)) AS west FROM o WINDOW w AS (PARTITION BY event_id ORDER BY lon)),
+    b AS (SELECT event_id, max(gap) AS gap, arg_min(west, ROW(-gap, lon)) AS west FROM l GROUP BY event_id),
+    st AS (SELECT event_id, max(CASE WHEN ok AND nok THEN abs((nlon-lon+180)-floor((nlon-lon+180)/360)*360-180) ELSE 0 END) AS step FROM (SELECT *, lead(lon) OVER (PARTITION BY event_id ORDER BY k) AS nlon, coalesce(lead(ok) OVER (PARTITION BY event_id ORDER BY k), false) AS nok FROM track) GROUP BY event_id),
+    m AS (SELECT event_id, min(lat-(gs+r_km)/111.2::DOUBLE) AS lat_lo, max(lat+(gs+r_km)/111.2::DOUBLE) AS lat_hi, max((gs+r_km)/111.2::DOUBLE/greatest(cos(radians(lat)),0.05::DOUBLE)) AS pad, min(star_up-gs/6378.137::DOUBLE) AS sin_lo, max(star_up+gs/6378.137::DOUBLE) AS sin_hi FROM o GROUP BY event_id),
+    f AS (SELECT m.*, gap, west, greatest(abs(lat_lo),abs(lat_hi))>80 OR gap<4*step+1e-9::DOUBLE OR 360-gap+2*pad>=360 AS full_ FROM m JOIN b USING (event_id) JOIN st USING (event_id))
+    SELECT e.event_id, round(lat_lo,4) AS lat_lo, round(lat_hi,4) AS lat_hi, round(CASE WHEN full_ THEN -180 ELSE (west-pad+180)-floor((west-pad+180)/360)*360-180 END,3) AS lon_w, round(CASE WHEN full_ THEN 360 ELSE 360-gap+2*pad END,3) AS lon_width, round(sin_lo,5) AS sin_lo, round(sin_hi,5) AS sin_hi FROM {{elements}} e LEFT JOIN f USING (event_id)""",
+)
+def track_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = {"lat_lo": 4, "lat_hi": 4, "lon_w": 3, "lon_width": 3, "sin_lo": 5, "sin_hi": 5}
+    return shadow.bounds(tracked(spark, sf_dir), ["event_id"]).select("event_id", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
+INBOX = "lat >= {s}-m/111.2::DOUBLE AND lat <= {n}+m/111.2::DOUBLE AND ((lon-({w})-floor((lon-({w}))/360)*360) <= {width} + m/(111.2::DOUBLE*greatest(cos(radians(lat)),0.02::DOUBLE)) OR (lon-({w})-floor((lon-({w}))/360)*360) >= 360 - m/(111.2::DOUBLE*greatest(cos(radians(lat)),0.02::DOUBLE)))"
+
+
+@query(
+    "region_events",
+    f"WITH {TRACK}, i AS (SELECT *, dg+gs AS m FROM track WHERE ok), b AS (SELECT event_id, min(k) AS k FROM i WHERE {INBOX.format(s=35, n=71, w=-25, width=70)} GROUP BY event_id) SELECT event_id, round(i.lat,4) AS lat, round(degrees(asin(i.sun_up)),3) AS sun_alt FROM b JOIN i USING (event_id, k)",
+)
+def region_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shadow.in_region(tracked(spark, sf_dir), shadow.region("europe"), ["event_id"])
+    return found.select("event_id", F.round("at.lat", 4).alias("lat"), F.round(F.degrees(F.asin("at.sun_up")), 3).alias("sun_alt"))
+
+
+@query("region_numbers", f"WITH {TRACK}, i AS (SELECT *, dg+gs AS m FROM track WHERE ok) SELECT number, count(DISTINCT event_id) AS n_events FROM i WHERE {INBOX.format(s=-20, n=20, w=160, width=60)} GROUP BY number")
+def region_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with an event in a region that crosses the date line."""
+    return shadow.in_region(tracked(spark, sf_dir), shadow.region("pacific"), ["number", "event_id"]).groupBy("number").agg(F.count_distinct("event_id").alias("n_events"))
+
+
+SITE_TEST = """WITH a AS (SELECT e.*, s.site_id, s.lat, s.lon, s.ele_m, s.reach_km, cos(radians(e.dec))*cos(radians(e.ra)) AS sx, cos(radians(e.dec))*sin(radians(e.ra)) AS sy, sin(radians(e.dec)) AS sz, -sin(radians(e.ra)) AS ex, cos(radians(e.ra)) AS ey FROM {elements} e JOIN (SELECT * FROM {sites} WHERE site_id < 20) s ON true WHERE e.g < 10),
+  o AS (SELECT *, 1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE) AS e2, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz FROM a),
+  n AS (SELECT *, 6378.137::DOUBLE/sqrt(1-e2*sin(radians(lat))*sin(radians(lat))) AS nn FROM o),
+  f AS (SELECT *, (nn+ele_m/1000)*cos(radians(lat))*cos(radians(lon)) AS fx, (nn+ele_m/1000)*cos(radians(lat))*sin(radians(lon)) AS fy, (nn*(1-e2)+ele_m/1000)*sin(radians(lat)) AS fz FROM n),
+  t AS (SELECT f.*, k, half*(k*(2/80::DOUBLE)-1) AS dt FROM f CROSS JOIN (SELECT CAST(unnest(range(81)) AS INTEGER) AS k)),
+  j AS (SELECT *, 2451545+(et+dt)/86400 AS jd FROM t),
+  r AS (SELECT *, 2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(jd-2451545)-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(jd-2451545))) AS era,
+    radians(280.460::DOUBLE+0.9856474::DOUBLE*(jd-2451545)+1.915::DOUBLE*sin(radians(357.528::DOUBLE+0.9856003::DOUBLE*(jd-2451545)))+0.020::DOUBLE*sin(2*radians(357.528::DOUBLE+0.9856003::DOUBLE*(jd-2451545)))) AS sl, radians(23.439::DOUBLE-4e-7::DOUBLE*(jd-2451545)) AS tilt FROM j),
+  p AS (SELECT *, fx*cos(era)-fy*sin(era) AS ox, fx*sin(era)+fy*cos(era) AS oy, cos(radians(lat))*cos(radians(lon)+era) AS ux, cos(radians(lat))*sin(radians(lon)+era) AS uy, sin(radians(lat)) AS uz FROM r),
+  q AS (SELECT *, x0+vx*dt+ax*dt*dt-(ox*ex+oy*ey) AS rx, y0+vy*dt+ay*dt*dt-(ox*nx+oy*ny+fz*nz) AS ry, ux*sx+uy*sy+uz*sz > sin(radians(4::DOUBLE)) AND ux*cos(sl)+uy*cos(tilt)*sin(sl)+uz*sin(tilt)*sin(sl) < sin(radians(-5::DOUBLE)) AS ok FROM p),
+  d AS (SELECT *, lead(rx) OVER w - rx AS dx, lead(ry) OVER w - ry AS dy, ok OR lead(ok) OVER w AS seen FROM q WINDOW w AS (PARTITION BY event_id, site_id ORDER BY k)),
+  c AS (SELECT *, least(greatest(-(rx*dx+ry*dy)/greatest(dx*dx+dy*dy,1e-12::DOUBLE),0),1) AS u FROM d WHERE dx IS NOT NULL AND seen)
+  SELECT event_id, site_id, round(min(sqrt(pow(rx+u*dx,2)+pow(ry+u*dy,2))),3) AS closest_km FROM c GROUP BY event_id, site_id, r_km, reach_km HAVING min(sqrt(pow(rx+u*dx,2)+pow(ry+u*dy,2))) <= r_km+reach_km+10"""
+
+
+@query("near_site", SITE_TEST)
+def near_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index must not lose what the exact test over all pairs keeps: the statement it is held against has no index."""
+    events, sites = table(spark, sf_dir, "elements").where("g < 10"), table(spark, sf_dir, "sites").where("site_id < 20")
+    samples = shadow.track(events, 60.0 + shadow.TOL_KM, ALT - shadow.TOL_DEG, SUN + shadow.TOL_DEG)
+    indexed = shadow.bounds(samples, events.columns)
+    pairs = shadow.near_sites(indexed, sites, ALT)
+    return shadow.passes(pairs, ALT, SUN).select("event_id", "site_id", F.round("closest_km", 3).alias("closest_km"))
+
+
+@query("prescreen_numbers", "SELECT a.number, round(a.h,6) AS h FROM {asteroids} a WHERE a.number IN (SELECT number FROM {elements} WHERE et+half >= 200000 AND et-half <= 500000 AND g <= 9)")
+def prescreen_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "elements").where("et + half >= 200000 AND et - half <= 500000 AND g <= 9")
+    return table(spark, sf_dir, "asteroids").join(events.select("number"), "number", "left_semi").select("number", F.round("h", 6).alias("h"))
+
+
+@query("prescreen_counts", "SELECT count(*) AS n_events, count(DISTINCT number) AS n_bodies, round(min(g),6) AS brightest FROM {elements}")
+def prescreen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "elements").agg(F.count("*").alias("n_events"), F.count_distinct("number").alias("n_bodies"), F.round(F.min("g"), 6).alias("brightest"))
+
+
+@query(
+    "prescreen_fit_reasons",
+    """SELECT site_id, array_to_string(list_filter([CASE WHEN site_id*100>500 OR site_id*100+5000<5200 THEN 'window' END, CASE WHEN aperture_cm/2<15 THEN 'camera limit' END, CASE WHEN reach_km<40 THEN 'reach' END, CASE WHEN site_id%3*0.1::DOUBLE>0.15::DOUBLE THEN 'drop' END, CASE WHEN -12<-6-site_id%4 THEN 'sun altitude' END, CASE WHEN site_id%7>5 THEN 'star altitude' END, CASE WHEN 17-site_id%5<14 THEN 'H' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM {sites}""",
+)
+def prescreen_fit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("site_id")
+    built = {"et0": i * 100, "et1": i * 100 + 5000, "cam_limit": F.col("aperture_cm") / 2, "reach_km": F.col("reach_km"), "min_drop": i % 3 * 0.1, "max_sun_alt": num(-12), "min_alt": i % 7, "hmax": 17 - i % 5}
+    asked = {"et0": num(500), "et1": num(5200), "cam_limit": num(15), "reach_km": num(40), "min_drop": num(0.15), "max_sun_alt": -6 - i % 4, "min_alt": num(5), "hmax": num(14)}
+    return table(spark, sf_dir, "sites").select("site_id", F.array_join(shadow.misfits(built, asked), "; ").alias("reasons"))
+
+
+@query(
+    "best_prescreen",
+    """WITH b AS (SELECT s_suppkey AS id, s_nationkey AS region, s_suppkey*50 AS et0, s_suppkey*50+400 AS et1 FROM supplier), q AS (SELECT n_nationkey AS region, n_nationkey*20+300 AS et0, n_nationkey*20+500 AS et1 FROM nation) SELECT q.region, max(b.id) AS id FROM q JOIN b ON b.et0 <= q.et0 AND b.et1 >= q.et1 GROUP BY q.region""",
+)
+def best_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest pre-screen whose window covers a request's."""
+    from umbra.operators.cells import interval_join
+    from umbra.plans.tables import base
+
+    built = base(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_suppkey*50 AS et0", "s_suppkey*50+400 AS et1")
+    asked = base(spark, sf_dir, "nation").selectExpr("n_nationkey AS region", "CAST(n_nationkey*20+300 AS BIGINT) AS q0", "CAST(n_nationkey*20+500 AS BIGINT) AS q1")
+    covering = interval_join(asked, built, ("q0", "q1"), ("et0", "et1"), 400.0).where("et0 <= q0 AND et1 >= q1")
+    return covering.groupBy("region").agg(F.max("id").alias("id"))
+
+
+@query("named_regions", "SELECT * FROM (VALUES ('australia',-44.0::DOUBLE,-10.0::DOUBLE,112.0::DOUBLE,154.0::DOUBLE),('europe',35.0,71.0,-25.0,45.0),('japan',24.0,46.0,122.0,146.0),('pacific',-20.0,20.0,160.0,-140.0)) t(name, lat_min, lat_max, lon_min, lon_max)")
+def named_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(k, *v) for k, v in sorted(shadow.REGIONS.items())]
+    return spark.createDataFrame(rows, "name string, lat_min double, lat_max double, lon_min double, lon_max double")
+
+
+@query(
+    "box_around_sites",
+    """SELECT site_id, round(greatest(lat-reach_km/111.2::DOUBLE,-90),6) AS lat_min, round(least(lat+reach_km/111.2::DOUBLE,90),6) AS lat_max,
+    round((lon-reach_km/(111.2::DOUBLE*greatest(cos(radians(lat)),0.02::DOUBLE))+180)-floor((lon-reach_km/(111.2::DOUBLE*greatest(cos(radians(lat)),0.02::DOUBLE))+180)/360)*360-180,6) AS lon_min FROM {sites}""",
+)
+def box_around_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = shadow.box_around(F.col("lat"), F.col("lon"), F.col("reach_km"))
+    return table(spark, sf_dir, "sites").select("site_id", *[F.round(box[c], 6).alias(c) for c in ("lat_min", "lat_max", "lon_min")])
+
+
+@query(
+    "box_around_all",
+    """WITH s AS (SELECT site_id%3 AS grp, lon, lat FROM {sites}), g AS (SELECT grp, lon, coalesce(lead(lon) OVER w, min(lon) OVER (PARTITION BY grp)+360)-lon AS gap, coalesce(lead(lon) OVER w, min(lon) OVER (PARTITION BY grp)) AS west FROM s WINDOW w AS (PARTITION BY grp ORDER BY lon)),
+    b AS (SELECT grp, 360-max(gap) AS width, arg_min(west, ROW(-gap, lon)) AS west FROM g GROUP BY grp), m AS (SELECT grp, min(lat) AS lat_min, max(lat) AS lat_max FROM s GROUP BY grp)
+    SELECT grp, round(width,6) AS width, round(west,6) AS west, round(lat_min,6) AS lat_min, round(lat_max,6) AS lat_max FROM b JOIN m USING (grp)""",
+)
+def box_around_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = table(spark, sf_dir, "sites").withColumn("grp", F.col("site_id") % 3)
+    arcs = tracks.widest_gap(sites, ["grp"], "lon")
+    lats = sites.groupBy("grp").agg(F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"))
+    return arcs.join(lats, "grp").select("grp", *[F.round(c, 6).alias(c) for c in ("width", "west", "lat_min", "lat_max")])
+
+
+@query("sub_point", "WITH e AS (SELECT event_id, 2451545+et/86400 AS jd FROM {elements}) SELECT event_id, round(2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(jd-2451545)-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(jd-2451545))),7) AS era FROM e")
+def sub_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "elements").select("event_id", F.round(earth.earth_turn(shadow.jd_of(F.col("et"))), 7).alias("era"))

@@ -1 +1,185 @@
+"""Orbits, site solutions, contact times and paths on the ground."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from umbra.functions import light, sky
+from umbra.functions.constants import EARTH_KM, GM_PLANETS
+from umbra.functions.sky import Vec, num
+from umbra.operators import orbits, scan, solve, tracks
+from umbra.plans.registry import query
+from umbra.plans.tables import table
+
+JD = 2460900.5
+NEWTON = ", ".join(f"k{i + 1} AS (SELECT * REPLACE (ecc - (ecc - e*sin(ecc) - m)/(1 - e*cos(ecc)) AS ecc) FROM k{i})" for i in range(12))
+STATES = f"""k0 AS (SELECT *, nn*({JD}::DOUBLE-epoch_jd)+radians(ma) AS m, nn*({JD}::DOUBLE-epoch_jd)+radians(ma)+e*sin(nn*({JD}::DOUBLE-epoch_jd)+radians(ma)) AS ecc FROM (SELECT *, sqrt(2.9591220828411956e-04::DOUBLE/pow(a,3)) AS nn FROM {{asteroids}})), {NEWTON},
+  f AS (SELECT *, a*(cos(ecc)-e) AS xp, a*sqrt(1-e*e)*sin(ecc) AS yp, -a*nn*sin(ecc)/(1-e*cos(ecc)) AS vxp, a*sqrt(1-e*e)*nn*cos(ecc)/(1-e*cos(ecc)) AS vyp, radians(84381.448::DOUBLE/3600) AS tl, cos(radians(om)) AS co, sin(radians(om)) AS so, cos(radians(i)) AS ci, sin(radians(i)) AS si, cos(radians(w)) AS cw, sin(radians(w)) AS sw FROM k12),
+  g AS (SELECT number, tl, (co*cw-so*sw*ci)*xp+(-co*sw-so*cw*ci)*yp AS gx, (so*cw+co*sw*ci)*xp+(-so*sw+co*cw*ci)*yp AS gy, sw*si*xp+cw*si*yp AS gz, (co*cw-so*sw*ci)*vxp+(-co*sw-so*cw*ci)*vyp AS hx, (so*cw+co*sw*ci)*vxp+(-so*sw+co*cw*ci)*vyp AS hy, sw*si*vxp+cw*si*vyp AS hz FROM f),
+  st AS (SELECT number, gx AS x, cos(tl)*gy-sin(tl)*gz AS y, sin(tl)*gy+cos(tl)*gz AS z, hx AS vx, cos(tl)*hy-sin(tl)*hz AS vy, sin(tl)*hy+cos(tl)*hz AS vz FROM g)"""
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orbits.two_body_states(table(spark, sf_dir, "asteroids"), num(JD))
+
+
+@query("kepler_state", f"WITH {STATES} SELECT number, round(x,7) AS x, round(y,7) AS y, round(z,7) AS z, round(vx*1000,6) AS vx, round(vy*1000,6) AS vy, round(vz*1000,6) AS vz FROM st")
+def kepler_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states(spark, sf_dir).select("number", *[F.round(c, 7).alias(c) for c in "xyz"], *[F.round(F.col(f"v{c}") * 1000, 6).alias(f"v{c}") for c in "xyz"])
+
+
+@query(
+    "light_time",
+    f"""WITH {STATES}, s0 AS (SELECT *, x-0.98::DOUBLE AS a, y-0.1::DOUBLE AS b, z-0.05::DOUBLE AS c FROM st), s1 AS (SELECT *, sqrt(a*a+b*b+c*c)*(149597870.7::DOUBLE/299792.458::DOUBLE/86400) AS d1 FROM s0),
+    s2 AS (SELECT *, sqrt(pow(x-vx*d1-0.98::DOUBLE,2)+pow(y-vy*d1-0.1::DOUBLE,2)+pow(z-vz*d1-0.05::DOUBLE,2))*(149597870.7::DOUBLE/299792.458::DOUBLE/86400) AS d2 FROM s1)
+    SELECT number, round(x-vx*d2-0.98::DOUBLE,8) AS gx, round(sqrt(pow(x-vx*d2-0.98::DOUBLE,2)+pow(y-vy*d2-0.1::DOUBLE,2)+pow(z-vz*d2-0.05::DOUBLE,2)),8) AS dist FROM s2""",
+)
+def light_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = orbits.retarded(Vec(*(F.col(c) for c in "xyz")), Vec(*(F.col(f"v{c}") for c in "xyz")), Vec(num(0.98), num(0.1), num(0.05)))
+    return states(spark, sf_dir).select("number", F.round(seen.x, 8).alias("gx"), F.round(seen.norm(), 8).alias("dist"))
+
+
+PLANETS = pd.DataFrame({"gm": [GM_PLANETS[k] for k in (3, 5, 6)], "radius": [1.0, 5.2, 9.55], "phase0": [0.3, 1.1, 2.7], "rate": [0.0172021, 0.00145, 0.000584]})
+
+
+@query("propagate_nbody")
+def propagate_nbody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows only: integration has no SQL form. A test holds it against the two-body solution and against itself run back."""
+    return orbits.propagated(states(spark, sf_dir), PLANETS, 20.0)
+
+
+@query(
+    "hermite_interp",
+    """WITH e AS (SELECT number, 0.37::DOUBLE AS s, 0.5::DOUBLE AS h, a AS p0, e AS v0, i/100 AS a0, a+0.2::DOUBLE AS p1, e+0.05::DOUBLE AS v1, i/90 AS a1 FROM {asteroids})
+    SELECT number, round((1-10*pow(s,3)+15*pow(s,4)-6*pow(s,5))*p0+(s-6*pow(s,3)+8*pow(s,4)-3*pow(s,5))*v0*h+0.5::DOUBLE*(s*s-3*pow(s,3)+3*pow(s,4)-pow(s,5))*a0*h*h+0.5::DOUBLE*(pow(s,3)-2*pow(s,4)+pow(s,5))*a1*h*h+(-4*pow(s,3)+7*pow(s,4)-3*pow(s,5))*v1*h+(10*pow(s,3)-15*pow(s,4)+6*pow(s,5))*p1,8) AS v FROM e""",
+)
+def hermite_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = ((F.col("a"), F.col("e"), F.col("i") / 100), (F.col("a") + 0.2, F.col("e") + 0.05, F.col("i") / 90))
+    return table(spark, sf_dir, "asteroids").select("number", F.round(orbits.hermite(num(0.37), num(0.5), ends), 8).alias("v"))
+
+
+@query(
+    "lagrange_interp",
+    """WITH p AS (SELECT number, j, dec*dec AS y, lead(dec*dec,1) OVER w AS y1, lead(dec*dec,2) OVER w AS y2, lead(dec*dec,3) OVER w AS y3, 1.4::DOUBLE AS s FROM {path_samples} WINDOW w AS (PARTITION BY number ORDER BY j))
+    SELECT number, j, round(-(s-1)*(s-2)*(s-3)/6*y+s*(s-2)*(s-3)/2*y1-s*(s-1)*(s-3)/2*y2+s*(s-1)*(s-2)/6*y3,7) AS v FROM p WHERE y3 IS NOT NULL""",
+)
+def lagrange_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.col("dec") * F.col("dec")
+    four = table(spark, sf_dir, "path_samples").withColumn("y", y).select("number", "j", "y", *[F.lead("y", k).over(tracks.PATH).alias(f"y{k}") for k in (1, 2, 3)]).where("y3 IS NOT NULL")
+    return four.select("number", "j", F.round(orbits.lagrange(num(1.4), tuple(F.col(c) for c in ("y", "y1", "y2", "y3"))), 7).alias("v"))
+
+
+ERA = "2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*({t}/86400)-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*({t}/86400)))"
+
+S = "7.2921150e-5::DOUBLE"
+
+
+def _newton(i: int) -> str:
+    era = ERA.format(t="t")
+    return f"""a{i} AS (SELECT *, fx*cos({era})-fy*sin({era}) AS ox, fx*sin({era})+fy*cos({era}) AS oy, t-et AS dt FROM n{i}),
+    b{i} AS (SELECT *, x0+vx*dt+ax*dt*dt-(ox*ex+oy*ey) AS rx, y0+vy*dt+ay*dt*dt-(ox*nx+oy*ny+fz*nz) AS ry, vx+2*ax*dt-{S}*(-oy*ex+ox*ey) AS ux, vy+2*ay*dt-{S}*(-oy*nx+ox*ny) AS uy, 2*ax+{S}*{S}*(ox*ex+oy*ey) AS wx, 2*ay+{S}*{S}*(ox*nx+oy*ny) AS wy FROM a{i}),
+    n{i + 1} AS (SELECT * EXCLUDE (ox,oy,dt,rx,ry,ux,uy,wx,wy) REPLACE (least(greatest(t-(rx*ux+ry*uy)/CASE WHEN ux*ux+uy*uy+rx*wx+ry*wy > 1e-9 THEN ux*ux+uy*uy+rx*wx+ry*wy ELSE ux*ux+uy*uy END, et-half), et+half) AS t) FROM b{i})"""
+
+
+SITE = f"""p AS (SELECT e.*, s.site_id, s.lat, s.lon, s.ele_m, cos(radians(e.dec))*cos(radians(e.ra)) AS sx, cos(radians(e.dec))*sin(radians(e.ra)) AS sy, sin(radians(e.dec)) AS sz, -sin(radians(e.ra)) AS ex, cos(radians(e.ra)) AS ey, 1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE) AS e2 FROM {{elements}} e JOIN {{sites}} s ON s.site_id = e.number % 10),
+  q AS (SELECT *, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz, 6378.137::DOUBLE/sqrt(1-e2*sin(radians(lat))*sin(radians(lat))) AS nn FROM p),
+  n0 AS (SELECT *, et AS t, (nn+ele_m/1000)*cos(radians(lat))*cos(radians(lon)) AS fx, (nn+ele_m/1000)*cos(radians(lat))*sin(radians(lon)) AS fy, (nn*(1-e2)+ele_m/1000)*sin(radians(lat)) AS fz FROM q), {", ".join(_newton(i) for i in range(6))}, {_newton(6)}"""
+SOLVED = f"{SITE}, done AS (SELECT *, sqrt(rx*rx+ry*ry) AS miss, sqrt(ux*ux+uy*uy) AS speed FROM b6)"
+
+
+def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = table(spark, sf_dir, "sites").select("site_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), "ele_m")
+    pairs = table(spark, sf_dir, "elements").join(sites, F.col("number") % 10 == F.col("site_id"))
+    return solve.closest_at_site(pairs)
+
+
+@query("site_solve_newton", f"WITH {SOLVED} SELECT event_id, site_id, round(t-et,1) AS dt_s, round(miss,1) AS miss_km, round(speed,4) AS speed_kms FROM done")
+def site_solve_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solved(spark, sf_dir).select("event_id", "site_id", F.round(F.col("t_ca") - F.col("et"), 1).alias("dt_s"), F.round("miss_km", 1).alias("miss_km"), F.round("speed_kms", 4).alias("speed_kms"))
+
+
+@query(
+    "event_metrics",
+    f"WITH {SOLVED} SELECT event_id, round(2*sqrt(greatest(r_km*r_km-miss*miss,0)),3) AS chord_km, round(2*sqrt(greatest(r_km*r_km-miss*miss,0))/speed,4) AS duration_s, round(2.5::DOUBLE*log10(1+pow(10,0.4::DOUBLE*(m_ast-g))),6) AS drop_mag, round(miss-r_km,1) AS margin_km FROM done",
+)
+def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = solve.metrics(F.col("miss_km"), F.col("r_km"), F.col("speed_kms"))
+    return solved(spark, sf_dir).select("event_id", F.round(m["chord_km"], 3).alias("chord_km"), F.round(m["duration_s"], 4).alias("duration_s"), F.round(light.drop(F.col("m_ast"), F.col("g")), 6).alias("drop_mag"), F.round(F.col("miss_km") - F.col("r_km"), 1).alias("margin_km"))
+
+
+@query(
+    "pick_acceptance",
+    f"WITH {SOLVED}, m AS (SELECT *, 2.5::DOUBLE*log10(1+pow(10,0.4::DOUBLE*(m_ast-g))) AS dm, 2*sqrt(greatest(r_km*r_km-miss*miss,0))/speed AS dur FROM done) SELECT event_id, CASE WHEN miss > r_km+2000 THEN 'miss' WHEN abs(t-et) > half-1 THEN 'edge' WHEN dm < 0.1 THEN 'low drop' WHEN g > 14 THEN 'faint' END AS reason FROM m",
+)
+def pick_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of tests, in order; null for an event that passes them all."""
+    reason = F.when(F.col("miss_km") > F.col("r_km") + 2000, "miss").when(F.abs(F.col("t_ca") - F.col("et")) > F.col("half") - 1, "edge").when(light.drop(F.col("m_ast"), F.col("g")) < 0.1, "low drop").when(F.col("g") > 14, "faint")
+    return solved(spark, sf_dir).select("event_id", reason.alias("reason"))
+
+
+LINE = "(SELECT event_id, et, x0, y0, vx, vy, r_km, -(x0*vx+y0*vy)/(vx*vx+vy*vy) AS dt, vx*vx+vy*vy AS v2 FROM {elements})"
+
+
+def straight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "elements").withColumns({"ax": num(0), "ay": num(0)})
+
+
+@query("bounded_minimum", f"SELECT event_id, round(dt,2) AS dt_s, round(sqrt(pow(x0+vx*dt,2)+pow(y0+vy*dt,2)),3) AS d_km FROM {LINE} WHERE abs(dt) < 7000")
+def bounded_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden sections on straight tracks, whose closest approach is known in closed form."""
+    events = straight(spark, sf_dir)
+    found = solve.minimised(events, 7200.0, 1e-4).join(events.select("event_id", "et"), "event_id").withColumn("dt", F.col("t_min") - F.col("et"))
+    return found.where(F.abs("dt") < 7000).select("event_id", F.round("dt", 2).alias("dt_s"), F.round("d_km", 3).alias("d_km"))
+
+
+@query("contact_times", f"WITH c AS (SELECT *, pow(x0+vx*dt,2)+pow(y0+vy*dt,2) AS d2, pow(6378.137::DOUBLE+r_km,2) AS l2 FROM {LINE}) SELECT event_id, round(CASE WHEN d2<l2 THEN dt-sqrt((l2-d2)/v2) END,2) AS in_s, round(CASE WHEN d2<l2 THEN dt+sqrt((l2-d2)/v2) END,2) AS out_s FROM c")
+def contact_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the shadow touches the Earth and leaves it, on straight tracks."""
+    t_ca = F.col("et") - (F.col("x0") * F.col("vx") + F.col("y0") * F.col("vy")) / (F.col("vx") ** 2 + F.col("vy") ** 2)
+    events = straight(spark, sf_dir).withColumns({"t_ca": t_ca, "limit": F.col("r_km") + EARTH_KM})
+    found = solve.crossings(events, "limit", tol=1e-4).join(events.select("event_id", "et"), "event_id")
+    return found.select("event_id", F.round(F.col("t_in") - F.col("et"), 2).alias("in_s"), F.round(F.col("t_out") - F.col("et"), 2).alias("out_s"))
+
+
+@query(
+    "event_context",
+    """WITH p AS (SELECT number, j, lag(ra) OVER w AS a1, lag(dec) OVER w AS d1, lead(ra) OVER w AS a2, lead(dec) OVER w AS d2, ra, dec, et FROM {path_samples} WINDOW w AS (PARTITION BY number ORDER BY j)), q AS (SELECT *, (a2-a1+180)-floor((a2-a1+180)/360)*360-180 AS da FROM p WHERE a1 IS NOT NULL AND a2 IS NOT NULL)
+    SELECT number, j, round(da*cos(radians((d1+d2)/2))*3600*30,3) AS motion_ra, round((d2-d1)*3600*30,3) AS motion_dec, round(degrees(acos(least(greatest(cos(radians(dec))*cos(radians(ra)),-1),1))),4) AS elongation FROM q""",
+)
+def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    around = table(spark, sf_dir, "path_samples").select("number", "j", "ra", "dec", *[f("ra" if c == "a" else "dec").over(tracks.PATH).alias(f"{c}{k}") for k, f in ((1, F.lag), (2, F.lead)) for c in "ad"]).where("a1 IS NOT NULL AND a2 IS NOT NULL")
+    c = solve.context(sky.direction(F.col("ra"), F.col("dec")), sky.direction(F.col("a1"), F.col("d1")), sky.direction(F.col("a2"), F.col("d2")), Vec(num(1), num(0), num(0)))
+    return around.select("number", "j", F.round(c["motion_ra"], 3).alias("motion_ra"), F.round(c["motion_dec"], 3).alias("motion_dec"), F.round(c["elongation"], 4).alias("elongation"))
+
+
+OFFS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in solve.LINES.items())
+
+
+@query(
+    "shadow_path_lines",
+    f"""WITH a AS (SELECT *, r_km/4 AS sg, cos(radians(dec))*cos(radians(ra)) AS sx, cos(radians(dec))*sin(radians(ra)) AS sy, sin(radians(dec)) AS sz, -sin(radians(ra)) AS ex, cos(radians(ra)) AS ey FROM {{elements}}),
+    t AS (SELECT a.*, k, half*(k*(2/8::DOUBLE)-1) AS dt, l.line, l.ra_, l.er FROM a CROSS JOIN (SELECT CAST(unnest(range(9)) AS INTEGER) AS k) CROSS JOIN (SELECT * FROM (VALUES {OFFS}) v(line, ra_, er)) l),
+    m AS (SELECT *, x0+vx*dt+ax*dt*dt AS px, y0+vy*dt+ay*dt*dt AS py, vx+2*ax*dt AS mx, vy+2*ay*dt AS my, ra_*r_km+er*sg AS o, {ERA.format(t='(et+dt)')} AS era, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz FROM t),
+    q AS (SELECT *, px-my/sqrt(mx*mx+my*my)*o AS qx, py+mx/sqrt(mx*mx+my*my)*o AS qy FROM m),
+    w AS (SELECT *, ex*qx+nx*qy AS gx, ey*qx+ny*qy AS gy, nz*qy AS gz FROM q),
+    r AS (SELECT event_id, line, k, gx*cos(era)+gy*sin(era) AS bx, gy*cos(era)-gx*sin(era) AS by_, gz AS bz, sx*cos(era)+sy*sin(era) AS dx, sy*cos(era)-sx*sin(era) AS dy, sz AS dz, pow(1-1/298.257223563::DOUBLE,2) AS f FROM w),
+    z AS (SELECT *, dx*dx+dy*dy+dz*dz/f AS qa, bx*dx+by_*dy+bz*dz/f AS qb, bx*bx+by_*by_+bz*bz/f-pow(6378.137::DOUBLE,2) AS qc FROM r),
+    h AS (SELECT *, (-qb+sqrt(qb*qb-qa*qc))/qa AS far FROM z WHERE qb*qb-qa*qc >= 0)
+    SELECT event_id, line, k, round(degrees(atan2(bz+dz*far, sqrt(pow(bx+dx*far,2)+pow(by_+dy*far,2))*f)),2) AS lat, round(degrees(atan2(by_+dy*far, bx+dx*far)),2) AS lon FROM h""",
+)
+def shadow_path_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "elements").withColumn("sigma_km", F.col("r_km") / 4)
+    return solve.path_lines(events, 9).select("event_id", "line", "k", F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"))
+
+
+@query("refine_and_bracket")
+def refine_and_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with the width of the search around each, as the exact solver takes them."""
+    stars = table(spark, sf_dir, "stars").select("source_id", F.col("ra").alias("star_ra"), F.col("dec").alias("star_dec"), "g")
+    samples = tracks.with_directions(table(spark, sf_dir, "path_samples"))
+    found = scan.minima(samples, stars, 4e6, 600, 1.0)
+    wide = found.withColumn("width_s", scan.bracket_s(600, 8000))
+    return scan.refined(wide, 600, num(4.2e6)).select("number", "source_id", "j", F.round("et_guess", 1).alias("et_guess"), F.round("width_s", 3).alias("width_s"))
 

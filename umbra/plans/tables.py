@@ -79,24 +79,24 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
         },
     ),
     "elements": (
-        "lineitem",
+        "orders",
         {
-            "event_id": "l_orderkey*10 + l_linenumber",
-            "number": "l_partkey + 1",
-            "star": "4295806720 + l_orderkey*1000",
-            "et": f"CAST(l_linenumber AS DOUBLE)*{d(86400)} + {d(86400)}*{frac('l_orderkey', 0.7548776662)}",
-            "g": f"{d(6)} + {d(11.5)}*{frac('l_orderkey', 0.8191725134)}",
-            "x0": f"{d(16000)}*({frac('l_partkey*7+l_linenumber', 0.5698402909)} - {d(0.5)})",
-            "y0": f"{d(16000)}*({frac('l_orderkey*7+l_linenumber', 0.3247179572)} - {d(0.5)})",
-            "vx": f"{d(4)} + {d(16)}*{frac('l_orderkey', 0.4142135624)}",
-            "vy": f"{d(10)}*({frac('l_partkey', 0.7320508076)} - {d(0.5)})",
-            "ax": f"{d(0.0002)}*({frac('l_orderkey', 0.2360679775)} - {d(0.5)})",
-            "ay": f"{d(0.0002)}*({frac('l_partkey', 0.2360679775)} - {d(0.5)})",
-            "half": f"{d(900)} + {d(900)}*{frac('l_partkey', 0.4503)}",
-            "r_km": f"{d(5)} + CAST(l_quantity AS DOUBLE)",
-            "m_ast": f"{d(11)} + {d(6)}*{frac('l_partkey', 0.6710436067)}",
-            "ra": f"{d(360)}*{frac('l_orderkey', 0.7548776662)}",
-            "dec": f"{d(120)}*{frac('l_orderkey', 0.5698402909)} - {d(60)}",
+            "event_id": O,
+            "number": "o_custkey + 1",
+            "star": "4295806720 + o_orderkey*1000",
+            "et": f"CAST(o_orderkey%7+1 AS DOUBLE)*{d(86400)} + {d(86400)}*{frac('o_orderkey', 0.7548776662)}",
+            "g": f"{d(6)} + {d(11.5)}*{frac('o_orderkey', 0.8191725134)}",
+            "x0": f"{d(16000)}*({frac('o_orderkey*3+o_custkey', 0.5698402909)} - {d(0.5)})",
+            "y0": f"{d(16000)}*({frac('o_orderkey*7', 0.3247179572)} - {d(0.5)})",
+            "vx": f"{d(4)} + {d(16)}*{frac('o_orderkey', 0.4142135624)}",
+            "vy": f"{d(10)}*({frac('o_custkey', 0.7320508076)} - {d(0.5)})",
+            "ax": f"{d(0.0002)}*({frac('o_orderkey', 0.2360679775)} - {d(0.5)})",
+            "ay": f"{d(0.0002)}*({frac('o_custkey', 0.2360679775)} - {d(0.5)})",
+            "half": f"{d(900)} + {d(900)}*{frac('o_custkey', 0.4503)}",
+            "r_km": f"{d(5)} + CAST(o_orderkey%50+1 AS DOUBLE)",
+            "m_ast": f"{d(11)} + {d(6)}*{frac('o_custkey', 0.6710436067)}",
+            "ra": f"{d(360)}*{frac('o_orderkey', 0.7548776662)}",
+            "dec": f"{d(120)}*{frac('o_orderkey', 0.5698402909)} - {d(60)}",
         },
     ),
 }
