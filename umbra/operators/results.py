@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,40 +41,52 @@ def _chains(events: DataFrame, key: list[str], time: str, tol: float) -> DataFra
     return events.withColumn("__fresh", fresh).withColumn("__chain", F.sum("__fresh").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__fresh")
 
 
-def first_hits(events: DataFrame, key: list[str], time: str, order: str, tol: float = 300.0) -> DataFrame:
-    """In the order of `order`, events whose time is not within `tol` of any earlier kept one of their key."""
+def _folded(events: DataFrame, key: list[str], time: str, order: str, tol: float, replace: bool) -> DataFrame:
+    """Goes through each chain in order and keeps the events that a greedy rule keeps. A task reads its chains one after the other, so
+    it holds one chain and one batch; a chain that goes on over a batch's end is held until it ends."""
+    chained = _chains(events, key, time, tol)
+    names = [*key, "__chain"]
 
-    def keep(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order)
+    def chain(times: np.ndarray) -> list[int]:
         kept: list[float] = []
-        rows = []
-        for i, t in enumerate(b[time]):
-            if all(abs(t - k) >= tol for k in kept):
+        rows: list[int] = []
+        for i, t in enumerate(times):
+            at = next((k for k, x in enumerate(kept) if abs(x - t) < tol), None)
+            if at is None:
                 kept.append(t)
                 rows.append(i)
-        return b.iloc[rows]
+            elif replace:
+                kept[at], rows[at] = t, i
+        return rows
 
-    chained = _chains(events, key, time, tol)
-    return chained.groupBy(*key, "__chain").applyInPandas(keep, chained.schema).drop("__chain")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            now = b if held is None else pd.concat([held, b], ignore_index=True)
+            codes = (now[names] != now[names].shift()).any(axis=1).cumsum().to_numpy()
+            open_from = int(np.searchsorted(codes, codes[-1])) if len(codes) else 0
+            yield done(now.iloc[:open_from], codes[:open_from])
+            held = now.iloc[open_from:]
+        if held is not None:
+            yield done(held, np.zeros(len(held), int))
+
+    def done(rows: pd.DataFrame, codes: np.ndarray) -> pd.DataFrame:
+        times, edges = rows[time].to_numpy(float), np.flatnonzero(np.diff(codes, prepend=-1)) if len(codes) else np.array([], int)
+        ends = [*edges[1:], len(codes)]
+        return rows.iloc[[int(lo) + i for lo, hi in zip(edges, ends, strict=False) for i in chain(times[lo:hi])]]
+
+    return chained.repartition(*names).sortWithinPartitions(*names, order).mapInPandas(fold, chained.schema).drop("__chain")
+
+
+def first_hits(events: DataFrame, key: list[str], time: str, order: str, tol: float = 300.0) -> DataFrame:
+    """In the order of `order`, events whose time is not within `tol` of any earlier kept one of their key."""
+    return _folded(events, key, time, order, tol, False)
 
 
 def last_hits(events: DataFrame, key: list[str], time: str, order: str, tol: float = 300.0) -> DataFrame:
     """In the order of `order`, each event takes the place of the first kept one of its key within `tol`, or is kept as a new one; later
     events are compared with what took the place."""
-
-    def keep(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order)
-        kept: list[tuple[float, int]] = []
-        for i, t in enumerate(b[time]):
-            at = next((k for k, (x, _) in enumerate(kept) if abs(x - t) < tol), None)
-            if at is None:
-                kept.append((t, i))
-            else:
-                kept[at] = (t, i)
-        return b.iloc[[i for _, i in kept]]
-
-    chained = _chains(events, key, time, tol)
-    return chained.groupBy(*key, "__chain").applyInPandas(keep, chained.schema).drop("__chain")
+    return _folded(events, key, time, order, tol, True)
 
 
 def upserted(known: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

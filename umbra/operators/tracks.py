@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from umbra.functions import sky
 from umbra.functions.constants import AU_KM
 from umbra.functions.sky import Vec, num
 
-PATH = W.partitionBy("number").orderBy("j")
 U = ("ux", "uy", "uz")
 
 
+def path() -> WindowSpec:
+    """A body's samples in order."""
+    return W.partitionBy("number").orderBy("j")
+
+
 def u_of(prefix: str = "") -> Vec:
     return Vec(*(F.col(prefix + c) for c in U))
 
@@ -25,7 +30,7 @@ def with_directions(samples: DataFrame) -> DataFrame:
 
 
 def neighbour(c: str, by: int) -> Column:
-    return (F.lag(c, 1) if by < 0 else F.lead(c, 1)).over(PATH)
+    return (F.lag(c, 1) if by < 0 else F.lead(c, 1)).over(path())
 
 
 def with_neighbours(samples: DataFrame) -> DataFrame:
@@ -40,18 +45,18 @@ def with_speed(samples: DataFrame, step_s: float) -> DataFrame:
     before = Vec(*(neighbour(c, -1) for c in U))
     own = u_of().minus(before).norm() / step_s * F.col("distance_km")
     raw = samples.withColumn("__v", own)
-    return raw.withColumn("speed_kms", F.coalesce("__v", F.lead("__v").over(PATH))).drop("__v")
+    return raw.withColumn("speed_kms", F.coalesce("__v", F.lead("__v").over(path()))).drop("__v")
 
 
 def dilated(samples: DataFrame, flag: str) -> DataFrame:
     """`flag`, true also one sample before and after."""
-    near = PATH.rowsBetween(-1, 1)
+    near = path().rowsBetween(-1, 1)
     return samples.withColumn(flag, F.max(flag).over(near))
 
 
 def with_running_count(samples: DataFrame, flag: str, out: str) -> DataFrame:
     """How many samples up to this one have `flag`; a range's count is a difference of two."""
-    return samples.withColumn(out, F.sum(F.col(flag).cast("int")).over(PATH.rowsBetween(W.unboundedPreceding, 0)))
+    return samples.withColumn(out, F.sum(F.col(flag).cast("int")).over(path().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def arc(a: Vec, b: Vec) -> Column:
@@ -72,9 +77,9 @@ def strip(samples: DataFrame, margin_km: Column, pad_arcsec: Column | float) ->
 def resampled(samples: DataFrame, spacing_deg: float) -> DataFrame:
     """The samples kept when a path is thinned to one for each `spacing_deg` of arc, and the last one. Adds arc_deg."""
     before = Vec(*(neighbour(c, -1) for c in U))
-    along = samples.withColumn("__leg", F.coalesce(arc(u_of(), before), num(0))).withColumn("arc_deg", F.sum("__leg").over(PATH.rowsBetween(W.unboundedPreceding, 0)))
+    along = samples.withColumn("__leg", F.coalesce(arc(u_of(), before), num(0))).withColumn("arc_deg", F.sum("__leg").over(path().rowsBetween(W.unboundedPreceding, 0)))
     bucket = F.floor(F.col("arc_deg") / spacing_deg)
-    marked = along.withColumn("__b", bucket).withColumn("__keep", F.coalesce(F.col("__b") != F.lag("__b").over(PATH), F.lit(True)) | F.lead("j").over(PATH).isNull())
+    marked = along.withColumn("__b", bucket).withColumn("__keep", F.coalesce(F.col("__b") != F.lag("__b").over(path()), F.lit(True)) | F.lead("j").over(path()).isNull())
     return marked.where("__keep").drop("__leg", "__b", "__keep")
 
 

@@ -54,10 +54,10 @@ def mag_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built(spark, sf_dir).select("source_id", "mmag", F.round(catalog.decoded_mag(F.col("mmag")), 6).alias("g_back"))
 
 
-@query("cells_prefix", f"SELECT source_id, cell FROM {BUILT} WHERE g <= 12 AND cell IN (SELECT {CELL} FROM {{stars}} WHERE source_id % 9000 = 0)")
+@query("cells_prefix", f"SELECT source_id, cell FROM {BUILT} WHERE g <= 12 AND cell IN (SELECT {CELL} FROM {{stars}} WHERE (source_id//1000) % 9 = 0)")
 def cells_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = built(spark, sf_dir)
-    cells = catalog.encoded(table(spark, sf_dir, "stars").where("source_id % 9000 = 0"))
+    cells = catalog.encoded(table(spark, sf_dir, "stars").where("(source_id div 1000) % 9 = 0"))
     return catalog.bright(stars, cells, 12.0).select("source_id", "cell")
 
 

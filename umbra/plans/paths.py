@@ -198,8 +198,8 @@ def visible_in_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = table(spark, sf_dir, "path_samples").withColumn("vis", (F.col("j") * 7 + F.col("number")) % 5 == 0)
     run = tracks.with_running_count(flagged, "vis", "c")
     ends = W.partitionBy("number")
-    last = F.coalesce(F.lead("c", 3).over(tracks.PATH), F.max("c").over(ends))
-    before = F.coalesce(F.lag("c", 4).over(tracks.PATH), F.lit(0))
+    last = F.coalesce(F.lead("c", 3).over(tracks.path()), F.max("c").over(ends))
+    before = F.coalesce(F.lag("c", 4).over(tracks.path()), F.lit(0))
     return run.withColumn("n_visible", (last - before).cast("bigint")).where("j % 8 = 0").select("number", "j", "n_visible")
 
 

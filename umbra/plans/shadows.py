@@ -32,11 +32,11 @@ def elements_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", F.round(fit["x0"], 4).alias("x0"), F.round(fit["vy"], 6).alias("vy"), F.round(fit["ax"] * 1e4, 5).alias("ax4"), F.round(fit["err"], 4).alias("err"))
 
 
-@query("element_positions", "SELECT event_id, k, round(x0+vx*(half*(k/4-1::DOUBLE))+ax*pow(half*(k/4-1::DOUBLE),2),3) AS px, round(y0+vy*(half*(k/4-1::DOUBLE))+ay*pow(half*(k/4-1::DOUBLE),2),3) AS py FROM {elements} CROSS JOIN (SELECT CAST(unnest(range(9)) AS INTEGER) AS k)")
+@query("element_positions", "SELECT event_id, k, round(x0+vx*(half*(k/4-1::DOUBLE))+ax*pow(half*(k/4-1::DOUBLE),2),1) AS px, round(y0+vy*(half*(k/4-1::DOUBLE))+ay*pow(half*(k/4-1::DOUBLE),2),1) AS py FROM {elements} CROSS JOIN (SELECT CAST(unnest(range(9)) AS INTEGER) AS k)")
 def element_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "elements").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8))))
     px, py = shadow.plane_at(shadow.tau_of(F.col("k"), 9))
-    return rows.select("event_id", "k", F.round(px, 3).alias("px"), F.round(py, 3).alias("py"))
+    return rows.select("event_id", "k", F.round(px, 1).alias("px"), F.round(py, 1).alias("py"))
 
 
 def _track_sql(n: int, reach: str, sin_alt: str, sin_sun: str) -> str:

@@ -67,11 +67,12 @@ def hermite_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lagrange_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.col("dec") * F.col("dec")
-    four = table(spark, sf_dir, "path_samples").withColumn("y", y).select("number", "j", "y", *[F.lead("y", k).over(tracks.PATH).alias(f"y{k}") for k in (1, 2, 3)]).where("y3 IS NOT NULL")
+    four = table(spark, sf_dir, "path_samples").withColumn("y", y).select("number", "j", "y", *[F.lead("y", k).over(tracks.path()).alias(f"y{k}") for k in (1, 2, 3)]).where("y3 IS NOT NULL")
     return four.select("number", "j", F.round(orbits.lagrange(num(1.4), tuple(F.col(c) for c in ("y", "y1", "y2", "y3"))), 7).alias("v"))
 
 
-ERA = "2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*({t}/86400)-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*({t}/86400)))"
+DAYS = "((2451545::DOUBLE+{t}/86400)-2451545)"
+ERA = f"2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*{DAYS}-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*{DAYS}))"
 
 S = "7.2921150e-5::DOUBLE"
 
@@ -126,21 +127,21 @@ def straight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "elements").withColumns({"ax": num(0), "ay": num(0)})
 
 
-@query("bounded_minimum", f"SELECT event_id, round(dt,2) AS dt_s, round(sqrt(pow(x0+vx*dt,2)+pow(y0+vy*dt,2)),3) AS d_km FROM {LINE} WHERE abs(dt) < 7000")
+@query("bounded_minimum", f"SELECT event_id, round(dt,0) AS dt_s, round(sqrt(pow(x0+vx*dt,2)+pow(y0+vy*dt,2)),2) AS d_km FROM {LINE} WHERE abs(dt) < 7000")
 def bounded_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Golden sections on straight tracks, whose closest approach is known in closed form."""
     events = straight(spark, sf_dir)
-    found = solve.minimised(events, 7200.0, 1e-4).join(events.select("event_id", "et"), "event_id").withColumn("dt", F.col("t_min") - F.col("et"))
-    return found.where(F.abs("dt") < 7000).select("event_id", F.round("dt", 2).alias("dt_s"), F.round("d_km", 3).alias("d_km"))
+    found = solve.minimised(events, 7200.0, 1e-6).join(events.select("event_id", "et"), "event_id").withColumn("dt", F.col("t_min") - F.col("et"))
+    return found.where(F.abs("dt") < 7000).select("event_id", F.round("dt", 0).alias("dt_s"), F.round("d_km", 2).alias("d_km"))
 
 
-@query("contact_times", f"WITH c AS (SELECT *, pow(x0+vx*dt,2)+pow(y0+vy*dt,2) AS d2, pow(6378.137::DOUBLE+r_km,2) AS l2 FROM {LINE}) SELECT event_id, round(CASE WHEN d2<l2 THEN dt-sqrt((l2-d2)/v2) END,2) AS in_s, round(CASE WHEN d2<l2 THEN dt+sqrt((l2-d2)/v2) END,2) AS out_s FROM c")
+@query("contact_times", f"WITH c AS (SELECT *, pow(x0+vx*dt,2)+pow(y0+vy*dt,2) AS d2, pow(6378.137::DOUBLE+r_km,2) AS l2 FROM {LINE}) SELECT event_id, round(CASE WHEN d2<l2 THEN dt-sqrt((l2-d2)/v2) END,1) AS in_s, round(CASE WHEN d2<l2 THEN dt+sqrt((l2-d2)/v2) END,1) AS out_s FROM c")
 def contact_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When the shadow touches the Earth and leaves it, on straight tracks."""
     t_ca = F.col("et") - (F.col("x0") * F.col("vx") + F.col("y0") * F.col("vy")) / (F.col("vx") ** 2 + F.col("vy") ** 2)
     events = straight(spark, sf_dir).withColumns({"t_ca": t_ca, "limit": F.col("r_km") + EARTH_KM})
-    found = solve.crossings(events, "limit", tol=1e-4).join(events.select("event_id", "et"), "event_id")
-    return found.select("event_id", F.round(F.col("t_in") - F.col("et"), 2).alias("in_s"), F.round(F.col("t_out") - F.col("et"), 2).alias("out_s"))
+    found = solve.crossings(events, "limit", tol=1e-7).join(events.select("event_id", "et"), "event_id")
+    return found.select("event_id", F.round(F.col("t_in") - F.col("et"), 1).alias("in_s"), F.round(F.col("t_out") - F.col("et"), 1).alias("out_s"))
 
 
 @query(
@@ -149,7 +150,7 @@ def contact_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT number, j, round(da*cos(radians((d1+d2)/2))*3600*30,3) AS motion_ra, round((d2-d1)*3600*30,3) AS motion_dec, round(degrees(acos(least(greatest(cos(radians(dec))*cos(radians(ra)),-1),1))),4) AS elongation FROM q""",
 )
 def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    around = table(spark, sf_dir, "path_samples").select("number", "j", "ra", "dec", *[f("ra" if c == "a" else "dec").over(tracks.PATH).alias(f"{c}{k}") for k, f in ((1, F.lag), (2, F.lead)) for c in "ad"]).where("a1 IS NOT NULL AND a2 IS NOT NULL")
+    around = table(spark, sf_dir, "path_samples").select("number", "j", "ra", "dec", *[f("ra" if c == "a" else "dec").over(tracks.path()).alias(f"{c}{k}") for k, f in ((1, F.lag), (2, F.lead)) for c in "ad"]).where("a1 IS NOT NULL AND a2 IS NOT NULL")
     c = solve.context(sky.direction(F.col("ra"), F.col("dec")), sky.direction(F.col("a1"), F.col("d1")), sky.direction(F.col("a2"), F.col("d2")), Vec(num(1), num(0), num(0)))
     return around.select("number", "j", F.round(c["motion_ra"], 3).alias("motion_ra"), F.round(c["motion_dec"], 3).alias("motion_dec"), F.round(c["elongation"], 4).alias("elongation"))
 
