@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -38,7 +39,13 @@ from umbra.llm.common import small_batches
 BLOCK = 1 << 16
 #: Code points of a first window, and what may still change before a cut: a contraction has three.
 WINDOW, UNSURE = 64, 3
+#: Words, and pairs of tokens, whose encoding a worker keeps.
 CACHE = 1 << 17
+#: Bytes of a word up to which all its pairs are looked through for each merge.
+SHORT = 64
+#: Room for a token's number beside another one or a rank, and a rank after all others.
+BITS = 24
+MASK, NEVER = (1 << BITS) - 1, 1 << 62
 #: Up to here letters and numbers keep their classes in all Unicode versions in use, and texts are in normal form as they are.
 FAR = 0x250
 #: White space up to U+024F.
@@ -58,6 +65,8 @@ class Encoder:
         self.merge = {}
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        # The same with a pair, and a rank with the new token, as one number each: quicker to make, to look up and to compare.
+        self.packed = {a << BITS | b: rank << BITS | new for (a, b), (rank, new) in self.merge.items()}
         chars = _byte_chars()
         self.byte = [vocab[c] for c in chars]
         self.last = [vocab[c + self.suffix] for c in chars]
@@ -70,6 +79,7 @@ class Encoder:
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.known: dict[str, int] = {}
         self.flat, self.first = array("i"), array("q", [0])
+        self.older = self.known, self.flat, self.first
         self.fit: dict[tuple[int, int, bool], bool] = {}
 
     @functools.cached_property
@@ -94,11 +104,25 @@ class Encoder:
         return self.words.findall(text)
 
     def merged(self, data: bytes, closed: bool) -> list[int]:
-        """The encoding of a word's bytes; an open one goes on, its last byte isn't a word's last."""
+        """The encoding of a word's bytes; an open one goes on, its last byte isn't a word's last. Of the pairs that can merge, the
+        leftmost of least rank does, again and again: looked for among all pairs of a short word, kept in a heap for a long one."""
         ids = [self.byte[c] for c in data]
         if closed and data:
             ids[-1] = self.last[data[-1]]
         n = len(ids)
+        if n <= SHORT:
+            get, none = self.packed.get, NEVER
+            pairs = [get(a << BITS | b, none) for a, b in itertools.pairwise(ids)]
+            while pairs and (least := min(pairs)) is not none:
+                i = pairs.index(least)
+                new = least & MASK
+                ids[i : i + 2] = (new,)
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = get(ids[i - 1] << BITS | new, none)
+                if i < len(pairs):
+                    pairs[i] = get(new << BITS | ids[i + 1], none)
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*m, i) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
         heap = [(rank, i, new) for rank, new, i in heap]
@@ -119,15 +143,21 @@ class Encoder:
 
     def learn(self, word: str) -> int:
         """The place of a word's tokens among those kept."""
-        self.flat.extend(self.merged(word.encode("utf-8", "surrogatepass"), True))
+        place = self.older[0].get(word)
+        if place is None:
+            self.flat.extend(self.merged(word.encode("utf-8", "surrogatepass"), True))
+        else:
+            _, flat, first = self.older
+            self.flat.extend(flat[first[place] : first[place + 1]])
         self.first.append(len(self.flat))
         place = self.known[word] = len(self.first) - 2
         return place
 
     def forget(self) -> None:
+        """Once CACHE words are kept, they become the older ones, which go when the next ones do; words met again stay."""
         if len(self.known) >= CACHE:
-            self.known.clear()
-            self.flat, self.first = array("i"), array("q", [0])
+            self.older = self.known, self.flat, self.first
+            self.known, self.flat, self.first = {}, array("i"), array("q", [0])
 
     def word(self, word: str) -> list[int]:
         self.forget()
