@@ -62,11 +62,8 @@ class Encoder:
         vocab = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token = {i: s for s, i in [*vocab.items(), *self.special.items()]}
-        self.merge = {}
-        for rank, (a, b) in enumerate(spec["model"]["merges"]):
-            self.merge[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        # The same with a pair, and a rank with the new token, as one number each: quicker to make, to look up and to compare.
-        self.packed = {a << BITS | b: rank << BITS | new for (a, b), (rank, new) in self.merge.items()}
+        # A pair, and a rank with the new token, are one number each: quick to make, to look up and to compare.
+        self.merge = {vocab[a] << BITS | vocab[b]: rank << BITS | vocab[a + b] for rank, (a, b) in enumerate(spec["model"]["merges"])}
         chars = _byte_chars()
         self.byte = [vocab[c] for c in chars]
         self.last = [vocab[c + self.suffix] for c in chars]
@@ -109,9 +106,8 @@ class Encoder:
         ids = [self.byte[c] for c in data]
         if closed and data:
             ids[-1] = self.last[data[-1]]
-        n = len(ids)
+        n, get, none = len(ids), self.merge.get, NEVER
         if n <= SHORT:
-            get, none = self.packed.get, NEVER
             pairs = [get(a << BITS | b, none) for a, b in itertools.pairwise(ids)]
             while pairs and (least := min(pairs)) is not none:
                 i = pairs.index(least)
@@ -124,21 +120,21 @@ class Encoder:
                     pairs[i] = get(new << BITS | ids[i + 1], none)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new) for rank, new, i in heap]
+        heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] << BITS | ids[i + 1], none)) is not none]
         heapq.heapify(heap)
         while heap:
-            _, i, new = heapq.heappop(heap)
+            least, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or (m := self.merge.get((ids[i], ids[j]))) is None or m[1] != new:
+            if ids[i] < 0 or j >= n or get(ids[i] << BITS | ids[j], none) != least:
                 continue
-            ids[i], ids[j] = new, -1
+            new = ids[i] = least & MASK
+            ids[j] = -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (m := self.merge.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, m[1]))
+                if x >= 0 and y < n and (m := get(ids[x] << BITS | ids[y], none)) is not none:
+                    heapq.heappush(heap, (m, x))
         return [x for x in ids if x >= 0]
 
     def learn(self, word: str) -> int:
