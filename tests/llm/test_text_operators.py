@@ -338,6 +338,22 @@ def test_quality_rejects_what_boilerplate_leaves_bare(spark):
     assert kept == {i for i, *_ in full + copies}
 
 
+def test_quality_counts_pages_with_several_shared_lines(spark):
+    """Header and footer or twenty shared lines with a line of their own, and pages that differ in digits: all are counted."""
+    random.seed(9)
+    line = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = []
+    for host in range(6):
+        head, foot, menu = line(20), line(20), [line(3) for _ in range(20)]
+        texts += [(f"a{host}", f"{head}\n{line(6)}\n{foot}") for _ in range(50)]
+        texts += [(f"b{host}", "\n".join([*menu[:10], line(6), *menu[10:]])) for _ in range(50)]
+        texts += [(f"c{host}", f"{head}\npage {n} of 50\n{foot}") for n in range(50)]
+        texts += [(f"d{host}", f"{head}\n{line(60)}\n{foot}") for _ in range(50)]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(texts)], "doc_id bigint, text string, source string")
+    kept = {r.doc_id for r in quality.accepted(df).collect()}
+    assert kept == {i for i, (s, _) in enumerate(texts) if s.startswith("d")}
+
+
 @pytest.mark.parametrize("block", [bpe.BLOCK, 50])
 def test_bpe(awkward, documents, block):
     library = Tokenizer.from_file(VOCABULARY)
