@@ -354,6 +354,15 @@ def test_quality_counts_pages_with_several_shared_lines(spark):
     assert kept == {i for i, (s, _) in enumerate(texts) if s.startswith("d")}
 
 
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    random.seed(10)
+    line = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    frame, rare = line(40), line(40)
+    texts = [f"{frame}\n{line(5)}" for _ in range(21)] + [f"{rare}\n{line(5)}" for _ in range(20)] + [line(30) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("hot"))
+    assert {r.doc_id for r in quality.accepted(df).collect()} == set(range(21, len(texts)))
+
+
 @pytest.mark.parametrize("block", [bpe.BLOCK, 50])
 def test_bpe(awkward, documents, block):
     library = Tokenizer.from_file(VOCABULARY)

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from umbra.llm.common import small_batches, written
 
-#: A line is above the limit if it stands in more distinct documents of its host than both of these.
-LEAST_DOCS, SHARE = 20, 0.1
+#: A line is above the limit if it stands in more distinct documents of its host than this, however many the host has.
+LEAST_DOCS = 20
 #: A text counts as the text that it continues if that one has at least this share of its words.
 SAME = 0.8
 #: What must be left of a document without such lines: words, and a share of its words.
@@ -124,9 +124,7 @@ def judged(docs: DataFrame, text_col: str = "text", host_col: str = "source", ke
     texts = table.select("host", F.col("whole").alias("opening")).distinct()
     same = opened.join(texts, ["host", "opening"]).groupBy("host", "whole").agg(F.min(F.struct("at", "opening")).alias("same"))
     told = held.join(crowded, ["host", "hash"]).join(same, ["host", "whole"], "left").select("host", "hash", F.coalesce("same.opening", "whole").alias("whole"))
-    counts = told.distinct().groupBy("host", "hash").count().where(F.col("count") > LEAST_DOCS)
-    totals = table.groupBy("host").agg(F.count("*").alias("docs"))
-    above = counts.join(totals, "host").where(F.col("count") > F.lit(SHARE) * F.col("docs")).select("host", "hash")
+    above = told.distinct().groupBy("host", "hash").count().where(F.col("count") > LEAST_DOCS).select("host", "hash")
     removed = lines.join(written(above, "above"), ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
