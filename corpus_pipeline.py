@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on all that the one before it kept.
 
 Quality rules drop what they reject; of near-duplicates one document stays; secrets are masked; sources are mixed to their
-weights, so a document may then stand twice or in part; the last stage turns texts into tokens.
+weights, in whole documents, of which one may then stand twice; the last stage turns texts into tokens.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mix(docs, whole_docs=True)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

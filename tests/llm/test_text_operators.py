@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -299,6 +300,27 @@ def test_mixing(request, which):
     assert total == +taken
 
 
+@pytest.mark.parametrize("which", ["awkward", "documents", "small"])
+def test_whole_documents_are_mixed(request, spark, which):
+    if which == "small":  # fewer documents than shards: each shard's only document is an edge
+        random.seed(12)
+        df = spark.createDataFrame([(i, "  ".join(["w"] * random.randint(1, 90)), f"s{i % 3}") for i in range(100)], "doc_id bigint, text string, source string")
+    else:
+        df = request.getfixturevalue(which)
+    sizes, largest, texts = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in df.select("doc_id", "source", "text").collect():
+        n = len(words(r.text or ""))
+        texts[(r.doc_id, r.text)] += n
+        sizes[r.source] += n
+    for r in df.select("doc_id", "source", "text").collect():
+        largest[r.source] = max(largest[r.source], texts[(r.doc_id, r.text)])
+    total = collections.Counter()
+    for r in corpus_pipeline.mix_sources(spark, df, SF).select("doc_id", "source", "text").collect():
+        assert (r.doc_id, r.text) in texts
+        total[r.source] += len(words(r.text))
+    assert all(abs(total[s] - t) <= largest[s] / 2 + 2 for s, t in mixed_targets(sizes).items())
+
+
 def test_splitting_is_exact():
     random.seed(1)
     sizes = np.array([random.randint(0, 500) for _ in range(100)])

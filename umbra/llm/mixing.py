@@ -5,6 +5,7 @@ output shards by hash, so each source has a block of so many words in each shard
 number to draw: at each node a hypergeometric draw decides how much falls to the left half of the shards, the remainder to
 the right, down to single shards. In its shard each source's documents are in a random order (by hash); the first ones up to
 the quota are taken, the one at the quota's edge in part. So draws are disjoint, sums are exact, and no order over all is needed.
+Where documents must stay whole, each shard's edge is taken or left, and what that is too much or too little goes to the next shard.
 
 Null text: size 0. A null source is a source of its own, after all others. Equal rows share one place in the order and split
 what falls on it evenly, rounded down. No documents: no rows. Reruns give the same mix: all chance comes from hashes and seeds.
@@ -86,7 +87,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def cuts(sized: DataFrame) -> DataFrame:
-    """(source, shard, passes, source_size, target, edge, part): from rows (source, shard, place, size) of a written table.
+    """(source, shard, passes, source_size, target, edge, part, edge_size, edge_rows): from rows (source, shard, place, size) of a written table.
 
     Whole passes, the place where the draw in this shard ends, and how much of each row at that place is taken; a null edge: all are.
     """
@@ -109,8 +110,33 @@ def cuts(sized: DataFrame) -> DataFrame:
     run = places.withColumn("upto", F.sum("size").over(upto)).alias("p")
     q = quotas.alias("q")
     at = run.join(q, F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.shard") == F.col("q.shard"))).where((F.col("upto") > F.col("quota")) & (F.col("upto") - F.col("size") <= F.col("quota")))
-    edges = at.select(F.col("p.source").alias("s"), F.col("p.shard").alias("h"), F.col("place").alias("edge"), F.floor((F.col("quota") - F.col("upto") + F.col("size")) / F.col("rows")).cast("bigint").alias("part"))
-    return quotas.join(edges, quotas["source"].eqNullSafe(edges["s"]) & (quotas["shard"] == edges["h"]), "left").select("source", "shard", "passes", "source_size", "target", "edge", "part")
+    edges = at.select(F.col("p.source").alias("s"), F.col("p.shard").alias("h"), F.col("place").alias("edge"), F.floor((F.col("quota") - F.col("upto") + F.col("size")) / F.col("rows")).cast("bigint").alias("part"), (F.col("size") / F.col("rows")).cast("bigint").alias("edge_size"), F.col("rows").alias("edge_rows"))
+    return quotas.join(edges, quotas["source"].eqNullSafe(edges["s"]) & (quotas["shard"] == edges["h"]), "left").select("source", "shard", "passes", "source_size", "target", "edge", "part", "edge_size", "edge_rows")
+
+
+def take_or_leave(parts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of a source's edges to take whole, shard by shard, so that the words taken stay within half a document of the parts."""
+    out, over = np.zeros(len(parts), bool), 0
+    for k, (part, size) in enumerate(zip(parts.tolist(), sizes.tolist(), strict=True)):
+        over += part
+        if 2 * over >= size:
+            out[k], over = True, over - size
+    return out
+
+
+def whole_edges(cut: DataFrame) -> DataFrame:
+    """`cut` with each edge taken whole or left. Rows at one place are taken or left together."""
+    cut = written(cut, "cuts")
+    known = "source string, shard int, edge_rows bigint, part bigint, edge_size bigint"
+
+    def settle(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("shard")
+        rows, size = b["edge_rows"].to_numpy(np.int64), b["edge_size"].to_numpy(np.int64)
+        return b.assign(part=np.where(take_or_leave(b["part"].to_numpy(np.int64) * rows, size * rows), size, 0))
+
+    settled = cut.where("edge IS NOT NULL").select("source", "shard", "edge_rows", "part", "edge_size").groupBy("source").applyInPandas(settle, known)
+    c, e = cut.drop("part").alias("c"), settled.select(F.col("source").alias("s"), F.col("shard").alias("h"), "part").alias("e")
+    return c.join(e, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")), "left").drop("s", "h")
 
 
 def drawn(size: Column, place: Column, edge: Column, part: Column) -> Column:
@@ -128,12 +154,15 @@ def planned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     return sized, cuts(sized), shards
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole_docs: bool = False) -> DataFrame:
     """The mix itself: the columns of `docs`, a row for each whole pass and one for a draw, in shuffled shards.
 
-    A document drawn in part keeps its first words, joined by spaces. Documents without words take none and are not in it.
+    A document drawn in part keeps its first words, joined by spaces; with `whole_docs` none is drawn in part, and each source's
+    target is met to within a document. Documents without words take none and are not in it.
     """
     _, cut, shards = planned(docs, id_col, text_col, source_col)
+    if whole_docs:
+        cut = whole_edges(cut)
     place, number = keyed(docs, id_col, text_col)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), place.alias("place"), F.pmod(number, F.lit(shards)).cast("int").alias("shard"), size_of(F.col(text_col)).alias("size"))
     here, c = marked.where("size > 0").alias("here"), cut.alias("c")
