@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from umbra.llm import quality, secrets, simhash
+from umbra.llm import quality, secrets
 from umbra.llm.common import documents, written
 
+from test_text_operators import near_duplicate_groups
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -21,7 +23,9 @@ def test_stages(spark):
     assert all(x.columns == columns for x in (good, single, clean, mixed))
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     assert ids(good) == ids(quality.query(docs).where("kept"))
-    assert ids(single) == {r.component_id for r in simhash.query(good).collect()} and single.count() == len(ids(single))
+    # One of each group at five-word similarity 0.8, by all pairs; ids ascend, so a group's index is its smallest id's.
+    rows = sorted((r.doc_id, r.text) for r in good.select("doc_id", "text").collect())
+    assert ids(single) == {rows[k][0] for k in near_duplicate_groups([t for _, t in rows])} and single.count() == len(ids(single))
     assert ids(clean) == ids(single) and secrets.query(clean).selectExpr("sum(n_assign + n_access + n_hex)").first()[0] == 0
     assert ids(mixed) <= ids(clean) and ids(tokens) == ids(mixed) and tokens.count() == mixed.count()
     texts = {r.doc_id: r.text for r in clean.select("doc_id", "text").collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import sys
 import tempfile
 import uuid
 
@@ -16,21 +18,55 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares for checkpoints. A temporary one only in a local session that sets none, as in tests;
+    on a cluster without the setting each executor would write to a disk of its own, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='umbra-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders of this process's tables, with their sessions.
+_TABLES: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, its lineage cut, safe when executors go."""
+    """`df` as a table in the shared folder: computed once, its lineage cut, safe when executors go. The table stays until
+    `release`, or until the process ends, as results are read from it later on."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/umbra/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(keep: frozenset[str] = frozenset()) -> None:
+    """Deletes the tables that `written` made, but for those in `keep`; frames that read them can't be used any more."""
+    for path, spark in list(_TABLES.items()):
+        if path in keep:
+            continue
+        jvm = spark.sparkContext._jvm
+        if jvm is not None:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _TABLES[path]
+
+
+def tables() -> frozenset[str]:
+    """What `written` has made so far and `release` hasn't deleted."""
+    return frozenset(_TABLES)
+
+
+@atexit.register
+def _release_at_end() -> None:
+    try:
+        release()
+    except Exception as e:  # noqa: BLE001 - the session may be gone by now; its folder then stays
+        print(f"tables of this run stay in the shared folder: {type(e).__name__}", file=sys.stderr)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case by the fast built-in; the two other letters whose lower case has an ASCII letter keep to translate()."""
     odd = text.rlike("[İK]")
@@ -48,7 +84,8 @@ BATCH = 256
 
 def small_batches(df: DataFrame) -> DataFrame:
     """`df`, with its session handing Python workers few rows at a time: texts have no bound, and Spark's own batches of
-    10,000 rows would hold 10,000 of them. The setting stays for the session; a smaller one is left as it is."""
+    10,000 rows would hold 10,000 of them. Every operator that hands texts to Python calls this for itself, so what a
+    worker holds doesn't depend on what ran before. A smaller setting is left as it is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH:
