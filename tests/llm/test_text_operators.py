@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from umbra.llm import bpe, chat, imatch, langid, license_scan, mixing, pii, quality, queries, secrets, simhash
+from umbra.llm import bpe, chat, imatch, langid, license_scan, mixing, pii, quality, queries, secrets, simhash, spans
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -112,14 +112,50 @@ def test_secrets(request, which):
     assert rows_of(secrets.query(df), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
 
 
+def test_context_decides_and_scores(spark):
+    texts = ["iban GB82 WEST 1234 5698 7654 32", "order no GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "XX82 WEST 1234 5698 7654 32", "mail a@b.co", "release a@b.co", "host 10.0.0.1", "version 10.0.0.1", "ssn 123-45-6789", "123-45-6789"]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.query(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    kinds = [got[i][0].split(":")[0] for i in range(len(texts))]
+    assert kinds == ["iban", "", "iban", "", "email", "email", "ip", "ip", "ssn", ""]
+    assert [got[i][1] for i in (0, 2, 4, 5, 6, 7, 8)] == ["1.0", "0.7", "1.0", "0.5", "0.9", "0.3", "0.6"]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A candidate string of a million characters, and hundreds of thousands of matches in one text."""
+    random.seed(3)
+    value = "".join(random.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(1_000_000))
+    mails, tokens = "é 12 x@y.zz " * 100_000, "".join(f"token=abcdefghijklmn{i:06d} " for i in range(60_000))
+    df = lambda t: spark.createDataFrame([(1, t)], "doc_id bigint, text string")
+    assert secrets.query(df(value)).first().spans == "entropy:0:1000000"
+    row = pii.query(df(mails)).first()
+    assert row.n_email == 100_000 and row.base_sha256 == sha(",".join(f"email:{12 * i + 5}:{12 * i + 11}" for i in range(100_000)))
+    assert pii.redact(df(mails)).first().text == "é 12 [EMAIL] " * 100_000
+    assert secrets.redact(df(tokens)).first().text == "[SECRET] " * 60_000
+
+
+def test_masks_merge_overlapping_spans_and_cut_blocks(spark):
+    random.seed(7)
+    text = "".join(random.choice("aé😀\n") for _ in range(20_000))
+    cuts = sorted((a, a + random.choice((1, 5, 4096, 9000))) for a in random.sample(range(10_000), 30))
+    at, want = 0, ""
+    for a, b in cuts:
+        if a >= at:
+            want += text[at:a] + "#"
+        at = max(at, b)
+    df = spark.createDataFrame([(text, [(a, 0, b, "k", "v", 1.0) for a, b in cuts]), (text, [])], f"t string, s array<{spans.SPAN}>")
+    assert [r.t for r in spans.masked(df, "t", "s", lambda x: F.lit("#")).collect()] == [want + text[at:], text]
+
+
 def test_window_entropy_and_allow_list(spark):
     random.seed(2)
     value = "".join(random.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(70))
     bits = lambda s: -sum(c / len(s) * np.log2(c / len(s)) for c in collections.Counter(s).values())
     want = max(bits(value[i : i + 20]) for i in range(len(value) - 19))
-    df = spark.createDataFrame([(value,), ("short",)], "v string")
+    even = "ab" * 20 + "aaaaaaaaaaaaaaaaaaaaaab漢c漢d"
+    df = spark.createDataFrame([(value,), ("short",), (even,)], "v string")
     got = {r.v: r.b for r in df.select("v", secrets.window_entropy(F.col("v")).alias("b")).collect()}
     assert got[value] == pytest.approx(want, abs=1e-5) and got["short"] == 0
+    assert got[even] == pytest.approx(max(bits(even[i : i + 20]) for i in range(len(even) - 19)), abs=1e-5)
     texts = [(1, "key " + value), (2, "sha256: Zx9Qw8Er7Ty6Ui5Op4As3Df2"), (3, "123e4567-e89b-42d3-a456-426614174000"), (4, "some-long-words-in-a-row-2024")]
     found = {r.doc_id: r.spans for r in secrets.query(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     assert "entropy:4:74" in found[1] and not any(found[k] for k in (2, 3, 4))

@@ -1,8 +1,10 @@
 """Secrets: known shapes, and strings whose characters are too evenly spread to be words. Built-in SQL functions only.
 
-A candidate string gets the Shannon entropy of a window of `WIDTH` characters slid along it. The window's sum of c*log2(c)
-over its characters changes only by the character that leaves and the one that enters, so each step is two small counts.
-Null text: no spans. Empty text: no spans. Other columns pass through untouched.
+A candidate string gets the Shannon entropy of a window of `WIDTH` characters slid along it. The counts of the window's characters
+are kept as the window moves, five bits each: one count goes down, one goes up, and so the window's sum of c*log2(c) changes by
+two looked-up steps; time is linear in the string. What entropy is too high depends on the string's class of characters.
+
+Null text: no spans. Empty text: no spans. Very long texts and strings: as any other. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -30,27 +32,40 @@ ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|x{6,}|0{8,}|1234567|ab
 ALLOWED_NEAR = r"(?i)(?:sha-?(?:1|256|512)|md5|digest|integrity|checksum|commit)[\"':=\x20-]*$"
 
 
-def _count(window: Column, c: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, c, F.lit("")))
+#: Characters with a count of their own; all others share the count before the first.
+COUNTED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+#: Bits of a count, and counts in a long.
+BITS, PER_LONG = 5, 12
 
 
 def window_entropy(value: Column, width: int = WIDTH) -> Column:
-    """The highest Shannon entropy, in bits a character, of any `width` characters in a row; 0 for shorter strings."""
-    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 1)])
-    cost = lambda c: F.element_at(table, c + 1)
-    head = F.substring(value, 1, width)
-    # The first window: each character adds the step from the count before it to the count with it.
-    start = F.aggregate(F.sequence(F.lit(1), F.lit(width)), F.lit(0.0), lambda a, i: a + (lambda n: cost(n + 1) - cost(n))(_count(F.substring(head, F.lit(1), i - 1), F.substring(head, i, F.lit(1)))))
-    moves = F.when(F.length(value) > width, F.sequence(F.lit(1), F.length(value) - width)).otherwise(F.array().cast("array<int>"))
-
-    def move(a: Column, i: Column) -> Column:
-        stay, gone, came = F.substring(value, i + 1, F.lit(width - 1)), F.substring(value, i, F.lit(1)), F.substring(value, i + width, F.lit(1))
-        less, more = _count(stay, gone), _count(stay, came)
-        total = a["sum"] + (cost(less) - cost(less + 1)) + (cost(more + 1) - cost(more))
-        return F.struct(total.alias("sum"), F.least(a["low"], total).alias("low"))
-
-    first = F.struct(start.alias("sum"), start.alias("low"))
-    bits = F.aggregate(moves, first, move, lambda a: F.lit(math.log2(width)) - a["low"] / F.lit(float(width)))
+    """The highest Shannon entropy, in bits a character, of any `width` characters in a row (31 at most); 0 for shorter strings."""
+    if not 1 < width < 1 << BITS:
+        raise ValueError("a window has 2 to 31 characters")
+    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
+    cost = lambda c: F.element_at(table, c.cast("int") + 1)
+    longs = len(COUNTED) // PER_LONG + 1
+    codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(COUNTED), c))
+    left = F.concat(F.array_repeat(F.lit(-1), width), codes)
+    steps = F.zip_with(codes, F.slice(left, F.lit(1), F.length(value)), lambda came, gone: F.struct(came.alias("came"), gone.alias("gone")))
+    ones = F.array(*[F.lit(1 << BITS * k).cast("bigint") for k in range(PER_LONG)])
+    one = lambda code: F.get(ones, F.pmod(code, F.lit(PER_LONG)))
+    place = lambda code: F.call_function("div", code, F.lit(PER_LONG)).cast("int")
+    number = lambda counts, code: F.call_function("div", F.get(counts, place(code)), one(code)) % (1 << BITS)
+    changed = lambda counts, code, by: F.transform(counts, lambda x, k: F.when(k == place(code), x + by * one(code)).otherwise(x))
+
+    def move(a: Column, s: Column) -> Column:
+        gone, came = s["gone"], s["came"]
+        full = gone >= 0
+        kept = F.when(full, changed(a["counts"], gone, -1)).otherwise(a["counts"])
+        less = F.when(full, number(a["counts"], gone)).otherwise(F.lit(1))
+        more = number(a["counts"], came) - F.when(gone == came, 1).otherwise(0)
+        total = a["sum"] + F.when(full, cost(less - 1) - cost(less)).otherwise(0.0) + (cost(more + 1) - cost(more))
+        n = a["n"] + 1
+        return F.struct(n.alias("n"), total.alias("sum"), F.when(n >= width, F.least(a["low"], total)).otherwise(a["low"]).alias("low"), changed(kept, came, 1).alias("counts"))
+
+    first = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(float(width * width)).alias("low"), F.array_repeat(F.lit(0).cast("bigint"), longs).alias("counts"))
+    bits = F.aggregate(steps, first, move, lambda a: F.lit(math.log2(width)) - a["low"] / F.lit(float(width)))
     return F.when(F.length(value) >= width, F.round(bits, 6)).otherwise(F.lit(0.0))
 
 
@@ -58,8 +73,9 @@ def _score(value: Column, before: Column, after: Column) -> Column:
     """0 for what the allow-list has; else how far the entropy lies above the floor of the string's class, from 0.5 on."""
     floor = F.when(value.rlike("^[0-9a-fA-F]+$"), F.lit(FLOORS["hex"])).when(value.rlike("[a-z]") & value.rlike("[A-Z]"), F.lit(FLOORS["mixed"])).otherwise(F.lit(FLOORS["lower"]))
     allowed = value.rlike(ALLOWED) | before.rlike(ALLOWED_NEAR) | ~value.rlike("[A-Za-z]")
-    bits = window_entropy(value)
-    return F.when(allowed, F.lit(0.0)).when(bits < floor, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 0.5 + (bits - floor) / 2))
+    # One element, so that the entropy is worked out once.
+    above = F.transform(F.array(window_entropy(value)), lambda bits: F.when(bits < floor, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 0.5 + (bits - floor) / 2)))
+    return F.when(allowed, F.lit(0.0)).otherwise(F.get(above, F.lit(0)))
 
 
 def rules(least: float = 0.5) -> list[Rule]:
@@ -79,7 +95,7 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "secrets", least: f
 def redact(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents with each secret replaced by `[SECRET]`; other columns as they were, `n_chars`, if there, counted anew."""
     found = find(docs, text_col, "__secrets", least)
-    clean = found.withColumn(text_col, masked(F.col(text_col), F.col("__secrets"), lambda s: F.lit("[SECRET]")))
+    clean = masked(found, text_col, "__secrets", lambda s: F.lit("[SECRET]"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
