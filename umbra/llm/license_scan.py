@@ -2,11 +2,14 @@
 
 Every run of k words of a text joins the places where license templates have the same run. Its position in the text less
 its position in the template is a diagonal: a text that quotes a template gives many votes on one diagonal, and on
-neighbouring ones where words were added or left out. Votes are summed by diagonal, neighbouring diagonals merge, and a
-merged span counts if it covers enough of the template. Names of licenses are templates too: a few words that must all stand.
+neighbouring ones where words were added or left out. Votes are summed by diagonal and neighbouring diagonals merge. A
+merged span is then verified: the words of the template that its runs cover, each counted once however often the text repeats
+it, must be enough of the template, and the words of the text that they cover enough of the span. Names of licenses are
+templates too: a few words that must all stand.
 
 Words: the text in lower case (A-Z), runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Null and empty texts have no words and no
-spans. Equal rows (same id, same text) each get the same result. Other columns of the documents aren't read.
+spans. Very long texts: as any other; what is kept of a text are its hits. Equal rows (same id, same text) each get the same
+result. Other columns of the documents aren't read.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from umbra.llm.common import ascii_lower, words_by
+from umbra.llm.common import ascii_lower, words_by, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: The base phrases and labels of the contract. Fixed values.
@@ -37,8 +40,8 @@ NOTICES = [
 PHRASE_K, NOTICE_K = 2, 4
 #: Diagonals this near each other, of votes no farther apart in the text than LOOSE words, merge.
 DRIFT, LOOSE = 4, 40
-#: Least share of a notice's runs that a span must have.
-LEAST = 0.5
+#: Least share of a notice's words that a span must cover, and of the span's own words that are the notice's.
+LEAST, DENSE = 0.5, 0.5
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -52,10 +55,10 @@ def templates(spark: SparkSession) -> DataFrame:
     return made.withColumn("hash", F.when(F.col("k") == PHRASE_K, F.xxhash64(*[F.get("run", F.lit(i)) for i in range(PHRASE_K)])).otherwise(F.xxhash64(*[F.get("run", F.lit(i)) for i in range(NOTICE_K)])))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, tpl, label, exact, start, end, score): license spans in words, end exclusive, one row each.
+def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, tpl, label, exact, k, runs, place, pos): where a text has a run of words of a template; a written table.
 
-    The templates are a fixed list of about 300 runs, so they are broadcast; texts are read once and only their hits shuffle.
+    The templates are a fixed list of about 300 runs, so they are broadcast; texts are read once and only their hits move on.
     """
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words_by(ascii_lower(F.coalesce(text_col, F.lit(""))), SEPARATORS).alias("words"))
     at = words.select("id", "text_hash", "words", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
@@ -66,11 +69,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     runs = at.select("id", "text_hash", "words", "pos", F.explode(F.array(run(PHRASE_K), run(NOTICE_K))).alias("hash"))
     known = templates(docs.sparkSession)
-    hits = runs.join(F.broadcast(known), "hash").where(F.slice("words", F.col("pos") + 1, F.col("k")) == F.col("run"))
+    found = runs.join(F.broadcast(known), "hash").where(F.slice("words", F.col("pos") + 1, F.col("k")) == F.col("run"))
+    return written(found.select("id", "text_hash", "tpl", "label", "exact", "k", "runs", "place", "pos"), "hits")
+
+
+def _covered(starts, k):
+    """Words in runs of k words with these distinct starts, sorted."""
+    last = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.lit(1 << 30)))
+    return F.aggregate(F.zip_with(starts, last, lambda a, b: F.least(b - a, k)), F.lit(0), lambda n, x: n + x)
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, tpl, label, exact, start, end, score): license spans in words, end exclusive, one row each."""
     key = ["id", "text_hash", "tpl", "label", "exact", "k", "runs"]
-    # Equal rows vote twice for the same place; places count once.
-    places = hits.groupBy(*key, (F.col("pos") - F.col("place")).alias("diagonal"), "place").agg(F.first("pos").alias("pos"))
-    diagonals = places.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("place").alias("first"), F.max("place").alias("last"))
+    # Equal rows vote twice for the same place; a place on a diagonal counts once.
+    places = hits(docs, id_col, text_col).select(*key, (F.col("pos") - F.col("place")).alias("diagonal"), "place", "pos").distinct()
+    diagonals = places.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("place").alias("places"))
 
     whole = diagonals.where(F.col("exact") & (F.col("votes") == F.col("runs"))).select("id", "text_hash", "tpl", "label", "exact", F.col("low").alias("start"), (F.col("high") + F.col("k")).alias("end"), F.lit(1.0).alias("score"))
 
@@ -78,11 +92,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     along = W.partitionBy("id", "text_hash", "tpl").orderBy("diagonal", "low")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT) | (F.abs(F.col("low") - F.lag("high").over(along)) > LOOSE)
     banded = loose.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("band", F.sum("fresh").over(along))
-    merged = banded.groupBy(*key, "band").agg(F.sum("votes").alias("votes"), F.min("low").alias("start"), (F.max("high") + F.first("k")).alias("end"))
-    # A span is held against the template once more: no longer than the template by much, and enough of its runs.
-    score = F.least(F.lit(1.0), F.col("votes") / F.col("runs"))
-    fits = F.col("end") - F.col("start") <= 2 * (F.col("runs") + F.col("k"))
-    partial = merged.where((score >= LEAST) & fits).select("id", "text_hash", "tpl", "label", "exact", "start", "end", F.round(score, 6).alias("score"))
+    # A diagonal's places are as many as the template's runs at most; a template has some sixty words.
+    pos = F.transform("places", lambda p: p + F.col("diagonal"))
+    merged = banded.groupBy(*key, "band").agg(
+        F.min("low").alias("start"), (F.max("high") + F.first("k")).alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(pos)))).alias("at")
+    )
+    length = F.col("runs") + F.col("k") - 1
+    verified = merged.withColumns({"template": _covered(F.col("places"), F.col("k")), "text": _covered(F.col("at"), F.col("k"))})
+    score = F.least("template", "text") / length
+    fits = F.col("text") >= DENSE * (F.col("end") - F.col("start"))
+    partial = verified.where((score >= LEAST) & fits).select("id", "text_hash", "tpl", "label", "exact", "start", "end", F.round(score, 6).alias("score"))
     return whole.unionByName(partial)
 
 
