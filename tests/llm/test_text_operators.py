@@ -184,6 +184,19 @@ def test_license_notices_with_changes(spark):
     assert got[3].labels == "" and got[3].score == 0
 
 
+def test_license_spans_are_verified(spark):
+    """A few words of a notice again and again, and its words thinly spread, are no license; two notices are two spans."""
+    _, notice = license_scan.NOTICES[0]
+    w = notice.split()
+    thin = " ".join(x for k in range(0, len(w) - 4, 4) for x in [*w[k : k + 4], *["other"] * 6])
+    texts = ["permission is hereby granted " * 23, thin, f"{notice} and {license_scan.NOTICES[6][1]} twice", " ".join(w[: len(w) // 3]), " ".join(["permission is hereby granted"] * 50_000)]
+    df = spark.createDataFrame([*enumerate(texts), (2, texts[2])], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in license_scan.query(df).collect()}
+    assert [got[i].labels for i in range(5)] == ["", "", f"bsd,{license_scan.NOTICES[0][0]}", "", ""] and got[2].score == 1.0
+    found = [(r.label, r.start, r.end, r.score) for r in license_scan.spans(df).where("id = 2").orderBy("start").collect()]
+    assert found == [("mit", 0, len(w), 1.0), ("bsd", len(w) + 1, len(w) + 1 + len(license_scan.NOTICES[6][1].split()), 1.0)]
+
+
 def linked(prints):
     ids = sorted({i for i, _ in prints}, key=lambda i: (i is None, i))
     root = {i: i for i in ids}
@@ -356,6 +369,16 @@ def test_chat_equals_sql_and_folds_events(spark):
     assert [r.conv_id for r in chat.query(df.select("conv_id", "turn", "role", "text").limit(0)).collect()] == [-7]
 
 
+def test_chat_log_holds_what_the_fold_throws_away(spark):
+    rows = [(1, 0, "user", "héllo\n" * 9), (1, 1, "assistant", "a" * 64 + "bc" * 70), (1, 1, "assistant", "a" * 64 + "bc" * 70), (1, 2, None, None), (None, 5, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    log = chat.streamed(df)
+    kinds = collections.Counter(r.kind for r in log.collect())
+    assert kinds["regenerate"] == 3 and kinds["edit"] == 2 and kinds["delta"] > 8
+    done = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.messages(log).collect()}
+    assert done == {1: [(r or "", t or "") for _, _, r, t in rows[:4]], None: [("assistant", "")]}
+
+
 def test_chat_escapes_are_reversible(spark):
     random.seed(8)
     texts = ["".join(random.choice(["<|", "\\", "s", "p", "n", "<", "|", "im_start", "|>", "\n", "é"]) for _ in range(30)) for _ in range(300)]

@@ -98,14 +98,35 @@ def read_back(rendered: DataFrame) -> DataFrame:
     return rendered.withColumns({"read_turns": F.transform(parts, split_turn), "read_loss": F.array_join(cut, "")})
 
 
+#: Characters of a streamed piece.
+STREAM = 64
+
+
+def streamed(rows: DataFrame) -> DataFrame:
+    """The log of events (conv_id, seq, turn, kind, role, text) of a service in which rows (conv_id, turn, role, text) came about.
+
+    An assistant's turn starts empty, streams a first answer, is regenerated, and streams the final one in pieces; any other turn is
+    sent with a draft, its text backwards, and edited. Rows of a conversation that repeat a turn are turns of their own, by role and text.
+    """
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))}).withColumn("turn", F.row_number().over(order).cast("bigint") - 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STREAM}}}"), F.lit(0))
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text"))
+    none, nothing = F.lit(None), F.lit("")
+    deltas = lambda xs: F.transform(xs, lambda x: event("delta", none, x))
+    answer = F.concat(F.array(event("message", F.col("role"), nothing)), deltas(F.reverse(F.slice(pieces, 1, 2))), F.array(event("regenerate", none, nothing)), deltas(pieces))
+    other = F.array(event("message", F.col("role"), F.reverse("text")), event("edit", none, F.col("text")))
+    log = turns.select("conv_id", "turn", F.posexplode(F.when(F.col("role") == TRAINED, answer).otherwise(other)).alias("at", "e"))
+    return log.select("conv_id", (F.col("turn") * (1 << 32) + F.col("at")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
+
+
 def query(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     known = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    # A log without streaming: each row is a whole message. Rows that repeat a turn count one by one.
-    log = known.unionByName(extra).withColumns({"kind": F.lit("append"), "seq": F.col("turn")})
-    done = read_back(render(messages(log)))
+    # The table has messages only, so a log of deltas, edits and regenerations that ends in them is made first, and folded.
+    done = read_back(render(messages(streamed(known.unionByName(extra)))))
     digest = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",
