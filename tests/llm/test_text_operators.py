@@ -349,6 +349,39 @@ def test_imatch(request, which):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+@pytest.mark.parametrize("hot", [None, 5])
+def test_successors_with_far_and_repeated_ids(spark, monkeypatch, hot):
+    """Ranges stay small with nulls or one id on many rows, and ids far from all others; each row's successor is the right one."""
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 50)
+    random.seed(13)
+    ids = [hot] * 1200 + [-(1 << 62), 1 << 62] + random.sample(range(10_000), 1500)
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id bigint, text string").withColumn("__tie", F.xxhash64("text"))
+    rows = sorted(((i is not None, i or 0, tie, t) for i, t, tie in df.collect()))
+    want = {t: rows[(k + 1) % len(rows)][3] for k, (*_, t) in enumerate(rows)}
+    assert {r.text: r.next_text for r in imatch.with_next(df, "doc_id", ["text"]).collect()} == want
+    edges = [-(1 << 63) if hot is None else 5] * 24 + [*range(100, 10_000, 330)]
+    at = df.select(imatch._range_of(F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("__tie"), sorted(edges)).alias("r")).groupBy("r").count()
+    assert at.agg(F.max("count")).first()[0] < 250
+
+
+def test_imatch_band_and_fingerprint(spark):
+    """The band and the first parts against plain Python: document frequencies, and terms in the band, distinct and sorted."""
+    random.seed(14)
+    texts = [" ".join(random.choice(["the", "of", *(f"w{random.randint(0, 40)}" for _ in range(4)), f"rare{k}"]) for _ in range(30)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id bigint, text string")
+    found = [set(t.split()) for t in texts]
+    df_of = collections.Counter(w for x in found for w in x)
+    inside = {w for w, n in df_of.items() if max(2, 61 * imatch.RAREST) <= n <= max(2, 61 * imatch.COMMONEST)}
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in df_of], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    marked = imatch.with_fingerprint(df, "text", imatch.band(df), "parts").withColumn("t", imatch.terms(F.coalesce("text", F.lit(""))))
+    first = {r.doc_id: (r.parts[0], set(r.t)) for r in marked.collect()}
+    for k, x in enumerate(found):
+        assert first[k][1] == {hashed[w] for w in x}
+    want = [tuple(sorted(hashed[w] for w in x & inside)) for x in found]
+    one = spark.createDataFrame([(k, list(v)) for k, v in enumerate(want)], "k int, v array<bigint>").select("k", imatch._digest(F.col("v")).alias("d"))
+    assert {r.k: r.d for r in one.collect()} == {k: first[k][0] for k in range(60)} and first[60][0] == ""
+
+
 def test_imatch_tells_edits_from_others(documents):
     rows = imatch.query(documents).collect()
     closer, farther = sum(r.near_edited > r.near_next for r in rows), sum(r.near_edited < r.near_next for r in rows)

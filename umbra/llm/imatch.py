@@ -1,16 +1,18 @@
 """I-Match fingerprints: of a text's terms those within a band of inverse document frequency, distinct and sorted, hashed for
 several random subsets of the lexicon. Built-in SQL functions only.
 
-Terms are words (runs of letters and digits, lower case) known by a hash of `TERM_BITS` bits, so the table of document
-frequencies and the band, a bit for each, have a fixed size whatever the corpus: the band is one array of 2^(TERM_BITS-6)
-longs. Terms that share a hash share a frequency.
+Terms are words (runs of letters and digits, lower case), known by their 64-bit hash. The band has terms that stand in at least
+`RAREST` of all documents. A document has so many distinct terms on average, so the band has at most that number / RAREST terms,
+whatever the size of the corpus: some 300,000 for pages of 150 distinct words. It is one array of sorted lists, by the leading
+bits of the hash, and reaches the tasks as the result of a subquery.
 
 The first part of a fingerprint hashes all of the text's terms in the band. Part (r, l) hashes those whose hash under r ends
 in l zero bits, for six hashes and subsets of an eighth of the lexicon down to 1/4096: large subsets tell copies from near
 copies, small ones still agree when half of a text is new. Likeness is the share of the parts
 that are equal, of those for which either text has terms; 1 if neither has any.
 
-Null and empty texts have no terms: an empty fingerprint part each. Equal texts have equal fingerprints.
+Null and empty texts have no terms: an empty fingerprint part each. Equal texts have equal fingerprints. Very long texts: as any
+other. A null id stands before all others, rows of one id follow each other by a hash of the text.
 """
 
 from __future__ import annotations
@@ -23,43 +25,46 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import words_by
 
-TERM_BITS = 20
+#: Leading bits of a term's hash that name its list in the band.
+LIST_BITS = 16
 #: The band, as shares of all documents: rarer terms are names and slips, more frequent ones carry no content.
 RAREST, COMMONEST = 0.0005, 0.25
 LARGEST, SMALLEST = 3, 12
-#: Odd multipliers, one for each hash, from the digits of pi, e, the golden ratio and the square roots of 2, 3 and 5.
-FAMILY = (0x3243F6A9, 0x2B7E1517, 0x9E3779B9, 0x6A09E667, 0x5DB3D743, 0x4F1BBCDD)
-#: Documents in one window of the query that finds each one's successor, and cells of equal width of their ids.
-RANGE_ROWS = 2000
-CELLS = 1 << 16
+HASHES = 6
+#: Documents in one range of the query that finds each one's successor, and ranges at most.
+RANGE_ROWS, RANGES = 2000, 1 << 14
 
 
 def terms(text: Column) -> Column:
-    """Distinct term numbers of a text, 0 to 2^TERM_BITS - 1."""
+    """Hashes of the distinct terms of a text."""
     words = words_by(F.lower(text), r"[^\p{L}\p{N}]")
-    return F.array_distinct(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - TERM_BITS).cast("int")))
+    return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
 
 
 def band(docs: DataFrame, text_col: str = "text") -> Column:
-    """A scalar subquery: the band as bits, word i // 64 and bit i % 64 for term i. One row of fixed size reaches the tasks."""
+    """A scalar subquery: the terms inside the band, as an array of 2^LIST_BITS sorted lists."""
     read = docs.select(F.coalesce(text_col, F.lit("")).alias("t"))
     frequency = read.select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = read.agg(F.count("*").alias("n"))
     total = n.scalar()
     inside = frequency.where((F.col("df") >= F.greatest(F.lit(2.0), total * F.lit(RAREST))) & (F.col("df") <= F.greatest(F.lit(2.0), total * F.lit(COMMONEST))))
-    words = inside.groupBy(F.expr("term div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, term % 64)")).alias("bits"))
-    every = docs.sparkSession.range(1 << (TERM_BITS - 6)).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bits"))
-    full = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"])).scalar()
+    lists = inside.groupBy(_list_of(F.col("term")).alias("no")).agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    every = docs.sparkSession.range(1 << LIST_BITS).select(F.col("id").cast("int").alias("no"), F.array().cast("array<bigint>").alias("terms"))
+    full = lists.unionByName(every).groupBy("no").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "terms"))), lambda x: x["terms"])).scalar()
 
 
-def in_band(found: Column, bits: Column) -> Column:
+def _list_of(term: Column) -> Column:
+    return F.shiftrightunsigned(term, 64 - LIST_BITS).cast("int")
+
+
+def in_band(found: Column, lists: Column) -> Column:
     """The terms inside the band, sorted."""
-    return F.array_sort(F.filter(found, lambda t: F.getbit(F.get(bits, F.floor(t / 64).cast("int")), F.pmod(t, F.lit(64))) == 1))
+    return F.array_sort(F.filter(found, lambda t: F.array_contains(F.get(lists, _list_of(t)), t)))
 
 
-def _spread(multiplier: int) -> Callable[[Column], Column]:
-    return lambda t: F.struct(t.alias("t"), F.pmod(F.shiftrightunsigned(t.cast("bigint") * F.lit(multiplier), 7), F.lit(2 << SMALLEST)).alias("h"))
+def _spread(r: int) -> Callable[[Column], Column]:
+    return lambda t: F.struct(t.alias("t"), F.pmod(F.xxhash64(t, F.lit(r)), F.lit(2 << SMALLEST)).alias("h"))
 
 
 def _digest(found: Column) -> Column:
@@ -76,18 +81,18 @@ def with_fingerprint(df: DataFrame, text_col: str, bits: Column, out: str) -> Da
     # The subquery gets a name first: it may not stand inside a function of an array's elements.
     now = df.select(*names, bits.alias("__band")).select(*names, in_band(terms(F.coalesce(text_col, F.lit(""))), F.col("__band")).alias("__t"))
     whole = _digest(F.col("__t")).alias("__whole")
-    first = [F.filter(F.transform("__t", _spread(m)), _divides(1 << LARGEST)).alias(f"__l{r}_{LARGEST}") for r, m in enumerate(FAMILY)]
+    first = [F.filter(F.transform("__t", _spread(r)), _divides(1 << LARGEST)).alias(f"__l{r}_{LARGEST}") for r in range(HASHES)]
     now = now.select(*names, whole, *first)
     # Each level filters the one before it, so all levels together cost about two passes over the first.
     for level in range(LARGEST, SMALLEST + 1):
         now = now.select(
             *names,
             "__whole",
-            *[f"__p{r}_{k}" for r in range(len(FAMILY)) for k in range(LARGEST, level)],
-            *[_digest(F.col(f"__l{r}_{level}.t")).alias(f"__p{r}_{level}") for r in range(len(FAMILY))],
-            *[F.filter(f"__l{r}_{level}", _divides(2 << level)).alias(f"__l{r}_{level + 1}") for r in range(len(FAMILY))],
+            *[f"__p{r}_{k}" for r in range(HASHES) for k in range(LARGEST, level)],
+            *[_digest(F.col(f"__l{r}_{level}.t")).alias(f"__p{r}_{level}") for r in range(HASHES)],
+            *[F.filter(f"__l{r}_{level}", _divides(2 << level)).alias(f"__l{r}_{level + 1}") for r in range(HASHES)],
         )
-    parts = [F.col(f"__p{r}_{k}") for r in range(len(FAMILY)) for k in range(LARGEST, SMALLEST + 1)]
+    parts = [F.col(f"__p{r}_{k}") for r in range(HASHES) for k in range(LARGEST, SMALLEST + 1)]
     return now.select(*names, F.array("__whole", *parts).alias(out))
 
 
@@ -101,30 +106,50 @@ def with_next(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """Adds `next_<c>`: `c` of the following row by `order` (a long, a null one first; equal ones by `__tie`), of the first
     row after the last.
 
-    The span of `order` is cut into cells of equal width, and runs of cells into ranges of a few thousand rows; so the table
-    from cell to range, the only thing broadcast, has at most CELLS rows. The first row of each range also goes to the range
-    before it, where it only serves as the last one's successor. The data shuffle once, and no task sees more than its range.
+    Quantiles of `order` cut the rows into ranges of a few thousand; a value that fills several ranges, such as null, is dealt over
+    them by `__tie`, a hash. The first row of each range also goes to the range before it, where it only serves as the last one's
+    successor. The data shuffle once, and no task sees more than its range. What the driver sees are quantiles and first rows,
+    RANGES at most.
     """
     keyed = df.withColumn("__o", F.coalesce(F.col(order).cast("bigint"), F.lit(-(1 << 63))))
-    low, high = keyed.agg(F.min("__o"), F.max("__o")).first()
-    low, high = float(low or 0), float(high or 0)
-    if not high > low:
-        high = low + max(1.0, abs(low))
-    cell = F.greatest(F.lit(0), F.least(F.lit(CELLS), F.call_function("width_bucket", F.col("__o").cast("double"), F.lit(low), F.lit(high), F.lit(CELLS).cast("bigint")))).cast("int")
-    celled = keyed.withColumn("__cell", cell)
-    counts = celled.groupBy("__cell").agg(F.count("*").alias("n"), F.min("__o").alias("first"))
-    upto = W.orderBy("__cell")
-    ranges = counts.select("__cell", "first", F.floor((F.sum("n").over(upto) - F.col("n")) / RANGE_ROWS).alias("k")).select("__cell", "first", F.dense_rank().over(W.orderBy("k")).alias("__range"))
-    table = ranges.select("__cell", "__range", F.min("first").over(W.partitionBy("__range")).alias("__head"), F.max("__range").over(W.partitionBy()).alias("__last"))
-    ranged = celled.join(F.broadcast(table), "__cell")
-    own = F.struct(F.col("__range").alias("range"), F.lit(0).alias("extra"))
-    also = F.struct(F.when(F.col("__range") == 1, F.col("__last")).otherwise(F.col("__range") - 1).alias("range"), F.lit(1).alias("extra"))
-    dealt = ranged.select(*[F.col(f"`{c}`") for c in df.columns], "__o", F.explode(F.when(F.col("__o") == F.col("__head"), F.array(own, also)).otherwise(F.array(own))).alias("__at"))
+    places = keyed.select("__o", "__tie")
+    count = places.count()
+    ranges = max(1, min(RANGES, -(-count // RANGE_ROWS)))
+    share = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    edges = (places.agg(F.percentile_approx("__o", share, 100 * ranges)).first()[0] or []) if ranges > 1 else []
+    ranged = keyed.withColumn("__range", _range_of(F.col("__o"), F.col("__tie"), edges))
+    heads = sorted(tuple(r) for r in ranged.groupBy("__range").agg(F.min(F.struct("__o", "__tie")).alias("h")).select("__range", "h.__o", "h.__tie").collect())
+    before = {no: heads[k - 1][0] for k, (no, _, _) in enumerate(heads)}
+    table = df.sparkSession.createDataFrame([(no, o, tie, before[no]) for no, o, tie in heads], "__range int, __ho bigint, __ht bigint, __before int")
+    first = (F.col("__o") == F.col("__ho")) & (F.col("__tie") == F.col("__ht"))
+    own, also = F.struct(F.col("__range").alias("range"), F.lit(0).alias("extra")), F.struct(F.col("__before").alias("range"), F.lit(1).alias("extra"))
+    # RANGES rows at most.
+    dealt = ranged.join(F.broadcast(table), "__range").select(*[F.col(f"`{c}`") for c in df.columns], "__o", F.explode(F.when(first, F.array(own, also)).otherwise(F.array(own))).alias("__at"))
     following = W.partitionBy("__at.range").orderBy("__at.extra", "__o", "__tie")
     seen = dealt.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__at.extra").alias("__extra"), *[F.lead(c).over(following).alias(f"next_{c}") for c in columns])
     return seen.where("__extra = 0").drop("__extra")
 
 
+def _range_of(value: Column, tie: Column, edges: list[int]) -> Column:
+    """The number of the range that holds a row: edges below its value, and of those equal to it a share by its tie."""
+    if not edges:
+        return F.lit(0)
+    side = max(1, round(len(edges) ** 0.5))
+    chunks = [edges[k : k + side] for k in range(0, len(edges), side)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs])
+
+    def below(than: Callable[[Column, Column], Column]) -> Column:
+        # Chunks whose last edge is below are below as a whole; of the next one, its edges are looked at.
+        whole = F.size(F.filter(longs([c[-1] for c in chunks]), lambda e: than(e, value)))
+        rest = F.slice(longs(edges), whole * side + 1, F.lit(side))
+        return whole * side - F.greatest(whole * side - len(edges), F.lit(0)) + F.size(F.filter(rest, lambda e: than(e, value)))
+
+    low, high = below(lambda e, v: e < v), below(lambda e, v: e <= v)
+    share = tie.cast("double") / float(1 << 64) + 0.5
+    spread = F.greatest(high - low - 1, F.lit(0))
+    return F.when(high == low, low).otherwise(F.least(low + 1 + F.floor(share * (spread + 1)), high)).cast("int")
+
+
 def edited(text: Column, following: Column) -> Column:
     """The text whose last half, rounded down, gave way to as much of the head of the following one."""
     n = F.length(text)
