@@ -7,6 +7,8 @@ right side's words end; from there on both sides agree, as reading goes on alike
 a cut has the tokens of its two parts joined in the same way: a window of tokens is encoded again and grows until it fits both
 its neighbours. Two tokens fit if their joint text encodes to just them, and a sequence of which all neighbours fit is the encoding.
 
+The last joins of a text happen in one task, as its tokens become one row.
+
 Words: as the tokenizer file's pre-tokenizer cuts them. Texts of letters up to U+024F go through an equal pattern here, all
 others through the tokenizers library's own normaliser and pre-tokenizer. Null text: as empty, no tokens. Equal rows: equal results.
 Columns of other names pass through; `ids` and `decoded` are replaced.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from umbra.llm.common import small_batches
+from umbra.llm.common import small_batches, written
 
 #: Code points of text that one task encodes in one go.
 BLOCK = 1 << 16
@@ -354,7 +356,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", block: int = BLOC
         return pd.DataFrame({"__row": [b["__row"].iloc[0]], "ids": [out]})
 
     near = small_batches(keep.where(size <= block)).mapInArrow(short, schema)
-    far = keep.where(size > block).withColumn("__row", F.monotonically_increasing_id())
+    # Written, so that a row has one number in all that follows, whatever order its input comes in.
+    far = written(keep.where(size > block).withColumn("__row", F.monotonically_increasing_id()), "long")
     dealt = far.select("__row", F.col(text_col).alias("__text")).mapInPandas(halves, "__row bigint, at int, part string, last boolean, mark int")
     encoded = dealt.repartition("__row", "at").mapInPandas(parts, "__row bigint, at int, part string, last boolean, mark int, starts array<int>, stops array<int>, counts array<int>, flat array<int>, opened boolean")
     whole = encoded.groupBy("__row").applyInPandas(join, "__row bigint, ids array<int>")
