@@ -8,11 +8,12 @@ the quota are taken, the one at the quota's edge in part. So draws are disjoint,
 Where documents must stay whole, each shard's edge is taken or left, and what that is too much or too little goes to the next shard.
 
 Null text: size 0. A null source is a source of its own, after all others. Equal rows share one place in the order and split
-what falls on it evenly, rounded down. No documents: no rows. Reruns give the same mix: all chance comes from hashes and seeds.
+what falls on it evenly, rounded down. No documents: no rows. Very long texts are documents like any other. Reruns give the same mix: all chance comes from hashes and seeds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -29,14 +30,49 @@ WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
 SEED = 7
 #: Words for one shard, and least and most shards.
 SHARD_WORDS, SHARDS = 1 << 22, (64, 1 << 16)
-#: Above this many words a hypergeometric draw is made by the normal law with the same mean and variance.
-LARGE = 10**8
+#: Numpy's sampler takes fewer words than this; above, the same law is drawn from by `drawn_above`.
+NUMPY_MOST = 10**9
 
 
 def size_of(text: Column) -> Column:
     return F.size(words_by(F.coalesce(text, F.lit("")), WHITE)).cast("bigint")
 
 
+def _log_ratio(a: int, d: int) -> tuple[float, int]:
+    """log((a + d)! / a!) less d * log(a + 1), and a + 1; by Stirling's series where that is exact to the last digits."""
+    b = a + 1
+    if b + min(d, 0) < 64:
+        return math.lgamma(b + d) - math.lgamma(b) - d * math.log(b), b
+    series = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return (b + d - 0.5) * math.log1p(d / b) - d + series(b + d) - series(b), b
+
+
+def drawn_above(left: int, right: int, want: int, rng: np.random.Generator) -> int:
+    """How many of `want` words, drawn without replacement, come from the left: a hypergeometric draw for any sizes.
+
+    Ratio of uniforms with Stadlober's hat, 2 sqrt(2/e) and 3 - 2 sqrt(3/e) wide. The law is compared with its value at the mode: the
+    logarithms that are large cancel as one quotient of whole numbers, so nothing is lost at 10^12 words or more.
+    """
+    n = left + right
+    mode = (want + 1) * (left + 1) // (n + 2)
+    mean = want * left / n
+    wide = math.sqrt(mean * (right / n) * ((n - want) / (n - 1)) + 0.5) * 2 * math.sqrt(2 / math.e) + 3 - 2 * math.sqrt(3 / math.e)
+    low, high = max(0, want - right), min(left, want)
+
+    def log_law(d: int) -> float:
+        up, x = _log_ratio(mode, d)
+        up2, y = _log_ratio(right - want + mode, d)
+        down, v = _log_ratio(left - mode, -d)
+        down2, w = _log_ratio(want - mode, -d)
+        return -(up + up2 + down + down2) + d * math.log1p((v * w - x * y) / (x * y))
+
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        got = mode + math.floor(mean - mode + 0.5 + wide * (v - 0.5) / u)
+        if low <= got <= high and 2 * math.log(u) <= log_law(got - mode):
+            return got
+
+
 def split(sizes: np.ndarray, draw: int, seed: tuple[int, ...]) -> np.ndarray:
     """How much of `draw` falls to each block, as if words were drawn one by one without replacement."""
     out = np.zeros(len(sizes), np.int64)
@@ -53,13 +89,12 @@ def split(sizes: np.ndarray, draw: int, seed: tuple[int, ...]) -> np.ndarray:
         mid = (lo + hi) // 2
         left, right = int(upto[mid] - upto[lo]), int(upto[hi] - upto[mid])
         rng = np.random.default_rng([*seed, lo, hi])
-        if left + right < LARGE:
-            got = int(rng.hypergeometric(left, right, want)) if left and right else min(left, want)
+        if not left or not right:
+            got = min(left, want)
+        elif left + right < NUMPY_MOST:
+            got = int(rng.hypergeometric(left, right, want))
         else:
-            n = left + right
-            spread = (want / n) * left * (right / n) * ((n - want) / (n - 1))
-            got = round(want / n * left + rng.standard_normal() * spread**0.5)
-        got = min(max(got, want - right, 0), left, want)
+            got = drawn_above(left, right, want, rng)
         nodes += [(lo, mid, got), (mid, hi, want - got)]
     return out
 
