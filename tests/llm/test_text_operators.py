@@ -495,6 +495,25 @@ def test_splitting_is_exact():
     assert out.sum() == 10**12 and abs(out[1] / out[0] - 3) < 0.01
 
 
+@pytest.mark.parametrize(("left", "right", "want"), [(30, 50, 20), (500, 4, 90), (7, 1000, 300), (10**6, 10**6, 10**5)])
+def test_large_draws_follow_the_law(left, right, want):
+    """The sampler for any sizes against numpy's, and its values at the mode's sides against exact quotients."""
+    rng, other = np.random.default_rng(1), np.random.default_rng(2)
+    got = np.array([mixing.drawn_above(left, right, want, rng) for _ in range(20_000)])
+    ref = other.hypergeometric(left, right, want, 20_000)
+    grid = np.quantile(np.concatenate((got, ref)), np.linspace(0.02, 0.98, 25))
+    assert np.abs((got[:, None] <= grid).mean(0) - (ref[:, None] <= grid).mean(0)).max() < 0.02
+
+
+def test_draws_beyond_any_table_of_words():
+    left, right, want = 3 * 10**12, 10**12, 10**12
+    rng = np.random.default_rng(3)
+    got = np.array([mixing.drawn_above(left, right, want, rng) for _ in range(4000)], float)
+    spread = (want * 0.75 * 0.25 * (3 * 10**12) / (4 * 10**12)) ** 0.5
+    assert abs(got.mean() - 0.75 * want) < 4 * spread / 4000**0.5 and abs(got.std() / spread - 1) < 0.05
+    assert mixing.split(np.array([10**9, 0, 2 * 10**9]), 10**9, (1,))[1] == 0
+
+
 @pytest.mark.parametrize("which", ["awkward", "documents"])
 def test_quality(request, which):
     df = request.getfixturevalue(which)
@@ -582,17 +601,69 @@ def test_langid(spark, awkward):
         assert (r.lang_pred == "und") == none and 0 <= r.score <= 1
 
 
+def ppm_bits(text, counts, alphabet):
+    """Code length of a text by a plain PPM of order three, method C with exclusion, counts frozen; counts: {context: {symbol: n}}."""
+    codes = [0, 0, 0, *langid.symbols(text.encode()).tolist()]
+    codes = [c if c in alphabet else -1 for c in codes]
+    total = 0.0
+    for k in range(3, len(codes)):
+        ruled, done = set(), False
+        for order in (3, 2, 1, 0):
+            here = {s: n for s, n in counts[order].get(tuple(codes[k - order : k]), {}).items() if s not in ruled}
+            if not here:
+                continue
+            whole = sum(here.values()) + len(here)
+            if codes[k] in here:
+                total -= np.log2(here[codes[k]] / whole)
+                done = True
+                break
+            total -= np.log2(len(here) / whole)
+            ruled |= set(here)
+        if not done:
+            total += np.log2(max(len(alphabet) + 1 - len(ruled), 1))
+    return total
+
+
 def test_langid_costs_are_code_lengths():
-    """A model's probabilities over all symbols add up to one in every context."""
+    """Code lengths against a plain coder, known and unknown contexts and bytes; and no context hands out more than one in all."""
     import pandas as pd
 
-    texts = {"a": "abra cadabra abracadabra", "b": "bella ciao bella bella ciao"}
+    texts = {"a": "abra cadabra abracadabra, ça va", "b": "bella ciao bella bella ciao"}
     counts = pd.concat([pd.DataFrame({"lang": k, "gram": g, "n": n}) for k, t in texts.items() for g, n in [np.unique(langid._grams(langid.symbols(t.encode())), return_counts=True)]])
     model = langid.Model(counts.reset_index(drop=True))
-    assert np.allclose(np.exp2(-model.rows.astype(float)).sum(axis=1), 1, atol=0.35) and (np.exp2(-model.rows.astype(float)).sum(axis=1) <= 1 + 1e-5).all()
+    assert (np.exp2(-model.rows.astype(float)).sum(axis=1) <= 1 + 1e-5).all()
+    alphabet = {0} | {c for t in texts.values() for c in langid.symbols(t.encode()).tolist()}
+    for lang, t in texts.items():
+        codes = [0, 0, 0, *langid.symbols(t.encode()).tolist()]
+        tree = [collections.defaultdict(collections.Counter) for _ in range(4)]
+        for k in range(3, len(codes)):
+            for order in range(4):
+                tree[order][tuple(codes[k - order : k])][codes[k]] += 1
+        for probe in (*texts.values(), "bra ciao zebra", "xyz", "cadabella!", "ñandú"):
+            assert model.lengths(probe)[model.langs.index(lang)] == pytest.approx(ppm_bits(probe, tree, alphabet), rel=1e-4)
     assert model.lengths(texts["a"]).argmin() == 0 and model.lengths(texts["b"]).argmin() == 1
 
 
+def test_langid_groups_of_languages_agree(spark):
+    """All languages are learned, however many; groups of a few give what one model of all gives."""
+    random.seed(15)
+    rows, k = [], 0
+    for lang in range(1200):
+        letters = random.sample("abcdefghijklmnopqrstuvwxyz", 4)
+        for _ in range(2):
+            k += 1
+            rows.append((k, " ".join("".join(random.choice(letters) for _ in range(5)) for _ in range(12)), f"l{lang:04d}"))
+    df = spark.createDataFrame([*rows, (0, "123", None), (-1, None, None)], "doc_id bigint, text string, lang string")
+    whole = langid.trained(df)
+    assert len({x for g in whole.groups for x in g}) == 1200
+    few = df.where("doc_id <= 40")
+    one, many = langid.trained(few, most_bytes=1 << 40), langid.trained(few, most_bytes=1)
+    assert len(one.groups) == 1 and len(many.groups) == 20
+    a, b = ({r.doc_id: (r.lang_pred, r.score) for r in langid.predict(few, m).collect()} for m in (one, many))
+    assert {i: x for i, (x, _) in a.items()} == {i: x for i, (x, _) in b.items()} and all(a[i][1] == pytest.approx(b[i][1], abs=1e-6) for i in a)
+    assert a[0] == a[-1] == ("und", 0.0) and sum(a[i][0] == lang for i, _, lang in rows[:40]) >= 38
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op6_chat"}))
 def test_empty_table(spark, empty, tmp_path, name):
     empty.write.parquet(str(tmp_path / "documents.parquet"))

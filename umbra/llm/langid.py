@@ -6,32 +6,36 @@ C with exclusion), down to all bytes alike. Counts are frozen after training, so
 it only, and exact costs are laid out as one table: a text's code length in each language is a sum of looked-up rows. The
 shortest code names the language.
 
-Training reads whole texts of at most `TRAIN_DOCS` documents of each language, those with the smallest hash; so the model is
-bounded and is broadcast. Scoring reads every text in full.
+Training reads whole texts of at most `TRAIN_DOCS` documents of each language, those with the smallest hash. All languages that
+occur are learned. A few share one table, of `MODEL_BYTES` at most, that is broadcast; where all languages together need more, the texts
+are scored once for each group of them, and the groups' best ones are compared. Scoring reads every text in full.
 
 Null text, or one without a letter: `und`, score 0. Empty training set: `und`. Ties go to the first language by code point.
+Very long texts are scored a megabyte at a time.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from umbra.llm.common import written
+from umbra.llm.common import small_batches, written
 
 ORDER = 3
 #: The bound of the training sample, documents a language.
 TRAIN_DOCS = 400
 #: How many times TRAIN_DOCS are sorted to find the smallest hashes; the sketch errs by 5 %, chance by less.
 OVERDRAW = 4
-#: Languages learned at most, the most frequent ones.
-MOST_LANGS = 1000
+#: Bytes of the table of one group of languages.
+MODEL_BYTES = 1 << 27
 CHUNK = 1 << 20
 UNKNOWN = "und"
 
@@ -62,15 +66,13 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, most: int
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     place = F.xxhash64(F.col(id_col), F.col(text_col))
     places = written(known.select(F.col(lang_col).alias("__lang"), place.alias("__place")), "places")
-    sizes = places.groupBy("__lang").agg(F.approx_count_distinct("__place").alias("__size"), F.count("*").alias("__rows")).orderBy(F.desc("__rows"), "__lang").limit(MOST_LANGS)
+    sizes = places.groupBy("__lang").agg(F.approx_count_distinct("__place").alias("__size"))
     low = (F.col("__place").cast("double") / float(1 << 64) + 0.5) * F.col("__size") <= OVERDRAW * most
-    # One row a language, MOST_LANGS at most.
-    lowest = places.join(F.broadcast(sizes), "__lang").where(low).select("__lang", "__place").distinct()
+    lowest = places.join(sizes, "__lang").where(low).select("__lang", "__place").distinct()
     first = W.partitionBy("__lang").orderBy("__place")
     chosen = lowest.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most)
     edges = chosen.groupBy("__lang").agg(F.max("__place").alias("__edge"))
-    # One row a language, MOST_LANGS at most.
-    return known.join(F.broadcast(edges), (F.col(lang_col) == F.col("__lang")) & (place <= F.col("__edge"))).select(F.col("__lang").alias("lang"), F.col(text_col).alias("text"))
+    return known.join(edges, (F.col(lang_col) == F.col("__lang")) & (place <= F.col("__edge"))).select(F.col("__lang").alias("lang"), F.col(text_col).alias("text"))
 
 
 def counted(sampled: DataFrame) -> DataFrame:
@@ -82,17 +84,20 @@ def counted(sampled: DataFrame) -> DataFrame:
                 grams, n = np.unique(np.concatenate([_grams(symbols(t.encode("utf-8", "surrogatepass"))) for t in texts]), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
 
-    return sampled.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return small_batches(sampled).mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Costs in bits: `rows[index[context], symbol]` has one for each language."""
+    """Costs in bits: `rows[index[context], symbol]` has one for each language.
 
-    def __init__(self, counts: pd.DataFrame) -> None:
+    counts: (lang, gram, n). seen: all symbols of the training set, if these are the counts of some of its languages.
+    """
+
+    def __init__(self, counts: pd.DataFrame, seen: np.ndarray | None = None) -> None:
         self.langs = sorted(counts["lang"].unique())
         grams = counts["gram"].to_numpy(np.int64)
         parts = np.stack([(grams >> s) & 255 for s in (24, 16, 8, 0)], 1)
-        seen = np.unique(np.concatenate(([0], parts.ravel())))
+        seen = np.unique(np.concatenate(([0], parts.ravel() if seen is None else seen)))
         self.size = len(seen) + 1  # the last symbol stands for all bytes that training never saw
         self.code = np.full(256, self.size - 1, np.int64)
         self.code[seen] = np.arange(len(seen))
@@ -144,39 +149,78 @@ class Model:
         return total
 
 
-def trained(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = TRAIN_DOCS) -> Model | None:
-    """The model; its counts, bounded by the sample, come to the driver."""
-    counts = counted(sample(docs, lang_col, text_col, id_col, most)).toPandas()
-    return Model(counts) if len(counts) else None
+class Models:
+    """The models of all languages, in groups whose tables take `MODEL_BYTES` at most each; a group's counts come to the driver when it is made."""
 
+    def __init__(self, counts: DataFrame, most_bytes: int = MODEL_BYTES) -> None:
+        self.counts = counts
+        parts = F.array(*[F.shiftright("gram", s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)])
+        seen = counts.select(F.explode(parts).alias("s")).distinct().collect()
+        self.seen = np.array(sorted(int(r.s) for r in seen), np.int64)
+        sizes = counts.groupBy("lang").agg(F.count_distinct(F.shiftright("gram", 8)).alias("contexts")).orderBy("lang").collect()
+        a = len(self.seen) + 2
+        self.groups: list[list[str]] = []
+        contexts = 0
+        for r in sizes:
+            contexts += r.contexts
+            if not self.groups or (contexts + a * a) * a * 4 * (len(self.groups[-1]) + 1) > most_bytes:
+                self.groups.append([])
+                contexts = r.contexts
+            self.groups[-1].append(r.lang)
+
+    def model(self, group: list[str]) -> Model:
+        return Model(self.counts.where(F.col("lang").isin(group)).toPandas(), self.seen)
+
+
+def trained(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = TRAIN_DOCS, most_bytes: int = MODEL_BYTES) -> Models:
+    return Models(written(counted(sample(docs, lang_col, text_col, id_col, most)), "counts"), most_bytes)
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Adds `lang_pred` and `score`, the share of the best language if code lengths are taken as likelihoods."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    ready = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    if model is None:
-        return ready.drop("__letters").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ready.drop("__letters").schema.add("lang_pred", "string").add("score", "double")
+
+def _scored(ready: DataFrame, held: Broadcast, text_col: str) -> DataFrame:
+    """`ready` without the text, with `__lang`, the best language of a model, `__bits`, its code length, and `__sum`, all languages'
+    likelihoods as a multiple of its; null for a text without letters."""
+    rest = [c for c in ready.columns if c not in (text_col, "__letters")]
+    kept = ready.select(*[F.col(f"`{c}`") for c in rest])
+    schema = kept.schema.add("__lang", "string").add("__bits", "double").add("__sum", "double")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            langs, scores = [], []
-            for text, letters in zip(b.column(text_col), b.column("__letters"), strict=True):
-                if not letters.as_py():
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                bits = m.lengths(text.as_py())
-                best = int(bits.argmin())
-                langs.append(m.langs[best])
-                scores.append(float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()))
-            at = b.schema.names.index("__letters")
-            out = [*b.columns[:at], *b.columns[at + 1 :], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(out, [*[x for x in b.schema.names if x != "__letters"], "lang_pred", "score"])
-
-    return ready.mapInArrow(each, schema)
+            langs, lengths, sums = [], [], []
+            for text, letters in zip(b.column("__text"), b.column("__letters"), strict=True):
+                bits = m.lengths(text.as_py()) if letters.as_py() else None
+                best = None if bits is None else int(bits.argmin())
+                langs.append(None if best is None else m.langs[best])
+                lengths.append(None if best is None else float(bits[best]))
+                sums.append(None if best is None else float(np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()))
+            out = [b.column(b.schema.names.index(c)) for c in rest]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(langs, pa.string()), pa.array(lengths, pa.float64()), pa.array(sums, pa.float64())], [*rest, "__lang", "__bits", "__sum"])
+
+    # The text goes by a name of its own, as the documents' column of that name may be kept too.
+    return small_batches(ready).mapInArrow(each, schema)
+
+
+def predict(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """Adds `lang_pred` and `score`, the share of the best language if code lengths are taken as likelihoods."""
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    if not models.groups:
+        return docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    names, text = [F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`")
+    ready = docs.select(*names, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    send = docs.sparkSession.sparkContext.broadcast
+    if len(models.groups) == 1:
+        best = _scored(ready, send(models.model(models.groups[0])), "__text")
+    else:
+        # Written with a number for each row, by which the groups' results meet again.
+        table = written(ready.withColumn("__row", F.monotonically_increasing_id()), "texts")
+        scored = [_scored(table.select("__row", "__text", "__letters"), send(models.model(g)), "__text") for g in models.groups]
+        first = F.min(F.when(F.col("__bits").isNotNull(), F.struct("__bits", "__lang")))
+        together = functools.reduce(DataFrame.unionByName, scored)
+        least = together.groupBy("__row").agg(first.alias("b"), F.collect_list(F.struct("__bits", "__sum")).alias("all"))
+        # One element a group of languages.
+        total = F.aggregate("all", F.lit(0.0), lambda n, x: n + x["__sum"] * F.pow(F.lit(2.0), F.greatest(F.col("b.__bits") - x["__bits"], F.lit(-1000.0))))
+        best = table.drop("__text", "__letters").join(least, "__row").select(*names, F.col("b.__lang").alias("__lang"), total.alias("__sum"))
+    return best.select(*names, F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(1.0 / F.col("__sum"), F.lit(0.0)).alias("score"))
 
 
 def held_out(id_col: Column) -> Column:
@@ -184,5 +228,5 @@ def held_out(id_col: Column) -> Column:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    model = trained(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
+    models = trained(docs.where(~held_out(F.col("doc_id"))))
+    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), models).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
