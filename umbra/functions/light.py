@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,36 +133,52 @@ def ellipse(xx: Column, xy: Column, yy: Column) -> tuple[Column, Column, Column]
     return F.sqrt(half + spread), F.sqrt(F.greatest(half - spread, num(0))), pa - F.floor(pa / 180.0) * 180.0
 
 
+#: The measured quantities of a star, by the names their errors and correlations begin with.
+MEASURED = ("ra", "dec", "pmra", "pmdec")
+
+
 def star_covariance(err: dict[str, Column], years: Column | float) -> tuple[Column, Column, Column]:
-    """Position covariance some years on, from errors and correlations of position and proper motion (missing ones are 0)."""
+    """Position covariance some years on, from errors and correlations of position and proper motion (missing ones are 0).
+
+    Each coordinate is a sum of measured quantities: itself once, its motion `years` times. The covariance of two sums is the
+    sum over all pairs of what they hold, weighted, with the pair's own covariance.
+    """
     t = num(years)
-    sa, sd, pa, pd = (err[k] for k in ("ra_error", "dec_error", "pmra_error", "pmdec_error"))
-    c = lambda k: F.coalesce(err[k], num(0)) if k in err else num(0)
-    xx = sa * sa + 2 * t * c("ra_pmra_corr") * sa * pa + t * t * pa * pa
-    yy = sd * sd + 2 * t * c("dec_pmdec_corr") * sd * pd + t * t * pd * pd
-    xy = c("ra_dec_corr") * sa * sd + t * (c("ra_pmdec_corr") * sa * pd + c("dec_pmra_corr") * sd * pa) + t * t * c("pmra_pmdec_corr") * pa * pd
-    return xx, xy, yy
+    east, north = {"ra": num(1), "pmra": t}, {"dec": num(1), "pmdec": t}
+
+    def joint(a: str, b: str) -> Column | None:
+        if a == b:
+            return err[f"{a}_error"] * err[f"{a}_error"]
+        first, second = sorted((a, b), key=MEASURED.index)
+        key = f"{first}_{second}_corr"
+        return F.coalesce(err[key], num(0)) * err[f"{a}_error"] * err[f"{b}_error"] if key in err else None
+
+    def covary(u: dict[str, Column], v: dict[str, Column]) -> Column:
+        terms = [wa * wb * c for a, wa in u.items() for b, wb in v.items() if (c := joint(a, b)) is not None]
+        return functools.reduce(operator.add, terms, num(0))
+
+    return covary(east, east), covary(east, north), covary(north, north)
+
+
+def log_table(x: Column, table: Sequence[tuple[float, float]]) -> Column:
+    """Between the entries (x, value) of a table in the logarithm of the value, beyond them the first or last value: the sum of a ramp
+    for each gap, as long as the gap."""
+    (x0, v0), steps = table[0], zip(table, table[1:], strict=False)
+    ramps = [F.least(F.greatest(x - a, num(0)), num(b - a)) * num(math.log(w / v) / (b - a)) for (a, v), (b, w) in steps]
+    return num(v0) * F.exp(functools.reduce(operator.add, ramps))
 
 
 def typical_sigma(g: Column, years: Column | float) -> Column:
-    """Error in mas of a typical catalog star of this G: position and motion, log-interpolated between table entries."""
-    low, high = TYPICAL_ERRORS[0][0], TYPICAL_ERRORS[-1][0]
-    at = F.least(F.greatest(g, num(low)), num(high))
-    pos = pm = None
-    for (g0, p0, m0), (g1, p1, m1) in zip(TYPICAL_ERRORS, TYPICAL_ERRORS[1:], strict=False):
-        f = (at - g0) / (g1 - g0)
-        here = at <= g1
-        a, b = p0 * F.pow(num(p1 / p0), f), m0 * F.pow(num(m1 / m0), f)
-        pos = F.when(here, a) if pos is None else pos.when(here, a)
-        pm = F.when(here, b) if pm is None else pm.when(here, b)
-    return hypot(pos, num(years) * pm)
+    """Error in mas of a typical catalog star of this G: position and motion."""
+    at_rest, motion = ([(e[0], e[k]) for e in TYPICAL_ERRORS] for k in (1, 2))
+    return hypot(log_table(g, at_rest), num(years) * log_table(g, motion))
 
 
 def across_track(xx: Column, xy: Column, yy: Column, move_east: Column, move_north: Column) -> Column:
     """Error across a motion on the sky; null without motion."""
-    m = hypot(move_east, move_north)
-    nx, ny = -move_north / m, move_east / m
-    return F.when(m > 0, F.sqrt(F.greatest(nx * nx * xx + 2 * nx * ny * xy + ny * ny * yy, num(0))))
+    square = move_east * move_east + move_north * move_north
+    variance = (move_north * move_north * xx - 2 * move_east * move_north * xy + move_east * move_east * yy) / square
+    return F.when(square > 0, F.sqrt(F.greatest(variance, num(0))))
 
 
 def erf(x: Column) -> Column:

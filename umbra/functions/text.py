@@ -77,8 +77,13 @@ def body_label(number: Column, name: Column) -> Column:
 
 
 def without_tags(name: Column) -> Column:
-    """A designation without the tag words at its end: capitals run into lower case, or all capitals, of four letters or more."""
-    return F.regexp_replace(name, r"(?:\s+(?:[A-Z]{2,}[A-Za-z]*[a-z][A-Za-z]*|[A-Z]{4,}[A-Za-z]*))+$", "")
+    """A designation without the tag words at its end. A tag has letters only and starts with two capitals, with a small letter among
+    those that follow, or with four capitals. The first word always stays."""
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
+    capitals = lambda w, n: (F.length(w) >= n) & (F.left(w, F.lit(n)) == F.upper(F.left(w, F.lit(n))))
+    tag = lambda w: (F.length(F.regexp_replace(w, "[A-Za-z]", "")) == 0) & ((capitals(w, 2) & (w != F.upper(w))) | capitals(w, 4))
+    last = F.array_max(F.transform(words, lambda w, i: F.when((i == 0) | ~tag(w), i + 1).otherwise(F.lit(1))))
+    return F.array_join(F.slice(words, F.lit(1), F.coalesce(last, F.lit(1))), " ")
 
 
 def file_id(text: Column) -> Column:
