@@ -131,3 +131,40 @@ def test_geodetic_round_trip(spark):
     v = earth.earth_fixed(num(-33.3), num(20), num(2500))
     lat, height = earth.geodetic(F.sqrt(v.x * v.x + v.y * v.y) / earth.EARTH_KM, v.z / earth.EARTH_KM)
     assert tuple(one(spark, lat, height)) == pytest.approx((-33.3, 2500.0), abs=1e-5)
+
+
+def test_near_site_and_site_events_equal_all_pairs(spark):
+    """The index must not lose or add a pair: all events at all sites, by the exact test alone; solutions lie within its bounds."""
+    import duckdb
+
+    from umbra.plans import registry, shadows
+    from umbra.plans.tables import filled
+
+    sf, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("orders", "supplier", "part"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = {(e, s): d for e, s, d in c.execute(filled(shadows.ALL_PAIRS)).fetchall()}
+    got = {(r.event_id, r.site_id): r.closest_km for r in registry.queries()["near_site"](spark, sf).collect()}
+    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.002 for k in want)
+    solved = {(r.event_id, r.site_id): r for r in registry.queries()["site_events"](spark, sf).collect()}
+    assert solved.keys() == want.keys() and all(r.miss_km <= r.closest_km + 10.5 for r in solved.values())
+
+
+def test_regions_by_name_or_box():
+    from umbra.operators import shadow
+
+    assert len(shadow.REGIONS) == 11 and set(shadow.region(" Europe ")) == set(shadow.region("-10,10,170,-170"))
+    for bad in ("atlantis", "1,2,3", "10,-10,0,5", "-91,0,0,5"):
+        with pytest.raises(ValueError, match="no region"):
+            shadow.region(bad)
+
+
+def test_list_rows_and_settings(spark):
+    from umbra.sources import files
+
+    text = "Search Results for filter 35 km from shadow, StarMag: 13.5, MinDur: 0.2, DetectionFrames: 6\n(12) Victoria NALowMag\t2026-Mar-05, 01:02:03 ☼ -5°\t 12.5\t 3.1\t 4.2\t 45 x\n(7) No date\tsoon\t1\t2\t3\t4\n\nfree (text)\n(99) B\t2026-Dec-31, 23:59:59\t9\t0.5\t1\t7"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    assert [tuple(r)[1:] for r in files.read_list(df).collect()] == [(12, "Victoria NALowMag", "2026-03-05T01:02:03", -5.0, 12.5, 3.1, 4.2, 45.0), (99, "B", "2026-12-31T23:59:59", None, 9.0, 0.5, 1.0, 7.0)]
+    first, none, _ = [r.asDict() for r in files.list_settings(df).collect()]
+    assert first == {"starmag": 13.5, "mindur": 0.2, "aperture": 25.0, "detectionframes": 6.0, "minstaraltitude": 10.0, "km_from_shadow": 35.0}
+    assert none["starmag"] == 15.0 and none["km_from_shadow"] == 20.0

@@ -118,13 +118,13 @@ def xmatch_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     "companions_blend",
     """WITH s AS (SELECT * FROM {stars}), m AS (SELECT source_id AS oid, ra+coalesce(pmra,0)/greatest(cos(radians(dec)),1e-6::DOUBLE)*10/3.6e6::DOUBLE AS r0, dec+coalesce(pmdec,0)*10/3.6e6::DOUBLE AS od, g AS og FROM s),
     n AS (SELECT oid, r0-floor(r0/360)*360 AS orr, od, og FROM m),
-    p AS (SELECT s.source_id, s.g, n.og, n.oid, degrees(2*asin(sqrt(least(greatest(pow(sin((radians(n.od)-radians(s.dec))/2),2)+cos(radians(s.dec))*cos(radians(n.od))*pow(sin((radians(n.orr)-radians(s.ra))/2),2),0),1))))*3600 AS sep FROM s JOIN n ON n.od BETWEEN s.dec-0.9 AND s.dec+0.9 WHERE n.oid<>s.source_id AND n.og<=s.g+5 AND s.g < 9),
+    p AS (SELECT s.source_id, s.g, n.og, n.oid, degrees(2*asin(sqrt(least(greatest(pow(sin((radians(n.od)-radians(s.dec))/2),2)+cos(radians(s.dec))*cos(radians(n.od))*pow(sin((radians(n.orr)-radians(s.ra))/2),2),0),1))))*3600 AS sep FROM s JOIN n ON n.od BETWEEN s.dec-0.9 AND s.dec+0.9 WHERE n.oid<>s.source_id AND n.og<=s.g+5),
     c AS (SELECT source_id, count(*) AS n, min(sep) AS nearest, arg_min(og, sep) AS near_g, sum(pow(10,og*-0.4::DOUBLE)) AS light FROM p WHERE sep <= 3000 GROUP BY source_id)
-    SELECT s.source_id, CAST(coalesce(c.n,0) AS INTEGER) AS n, round(nearest,2) AS nearest, round(near_g,4) AS near_g, round(2.5::DOUBLE*log10((pow(10,-0.4::DOUBLE*s.g)+coalesce(light,0)+pow(10,-0.4::DOUBLE*14))/(coalesce(light,0)+pow(10,-0.4::DOUBLE*14))),5) AS blended FROM s LEFT JOIN c USING (source_id) WHERE s.g < 9""",
+    SELECT s.source_id, CAST(coalesce(c.n,0) AS INTEGER) AS n, round(nearest,2) AS nearest, round(near_g,4) AS near_g, round(2.5::DOUBLE*log10((pow(10,-0.4::DOUBLE*s.g)+coalesce(light,0)+pow(10,-0.4::DOUBLE*14))/(coalesce(light,0)+pow(10,-0.4::DOUBLE*14))),5) AS blended FROM s LEFT JOIN c USING (source_id)""",
 )
 def companions_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = table(spark, sf_dir, "stars")
-    events = stars.where("g < 9").select("source_id", "ra", "dec", "g")
+    events = stars.select("source_id", "ra", "dec", "g")
     found = catalog.companions(events, stars, 10.0, 3000.0)
     first = F.get("companions", F.lit(0))
     drop = light.blended_drop(F.col("g"), num(14), F.transform("companions", lambda c: c["g"]))

@@ -192,7 +192,7 @@ def early_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "visible_in_bracket",
     """WITH v AS (SELECT number, j, (j*7+number)%5=0 AS vis FROM {path_samples})
-    SELECT a.number, a.j, CAST((SELECT count(*) FROM v b WHERE b.number=a.number AND b.vis AND b.j BETWEEN a.j-3 AND a.j+3) AS BIGINT) AS n_visible FROM v a WHERE a.j % 8 = 0""",
+    SELECT a.number, a.j, CAST((SELECT count(*) FROM v b WHERE b.number=a.number AND b.vis AND b.j BETWEEN a.j-3 AND a.j+3) AS BIGINT) AS n_visible FROM v a""",
 )
 def visible_in_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = table(spark, sf_dir, "path_samples").withColumn("vis", (F.col("j") * 7 + F.col("number")) % 5 == 0)
@@ -200,7 +200,7 @@ def visible_in_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = W.partitionBy("number")
     last = F.coalesce(F.lead("c", 3).over(tracks.path()), F.max("c").over(ends))
     before = F.coalesce(F.lag("c", 4).over(tracks.path()), F.lit(0))
-    return run.withColumn("n_visible", (last - before).cast("bigint")).where("j % 8 = 0").select("number", "j", "n_visible")
+    return run.withColumn("n_visible", (last - before).cast("bigint")).select("number", "j", "n_visible")
 
 
 @query(
@@ -215,9 +215,9 @@ def windows_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "window_touch",
-    "SELECT e.event_id, w.site_id FROM (SELECT event_id, et, half FROM {elements} WHERE r_km > 45) e JOIN (SELECT site_id, 86400+site_id*3600::DOUBLE AS t0, 86400+site_id*3600::DOUBLE+5000 AS t1 FROM {sites} WHERE site_id < 40) w ON e.et-e.half <= w.t1 AND w.t0 <= e.et+e.half",
+    "SELECT e.event_id, w.site_id FROM {elements} e JOIN (SELECT site_id, 86400+site_id*3600::DOUBLE AS t0, 86400+site_id*3600::DOUBLE+5000 AS t1 FROM {sites}) w ON e.et-e.half <= w.t1 AND w.t0 <= e.et+e.half",
 )
 def window_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "elements").where("r_km > 45").selectExpr("event_id", "et - half AS a0", "et + half AS a1")
-    windows = table(spark, sf_dir, "sites").where("site_id < 40").selectExpr("site_id", "CAST(86400+site_id*3600 AS DOUBLE) AS t0", "CAST(86400+site_id*3600+5000 AS DOUBLE) AS t1")
+    spans = table(spark, sf_dir, "elements").selectExpr("event_id", "et - half AS a0", "et + half AS a1")
+    windows = table(spark, sf_dir, "sites").selectExpr("site_id", "CAST(86400+site_id*3600 AS DOUBLE) AS t0", "CAST(86400+site_id*3600+5000 AS DOUBLE) AS t1")
     return interval_join(spans, windows, ("a0", "a1"), ("t0", "t1"), 6 * 3600.0).select("event_id", "site_id")

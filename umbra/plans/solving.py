@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from umbra.functions import light, sky
@@ -11,6 +12,7 @@ from umbra.functions.constants import EARTH_KM, GM_PLANETS
 from umbra.functions.sky import Vec, num
 from umbra.operators import orbits, scan, solve, tracks
 from umbra.plans.registry import query
+from umbra.plans.shadows import passing
 from umbra.plans.tables import table
 
 JD = 2460900.5
@@ -84,18 +86,30 @@ def _newton(i: int) -> str:
     n{i + 1} AS (SELECT * EXCLUDE (ox,oy,dt,rx,ry,ux,uy,wx,wy) REPLACE (least(greatest(t-(rx*ux+ry*uy)/CASE WHEN ux*ux+uy*uy+rx*wx+ry*wy > 1e-9 THEN ux*ux+uy*uy+rx*wx+ry*wy ELSE ux*ux+uy*uy END, et-half), et+half) AS t) FROM b{i})"""
 
 
-SITE = f"""p AS (SELECT e.*, s.site_id, s.lat, s.lon, s.ele_m, cos(radians(e.dec))*cos(radians(e.ra)) AS sx, cos(radians(e.dec))*sin(radians(e.ra)) AS sy, sin(radians(e.dec)) AS sz, -sin(radians(e.ra)) AS ex, cos(radians(e.ra)) AS ey, 1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE) AS e2 FROM {{elements}} e JOIN {{sites}} s ON s.site_id = e.number % 10),
+SITE = f"""p AS (SELECT e.*, s.site_id, s.lat, s.lon, s.ele_m, cos(radians(e.dec))*cos(radians(e.ra)) AS sx, cos(radians(e.dec))*sin(radians(e.ra)) AS sy, sin(radians(e.dec)) AS sz, -sin(radians(e.ra)) AS ex, cos(radians(e.ra)) AS ey, 1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE) AS e2 FROM {{elements}} e JOIN (SELECT *, row_number() OVER (ORDER BY site_id)-1 AS no, count(*) OVER () AS n FROM {{sites}}) s ON s.no = e.number % s.n),
   q AS (SELECT *, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz, 6378.137::DOUBLE/sqrt(1-e2*sin(radians(lat))*sin(radians(lat))) AS nn FROM p),
   n0 AS (SELECT *, et AS t, (nn+ele_m/1000)*cos(radians(lat))*cos(radians(lon)) AS fx, (nn+ele_m/1000)*cos(radians(lat))*sin(radians(lon)) AS fy, (nn*(1-e2)+ele_m/1000)*sin(radians(lat)) AS fz FROM q), {", ".join(_newton(i) for i in range(6))}, {_newton(6)}"""
 SOLVED = f"{SITE}, done AS (SELECT *, sqrt(rx*rx+ry*ry) AS miss, sqrt(ux*ux+uy*uy) AS speed FROM b6)"
 
 
 def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = table(spark, sf_dir, "sites").select("site_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), "ele_m")
-    pairs = table(spark, sf_dir, "elements").join(sites, F.col("number") % 10 == F.col("site_id"))
+    """All events, each at one of all sites, dealt by the body's number."""
+    sites = table(spark, sf_dir, "sites").select("site_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), "ele_m", (F.row_number().over(W.orderBy("site_id")) - 1).alias("no"))
+    n = sites.agg(F.count("*")).scalar()
+    pairs = table(spark, sf_dir, "elements").withColumn("no", F.col("number") % n).join(sites, "no")
     return solve.closest_at_site(pairs)
 
 
+@query("site_events")
+def site_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events at all sites that they pass: index, exact test, then the time and distance of closest approach there."""
+    sites = table(spark, sf_dir, "sites").select("site_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), "ele_m")
+    near = passing(spark, sf_dir).select("event_id", "site_id", "closest_km")
+    pairs = near.join(table(spark, sf_dir, "elements"), "event_id").join(sites, "site_id")
+    done = solve.closest_at_site(pairs)
+    return done.select("event_id", "site_id", F.round("closest_km", 1).alias("closest_km"), F.round(F.col("t_ca") - F.col("et"), 1).alias("dt_s"), F.round("miss_km", 1).alias("miss_km"))
+
+
 @query("site_solve_newton", f"WITH {SOLVED} SELECT event_id, site_id, round(t-et,1) AS dt_s, round(miss,1) AS miss_km, round(speed,4) AS speed_kms FROM done")
 def site_solve_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solved(spark, sf_dir).select("event_id", "site_id", F.round(F.col("t_ca") - F.col("et"), 1).alias("dt_s"), F.round("miss_km", 1).alias("miss_km"), F.round("speed_kms", 4).alias("speed_kms"))

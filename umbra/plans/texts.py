@@ -77,20 +77,28 @@ def twilight_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "sites").select("site_id", text.twilight(F.col("lat")).alias("twilight"), text.star_note(F.col("site_id") % 5, 1.4 + F.col("site_id") / num(100)).alias("note"))
 
 
-@query("markdown_rows", "SELECT run_id, '| id | kind |'||chr(10)||'| --- | --- |'||chr(10)||string_agg('| '||id||' | '||kind||' |', chr(10) ORDER BY id) AS markdown FROM {hits} WHERE id % 50 = 0 GROUP BY run_id")
+@query("markdown_rows", "SELECT run_id, '| id | kind |'||chr(10)||'| --- | --- |'||chr(10)||string_agg('| '||id||' | '||kind||' |', chr(10) ORDER BY id) AS markdown FROM {hits} GROUP BY run_id")
 def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report's table as text: one string for each run's short list."""
-    rows = table(spark, sf_dir, "hits").where("id % 50 = 0").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("id", text.table_row(F.col("id"), F.col("kind")).alias("row")))).alias("rows"))
+    """A report's table as text: one string for each run, whose hits come together in it."""
+    rows = table(spark, sf_dir, "hits").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("id", text.table_row(F.col("id"), F.col("kind")).alias("row")))).alias("rows"))
     return rows.select("run_id", F.concat(F.lit("| id | kind |\n| --- | --- |\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("markdown"))
 
 
-@query("observatory_rows", "SELECT printf('%03d', site_id) AS code, round(lat,3) AS lat, round(lon,3) AS lon FROM {sites} WHERE lon >= 0")
+E2 = "(1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE))"
+#: Latitudes from the constants as the file has them, by iteration.
+OBSERVATORY = f"""WITH g AS (SELECT site_id, lon, radians(lat) AS f, ele_m/6378137::DOUBLE AS h, 1/sqrt(1-{E2}*sin(radians(lat))*sin(radians(lat))) AS n FROM {{sites}}),
+    c AS (SELECT site_id, lon, CAST(printf('%.6f', (n+h)*cos(f)) AS DOUBLE) AS rc, CAST(printf('%.6f', (n*(1-{E2})+h)*sin(f)) AS DOUBLE) AS rs FROM g),
+    i AS (SELECT *, list_reduce(range(12), lambda t, k: atan2(rs+{E2}*sin(t)/sqrt(1-{E2}*sin(t)*sin(t)), rc), atan2(rs, rc)) AS t FROM (SELECT * FROM c))
+    SELECT printf('%03d', site_id) AS code, round(degrees(t),3) AS lat, round(CASE WHEN lon < 0 THEN lon+360 ELSE lon END,3) AS lon FROM i"""
+
+
+@query("observatory_rows", OBSERVATORY)
 def observatory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-width observatory codes, written and read again, with geodetic latitude from the parallax constants."""
+    """Fixed-width observatory codes, written and read again, with geodetic latitude from the parallax constants; longitudes count eastward."""
     v = earth.earth_fixed(F.col("lat"), F.col("lon"), F.col("ele_m"))
-    line = F.concat(F.format_string("%03d %9.5f", "site_id", "lon"), F.format_string("%8.6f%+9.7f", hypot(v.x, v.y) / earth.EARTH_KM, v.z / earth.EARTH_KM), F.concat(F.lit("Site "), F.col("site_id").cast("string")))
+    line = F.concat(F.format_string("%03d %9.5f", "site_id", F.when(F.col("lon") < 0, F.col("lon") + 360.0).otherwise(F.col("lon"))), F.format_string("%8.6f%+9.6f", hypot(v.x, v.y) / earth.EARTH_KM, v.z / earth.EARTH_KM), F.concat(F.lit("Site "), F.col("site_id").cast("string")))
     path = files.scratch(spark, "observatories")
-    table(spark, sf_dir, "sites").where("lon >= 0").select(line.alias("value")).write.text(path)
+    table(spark, sf_dir, "sites").select(line.alias("value")).write.text(path)
     read = files.read_fixed(spark, path, files.OBSERVATORIES)
     lat, _ = earth.geodetic(F.col("rho_cos"), F.col("rho_sin"))
     return read.select("code", F.round(lat, 3).alias("lat"), F.round("lon", 3).alias("lon"))

@@ -97,10 +97,13 @@ def list_settings(text: DataFrame) -> DataFrame:
     """The search that a comparison list (column `text`) came from: one column for each entry of LIST_DEFAULTS. The line that tells of the
     filter holds `Name: number` pairs and `number km from shadow`."""
     line = F.get(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("results for filter")), F.lit(0))
-    pairs = F.transform(F.filter(F.split(F.lower(line), "[,;|]"), lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.element_at(F.split(F.trim(F.substring_index(x, ":", 1)), r"\s+"), -1)), F.element_at(F.split(F.trim(F.substring_index(x, ":", -1)), r"\s+"), 1).try_cast("double")))
-    far = F.element_at(F.split(F.trim(F.substring_index(F.lower(line), "km from shadow", 1)), r"[\s,;|]+"), -1).try_cast("double")
-    said = text.select(F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<k:string,v:double>>"))).alias("m"), F.when(F.lower(line).contains("km from shadow"), far).alias("far"))
-    return said.select(*[F.coalesce(F.col("far") if k == "km from shadow" else F.try_element_at("m", F.lit(k)), F.lit(v)).alias(k.replace(" ", "_")) for k, v in LIST_DEFAULTS.items()])
+    word = lambda x, k: F.element_at(F.split(F.trim(x), r"[\s,;|]+"), k)
+    parts = F.filter(F.split(F.lower(line), "[,;|]"), lambda x: x.contains(":"))
+    pairs = F.transform(parts, lambda x: F.struct(word(F.substring_index(x, ":", 1), -1).alias("name"), word(F.substring_index(x, ":", -1), 1).try_cast("double").alias("value")))
+    far = F.when(F.lower(line).contains("km from shadow"), word(F.substring_index(F.lower(line), "km from shadow", 1), -1).try_cast("double"))
+    said = text.select(pairs.alias("pairs"), far.alias("far"))
+    named = lambda k: F.get(F.filter("pairs", lambda p: p["name"] == k), F.lit(0))["value"]
+    return said.select(*[F.coalesce(F.col("far") if k == "km from shadow" else named(k), F.lit(v)).alias(k.replace(" ", "_")) for k, v in LIST_DEFAULTS.items()])
 
 
 def read_listing(lines: DataFrame) -> DataFrame:
