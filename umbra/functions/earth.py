@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.constants import EARTH_KM, FLATTENING, KM_PER_DEGREE
@@ -79,3 +79,20 @@ def earth_turn(jd: Column) -> Column:
 def site_moved(lat1: Column, lon1: Column, lat2: Column, lon2: Column, tol: float = 0.01) -> Column:
     away = turn(lon2 - lon1 + 180.0) - 180.0
     return (F.abs(lat2 - lat1) > tol) | (F.abs(away) > tol)
+
+
+def on_grid(places: DataFrame, grid: DataFrame, step: float) -> DataFrame:
+    """`places` (lat, lon) with height_m between the four nodes of a grid (row from the north pole, col eastward from 0, height_m) of `step` degrees.
+    Columns close up behind 360 degrees; south of the last row its cell goes on. Four equi-joins on one key each."""
+    rows, cols = round(180 / step) + 1, round(360 / step)
+    down, east = (90.0 - F.col("lat")) / step, turn(F.col("lon")) / step
+    row = F.least(F.greatest(F.floor(down), F.lit(0)), F.lit(rows - 2))
+    cornered = places.withColumns({"__r": row.cast("int"), "__c": (F.floor(east) % cols).cast("int"), "__fr": down - row, "__fc": east - F.floor(east)})
+    nodes = grid.select((F.col("row") * cols + F.col("col")).alias("__key"), F.col("height_m").alias("__h"))
+    total = num(0)
+    for i, (dr, dc) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+        key = (F.col("__r") + dr) * cols + (F.col("__c") + dc) % cols
+        cornered = cornered.withColumn("__key", key).join(nodes.withColumnRenamed("__h", f"__h{i}"), "__key", "left").drop("__key")
+        weight = (F.col("__fr") if dr else 1 - F.col("__fr")) * (F.col("__fc") if dc else 1 - F.col("__fc"))
+        total = total + weight * F.col(f"__h{i}")
+    return cornered.select(*places.columns, total.alias("height_m"))

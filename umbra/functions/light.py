@@ -7,7 +7,7 @@ import math
 import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.constants import KIND_RUWE, KIND_TWO, KIND_TWO_A, KIND_TWO_B, TYPICAL_ERRORS, UNKNOWN_PM_MAS_YR
@@ -77,6 +77,22 @@ def diameter_of(h: Column, albedo: Column | float) -> Column:
     return 1329.0 / F.sqrt(num(albedo)) * ten(-h / 5)
 
 
+#: Albedos for satellites: those of unknown size, the sixth planet's icy ones of unknown brightness, and all others of that kind. Fixed values.
+DARK, ICY, OTHER = 0.05, 0.5, 0.07
+
+
+def completed_moons(moons: DataFrame) -> DataFrame:
+    """Satellites (naif, radius_km, h) with a missing size from the brightness or a missing brightness from the size, rounded to two places,
+    and radius_est and h_est that say so. The planet is in the number: its hundreds, or ten thousands for five-digit ones."""
+    planet = F.when(F.col("naif") < 1000, F.expr("naif div 100")).otherwise(F.expr("naif div 10000"))
+    albedo = F.when(planet == 6, ICY).otherwise(OTHER)
+    no_size = F.col("radius_km").isNull() & F.col("h").isNotNull()
+    no_light = ~no_size & F.col("h").isNull() & F.coalesce(F.col("radius_km") > 0, F.lit(False))
+    size = F.round(diameter_of(F.col("h"), DARK) / 2, 2)
+    bright = F.round(5 * log10(1329.0 / (2 * F.col("radius_km") * F.sqrt(albedo))), 2)
+    return moons.withColumns({"radius_est": no_size, "h_est": no_light, "radius_km": F.when(no_size, size).otherwise(F.col("radius_km")), "h": F.when(no_light, bright).otherwise(F.col("h"))})
+
+
 def size_by_precedence(h: Column, diameter: Column, sigma: Column, albedo: Column, extents: Column) -> dict[str, Column]:
     """r_km, r_min_km, r_max_km, source: a measured diameter first, widened by measured extents, then H with albedo, then H."""
     d = F.when(diameter > 0, diameter)

@@ -92,12 +92,15 @@ SITE = f"""p AS (SELECT e.*, s.site_id, s.lat, s.lon, s.ele_m, cos(radians(e.dec
 SOLVED = f"{SITE}, done AS (SELECT *, sqrt(rx*rx+ry*ry) AS miss, sqrt(ux*ux+uy*uy) AS speed FROM b6)"
 
 
-def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events, each at one of all sites, dealt by the body's number."""
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, each at one of all sites, by the body's number."""
     sites = table(spark, sf_dir, "sites").select("site_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), "ele_m", (F.row_number().over(W.orderBy("site_id")) - 1).alias("no"))
     n = sites.agg(F.count("*")).scalar()
-    pairs = table(spark, sf_dir, "elements").withColumn("no", F.col("number") % n).join(sites, "no")
-    return solve.closest_at_site(pairs)
+    return table(spark, sf_dir, "elements").withColumn("no", F.col("number") % n).join(sites, "no")
+
+
+def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solve.closest_at_site(dealt(spark, sf_dir))
 
 
 @query("site_events")
