@@ -106,3 +106,34 @@ def retarded(place: Vec, velocity: Vec, observer: Vec, rounds: int = 2) -> Vec:
         days = seen.norm() * (AU_KM / LIGHT_KM_S / DAY_S)
         seen = place.minus(velocity.times(days)).minus(observer)
     return seen
+
+
+def interpolated(nodes: DataFrame, asked: DataFrame, step_s: float) -> DataFrame:
+    """`asked` (target, et and others) with x, y, z, vx, vy, vz between the rows of an ephemeris: nodes (target, et, the same columns) at multiples of
+    `step_s`. The cubic that has place and velocity of both nodes around a time; without either of them, no row.
+
+    Both nodes come by equi-joins on target and step, so targets and times spread over all tasks alike.
+    """
+    states = [*"xyz", "vx", "vy", "vz"]
+    step = asked.withColumn("__k", F.floor(F.col("et") / step_s))
+    placed = nodes.withColumn("__k", F.floor(F.col("et") / step_s + 0.5))
+    side = lambda tag, by: placed.select("target", (F.col("__k") - by).alias("__k"), *[F.col(c).alias(f"__{c}{tag}") for c in states])
+    both = step.join(side("a", 0), ["target", "__k"]).join(side("b", 1), ["target", "__k"]).withColumn("__s", F.col("et") / step_s - F.col("__k"))
+    s = F.col("__s")
+    out = {}
+    for c in "xyz":
+        a, b, va, vb = (F.col(f"__{n}") for n in (f"{c}a", f"{c}b", f"v{c}a", f"v{c}b"))
+        # In powers of s, from place and slope at 0: what the far end asks beyond a straight line gives the other two terms.
+        slope, missing, bend = step_s * va, b - a - step_s * va, step_s * (vb - va)
+        square, cube = 3 * missing - bend, bend - 2 * missing
+        out[c] = a + s * (slope + s * (square + s * cube))
+        out[f"v{c}"] = (slope + s * (2 * square + 3 * s * cube)) / step_s
+    return both.select(*asked.columns, *[out[c].alias(c) for c in states])
+
+
+def source_for(sources: DataFrame, et0: float, et1: float, fresh_days: float) -> DataFrame:
+    """(target, source, stale): of orbits (source, target, et0, et1, age_days) that cover a window, the newest one of each target; stale if it's
+    older than `fresh_days`, as then a new one should be fetched, and this one serves if that fails."""
+    covering = sources.where((F.col("et0") <= et0) & (F.col("et1") >= et1))
+    best = covering.groupBy("target").agg(F.min(F.struct("age_days", "source")).alias("b"))
+    return best.select("target", F.col("b.source").alias("source"), (F.col("b.age_days") > fresh_days).alias("stale"))

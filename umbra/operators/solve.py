@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import earth, sky
-from umbra.functions.constants import EARTH_SPIN
+from umbra.functions.constants import EARTH_SPIN, LIGHT_KM_S
 from umbra.functions.sky import Vec, num
 from umbra.operators.shadow import _columns, _vec, _with_axes, jd_of, plane_at, turned
 
@@ -162,3 +162,65 @@ def path_lines(events: DataFrame, n: int = 25, sigma: str = "sigma_km") -> DataF
     # Exploding no or one point keeps the test where it is; a filter would be pushed below all the steps, and they into it.
     point = F.when(F.col("__far").isNotNull(), F.array(F.struct(lat.alias("lat"), lon.alias("lon")))).otherwise(F.array().cast("array<struct<lat:double,lon:double>>"))
     return rows.select("event_id", F.col("__l.line").alias("line"), "k", F.explode(point).alias("p")).select("event_id", "line", "k", "p.lat", "p.lon")
+
+
+#: Lines of a full path: sides of the axis, whether the radius counts, and which further distance.
+PATH_LINES = {
+    "centre": (0, 0, None, 0.0),
+    "north limit": (1, 1, None, 0.0),
+    "south limit": (-1, 1, None, 0.0),
+    "north 1-sigma": (1, 1, "sigma3_km", 1 / 3),
+    "south 1-sigma": (-1, 1, "sigma3_km", 1 / 3),
+    "north 3-sigma": (1, 1, "sigma3_km", 1.0),
+    "south 3-sigma": (-1, 1, "sigma3_km", 1.0),
+    "north satellite": (1, 1, "sat_km", 1.0),
+    "south satellite": (-1, 1, "sat_km", 1.0),
+}
+
+
+def shadow_paths(events: DataFrame, step_km: float = 100.0, reach: float = 1.3, rounds: int = 3) -> DataFrame:
+    """(event_id, line, k, et, lat, lon, duration_s): the shadow's path on the ellipsoid, in steps of about `step_km` along the track, from
+    `reach` Earth radii before the axis is nearest to the Earth's centre to as far behind it. Events have the elements, r_km, sigma3_km and
+    sat_km, null without a known satellite; then the satellite's lines are left out. A step takes 1 to 60 s.
+
+    The shadow comes down at the speed of light: at a ground point that lies `z` nearer to the star than the centre it stands where it
+    will cross the plane through the centre z / c later. So point and time are found together, in a few rounds. The duration on the
+    centre line is that of the radius at the shadow's speed over the turning ground. Lines off the Earth have no rows.
+    """
+    flat = (1 - earth.FLATTENING) ** 2
+    near = -(F.col("x0") * F.col("vx") + F.col("y0") * F.col("vy")) / (F.col("vx") ** 2 + F.col("vy") ** 2)
+    speed = lambda dt: F.sqrt((F.col("vx") + 2 * F.col("ax") * dt) ** 2 + (F.col("vy") + 2 * F.col("ay") * dt) ** 2)
+    timed = _with_axes(events).withColumn("__near", near).withColumn("__speed", speed(F.col("__near")))
+    stepped = timed.withColumn("__step", F.least(F.greatest(step_km / F.col("__speed"), num(1)), num(60)))
+    side = F.ceil(reach * earth.EARTH_KM / F.col("__speed") / F.col("__step")).cast("int")
+    lines = [F.struct(F.lit(name).alias("line"), (F.lit(float(s)) * (F.lit(float(own)) * F.col("r_km") + (F.col(more) * F.lit(share) if more else F.lit(0.0)))).alias("off")) for name, (s, own, more, share) in PATH_LINES.items()]
+    rows = stepped.withColumn("k", F.explode(F.sequence(-side, side))).withColumn("__l", F.explode(F.filter(F.array(*lines), lambda x: x["off"].isNotNull())))
+    rows = rows.withColumns({"__dt": F.col("__near") + F.col("k") * F.col("__step"), "__z": num(0)})
+    rows = rows.withColumn("__turn", earth.earth_turn(jd_of(F.col("et") + F.col("__dt"))))
+    rows = _columns(rows, "d", turned(_vec("s"), F.col("__turn")))
+    for _ in range(rounds):
+        tau = F.col("__dt") + F.col("__z") / LIGHT_KM_S
+        rows = rows.withColumn("__tau", tau)
+        mx, my = F.col("vx") + 2 * F.col("ax") * F.col("__tau"), F.col("vy") + 2 * F.col("ay") * F.col("__tau")
+        px, py = F.col("x0") + F.col("__tau") * (F.col("vx") + F.col("ax") * F.col("__tau")), F.col("y0") + F.col("__tau") * (F.col("vy") + F.col("ay") * F.col("__tau"))
+        rows = rows.withColumns({"__px": px, "__py": py, "__mx": mx, "__my": my})
+        share = F.col("__l.off") / F.sqrt(F.col("__mx") ** 2 + F.col("__my") ** 2)
+        rows = rows.withColumns({"__qx": F.col("__px") - F.col("__my") * share, "__qy": F.col("__py") + F.col("__mx") * share})
+        rows = _columns(rows, "b", turned(_vec("e").times(F.col("__qx")).plus(_vec("n").times(F.col("__qy"))), F.col("__turn")))
+        b, d = _vec("b"), _vec("d")
+        qa, qb, qc = d.x * d.x + d.y * d.y + d.z * d.z / flat, b.x * d.x + b.y * d.y + b.z * d.z / flat, b.x * b.x + b.y * b.y + b.z * b.z / flat - earth.EARTH_KM**2
+        rows = rows.withColumns({"__a": qa, "__b": qb, "__c": qc})
+        # A line that misses the Earth has no root: null from here on.
+        disc = F.col("__b") * F.col("__b") - F.col("__a") * F.col("__c")
+        rows = rows.withColumn("__z", F.when(disc >= 0, (F.sqrt(disc) - F.col("__b")) / F.col("__a")))
+    rows = _columns(rows, "h", _vec("b").plus(_vec("d").times(F.col("__z"))))
+    h = _vec("h")
+    # The ground's own motion, back on the sky's axes: the Earth's turn times the distance from its axis.
+    sky_h = turned(h, -F.col("__turn"))
+    ground = Vec(-EARTH_SPIN * sky_h.y, EARTH_SPIN * sky_h.x, num(0))
+    rows = _columns(rows, "w", ground)
+    over = F.sqrt((F.col("__mx") - _vec("w").dot(_vec("e"))) ** 2 + (F.col("__my") - _vec("w").dot(_vec("n"))) ** 2)
+    lat, lon = F.degrees(F.atan2(h.z, F.sqrt(h.x * h.x + h.y * h.y) * flat)), F.degrees(F.atan2(h.y, h.x))
+    place = F.struct((F.col("et") + F.col("__dt")).alias("et"), lat.alias("lat"), lon.alias("lon"), F.when(F.col("__l.line") == "centre", 2 * F.col("r_km") / F.greatest(over, num(1e-6))).alias("duration_s"))
+    point = F.when(F.col("__z").isNotNull(), F.array(place)).otherwise(F.array().cast("array<struct<et:double,lat:double,lon:double,duration_s:double>>"))
+    return rows.select("event_id", F.col("__l.line").alias("line"), "k", F.explode(point).alias("p")).select("event_id", "line", "k", "p.*")

@@ -65,12 +65,12 @@ def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lookup_star_first",
     """WITH c AS (SELECT r.ref_id, h.id, h.star = r.ref_id % 7 AS same, abs(h.best_et-r.ref_t) AS away, row_number() OVER (PARTITION BY r.ref_id ORDER BY abs(h.best_et-r.ref_t), h.id) AS k FROM """
     + REF
-    + """ r JOIN {hits} h ON h.target_id=r.target_id AND abs(h.best_et-r.ref_t) <= 1800)
+    + """ r JOIN {hits} h ON h.target_id=r.target_id AND abs(h.best_et-r.ref_t) <= 7200)
     SELECT ref_id, coalesce(arg_min(id, k) FILTER (same), arg_min(id, k) FILTER (away <= 600)) AS id FROM c WHERE k <= 3 GROUP BY ref_id""",
 )
 def lookup_star_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the three events nearest in time the one with the same star; else the nearest within ten minutes."""
-    tol = 1800.0
+    """Of the three events nearest in time, within two hours, the one with the same star; else the nearest within ten minutes."""
+    tol = 7200.0
     wide = reference(spark, sf_dir).withColumn("b", F.explode(F.array(*[F.floor(F.col("ref_t") / tol) + k for k in (-1, 0, 1)])))
     placed = table(spark, sf_dir, "hits").select("target_id", "id", "star", "best_et", F.floor(F.col("best_et") / tol).alias("b"))
     near = wide.join(placed, ["target_id", "b"]).withColumn("away", F.abs(F.col("best_et") - F.col("ref_t"))).where(F.col("away") <= tol)

@@ -201,3 +201,64 @@ def refine_and_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = found.withColumn("width_s", scan.bracket_s(600, 8000))
     return scan.refined(wide, 600, num(4.2e6)).select("number", "source_id", "j", F.round("et_guess", 1).alias("et_guess"), F.round("width_s", 3).alias("width_s"))
 
+
+
+def _round_sql(i: int) -> str:
+    """One round of point and time together."""
+    return f"""u{i} AS (SELECT *, dt+z/299792.458::DOUBLE AS tau FROM z{i}), w{i} AS (SELECT *, x0+vx*tau+ax*tau*tau AS px, y0+vy*tau+ay*tau*tau AS py, vx+2*ax*tau AS mx, vy+2*ay*tau AS my FROM u{i}),
+    y{i} AS (SELECT *, px-my/sqrt(mx*mx+my*my)*off AS qx, py+mx/sqrt(mx*mx+my*my)*off AS qy FROM w{i}), g{i} AS (SELECT *, ex*qx+nx*qy AS gx, ey*qx+ny*qy AS gy, nz*qy AS gz FROM y{i}),
+    b{i} AS (SELECT *, gx*cos(era)+gy*sin(era) AS bx, gy*cos(era)-gx*sin(era) AS by_, gz AS bz FROM g{i}), q{i} AS (SELECT *, dx*dx+dy*dy+dz*dz/f AS qa, bx*dx+by_*dy+bz*dz/f AS qb, bx*bx+by_*by_+bz*bz/f-pow(6378.137::DOUBLE,2) AS qc FROM b{i}),
+    z{i + 1} AS (SELECT * EXCLUDE ({'tau,px,py,qx,qy,gx,gy,gz,qa,qb,qc,mx,my,bx,by_,bz' if i < 2 else 'tau,px,py,qx,qy,gx,gy,gz,qa,qb,qc'}) REPLACE (CASE WHEN qb*qb-qa*qc>=0 THEN (sqrt(qb*qb-qa*qc)-qb)/qa END AS z) FROM q{i})"""
+
+
+SIDES = ", ".join(f"('{k}', {s}::DOUBLE, {own}::DOUBLE, {(share if more == 'sigma3_km' else 0.0)!r}::DOUBLE, {int(more == 'sat_km')})" for k, (s, own, more, share) in solve.PATH_LINES.items())
+
+
+@query(
+    "shadow_paths",
+    f"""WITH a AS (SELECT *, r_km/2 AS s3, CASE WHEN event_id%3=0 THEN r_km*3 END AS sat, cos(radians(dec))*cos(radians(ra)) AS sx, cos(radians(dec))*sin(radians(ra)) AS sy, sin(radians(dec)) AS sz, -sin(radians(ra)) AS ex, cos(radians(ra)) AS ey, -(x0*vx+y0*vy)/(vx*vx+vy*vy) AS near FROM {{elements}}),
+    v AS (SELECT *, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz, sqrt(pow(vx+2*ax*near,2)+pow(vy+2*ay*near,2)) AS speed FROM a), st AS (SELECT *, least(greatest(2000/speed,1),60) AS step FROM v), sd AS (SELECT *, CAST(ceil(1.3::DOUBLE*6378.137::DOUBLE/speed/step) AS INTEGER) AS side FROM st),
+    ks AS (SELECT *, unnest(range(-side, side+1)) AS k FROM sd), ls AS (SELECT ks.*, l.line, l.s*(l.own*r_km+l.share*s3+CASE WHEN l.sat_=1 THEN sat ELSE 0 END) AS off FROM ks CROSS JOIN (SELECT * FROM (VALUES {SIDES}) t(line, s, own, share, sat_)) l),
+    ts AS (SELECT *, near+k*step AS dt, 0::DOUBLE AS z FROM ls WHERE off IS NOT NULL), er AS (SELECT *, {ERA.format(t='(et+dt)')} AS era, pow(1-1/298.257223563::DOUBLE,2) AS f FROM ts),
+    z0 AS (SELECT *, sx*cos(era)+sy*sin(era) AS dx, sy*cos(era)-sx*sin(era) AS dy, sz AS dz FROM er), {_round_sql(0)}, {_round_sql(1)}, {_round_sql(2)},
+    h AS (SELECT *, bx+dx*z AS hx, by_+dy*z AS hy, bz+dz*z AS hz FROM z3 WHERE z IS NOT NULL), o AS (SELECT *, -{S}*(hx*sin(era)+hy*cos(era)) AS wx, {S}*(hx*cos(era)-hy*sin(era)) AS wy FROM h),
+    r AS (SELECT event_id, line, k, dt, degrees(atan2(hz, sqrt(hx*hx+hy*hy)*f)) AS lat, degrees(atan2(hy, hx)) AS lon, CASE WHEN line='centre' THEN 2*r_km/greatest(sqrt(pow(mx-(wx*ex+wy*ey),2)+pow(my-(wx*nx+wy*ny),2)),1e-6::DOUBLE) END AS d FROM o)
+    SELECT event_id, line, count(*) AS n, round(min(dt),1) AS from_s, round(max(dt),1) AS to_s, round(min(lat),2) AS south, round(max(lat),2) AS north, round(arg_min(lon, k),2) AS first_lon, round(max(d),3) AS longest_s, round(min(d),3) AS shortest_s FROM r GROUP BY event_id, line""",
+)
+def shadow_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine lines of each event's path, seven without a satellite, in steps by the shadow's speed: how far each goes, and how long it lasts."""
+    events = table(spark, sf_dir, "elements").withColumns({"sigma3_km": F.col("r_km") / 2, "sat_km": F.when(F.col("event_id") % 3 == 0, F.col("r_km") * 3)})
+    lines = solve.shadow_paths(events, 2000.0).withColumnRenamed("et", "t")
+    both = lines.join(events.select("event_id", "et"), "event_id")
+    dt = F.col("t") - F.col("et")
+    summed = {"from_s": (F.min(dt), 1), "to_s": (F.max(dt), 1), "south": (F.min("lat"), 2), "north": (F.max("lat"), 2), "first_lon": (F.min_by("lon", "k"), 2), "longest_s": (F.max("duration_s"), 3), "shortest_s": (F.min("duration_s"), 3)}
+    return both.groupBy("event_id", "line").agg(F.count("*").alias("n"), *[F.round(x, d).alias(c) for c, (x, d) in summed.items()])
+
+
+EPHEM = "(SELECT number AS target, k*1200::DOUBLE AS et, a*cos(radians(ma)+k*1200*w_) AS x, a*sin(radians(ma)+k*1200*w_) AS y, -a*w_*sin(radians(ma)+k*1200*w_) AS vx, a*w_*cos(radians(ma)+k*1200*w_) AS vy FROM (SELECT *, 1e-5::DOUBLE/a AS w_ FROM {asteroids}) CROSS JOIN (SELECT CAST(unnest(range(26)) AS INTEGER) AS k))"
+
+
+@query(
+    "ephemeris_states",
+    f"""WITH e AS ({EPHEM}), q AS (SELECT p.number, p.j, p.et+111.5::DOUBLE AS t, CAST(floor((p.et+111.5::DOUBLE)/1200) AS INTEGER) AS k FROM {{path_samples}} p), b AS (SELECT q.*, e0.x AS x0, e1.x AS x1, e0.vx AS v0, e1.vx AS v1, e0.y AS y0, e1.y AS y1, e0.vy AS w0, e1.vy AS w1, (q.t-e0.et)/1200 AS s FROM q JOIN e e0 ON e0.target=q.number AND e0.et=q.k*1200 JOIN e e1 ON e1.target=q.number AND e1.et=(q.k+1)*1200)
+    SELECT number, j, round((1+2*s)*(1-s)*(1-s)*x0+s*(1-s)*(1-s)*1200*v0+s*s*(3-2*s)*x1+s*s*(s-1)*1200*v1,7) AS x, round((1+2*s)*(1-s)*(1-s)*y0+s*(1-s)*(1-s)*1200*w0+s*s*(3-2*s)*y1+s*s*(s-1)*1200*w1,7) AS y, round(((6*s*s-6*s)*x0+(1-4*s+3*s*s)*1200*v0+(6*s-6*s*s)*x1+(3*s*s-2*s)*1200*v1)/1200*1e6::DOUBLE,5) AS vx6 FROM b""",
+)
+def ephemeris_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States between the rows of an ephemeris table at twenty-minute steps, for every sample of every path."""
+    w, k = F.lit(1e-5) / F.col("a"), F.col("k")
+    turned_by = F.radians("ma") + k * 1200 * w
+    rows = table(spark, sf_dir, "asteroids").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(25))))
+    nodes = rows.select(F.col("number").alias("target"), (k * num(1200)).alias("et"), (F.col("a") * F.cos(turned_by)).alias("x"), (F.col("a") * F.sin(turned_by)).alias("y"), num(0).alias("z"), (-F.col("a") * w * F.sin(turned_by)).alias("vx"), (F.col("a") * w * F.cos(turned_by)).alias("vy"), num(0).alias("vz"))
+    asked = table(spark, sf_dir, "path_samples").select(F.col("number").alias("target"), "j", (F.col("et") + 111.5).alias("et"))
+    found = orbits.interpolated(nodes, asked, 1200.0)
+    return found.select(F.col("target").alias("number"), "j", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"), F.round(F.col("vx") * 1e6, 5).alias("vx6"))
+
+
+SOURCES = "(SELECT o_orderkey AS source, o_custkey AS target, o_orderkey%40*10::DOUBLE AS et0, o_orderkey%40*10+200::DOUBLE AS et1, o_orderkey%30::DOUBLE AS age_days FROM orders)"
+
+
+@query("ephemeris_source", f"SELECT target, arg_min(source, ROW(CASE WHEN age_days<=10 THEN 0 ELSE 1 END, age_days, source)) AS source, bool_and(age_days>10) AS stale FROM {SOURCES} WHERE et0<=150 AND et1>=300 GROUP BY target")
+def ephemeris_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target the newest orbit that covers a window; an old one only where there's no fresh one."""
+    sources = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS source", "o_custkey AS target", "CAST(o_orderkey%40*10 AS DOUBLE) AS et0", "CAST(o_orderkey%40*10+200 AS DOUBLE) AS et1", "CAST(o_orderkey%30 AS DOUBLE) AS age_days")
+    return orbits.source_for(sources, 150.0, 300.0, 10.0)
