@@ -38,11 +38,13 @@ def cell_join(left: DataFrame, right: DataFrame, radius: Column | float, size: f
     r = num(radius)
     spread = touched_cells(left.withColumn("__radius", r), F.col(left_at[0]), F.col(left_at[1]), F.col("__radius"), size, "__cell")
     placed = right.withColumn("__own", sky.cell_of(F.col(right_at[0]), F.col(right_at[1]), size))
-    near = spread.join(placed, F.col("__cell") == F.col("__own"))
+    # Directions and the limit are worked out once for each row, not for each pair: the join tests plain sums.
     a, b = sky.direction(F.col(left_at[0]), F.col(left_at[1])), sky.direction(F.col(right_at[0]), F.col(right_at[1]))
-    chord = a.minus(b)
-    limit = 2 * F.sin(F.radians("__radius") / 2)
-    return near.where(chord.dot(chord) <= limit * limit).drop("__cell", "__own", "__radius")
+    spread = spread.withColumns({"__ax": a.x, "__ay": a.y, "__az": a.z, "__limit": F.pow(2 * F.sin(F.radians("__radius") / 2), num(2))})
+    placed = placed.withColumns({"__bx": b.x, "__by": b.y, "__bz": b.z})
+    gap = [F.col(f"__a{c}") - F.col(f"__b{c}") for c in "xyz"]
+    near = spread.join(placed, (F.col("__cell") == F.col("__own")) & (gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= F.col("__limit")))
+    return near.drop("__cell", "__own", "__radius", "__limit", *[f"__{side}{c}" for side in "ab" for c in "xyz"])
 
 
 def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:

@@ -45,10 +45,12 @@ PICKED = f"""WITH near AS (SELECT p.number, p.j, p.et, p.delta_au, s.source_id,
 def pick_slice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best star of each body, of those whose covering would show; the twenty brightest."""
     bodies = table(spark, sf_dir, "asteroids").select("number", "h", "a")
-    near = cell_join(samples(spark, sf_dir), stars(spark, sf_dir), 1.0, 1.5)
+    # Each sample's own limit stands on its row before the join, which tests it; no pair of a star too faint for it is made.
+    bright = samples(spark, sf_dir).join(bodies, "number").withColumn("m_ast", light.hg_magnitude(F.col("h"), num(0.15), F.col("a"), F.col("delta_au"), num(1)))
+    limited = bright.withColumn("faintest", F.col("m_ast") + light.drop_margin(0.1)).select("number", "j", "ra", "dec", "ux", "uy", "uz", "m_ast", "faintest")
+    near = cell_join(limited, stars(spark, sf_dir), 1.0, 1.5).where(F.col("g") <= F.col("faintest"))
     chord = tracks.u_of().minus(sky.direction(F.col("star_ra"), F.col("star_dec"))).norm()
-    seen = near.join(bodies, "number").withColumns({"sep": F.degrees(2 * F.asin(chord / 2)), "m_ast": light.hg_magnitude(F.col("h"), num(0.15), F.col("a"), F.col("delta_au"), num(1))})
-    shown = seen.where(F.col("g") <= F.col("m_ast") + light.drop_margin(0.1)).withColumn("drop_mag", light.drop(F.col("m_ast"), F.col("g")))
+    shown = near.withColumns({"sep": F.degrees(2 * F.asin(chord / 2)), "drop_mag": light.drop(F.col("m_ast"), F.col("g"))})
     best = shown.withColumn("k", F.row_number().over(W.partitionBy("number").orderBy("sep", "source_id", "j"))).where("k = 1")
     return best.orderBy("g", "number").limit(20).select("number", "source_id", "j", F.round("sep", 6).alias("sep_deg"), F.round("g", 6).alias("g"), F.round("drop_mag", 6).alias("drop_mag"))
 

@@ -125,7 +125,9 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "path_samples":
         numbers = base(spark, sf_dir, "part").selectExpr("p_partkey+1 AS number")
-        return numbers.select("number", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("j")).selectExpr(*_exprs(PATH))
+        # Dealt by number before they unfold: a small table's file is one task's, and windows along paths then need no shuffle of samples.
+        spread = numbers.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "number")
+        return spread.select("number", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("j")).selectExpr(*_exprs(PATH))
     source, named = TABLES[name]
     return base(spark, sf_dir, source).selectExpr(*_exprs(named))
 
