@@ -149,9 +149,8 @@ def local_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("number", "source_id", "j", F.round(F.sqrt("d2") / 1000, 3).alias("d_mm"))
 
 
-@query(
-    "candidates_refined",
-    f"""WITH {MINIMA}, i AS (SELECT * FROM m WHERE pux IS NOT NULL AND nux IS NOT NULL),
+#: Refined candidates, and the width of the search at each sample.
+REFINED = f"""WITH {MINIMA}, i AS (SELECT * FROM m WHERE pux IS NOT NULL AND nux IS NOT NULL),
     t AS (SELECT i.*, k, k*(2/120::DOUBLE)-1 AS t FROM i CROSS JOIN (SELECT unnest(range(121)) AS k)),
     u AS (SELECT *, t*(t-1)/2 AS wa, 1-t*t AS wb, t*(t+1)/2 AS wc FROM t),
     v AS (SELECT *, wa*pux+wb*ux+wc*nux AS vx, wa*puy+wb*uy+wc*nuy AS vy, wa*puz+wb*uz+wc*nuz AS vz, wa*pdk+wb*dk+wc*ndk AS vd FROM u),
@@ -161,19 +160,21 @@ def local_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     y AS (SELECT *, s[i] AS ym, s[i+1] AS y0, s[i+2] AS yp FROM p),
     z AS (SELECT *, ym-2*y0+yp AS den FROM y), f AS (SELECT *, CASE WHEN den>0 THEN least(greatest(0.5::DOUBLE*(ym-yp)/den,-1),1) ELSE 0 END AS dl FROM z)
     SELECT number, source_id, j, round(et+(i*(2/120::DOUBLE)-1+dl*(2/120::DOUBLE))*600,1) AS et_guess, round(sqrt(greatest(CASE WHEN den>0 THEN y0-0.25::DOUBLE*(ym-yp)*dl ELSE y0 END,0))/1000,2) AS d_mm FROM f
-    WHERE sqrt(greatest(CASE WHEN den>0 THEN y0-0.25::DOUBLE*(ym-yp)*dl ELSE y0 END,0)) <= 1.05::DOUBLE*{MIN_KM}::DOUBLE""",
-)
+    WHERE sqrt(greatest(CASE WHEN den>0 THEN y0-0.25::DOUBLE*(ym-yp)*dl ELSE y0 END,0)) <= 1.05::DOUBLE*{MIN_KM}::DOUBLE"""
+
+
+@query("candidates_refined", REFINED)
 def candidates_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan.minima(samples(spark, sf_dir), stars(spark, sf_dir), MIN_KM, STEP_S, 1.0)
     done = scan.refined(found, STEP_S, num(1.05 * MIN_KM))
     return done.select("number", "source_id", "j", F.round("et_guess", 1).alias("et_guess"), F.round(F.col("d_km") / 1000, 2).alias("d_mm"))
 
 
-@query(
-    "solver_bracket",
-    f"""WITH v AS (SELECT number, j, sqrt(pow(coalesce(nux,ux)-coalesce(pux,ux),2)+pow(coalesce(nuy,uy)-coalesce(puy,uy),2)+pow(coalesce(nuz,uz)-coalesce(puz,uz),2))/(((pux IS NOT NULL)::INT+(nux IS NOT NULL)::INT)*600)*dk AS v FROM {NEAR})
-    SELECT number, j, round(2*least(greatest(1.3::DOUBLE*8000/greatest(v,1e-3::DOUBLE),600),7200),3) AS width_s FROM v""",
-)
+BRACKETS = f"""WITH v AS (SELECT number, j, sqrt(pow(coalesce(nux,ux)-coalesce(pux,ux),2)+pow(coalesce(nuy,uy)-coalesce(puy,uy),2)+pow(coalesce(nuz,uz)-coalesce(puz,uz),2))/(((pux IS NOT NULL)::INT+(nux IS NOT NULL)::INT)*600)*dk AS v FROM {NEAR})
+    SELECT number, j, round(2*least(greatest(1.3::DOUBLE*8000/greatest(v,1e-3::DOUBLE),600),7200),3) AS width_s FROM v"""
+
+
+@query("solver_bracket", BRACKETS)
 def solver_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.with_neighbours(samples(spark, sf_dir)).select("number", "j", F.round(scan.bracket_s(STEP_S, 8000), 3).alias("width_s"))
 

@@ -11,6 +11,7 @@ from umbra.functions import light, sky
 from umbra.functions.constants import EARTH_KM, GM_PLANETS
 from umbra.functions.sky import Vec, num
 from umbra.operators import orbits, scan, solve, tracks
+from umbra.plans import paths
 from umbra.plans.registry import query
 from umbra.plans.shadows import passing
 from umbra.plans.tables import table
@@ -175,24 +176,26 @@ def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 OFFS = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in solve.LINES.items())
 
 
-@query(
-    "shadow_path_lines",
-    f"""WITH a AS (SELECT *, r_km/4 AS sg, cos(radians(dec))*cos(radians(ra)) AS sx, cos(radians(dec))*sin(radians(ra)) AS sy, sin(radians(dec)) AS sz, -sin(radians(ra)) AS ex, cos(radians(ra)) AS ey FROM {{elements}}),
-    t AS (SELECT a.*, k, half*(k*(2/8::DOUBLE)-1) AS dt, l.line, l.ra_, l.er FROM a CROSS JOIN (SELECT CAST(unnest(range(9)) AS INTEGER) AS k) CROSS JOIN (SELECT * FROM (VALUES {OFFS}) v(line, ra_, er)) l),
+def lines_sql(n: int) -> str:
+    """Points (event_id, line, k, lat, lon) of the seven lines at n times, as steps that end in `pts`."""
+    return f"""a AS (SELECT *, r_km/4 AS sg, cos(radians(dec))*cos(radians(ra)) AS sx, cos(radians(dec))*sin(radians(ra)) AS sy, sin(radians(dec)) AS sz, -sin(radians(ra)) AS ex, cos(radians(ra)) AS ey FROM {{elements}}),
+    t AS (SELECT a.*, k, half*(k*(2/{n - 1}::DOUBLE)-1) AS dt, l.line, l.ra_, l.er FROM a CROSS JOIN (SELECT CAST(unnest(range({n})) AS INTEGER) AS k) CROSS JOIN (SELECT * FROM (VALUES {OFFS}) v(line, ra_, er)) l),
     m AS (SELECT *, x0+vx*dt+ax*dt*dt AS px, y0+vy*dt+ay*dt*dt AS py, vx+2*ax*dt AS mx, vy+2*ay*dt AS my, ra_*r_km+er*sg AS o, {ERA.format(t='(et+dt)')} AS era, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz FROM t),
     q AS (SELECT *, px-my/sqrt(mx*mx+my*my)*o AS qx, py+mx/sqrt(mx*mx+my*my)*o AS qy FROM m),
     w AS (SELECT *, ex*qx+nx*qy AS gx, ey*qx+ny*qy AS gy, nz*qy AS gz FROM q),
     r AS (SELECT event_id, line, k, gx*cos(era)+gy*sin(era) AS bx, gy*cos(era)-gx*sin(era) AS by_, gz AS bz, sx*cos(era)+sy*sin(era) AS dx, sy*cos(era)-sx*sin(era) AS dy, sz AS dz, pow(1-1/298.257223563::DOUBLE,2) AS f FROM w),
     z AS (SELECT *, dx*dx+dy*dy+dz*dz/f AS qa, bx*dx+by_*dy+bz*dz/f AS qb, bx*bx+by_*by_+bz*bz/f-pow(6378.137::DOUBLE,2) AS qc FROM r),
-    h AS (SELECT *, (-qb+sqrt(qb*qb-qa*qc))/qa AS far FROM z WHERE qb*qb-qa*qc >= 0)
-    SELECT event_id, line, k, round(degrees(atan2(bz+dz*far, sqrt(pow(bx+dx*far,2)+pow(by_+dy*far,2))*f)),2) AS lat, round(degrees(atan2(by_+dy*far, bx+dx*far)),2) AS lon FROM h""",
-)
+    h AS (SELECT *, (-qb+sqrt(qb*qb-qa*qc))/qa AS far FROM z WHERE qb*qb-qa*qc >= 0),
+    pts AS (SELECT event_id, line, k, degrees(atan2(bz+dz*far, sqrt(pow(bx+dx*far,2)+pow(by_+dy*far,2))*f)) AS lat, degrees(atan2(by_+dy*far, bx+dx*far)) AS lon FROM h)"""
+
+
+@query("shadow_path_lines", f"WITH {lines_sql(9)} SELECT event_id, line, k, round(lat,2) AS lat, round(lon,2) AS lon FROM pts")
 def shadow_path_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "elements").withColumn("sigma_km", F.col("r_km") / 4)
     return solve.path_lines(events, 9).select("event_id", "line", "k", F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"))
 
 
-@query("refine_and_bracket")
+@query("refine_and_bracket", f"WITH c AS ({paths.REFINED}), w AS ({paths.BRACKETS}) SELECT c.number, c.source_id, c.j, c.et_guess, w.width_s FROM c JOIN w USING (number, j)")
 def refine_and_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with the width of the search around each, as the exact solver takes them."""
     stars = table(spark, sf_dir, "stars").select("source_id", F.col("ra").alias("star_ra"), F.col("dec").alias("star_dec"), "g")
