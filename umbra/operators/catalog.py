@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from umbra.functions import sky
 from umbra.functions.constants import FAST_MAS_YR, KIND_MAIN, KIND_RUWE, KIND_TWO, KIND_TWO_A, RUWE_GOOD
@@ -123,3 +124,17 @@ def gaps(spans: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
 
 def two_parameter(kind: Column) -> Column:
     return kind >= KIND_TWO_A
+
+
+def upgraded(old: DataFrame, layout: str) -> DataFrame:
+    """Rows of an earlier layout in the present one (DDL): columns by name, cast; those that the earlier one lacks are 0, or empty text."""
+    fields = T.StructType.fromDDL(layout).fields
+    blank = lambda f: F.lit("" if isinstance(f.dataType, T.StringType) else 0)
+    return old.select(*[(F.col(f.name) if f.name in old.columns else blank(f)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def with_facts(events: DataFrame, flags: DataFrame, velocities: DataFrame, binaries: DataFrame) -> DataFrame:
+    """Events (star, number and others) with what is known of their star and body by key: flag (none: empty), rv_kms (unknown: 0) and
+    companions (none: 0). flags: star, flag; velocities: star, rv_kms; binaries: number, companions. One row a key each."""
+    joined = events.join(flags, "star", "left").join(velocities, "star", "left").join(binaries, "number", "left")
+    return joined.withColumns({"flag": F.coalesce("flag", F.lit("")), "rv_kms": F.coalesce("rv_kms", F.lit(0.0)), "companions": F.coalesce("companions", F.lit(0))})

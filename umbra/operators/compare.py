@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.functions.sky import num
+from umbra.functions import earth
+from umbra.functions.sky import Vec, num
 
 
 def nearest_in_time(reference: DataFrame, hits: DataFrame, key: str, ref_time: str, hit_time: str, tol: float) -> DataFrame:
@@ -83,3 +84,22 @@ def occultations(records: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("quality", "n")))).alias("by_quality"),
         F.max("best").alias("best"),
     )
+
+
+def path_offsets(points: DataFrame, half_s: float = 0.5) -> DataFrame:
+    """Adds across_km, along_km, dt_s and away_km: where another program's point of a path (their_lat, their_lon) lies from ours at the same
+    time (lat, lon), given where ours is `half_s` later (lat1, lon1). All on the ellipsoid, in space, not along the ground.
+
+    Along is the way our point moves, across is to the left of it as seen from above; dt is how long our point takes for the part along.
+    """
+    zero = num(0)
+    here, next_, there = (earth.earth_fixed(F.col(a), F.col(b), zero) for a, b in (("lat", "lon"), ("lat1", "lon1"), ("their_lat", "their_lon")))
+    named = points.withColumns({f"__{n}{c}": getattr(v, c) for n, v in (("p", here), ("q", next_), ("t", there)) for c in "xyz"})
+    at = lambda n: Vec(*(F.col(f"__{n}{c}") for c in "xyz"))
+    step = at("q").minus(at("p"))
+    moved = named.withColumns({"__sx": step.x, "__sy": step.y, "__sz": step.z}).withColumn("__len", at("s").norm())
+    unit, off = at("s").times(1 / F.col("__len")), at("t").minus(at("p"))
+    up = at("p").times(1 / at("p").norm())
+    left = Vec(up.y * unit.z - up.z * unit.y, up.z * unit.x - up.x * unit.z, up.x * unit.y - up.y * unit.x)
+    along = off.dot(unit)
+    return moved.withColumns({"across_km": off.dot(left), "along_km": along, "dt_s": along / (F.col("__len") / half_s), "away_km": off.norm()}).select(*points.columns, "across_km", "along_km", "dt_s", "away_km")

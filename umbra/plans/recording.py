@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from umbra.functions.sky import num
-from umbra.operators import records
+from umbra.operators import catalog, compare, records
+from umbra.plans import paths
 from umbra.plans.registry import query
 from umbra.plans.tables import base, table
+from umbra.sources import files
 
 JD = "(2440587.5::DOUBLE+(1767225600+event_id%400*1800)/86400::DOUBLE)"
 TC = f"(({JD}-2451545)/36525)"
@@ -176,3 +178,65 @@ def body_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def elements_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each body's shadow elements by time, the order in which they are stored."""
     return table(spark, sf_dir, "elements").select("event_id", F.row_number().over(W.partitionBy("number").orderBy("et", "event_id")).alias("pos"))
+
+
+def _ecef(p: str, lat: str, lon: str) -> str:
+    n = f"6378.137::DOUBLE/sqrt(1-(1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE))*sin(radians({lat}))*sin(radians({lat})))"
+    return f"{n}*cos(radians({lat}))*cos(radians({lon})) AS {p}x, {n}*cos(radians({lat}))*sin(radians({lon})) AS {p}y, {n}*(1-(1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE)))*sin(radians({lat})) AS {p}z"
+
+
+@query(
+    "path_offsets",
+    f"""WITH r AS (SELECT event_id, event_id%120-60+0.5::DOUBLE AS lat, event_id%360-180::DOUBLE AS lon, 0.0001::DOUBLE*(event_id%7+1) AS d FROM {{elements}}), v AS (SELECT event_id, {_ecef('p', 'lat', 'lon')}, {_ecef('q', '(lat+d)', '(lon+2*d)')}, {_ecef('t', '(lat-5*d)', '(lon+9*d)')} FROM r),
+    s AS (SELECT *, qx-px AS sx, qy-py AS sy, qz-pz AS sz, tx-px AS ox, ty-py AS oy, tz-pz AS oz, sqrt(px*px+py*py+pz*pz) AS pn FROM v), u AS (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS l FROM s)
+    SELECT event_id, round((ox*(py*sz-pz*sy)+oy*(pz*sx-px*sz)+oz*(px*sy-py*sx))/(pn*l),5) AS across_km, round((ox*sx+oy*sy+oz*sz)/l,5) AS along_km, round((ox*sx+oy*sy+oz*sz)/l/(l/0.5::DOUBLE),5) AS dt_s, round(sqrt(ox*ox+oy*oy+oz*oz),5) AS away_km FROM u""",
+)
+def path_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of another program's path against ours at the same times."""
+    k, d = F.col("event_id"), F.col("d")
+    rows = table(spark, sf_dir, "elements").select(k, (k % 120 - 60 + num(0.5)).alias("lat"), (k % 360 - num(180)).alias("lon"), (0.0001 * (k % 7 + 1)).alias("d"))
+    moved = rows.withColumns({"lat1": F.col("lat") + d, "lon1": F.col("lon") + 2 * d, "their_lat": F.col("lat") - 5 * d, "their_lon": F.col("lon") + 9 * d})
+    return compare.path_offsets(moved).select("event_id", *[F.round(c, 5).alias(c) for c in ("across_km", "along_km", "dt_s", "away_km")])
+
+
+@query("earlier_layout", "SELECT source_id, g AS g_mag, coalesce(pmra,0) AS pmra, 0::DOUBLE AS pm_error, 0 AS kind, '' AS note FROM {stars}")
+def earlier_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars of an earlier layout in the present one."""
+    old = table(spark, sf_dir, "stars").select("source_id", F.col("g").alias("g_mag"), F.coalesce("pmra", num(0)).alias("pmra"), F.lit(1).alias("gone"))
+    return catalog.upgraded(old, "source_id bigint, g_mag double, pmra double, pm_error double, kind int, note string")
+
+
+@query("event_facts", "SELECT e.event_id, CASE WHEN e.event_id%5=0 THEN 'dup' ELSE '' END AS flag, CASE WHEN e.event_id%4=0 THEN e.event_id%90-45::DOUBLE ELSE 0 END AS rv_kms, CAST(CASE WHEN e.number%3=0 AND e.number<=(SELECT max(p_partkey)+1 FROM part) THEN e.number%4 ELSE 0 END AS INTEGER) AS companions FROM {elements} e")
+def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of an event's star and body, with defaults for what isn't."""
+    e = table(spark, sf_dir, "elements")
+    flags = e.where("event_id % 5 = 0").select("star", F.lit("dup").alias("flag"))
+    velocities = e.where("event_id % 4 = 0").select("star", (F.col("event_id") % 90 - num(45)).alias("rv_kms"))
+    binaries = table(spark, sf_dir, "asteroids").where("number % 3 = 0").select("number", (F.col("number") % 4).cast("int").alias("companions"))
+    return catalog.with_facts(e.select("event_id", "star", "number"), flags, velocities, binaries).select("event_id", "flag", "rv_kms", "companions")
+
+
+@query("candidates_order", f"SELECT number, source_id, j, CAST(row_number() OVER (PARTITION BY number ORDER BY et_guess, source_id, j) AS INTEGER) AS pos FROM ({paths.REFINED})")
+def candidates_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each body's candidates by their estimated time, the order in which the exact search takes them."""
+    done = paths.candidates_refined(spark, sf_dir)
+    return done.select("number", "source_id", "j", F.row_number().over(W.partitionBy("number").orderBy("et_guess", "source_id", "j")).alias("pos"))
+
+
+@query("newest_archive", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def newest_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several archive files in a folder the newest is read."""
+    folder = files.scratch(spark, "archives")
+    rows = base(spark, sf_dir, "nation").select(F.format_string("%d|%s", "n_nationkey", "n_name").alias("value"))
+    for part in (rows.limit(3), rows):
+        spark.createDataFrame([("id|name",)], "value string").unionByName(part).coalesce(1).write.mode("append").text(folder)
+    return files.read_archive(spark, files.newest_file(spark, folder, "*.txt"), "id int, name string")
+
+
+@query("header_facts", "SELECT site_id, CAST(site_id+100 AS VARCHAR) AS jpl, round(15*(site_id%24+site_id%60/60::DOUBLE+12.5::DOUBLE/3600),6) AS star_ra, round((CASE WHEN site_id%2=0 THEN -1 ELSE 1 END)*(site_id%80+30/60::DOUBLE+7.25::DOUBLE/3600),6) AS star_dec, site_id+0.5::DOUBLE AS dia_km FROM {sites}")
+def header_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("site_id")
+    made = F.format_string("Orbit JPL# %d\nRA = %d %d 12.5  Dec = %s%d 30 7.25, Dia = %d.5+-2 km", k + 100, k % 24, k % 60, F.when(k % 2 == 0, "-").otherwise(""), k % 80, k)
+    sites = table(spark, sf_dir, "sites").select(made.alias("text"))
+    found = files.header_facts(sites)
+    return found.select((F.col("jpl").cast("bigint") - 100).alias("site_id"), "jpl", F.round("star_ra", 6).alias("star_ra"), F.round("star_dec", 6).alias("star_dec"), "dia_km")

@@ -167,3 +167,32 @@ def write_export(df: DataFrame, path: str) -> None:
 
 def write_lines(df: DataFrame, path: str) -> None:
     df.write.json(path, mode="overwrite", ignoreNullFields=False)
+
+
+def newest_file(spark: SparkSession, folder: str, pattern: str = "*") -> str:
+    """The path of the file in a folder that was changed last; of several, the last by name. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
+    row = found.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()
+    if row is None or row.path is None:
+        raise FileNotFoundError(f"no file {pattern} in {folder}")
+    return row.path
+
+
+def stored_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, files, bytes) of a table's folder: what each directory of it takes. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    inner = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
+    return found.groupBy(inner.alias("part")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def header_facts(text: DataFrame) -> DataFrame:
+    """What a plot's header (column `text`) says: jpl, the orbit's number behind `JPL#`; star_ra and star_dec in degrees, each three numbers behind its
+    name; dia_km behind `Dia`. Null where it says nothing."""
+    words = F.filter(F.split(F.regexp_replace("text", "[=,;]", " "), r"\s+"), lambda w: w != "")
+    rows = text.select(words.alias("w"))
+    behind = lambda name, k: F.when(F.array_position("w", name) > 0, F.try_element_at("w", (F.array_position("w", name) + k).cast("int")))
+    number = lambda name, k: behind(name, k).try_cast("double")
+    parts = lambda name: F.abs(number(name, 1)) + number(name, 2) / 60.0 + number(name, 3) / 3600.0
+    tag = F.get(F.filter("w", lambda w: w.startswith("JPL#")), F.lit(0))
+    jpl = F.coalesce(F.nullif(F.substring_index(tag, "#", -1), F.lit("")), F.when(tag == "JPL#", behind("JPL#", 1)))
+    return rows.select(jpl.alias("jpl"), (15.0 * parts("RA")).alias("star_ra"), (F.when(behind("Dec", 1).startswith("-"), -1.0).otherwise(1.0) * parts("Dec")).alias("star_dec"), F.regexp_replace(behind("Dia", 1), "[^0-9.].*$", "").try_cast("double").alias("dia_km"))
