@@ -530,6 +530,47 @@ def test_quality(request, which):
     assert kept.columns == df.columns and kept.count() == out.where("kept").count()
 
 
+@pytest.mark.parametrize("which", ["pages", "documents"])
+def test_quality_verdicts_equal_brute_force(spark, which):
+    """kept and removed_words by plain sets: holders of each line of a host, a continued text counting as the text it continues."""
+    if which == "documents":
+        df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    else:
+        rng = random.Random(16)
+        line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+        rows = []
+        for host in "xyz":
+            frames = [line(rng.randint(2, 30)) for _ in range(8)]
+            pages = ["\n".join([*rng.sample(frames, rng.randint(0, 5)), *(line(rng.randint(1, 40)) for _ in range(rng.randint(0, 3)))]) for _ in range(120)]
+            rows += [(host, t) for t in pages] + [(host, f"{t}\n{line(rng.randint(1, 9))}  ") for t in pages[:60]] + [(host, t.replace("a", "A") + "\n\n") for t in pages[:20]]
+        df = spark.createDataFrame([(i, t, h if i % 50 else None) for i, (h, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+    docs = []
+    for r in df.select("doc_id", "text", "source").collect():
+        lines = [x for x in (r.text or "").split("\n") if words(x)]
+        sizes, n = [len(words(x)) for x in lines], len(words(r.text or ""))
+        flat = [" ".join(re.sub("[0-9]+", "0", x.lower()).split()) for x in lines]
+        # White space at the end of a line makes no other text.
+        ended = tuple(x.rstrip(" \t\n\x0b\x0c\r") for x in lines)
+        docs.append((r.doc_id, r.source, n, flat, sizes, ended))
+    wholes = collections.defaultdict(set)
+    for _, host, _, _, _, ended in docs:
+        wholes[host].add(ended)
+    holders, crowd = collections.defaultdict(set), collections.defaultdict(set)
+    for _, host, n, flat, sizes, ended in docs:
+        cuts = [ended[: k + 1] for k in range(len(ended) - 1) if sum(sizes[: k + 1]) >= 0.8 * n]
+        own = next((c for c in cuts if c in wholes[host]), ended)
+        for x in flat:
+            crowd[host, x].add(ended)
+            holders[host, x].add(own)
+    above = {k for k, v in holders.items() if len(v) > quality.LEAST_DOCS and len(crowd[k]) > quality.LEAST_DOCS}
+    got = {r.doc_id: r for r in quality.query(df).collect()}
+    assert above or which == "documents"
+    for i, host, n, flat, sizes, _ in docs:
+        removed = sum(k for x, k in zip(flat, sizes, strict=True) if (host, x) in above)
+        assert got[i].removed_words == removed
+        assert got[i].kept == (not got[i].base_failed and n - removed >= quality.LEFT_WORDS and n - removed >= quality.LEFT_SHARE * n)
+
+
 def test_quality_rejects_what_boilerplate_leaves_bare(spark):
     random.seed(6)
     line = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(6)) for _ in range(n))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import sys
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +49,10 @@ def release(keep: frozenset[str] = frozenset()) -> None:
     for path, spark in list(_TABLES.items()):
         if path in keep:
             continue
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            place = jvm.org.apache.hadoop.fs.Path(path)
+        if path.startswith("file:"):
+            shutil.rmtree(urlsplit(path).path, ignore_errors=True)
+        else:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         del _TABLES[path]
 
