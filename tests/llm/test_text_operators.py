@@ -412,6 +412,16 @@ def test_chat_log_holds_what_the_fold_throws_away(spark):
     assert done == {1: [(r or "", t or "") for _, _, r, t in rows[:4]], None: [("assistant", "")]}
 
 
+def test_a_conversation_of_many_turns(spark):
+    """Two hundred thousand turns in one conversation, and one very long text."""
+    long = "é<|x\\\n" * 60_000
+    rows = spark.range(200_000).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("say "), F.col("id").cast("string")).alias("text"))
+    last = spark.createDataFrame([(1, 200_000, "assistant", long)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat.query(rows.unionByName(last)).collect()}[1]
+    loss = "".join(f"say {k}" for k in range(1, 200_000, 2)) + long
+    assert got.n_turns == 200_001 and got.loss_chars == len(loss) and got.loss_sha256 == sha(loss)
+
+
 def test_chat_escapes_are_reversible(spark):
     random.seed(8)
     texts = ["".join(random.choice(["<|", "\\", "s", "p", "n", "<", "|", "im_start", "|>", "\n", "é"]) for _ in range(30)) for _ in range(300)]

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from umbra.llm.spans import blocks, piece, running
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 TRAINED = "assistant"
 RESETS = ("message", "edit", "regenerate")
@@ -68,23 +70,17 @@ def messages(events: DataFrame, conv: str = "conv_id", seq: str = "seq") -> Data
 def render(conversations: DataFrame) -> DataFrame:
     """Adds `formatted` and `loss_spans`, the (start, end) in code points of the text under the loss mask.
 
-    Each turn renders to a piece of its own; a running sum of the pieces' lengths places the spans.
+    Each turn renders to a piece of its own; running sums of the pieces' lengths place the spans, in time that grows with the
+    conversation.
     """
     piece = lambda t: F.concat(F.lit(OPEN), F.replace(escaped(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"), escaped(t["text"]), F.lit(CLOSE))
-    pieces = conversations.withColumn("__pieces", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), piece(t).alias("piece"), F.length(escaped(t["text"])).alias("n"))))
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        end = a["at"] + F.length(p["piece"])
-        stop = end - len(CLOSE)
-        span = F.struct((stop - p["n"]).alias("start"), stop.alias("end"))
-        return F.struct(end.alias("at"), F.when(p["role"] == TRAINED, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
-
-    return pieces.select(
-        *[c for c in conversations.columns],
-        F.array_join(F.transform("__pieces", lambda p: p["piece"]), "").alias("formatted"),
-        F.aggregate("__pieces", first, step, lambda a: a["out"]).alias("loss_spans"),
-    )
+    names = [F.col(f"`{c}`") for c in conversations.columns]
+    cut = conversations.select(*names, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), piece(t).alias("piece"), F.length(escaped(t["text"])).alias("n"))).alias("__pieces"))
+    sized = cut.select(*names, "__pieces", F.transform("__pieces", lambda p: F.length(p["piece"]).cast("bigint")).alias("__lengths"))
+    placed = sized.select(*names, "__pieces", running(F.col("__lengths"), "array<bigint>", lambda a, x: a + x).alias("__ends"))
+    trained = F.filter(F.arrays_zip(F.col("__pieces").alias("p"), F.col("__ends").alias("end")), lambda x: x["p"]["role"] == TRAINED)
+    spans = F.transform(trained, lambda x: F.struct((x["end"] - len(CLOSE) - x["p"]["n"]).alias("start"), (x["end"] - len(CLOSE)).alias("end")))
+    return placed.select(*names, F.array_join(F.transform("__pieces", lambda p: p["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -94,8 +90,10 @@ def read_back(rendered: DataFrame) -> DataFrame:
         unescaped(F.replace(F.substring_index(p, "\n", 1), F.lit("\\n"), F.lit("\n"))).alias("role"),
         unescaped(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p) - F.length(F.substring_index(p, "\n", 1)) - 1 - len(CLOSE))).alias("text"),
     )
-    cut = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return rendered.withColumns({"read_turns": F.transform(parts, split_turn), "read_loss": F.array_join(cut, "")})
+    names = [F.col(f"`{c}`") for c in rendered.columns]
+    blocked = rendered.select(*names, F.transform(parts, split_turn).alias("read_turns"), blocks(F.col("formatted")).alias("__blocks"))
+    under = F.when(F.size("__blocks") > 0, F.array_join(F.transform("loss_spans", lambda s: unescaped(piece("__blocks", s["start"], s["end"]))), "")).otherwise(F.lit(""))
+    return blocked.select(*names, "read_turns", under.alias("read_loss"))
 
 
 #: Characters of a streamed piece.

@@ -130,30 +130,33 @@ def count_kind(spans: Column, kind: str) -> Column:
 CUT = 4096
 
 
-def masked(df: DataFrame, text_col: str, spans_col: str, mask: Callable[[Column], Column]) -> DataFrame:
-    """`df` with the text's spans replaced; overlapping spans merge into the first one's mask. Texts without spans stay as they are.
+def blocks(text: Column) -> Column:
+    """A text as an array of blocks of CUT code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
 
-    The text is cut into blocks, so that a piece of it is found by its number, not by counting from the start.
-    """
+
+def piece(of: str, a: Column, b: Column) -> Column:
+    """The code points from a to b (longs, end exclusive) of a text by the column of its blocks: found by number, not by counting from the start."""
+    block = lambda k: F.get(F.col(of), k.cast("int"))
+    i, j = F.floor(a / CUT), F.floor((b - 1) / CUT)
+    x, y = (a % CUT).cast("int") + 1, ((b - 1) % CUT).cast("int") + 1
+    between = F.array_join(F.slice(of, (i + 2).cast("int"), F.greatest(j - i - 1, F.lit(0)).cast("int")), "")
+    return F.when(b <= a, F.lit("")).when(i == j, F.substring(block(i), x, (b - a).cast("int"))).otherwise(F.concat(F.substring(block(i), x, F.lit(CUT)), between, F.substring(block(j), F.lit(1), y)))
+
+
+def masked(df: DataFrame, text_col: str, spans_col: str, mask: Callable[[Column], Column]) -> DataFrame:
+    """`df` with the text's spans replaced; overlapping spans merge into the first one's mask. Texts without spans stay as they are."""
     names = [F.col(f"`{c}`") for c in df.columns]
     spans, some = F.col(f"`{spans_col}`"), F.size(f"`{spans_col}`") > 0
     cut = df.select(
         *names,
-        F.when(some, F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))).alias("__blocks"),
+        F.when(some, blocks(F.col(f"`{text_col}`"))).alias("__blocks"),
         F.when(some, F.length(f"`{text_col}`").cast("bigint")).alias("__n"),
         F.when(some, F.transform(spans, lambda s: s["end"])).alias("__ends"),
     ).withColumn("__upto", F.when(F.size("__ends") > 0, running(F.col("__ends"), "array<bigint>", lambda a, x: F.greatest(a, x))))
     # Of each span: where the text before it starts, the farthest end of spans before it.
     seen = F.zip_with(spans, F.concat(F.array(F.lit(0).cast("bigint")), F.slice("__upto", F.lit(1), F.size(spans) - 1)), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     marked = cut.select("*", F.when(F.size("__upto") > 0, F.filter(seen, lambda x: x["s"]["start"] >= x["e"])).alias("__fresh"))
-    block = lambda k: F.get(F.col("__blocks"), k.cast("int"))
-
-    def piece(a: Column, b: Column) -> Column:
-        i, j = F.floor(a / CUT), F.floor((b - 1) / CUT)
-        x, y = (a % CUT).cast("int") + 1, ((b - 1) % CUT).cast("int") + 1
-        between = F.array_join(F.slice("__blocks", (i + 2).cast("int"), F.greatest(j - i - 1, F.lit(0)).cast("int")), "")
-        return F.when(b <= a, F.lit("")).when(i == j, F.substring(block(i), x, (b - a).cast("int"))).otherwise(F.concat(F.substring(block(i), x, F.lit(CUT)), between, F.substring(block(j), F.lit(1), y)))
-
-    body = F.array_join(F.transform("__fresh", lambda x: F.concat(piece(x["e"], x["s"]["start"]), mask(x["s"]))), "")
-    done = F.when((F.size("__fresh") > 0) & (F.size("__blocks") > 0), F.concat(body, piece(F.element_at("__upto", -1), F.col("__n")))).otherwise(F.col(f"`{text_col}`"))
+    body = F.array_join(F.transform("__fresh", lambda x: F.concat(piece("__blocks", x["e"], x["s"]["start"]), mask(x["s"]))), "")
+    done = F.when((F.size("__fresh") > 0) & (F.size("__blocks") > 0), F.concat(body, piece("__blocks", F.element_at("__upto", -1), F.col("__n")))).otherwise(F.col(f"`{text_col}`"))
     return marked.select(*[done.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
