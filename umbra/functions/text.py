@@ -102,3 +102,15 @@ def twilight(sun_alt: Column) -> Column:
 def star_note(kind: Column, ruwe: Column) -> Column:
     ruwe_text = F.when(ruwe.isNotNull(), F.format_string("RUWE %.2f", ruwe)).otherwise("RUWE >= 1.4")
     return F.when(kind == 1, ruwe_text).when(kind == 2, "no proper motion").when(kind == 3, "motion from catalog A").when(kind == 4, "motion from catalog B").otherwise("")
+
+
+def listing_angle(x: Column, width: int = 3) -> Column:
+    """An angle as path listings have it: the sign apart, whole degrees in a field, minutes and whole seconds, rounded as one number."""
+    seconds = F.round(F.abs(x) * 3600).cast("bigint")
+    return F.concat(F.when(x < 0, "-").otherwise(" "), F.format_string(f"%{width}d %2d %2d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60))
+
+
+def listing_time(second: Column) -> Column:
+    """Seconds of the day as hours, minutes and seconds to two places."""
+    hundredths = F.floor(second * 100 + 0.5).cast("bigint")
+    return F.format_string("%2d %2d %5.2f", F.floor(hundredths / 360000), F.floor(hundredths % 360000 / 6000), hundredths % 6000 / num(100))
