@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import sys
 import tempfile
@@ -49,7 +50,8 @@ def release(keep: frozenset[str] = frozenset()) -> None:
     for path, spark in list(_TABLES.items()):
         if path in keep:
             continue
-        if path.startswith("file:"):
+        # A folder that this process sees needs no session, which may have ended.
+        if urlsplit(path).scheme in ("", "file") and os.path.isdir(urlsplit(path).path):
             shutil.rmtree(urlsplit(path).path, ignore_errors=True)
         else:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
