@@ -34,6 +34,8 @@ ORDER = 3
 TRAIN_DOCS = 400
 #: How many times TRAIN_DOCS are sorted to find the smallest hashes; the sketch errs by 5 %, chance by less.
 OVERDRAW = 4
+#: Languages whose tables of one row each are broadcast.
+BROADCAST_LANGS = 100_000
 #: Bytes of the table of one group of languages.
 MODEL_BYTES = 1 << 27
 CHUNK = 1 << 20
@@ -66,15 +68,21 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, id_col: str, most: int
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     place = F.xxhash64(F.col(id_col), F.col(text_col))
     places = written(known.select(F.col(lang_col).alias("__lang"), place.alias("__place")), "places")
-    sizes = places.groupBy("__lang").agg(F.approx_count_distinct("__place").alias("__size"))
+    sizes = _checked(places.groupBy("__lang").agg(F.approx_count_distinct("__place").alias("__size")), "sizes")
     low = (F.col("__place").cast("double") / float(1 << 64) + 0.5) * F.col("__size") <= OVERDRAW * most
     lowest = places.join(sizes, "__lang").where(low).select("__lang", "__place").distinct()
     first = W.partitionBy("__lang").orderBy("__place")
     chosen = lowest.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= most)
-    edges = chosen.groupBy("__lang").agg(F.max("__place").alias("__edge"))
+    edges = _checked(chosen.groupBy("__lang").agg(F.max("__place").alias("__edge")), "edges")
     return known.join(edges, (F.col(lang_col) == F.col("__lang")) & (place <= F.col("__edge"))).select(F.col("__lang").alias("lang"), F.col(text_col).alias("text"))
 
 
+def _checked(by_lang: DataFrame, name: str) -> DataFrame:
+    """A table of one row a language, to be broadcast if its count is small, which is checked; else the join shuffles."""
+    table = written(by_lang, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_LANGS else table
+
+
 def counted(sampled: DataFrame) -> DataFrame:
     """(lang, gram, n): counts of each symbol with its context, four bytes as a number."""
 
