@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import bpe, chat, imatch, langid, license_scan, mixing, pii, quality, runs, secrets, simhash
+from umbra.llm import bpe, chat, divergence, imatch, langid, license_scan, mixing, pii, quality, runs, secrets, simhash
 from umbra.llm.common import documents
 
 
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": lambda spark, d: secrets.query(documents(spark, d)),
         "op9_quality": lambda spark, d: quality.query(documents(spark, d)),
         "op10_langid": lambda spark, d: langid.query(documents(spark, d)),
+        "op11_divergence": lambda spark, d: divergence.query(documents(spark, d)),
         "op13_runs": lambda spark, d: runs.query(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.ORACLE_SQL}
+    return {"op6_chat": chat.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL}
