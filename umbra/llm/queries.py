@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import bpe, chat, divergence, imatch, langid, license_scan, mixing, pii, quality, runs, secrets, simhash
+from umbra.llm import bpe, chat, divergence, imatch, langid, license_scan, mixing, pii, quality, runs, secrets, simhash, toxicity
 from umbra.llm.common import documents
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": lambda spark, d: quality.query(documents(spark, d)),
         "op10_langid": lambda spark, d: langid.query(documents(spark, d)),
         "op11_divergence": lambda spark, d: divergence.query(documents(spark, d)),
+        "op12_toxicity": lambda spark, d: toxicity.query(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op13_runs": lambda spark, d: runs.query(documents(spark, d)),
     }
 
