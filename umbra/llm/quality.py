@@ -2,10 +2,10 @@
 
 Lines are normalised (lower case, digit runs to 0, white space to single spaces) and hashed. For each host the documents
 that hold a line are counted; lines above the limit are boilerplate and count as removed, and a document that they leave
-too little of is rejected. Copies of one document aren't several: distinct whole texts are counted. A text that is another
-text of its host with lines added below counts as that one, if it's nearly all of it (SAME of the words).
+too little of is rejected. Exact copies of one document aren't several: distinct whole texts are counted, apart from white space.
 
-Null and empty texts have no words and fail. A null host is a host of its own. Equal rows get equal results each.
+Null and empty texts have no words and fail. A null host is a host of its own. Equal rows get equal results each. Very long texts are read
+whole, one at a time. Columns of `keep` named like a measure are an error; `accepted` returns all columns as they were.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from umbra.llm.common import small_batches, written
 
 #: A line is above the limit if it stands in more distinct documents of its host than this, however many the host has.
 LEAST_DOCS = 20
-#: A text counts as the text that it continues if that one has at least this share of its words.
-SAME = 0.8
 #: What must be left of a document without such lines: words, and a share of its words.
 LEFT_WORDS, LEFT_SHARE = 10, 0.3
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -36,7 +34,7 @@ WHITE = " \t\n\x0b\x0c\r"
 DIGITS = re.compile(r"[0-9]+")
 LINE = "array<struct<hash:bigint,words:bigint>>"
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
-TEXTS = "whole bigint, openings array<bigint>"
+TEXTS = "whole bigint"
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -61,26 +59,16 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(ends[:n]) > 0).sum())
 
 
-def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int, int]], int, list[int]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (hash, words) of distinct lines, the hash of the whole text,
-    and the hashes of its openings: what it would be if it ended after an earlier line, with SAME of its words or more."""
+def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int, int]], int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (hash, words) of distinct lines, the hash of the whole text's words."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
     lines = [x for x in text.split("\n") if x.strip(WHITE)]
     weights: dict[int, int] = {}
-    openings: list[int] = []
-    so_far, n = xxhash.xxh64(), 0
     for line in lines:
         flat = " ".join(DIGITS.sub("0", line.lower()).split())
         h = xxhash.xxh64_intdigest(flat.encode("utf-8", "surrogatepass")) - (1 << 63)
-        raw = line.encode("utf-8", "surrogatepass")
-        k = len(raw.split())
-        weights[h] = weights.get(h, 0) + k
-        # Blank lines and white space at the end of lines make no other text.
-        so_far.update(raw.rstrip() + b"\n")
-        n += k
-        if n >= SAME * len(words):
-            openings.append(so_far.intdigest() - (1 << 63))
+        weights[h] = weights.get(h, 0) + len(line.encode("utf-8", "surrogatepass").split())
     return (
         len(words),
         len(text) - sum(map(text.count, WHITE)),
@@ -88,8 +76,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int,
         len(lines) - len(set(lines)),
         repeated_words(words),
         list(weights.items()),
-        openings.pop() if openings else 0,
-        openings,
+        xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63),
     )
 
 
@@ -105,7 +92,6 @@ def measured(docs: DataFrame, text_col: str, host_col: str, keep: list[str]) ->
                 b[c] = np.array([x[i] for x in done], np.int64)
             b["lines"] = [[{"hash": h, "words": w} for h, w in x[5]] for x in done]
             b["whole"] = np.array([x[6] for x in done], np.int64)
-            b["openings"] = [x[7] for x in done]
             yield b
 
     out = T.StructType([*passed.fields, *T.StructType.fromDDL(f"{MEASURES}, lines {LINE}, {TEXTS}").fields])
@@ -118,17 +104,11 @@ def judged(docs: DataFrame, text_col: str = "text", host_col: str = "source", ke
     lines = table.select("row", "host", "whole", F.explode("lines").alias("line")).select("row", "host", "whole", "line.*")
     # How many distinct texts hold a line; what one task has seen of a line is counted before it moves.
     held = lines.select("host", "hash", "whole").distinct()
-    crowded = written(held.groupBy("host", "hash").count().where(F.col("count") > LEAST_DOCS).select("host", "hash"), "crowded")
-    # Of those lines, once more with texts that continue another one counted as it, the shortest one.
-    opened = table.select("host", "whole", F.posexplode("openings").alias("at", "opening")).distinct()
-    texts = table.select("host", F.col("whole").alias("opening")).distinct()
-    same = opened.join(texts, ["host", "opening"]).groupBy("host", "whole").agg(F.min(F.struct("at", "opening")).alias("same"))
-    told = held.join(crowded, ["host", "hash"]).join(same, ["host", "whole"], "left").select("host", "hash", F.coalesce("same.opening", "whole").alias("whole"))
-    above = told.distinct().groupBy("host", "hash").count().where(F.col("count") > LEAST_DOCS).select("host", "hash")
+    above = held.groupBy("host", "hash").count().where(F.col("count") > LEAST_DOCS).select("host", "hash")
     removed = lines.join(written(above, "above"), ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    whole = table.drop("lines", "whole", "openings").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
+    whole = table.drop("lines", "whole").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed", F.lit(0)))
     judged_rows = whole.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (left >= LEFT_WORDS) & (left >= F.lit(LEFT_SHARE) * F.col("n_words")))
     return judged_rows.drop("row", "host", "removed")
 
