@@ -161,6 +161,55 @@ def test_window_entropy_and_allow_list(spark):
     assert "entropy:4:74" in found[1] and not any(found[k] for k in (2, 3, 4))
 
 
+def plain_secret(value: str, before: str) -> bool:
+    """Whether a candidate string is a secret by its characters alone: every window of what the allow-list leaves is counted anew."""
+    part = r"(?:[A-Z]?[a-z]{1,14}|[A-Z]{1,14})?[0-9]{0,4}"
+    named = re.fullmatch(f"{part}(?:[-_/]+{part})+", value) and 4 * sum(c.isdigit() for c in value) <= len(value)
+    if named or re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9+/_=-]+", value) or re.search(secrets.ALLOWED_NEAR, before):
+        return False
+    runs = [run[:k] for run, least in (("1234567890", 7), ("abcdefghijklmnopqrstuvwxyz", 6)) for k in range(len(run), least - 1, -1)]
+    left = re.sub("(?i)example|sample|dummy|placeholder|changeme|x{6,}|0{8,}|" + "|".join(runs), "", value)
+    if len(left) < 20 or not re.search("[A-Za-z]", left):
+        return False
+    floor = 3.0 if re.fullmatch("[0-9a-fA-F]+", left) else 3.7 if re.search("[a-z]", left) and re.search("[A-Z]", left) else 3.5
+    bits = lambda s: -sum(c / len(s) * np.log2(c / len(s)) for c in collections.Counter(s).values())
+    return round(max(bits(left[i : i + 20]) for i in range(len(left) - 19)), 6) >= floor
+
+
+def test_allowed_words_inside_keys_and_paths(spark):
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n)) + "7"
+    keys = [key(20) + w + key(20) for w in ("abcdef", "1234567", "Sample", "EXAMPLE", "x" * 9, "0" * 12, "changeme", "")]
+    names = ["/home/user/projects/alpha-beta/src/main9", "some-long-words-in-a-row-2024", "/usr/lib/python3/dist-packages/Reader2", "EXAMPLE_sample_EXAMPLE_1234567", "x" * 30 + "1", "abcdefghijklmnopqrstuvwxyz0123", "0" * 40 + "a"]
+    long = key(500_000) + "abcdef" + key(500_000)
+    df = spark.createDataFrame([(i, f"see {v} there") for i, v in enumerate([*keys, *names, long])], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secrets.query(df).collect()}
+    assert all(got[i] == f"entropy:4:{4 + len(k)}" for i, k in enumerate(keys))
+    assert [got[len(keys) + i] for i, n in enumerate(names) if not re.search("[0-9a-f]{16}", n)] == [""] * 6
+    assert got[len(keys) + len(names)] == f"entropy:4:{4 + len(long)}"
+
+
+@pytest.mark.parametrize("which", ["awkward", "documents", "keys"])
+def test_secret_spans_equal_brute_force(request, spark, which):
+    if which == "keys":
+        rng = random.Random(22)
+        pieces = ["abcdef", "1234567", "Sample", "xxxxxxx", "00000000", "-", "/", "_", "=", "q", "word", "Main", "a1b2c3", "ZK9f", "md5: ", "sha256=", " ", "\n", "é"]
+        df = spark.createDataFrame([(i, "".join(rng.choice(pieces) for _ in range(rng.randint(1, 40)))) for i in range(800)], "doc_id bigint, text string")
+    else:
+        df = request.getfixturevalue(which)
+    rules = [
+        ("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 12),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16),
+        ("entropy", secrets.CANDIDATE, lambda m: plain_secret(m[0], m.string[max(0, m.start() - 48) : m.start()])),
+    ]
+    want = collections.Counter()
+    for i, t in pairs(df):
+        found = sorted((m.start(), k, kind, m.end()) for k, (kind, p, ok) in enumerate(rules) for m in re.finditer(p, t) if ok(m))
+        want[i, ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in found)] += 1
+    assert rows_of(secrets.query(df), "doc_id", "spans") == want
+
+
 @pytest.mark.parametrize("which", ["awkward", "documents"])
 def test_license_base(request, which):
     df = request.getfixturevalue(which)
@@ -542,7 +591,7 @@ def test_quality(request, which):
 
 @pytest.mark.parametrize("which", ["pages", "documents"])
 def test_quality_verdicts_equal_brute_force(spark, which):
-    """kept and removed_words by plain sets: holders of each line of a host, a continued text counting as the text it continues."""
+    """kept and removed_words by plain sets: the distinct texts of a host that hold each line."""
     if which == "documents":
         df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     else:
@@ -559,20 +608,13 @@ def test_quality_verdicts_equal_brute_force(spark, which):
         lines = [x for x in (r.text or "").split("\n") if words(x)]
         sizes, n = [len(words(x)) for x in lines], len(words(r.text or ""))
         flat = [" ".join(re.sub("[0-9]+", "0", x.lower()).split()) for x in lines]
-        # White space at the end of a line makes no other text.
-        ended = tuple(x.rstrip(" \t\n\x0b\x0c\r") for x in lines)
-        docs.append((r.doc_id, r.source, n, flat, sizes, ended))
-    wholes = collections.defaultdict(set)
-    for _, host, _, _, _, ended in docs:
-        wholes[host].add(ended)
-    holders, crowd = collections.defaultdict(set), collections.defaultdict(set)
-    for _, host, n, flat, sizes, ended in docs:
-        cuts = [ended[: k + 1] for k in range(len(ended) - 1) if sum(sizes[: k + 1]) >= 0.8 * n]
-        own = next((c for c in cuts if c in wholes[host]), ended)
+        # White space makes no other text.
+        docs.append((r.doc_id, r.source, n, flat, sizes, tuple(words(r.text or ""))))
+    holders = collections.defaultdict(set)
+    for _, host, _, flat, _, whole in docs:
         for x in flat:
-            crowd[host, x].add(ended)
-            holders[host, x].add(own)
-    above = {k for k, v in holders.items() if len(v) > quality.LEAST_DOCS and len(crowd[k]) > quality.LEAST_DOCS}
+            holders[host, x].add(whole)
+    above = {k for k, v in holders.items() if len(v) > quality.LEAST_DOCS}
     got = {r.doc_id: r for r in quality.query(df).collect()}
     assert above or which == "documents"
     for i, host, n, flat, sizes, _ in docs:
@@ -588,11 +630,24 @@ def test_quality_rejects_what_boilerplate_leaves_bare(spark):
     bare = [(i, f"{frame}\n{line(5)}", "h") for i in range(40)]
     full = [(100 + i, f"{frame}\n{line(90)}\n{line(30)}", "h") for i in range(40)]
     page = "\n".join(line(12) for _ in range(8))
-    copies = [(200 + i, page, "h") for i in range(40)] + [(300 + i, f"{page}\n{line(8)}", "h") for i in range(40)]
+    copies = [(200 + i, page, "h") for i in range(40)] + [(300 + i, f"{line(80)}\n{line(8)}", "h") for i in range(40)]
     kept = {r.doc_id for r in quality.accepted(spark.createDataFrame(bare + full + copies, "doc_id bigint, text string, source string")).collect()}
     assert kept == {i for i, *_ in full + copies}
 
 
+@pytest.mark.parametrize("place", ["below", "above", "inside"])
+@pytest.mark.parametrize("template", [0, 1, 3])
+def test_a_bare_template_flips_no_verdict(spark, place, template):
+    """Pages of one template with a few words of their own are rejected, wherever these stand and whether the template is a page too."""
+    rng = random.Random(12)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    frame = [line(10) for _ in range(5)]
+    at = {"below": 5, "above": 0, "inside": 2}[place]
+    texts = ["\n".join([*frame[:at], line(5), *frame[at:]]) for _ in range(60)] + ["\n".join(frame)] * template + [line(40)]
+    df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    assert [r.doc_id for r in quality.accepted(df).collect()] == [len(texts) - 1]
+
+
 def test_quality_counts_pages_with_several_shared_lines(spark):
     """Header and footer or twenty shared lines with a line of their own, and pages that differ in digits: all are counted."""
     random.seed(9)

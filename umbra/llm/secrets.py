@@ -4,7 +4,8 @@ A candidate string gets the Shannon entropy of a window of `WIDTH` characters sl
 are kept as the window moves, five bits each: one count goes down, one goes up, and so the window's sum of c*log2(c) changes by
 two looked-up steps; time is linear in the string. What entropy is too high depends on the string's class of characters.
 
-Null text: no spans. Empty text: no spans. Very long texts and strings: as any other. Other columns pass through untouched.
+Null text: no spans. Empty text: no spans. Very long texts and strings: as any other. Equal rows get equal spans each; spans that begin
+together are listed by kind. Empty tables give empty tables. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -27,8 +28,19 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}
 
 #: Least entropy in bits a character, by what characters the string has.
 FLOORS = {"hex": 3.0, "lower": 3.5, "mixed": 3.7}
-#: Strings that look random and are no secrets: placeholders, identifiers made of words, digests named as such, UUIDs.
-ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|x{6,}|0{8,}|1234567|abcdef|^[a-z]+(?:[-_/][a-z]+)+[-_/]?[0-9]{0,4}$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9+/_=-]+$"
+def _counted_up(run: str, least: int) -> str:
+    """A pattern of the run's beginnings of `least` characters or more."""
+    return run[:least] + "(?:" + "(?:".join(run[least:]) + ")?" * len(run[least:])
+
+
+#: Pieces that make no secret: placeholders and counted-up characters. They are cut out, and what is left is scored.
+PIECES = rf"(?i)example|sample|dummy|placeholder|changeme|x{{6,}}|0{{8,}}|{_counted_up('1234567890', 7)}|{_counted_up('abcdefghijklmnopqrstuvwxyz', 6)}"
+#: Whole strings that look random and are none: UUIDs, numbers.
+ALLOWED = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9+/_=-]+$"
+#: Names and paths: parts of one case, the first letter aside, each with up to four digits behind; a quarter digits at most.
+PART = r"(?:[A-Z]?[a-z]{1,14}|[A-Z]{1,14})?[0-9]{0,4}"
+NAMED = rf"^{PART}(?:[-_/]+{PART})+$"
+#: Digests named as such.
 ALLOWED_NEAR = r"(?i)(?:sha-?(?:1|256|512)|md5|digest|integrity|checksum|commit)[\"':=\x20-]*$"
 
 
@@ -70,12 +82,15 @@ def window_entropy(value: Column, width: int = WIDTH) -> Column:
 
 
 def _score(value: Column, before: Column, after: Column) -> Column:
-    """0 for what the allow-list has; else how far the entropy lies above the floor of the string's class, from 0.5 on."""
-    floor = F.when(value.rlike("^[0-9a-fA-F]+$"), F.lit(FLOORS["hex"])).when(value.rlike("[a-z]") & value.rlike("[A-Z]"), F.lit(FLOORS["mixed"])).otherwise(F.lit(FLOORS["lower"]))
-    allowed = value.rlike(ALLOWED) | before.rlike(ALLOWED_NEAR) | ~value.rlike("[A-Za-z]")
-    # One element, so that the entropy is worked out once.
-    above = F.transform(F.array(window_entropy(value)), lambda bits: F.when(bits < floor, F.lit(0.0)).otherwise(F.least(F.lit(1.0), 0.5 + (bits - floor) / 2)))
-    return F.when(allowed, F.lit(0.0)).otherwise(F.get(above, F.lit(0)))
+    """0 for what the allow-list has; else how far the entropy of what it leaves lies above the floor of its class, from 0.5 on."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]+", ""))
+    allowed = value.rlike(ALLOWED) | (value.rlike(NAMED) & (4 * digits <= F.length(value))) | before.rlike(ALLOWED_NEAR)
+    left = F.when(allowed, F.lit("")).otherwise(F.regexp_replace(value, PIECES, ""))
+    floor = lambda x: F.when(x.rlike("^[0-9a-fA-F]+$"), F.lit(FLOORS["hex"])).when(x.rlike("[a-z]") & x.rlike("[A-Z]"), F.lit(FLOORS["mixed"])).otherwise(F.lit(FLOORS["lower"]))
+    # One element, so that what is left is cut and the entropy worked out once.
+    bits = F.transform(F.array(left), lambda x: F.struct(window_entropy(x).alias("bits"), floor(x).alias("floor"), x.rlike("[A-Za-z]").alias("letters")))
+    above = F.transform(bits, lambda m: F.when(~m["letters"] | (m["bits"] < m["floor"]), F.lit(0.0)).otherwise(F.least(F.lit(1.0), 0.5 + (m["bits"] - m["floor"]) / 2)))
+    return F.get(above, F.lit(0))
 
 
 def rules(least: float = 0.5) -> list[Rule]:
