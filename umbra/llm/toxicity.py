@@ -19,8 +19,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Generic, TypeVar
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 TWICE = re.compile(r"([^\W\d_])\1")
 APART = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}(?!\S)){2,}")
 AROUND, AFTER = "\"'(¿*[{<", ".,;:?!\"')…]}>*"
+Item = TypeVar("Item")
 _CODE = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else OTHER if c >= 0xC2 else 0 for c in range(256))
 _INNER = bytes(range(0x80, 0xC0))
 
@@ -104,34 +106,62 @@ def restored(stretch: str, cost: list[float] | np.ndarray) -> str:
     """The likeliest plain reading of a stretch in lower case, by Viterbi's algorithm. A state is the last three letters of the word so
     far, with whether the character before was read as a letter, so that its repetition can be left out."""
     square = CODES * CODES
-    states: dict[tuple[int, bool], tuple[float, tuple | None]] = {(0, False): (0.0, None)}
+    # By 2 * last three letters + (1: read as a letter): bits and path.
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     before = ""
-    for ch in stretch:
-        now: dict[tuple[int, bool], tuple[float, tuple | None]] = {}
-
-        def reach(key: tuple[int, bool], bits: float, path: tuple | None, now: dict = now) -> None:
-            held = now.get(key)
-            if held is None or bits < held[0]:
-                now[key] = (bits, path)
-
-        looks = LOOKS.get(ch, "")
-        letter = ch.isalpha()
-        for (last, read), (bits, path) in states.items():
-            if letter:
-                code = ord(ch) - 96 if "a" <= ch <= "z" else OTHER
-                reach((last % square * CODES + code, True), bits + cost[last * CODES + code], (path, ch))
+    forks = [k for k, ch in enumerate(stretch) if not ch.isalpha() or (k and ch == stretch[k - 1])]
+    at, n = 0, len(stretch)
+    for fork in (*forks, n):
+        # Up to the next fork each state has one way on. A single state's bits decide nothing any more: it takes the rest as it is.
+        while at < fork:
+            if len(states) == 1:
+                ((key, (_, path)),) = states.items()
+                last = key >> 1
+                for ch in stretch[max(at, fork - 3) : fork]:
+                    last = last % square * CODES + (ord(ch) - 96 if "a" <= ch <= "z" else OTHER)
+                states = {last * 2 + 1: (0.0, (path, stretch[at:fork]))}
+                at = fork
+                break
+            ch = stretch[at]
+            code = ord(ch) - 96 if "a" <= ch <= "z" else OTHER
+            now: dict[int, tuple[float, tuple | None]] = {}
+            for key, (bits, path) in states.items():
+                last = key >> 1
+                to = (last % square * CODES + code) * 2 + 1
+                bits += cost[last * CODES + code]
+                held = now.get(to)
+                if held is None or bits < held[0]:
+                    now[to] = (bits, (path, ch))
+            states = now
+            at += 1
+        if fork == n:
+            break
+        ch, before = stretch[fork], stretch[fork - 1] if fork else ""
+        code = 0 if not ch.isalpha() else ord(ch) - 96 if "a" <= ch <= "z" else OTHER
+        looks = "" if code else LOOKS.get(ch, "")
+        ways: list[tuple[int, float, tuple | None]] = []
+        for key, (bits, path) in states.items():
+            last = key >> 1
+            if code:
+                ways.append(((last % square * CODES + code) * 2 + 1, bits + cost[last * CODES + code], (path, ch)))
             else:
                 for x in looks:
-                    code = ord(x) - 96
-                    reach((last % square * CODES + code, True), bits + SWAP + cost[last * CODES + code], (path, x))
+                    k = ord(x) - 96
+                    ways.append(((last % square * CODES + k) * 2 + 1, bits + SWAP + cost[last * CODES + k], (path, x)))
                 end = bits + (cost[last * CODES] if last else 0.0)
-                reach((0, False), end + (BREAK if looks else 0.0), (path, " ") if last else path)
+                ways.append((0, end + (BREAK if looks else 0.0), (path, " ") if last else path))
                 if not looks and not ch.isdigit():
-                    reach((last, False), bits + DROP, path)
-            if read and ch == before:
-                reach((last, True), bits + REPEAT, path)
-        states, before = now, ch
-    _, path = min(((b + (cost[last * CODES] if last else 0.0), p) for (last, _), (b, p) in states.items()), key=lambda x: x[0])
+                    ways.append((last * 2, bits + DROP, path))
+            if key & 1 and ch == before:
+                ways.append((key, bits + REPEAT, path))
+        now = {}
+        for to, bits, path in ways:
+            held = now.get(to)
+            if held is None or bits < held[0]:
+                now[to] = (bits, path)
+        states = now
+        at = fork + 1
+    _, path = min(((b + (cost[(key >> 1) * CODES] if key > 1 else 0.0), p) for key, (b, p) in states.items()), key=lambda x: x[0])
     out: list[str] = []
     while path is not None:
         path, ch = path
@@ -145,43 +175,50 @@ def readings(plain: str) -> list[str]:
     return [*words, "".join(words)] if len(words) > 1 else words
 
 
+def of_token(token: str, cost: list[float]) -> tuple[str, ...]:
+    """The words of a token without white space: those that stand there, and those that it may stand for."""
+    if token.isalpha() and not TWICE.search(token):
+        return (token,)
+    words = LETTERS.findall(token)
+    core = token.lstrip(AROUND).rstrip(AFTER)
+    if words and (not core.isalpha() or TWICE.search(core)):
+        words += readings(restored(core, cost))
+    return tuple(dict.fromkeys(words))
+
+
+def features(words: Iterable[str]) -> set[str]:
+    """Whole words, with a space at the end, and beginnings of longer ones."""
+    found = {w[:k] for w in words for k in BEGINNINGS if len(w) > k}
+    found.update(w + " " for w in words)
+    return found
+
+
 @dataclass
-class Reader:
-    """The words of texts: those that stand there, and those that disguised stretches hold."""
+class Reader(Generic[Item]):
+    """What `make` makes of a text's words, token by token; what it made of a token is kept for the next text."""
 
     cost: list[float]
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-    def of_token(self, token: str) -> tuple[str, ...]:
-        found = self.known.get(token)
-        if found is None:
-            words = LETTERS.findall(token)
-            core = token.lstrip(AROUND).rstrip(AFTER)
-            if words and (TWICE.search(core) or not core.isalpha()):
-                words += readings(restored(core, self.cost))
-            found = tuple(dict.fromkeys(words))
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            self.known[token] = found
-        return found
+    make: Callable[[tuple[str, ...]], tuple[Item, ...]]
+    known: dict[str, tuple[Item, ...]] = field(default_factory=dict)
 
-    def words(self, text: str | None) -> set[str]:
+    def read(self, text: str | None) -> set[Item]:
         low = (text or "").lower()
-        found: set[str] = set()
+        found: set[Item] = set()
+        known = self.known
         for token in set(low.split()):
-            found.update(self.of_token(token))
+            made = known.get(token)
+            if made is None:
+                made = self.make(of_token(token, self.cost))
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[token] = made
+            if made:
+                found.update(made)
         for m in APART.finditer(low):
-            found.update(readings(restored(re.sub(r"\s+", " ", m.group()), self.cost)))
+            found.update(self.make(tuple(readings(restored(re.sub(r"\s+", " ", m.group()), self.cost)))))
         return found
 
 
-def features(words: set[str]) -> set[str]:
-    """Whole words, with a space at the end, and beginnings of longer ones."""
-    found = {w[:k] for w in words for k in BEGINNINGS if len(w) > k}
-    found.update(w + " " for w in words)
-    return found
-
-
 @dataclass
 class Model:
     cost: np.ndarray
@@ -190,9 +227,16 @@ class Model:
     bias: float
 
     def scores(self, texts: Iterator[str | None]) -> Iterator[float]:
-        reader = Reader(self.cost.tolist())
+        # A word without the first four characters of any feature has none.
+        heads, weights = {f[: BEGINNINGS[0]] for f in self.weights}, self.weights
+
+        def hits(words: tuple[str, ...]) -> tuple[str, ...]:
+            some = [w for w in words if (w + " ")[: BEGINNINGS[0]] in heads]
+            return tuple(f for f in features(some) if f in weights) if some else ()
+
+        reader = Reader(self.cost.tolist(), hits)
         for text in texts:
-            found = [self.weights[f] for f in features(reader.words(text)) if f in self.weights]
+            found = [weights[f] for f in sorted(reader.read(text))]
             logit = self.bias + math.fsum(w for w, _ in found)
             yield max(1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, logit)))), *(share for _, share in found), 0.0)
 
@@ -248,9 +292,9 @@ def trained(docs: DataFrame, labels: DataFrame, corpus: DataFrame, label_col: st
     sample = sampled(docs, labels, label_col, text_col, id_col, most)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(send.value.tolist())
+        reader = Reader(send.value.tolist(), lambda words: words)
         for b in batches:
-            words = [sorted(reader.words(t.as_py())) for t in b.column("text")]
+            words = [sorted(reader.read(t.as_py())) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
 
     texts = written(small_batches(sample.select("label", "text")).mapInArrow(read, "label int, words array<string>"), "words")
@@ -264,7 +308,7 @@ def trained(docs: DataFrame, labels: DataFrame, corpus: DataFrame, label_col: st
         seen = (Counter(), Counter())
         for b in batches:
             for label, words in zip(b.column("label"), b.column("words"), strict=True):
-                seen[label.as_py() > 0].update(features(set(words.as_py())))
+                seen[label.as_py() > 0].update(features(words.as_py()))
         names = [*seen[0], *(f for f in seen[1] if f not in seen[0])]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (seen[1], seen[0]))], ["feature", "a", "b"])
 
@@ -285,7 +329,7 @@ def trained(docs: DataFrame, labels: DataFrame, corpus: DataFrame, label_col: st
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(at[f] for f in features(set(w.as_py())) if f in at) for w in b.column("words")]
+            found = [sorted(at[f] for f in features(w.as_py()) if f in at) for w in b.column("words")]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array(found, pa.list_(pa.int32()))], ["h", "label", "found"])
 
     rows = small_batches(texts.select("h", "label", "words")).mapInArrow(hits, "h bigint, label int, found array<int>").orderBy("h").collect()
