@@ -36,20 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: dict[str, SparkSession] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
     """`df` as a table in the shared folder: computed once, its lineage cut, safe when executors go. The table stays until
-    `release`, or until the process ends, as results are read from it later on."""
+    `release`, or until the process ends, as results are read from it later on. Its folder is added to `made`."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/umbra/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES[path] = df.sparkSession
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(keep: frozenset[str] = frozenset()) -> None:
-    """Deletes the tables that `written` made, but for those in `keep`; frames that read them can't be used any more."""
-    for path, spark in list(_TABLES.items()):
-        if path in keep:
-            continue
+def release(paths: list[str]) -> None:
+    """Deletes tables that `written` made; frames that read them can't be used any more."""
+    for path in paths:
+        spark = _TABLES[path]
         # A folder that this process sees needs no session, which may have ended.
         if urlsplit(path).scheme in ("", "file") and os.path.isdir(urlsplit(path).path):
             shutil.rmtree(urlsplit(path).path, ignore_errors=True)
@@ -59,15 +60,10 @@ def release(keep: frozenset[str] = frozenset()) -> None:
         del _TABLES[path]
 
 
-def tables() -> frozenset[str]:
-    """What `written` has made so far and `release` hasn't deleted."""
-    return frozenset(_TABLES)
-
-
 @atexit.register
 def _release_at_end() -> None:
     try:
-        release()
+        release(list(_TABLES))
     except Exception as e:  # noqa: BLE001 - the session may be gone by now; its folder then stays
         print(f"tables of this run stay in the shared folder: {type(e).__name__}", file=sys.stderr)
 

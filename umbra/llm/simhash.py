@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import release, small_batches, tables, written
+from umbra.llm.common import release, small_batches, written
 
 SEED = 42
 WORDS = 3
@@ -227,19 +227,19 @@ def components(edges: DataFrame) -> DataFrame:
     node's smaller ones do (small star). Every round is a grouping and a join over a written table, nothing goes to the driver.
     """
     # Signed order throughout: any total order gives the same components.
-    others = tables()
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    own: list[str] = []
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links", own)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that the join below reads two plain tables and a hub's edges can be split over tasks.
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", own)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_min.select("u", F.col("m").alias("v")))
-        old = tables() - others
-        now = written(moved.where("u <> v").distinct(), "links")
-        release(tables() - old)
+        last, own = own, []
+        now = written(moved.where("u <> v").distinct(), "links", own)
+        release(last)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
