@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import earth, light, sky, text
 from umbra.functions.sky import Vec, num
-from umbra.operators import catalog, cells, orbits, results, scan, solve, tracks
+from umbra.operators import catalog, cells, ground_index, orbits, results, scan, solve, tracks
 from umbra.plans import solving
 from umbra.plans.tables import table
 from umbra.sources import files
@@ -133,21 +133,64 @@ def test_geodetic_round_trip(spark):
     assert tuple(one(spark, lat, height)) == pytest.approx((-33.3, 2500.0), abs=1e-5)
 
 
-def test_near_site_and_site_events_equal_all_pairs(spark):
-    """The index must not lose or add a pair: all events at all sites, by the exact test alone; solutions lie within its bounds."""
-    import duckdb
-
-    from umbra.plans import registry, shadows
-    from umbra.plans.tables import filled
-
-    sf, c = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("orders", "supplier", "part"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    want = {(e, s): d for e, s, d in c.execute(filled(shadows.ALL_PAIRS)).fetchall()}
-    got = {(r.event_id, r.site_id): r.closest_km for r in registry.queries()["near_site"](spark, sf).collect()}
-    assert len(want) > 20 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.002 for k in want)
-    solved = {(r.event_id, r.site_id): r for r in registry.queries()["site_events"](spark, sf).collect()}
-    assert solved.keys() == want.keys() and all(r.miss_km <= r.closest_km + 10.5 for r in solved.values())
+def scanned_partitions(df) -> int:
+    """Folders that the scans of a collected query have read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    todo, total = [plan], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            total += node.metrics().apply("numPartitions").value() if node.metrics().contains("numPartitions") else 0
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "QueryStage" in name:
+            todo.append(node.plan())
+    return total
+
+
+def test_index_reads_only_the_folders_it_needs(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    ground_index.build(table(spark, SF, "elements"), path, 60.0, 5.0, -6.0)
+    index = ground_index.load(spark, path, 60.0, 5.0, -6.0)
+    folders = len(list((tmp_path / "index").glob("day=*/tile=*")))
+    assert folders > 300
+    box = ground_index.in_box(index, 34.0, 72.0, -25.0, 45.0)
+    assert "PartitionFilters" in plan_of(box) and 0 < scanned_partitions(box) <= 0.2 * folders
+    day = ground_index.at_times(index, 3 * 86400.0, 3.2 * 86400.0, 3600.0)
+    assert 0 < scanned_partitions(day) <= folders / 3
+    some = table(spark, SF, "sites").where("site_id = 3").select("site_id", "lat", "lon", "ele_m", "reach_km")
+    pairs = ground_index.near_sites(index, some)
+    assert "dynamicpruning" in plan_of(pairs) and 0 < scanned_partitions(pairs) <= 0.1 * folders
+    with pytest.raises(ValueError, match="reach up to 60"):
+        ground_index.load(spark, path, 61.0, 5.0, -6.0)
+
+
+def test_empty_index_and_request_at_the_seam(spark, tmp_path):
+    none = table(spark, SF, "elements").limit(0)
+    ground_index.build(none, f"{tmp_path}/none", 60.0, 5.0, -6.0)
+    assert ground_index.bounds(ground_index.load(spark, f"{tmp_path}/none", 60.0, 5.0, -6.0)).count() == 0
+    rows = lambda lat, lon, km: {tuple(c) for c in spark.range(1).select(ground_index.cells(num(lat), num(lon), num(km)).alias("c")).first().c}
+    assert rows(0.1, 179.9, 100.0) == {(17, 71), (17, 0), (18, 71), (18, 0)}
+    assert {c for r, c in rows(88.5, 10.0, 100.0)} == set(range(72)) and max(r for r, _ in rows(88.5, 10.0, 100.0)) == 35
+    assert tuple(spark.range(1).select(ground_index.cell(num(90), num(180)).alias("c")).first().c) == (35, 0)
+
+
+def test_circles_of_cells_hold_all_places_within(spark):
+    rng = random.Random(14)
+    circles = [(rng.uniform(-90, 90), rng.uniform(-180, 180), rng.choice([1.0, 300.0, 2000.0])) for _ in range(150)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(circles)], "i int, lat double, lon double, km double")
+    held = {r.i: {tuple(c) for c in r.c} for r in df.select("i", ground_index.cells(F.col("lat"), F.col("lon"), F.col("km")).alias("c")).collect()}
+    near = []
+    for i, (lat, lon, km) in enumerate(circles):
+        for _ in range(40):
+            # A place at some distance in some direction, on the sphere.
+            d, a, p = rng.uniform(0, km) / 6371.0, rng.uniform(0, 2 * math.pi), math.radians(lat)
+            q = math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(a))
+            near.append((i, math.degrees(q), lon + math.degrees(math.atan2(math.sin(a) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(q)))))
+    there = spark.createDataFrame(near, "i int, lat double, lon double").select("i", ground_index.cell(F.col("lat"), F.col("lon")).alias("c")).collect()
+    assert all(tuple(r.c) in held[r.i] for r in there)
 
 
 def test_regions_by_name_or_box():

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from umbra.functions import earth
 from umbra.functions.sky import num
-from umbra.operators import shadow, tracks
+from umbra.operators import ground_index, shadow, tracks
 from umbra.plans.registry import query
 from umbra.plans.tables import table
+from umbra.sources.files import scratch
 
 ARRAYS = "list_transform(range(9), lambda i: {0}0 + v{0}*(half*(i/4-1::DOUBLE)) + a{0}*pow(half*(i/4-1::DOUBLE),2) + 0.05::DOUBLE*sin(i::DOUBLE*7))"
 
@@ -73,65 +74,104 @@ def ground_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "k", F.round("lat", 5).alias("lat"), F.round("lon", 4).alias("lon"), F.round("star_up", 6).alias("star_up"), F.round("sun_up", 6).alias("sun_up"), "ok")
 
 
+#: The index' own limits: the farthest reach of a site, and margins on top.
+INDEX_REACH = 60.0
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of all events of a folder, written the first time that a session asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = scratch(spark, "ground")
+        ground_index.build(table(spark, sf_dir, "elements"), path, INDEX_REACH, ALT, SUN)
+        _INDEXES[key] = path
+    return ground_index.load(spark, _INDEXES[key], INDEX_REACH, ALT, SUN)
+
+
+def _reach_sql(s: str, wide: str, lo: str) -> str:
+    """Ground reach for a sine of the star's altitude."""
+    r, c = "6378.137::DOUBLE", f"sqrt(greatest(1-pow({s},2),0))"
+    high = f"CASE WHEN {c}-{wide}/{r}<=0 THEN 1 ELSE sqrt(greatest(1-pow({c}-{wide}/{r},2),0)) END"
+    low = f"greatest(CASE WHEN {c}+{wide}/{r}>=1 THEN -1 ELSE sqrt(greatest(1-pow({c}+{wide}/{r},2),0)) END, {lo})"
+    return f"(2*{r}*asin(least(sqrt(pow({wide},2)+pow({r}*greatest({high}-({s}),({s})-{low},0),2))/(2*{r}),1)))"
+
+
+SIN4 = "sin(radians(4::DOUBLE))"
+#: Samples as the index takes them, and the rows and columns of cells that each one's observers can reach.
+OCCUPIED = f"""{_track_sql(41, "70", SIN4, "sin(radians(-5::DOUBLE))")},
+    mg AS (SELECT *, gs/6378.137::DOUBLE AS sw, 1.03::DOUBLE*greatest({", ".join(_reach_sql(f"(least(greatest(star_up+({k})*gs/6378.137::DOUBLE,-1),1))", "(r_km+70)", SIN4) for k in (-1, 0, 1))})+gs+1 AS km FROM track WHERE ok),
+    ce AS (SELECT *, km/111.2::DOUBLE+0.2::DOUBLE AS up, abs(lat)+km/111.2::DOUBLE+0.2::DOUBLE AS edge FROM mg),
+    si AS (SELECT *, CASE WHEN edge<89 THEN up/cos(radians(least(edge,89))) ELSE 180 END AS side FROM ce),
+    oc AS (SELECT *, CAST(floor((least(greatest(lat-up,-90),89.999999::DOUBLE)+90)/5) AS INTEGER) AS r0, CAST(floor((least(greatest(lat+up,-90),89.999999::DOUBLE)+90)/5) AS INTEGER) AS r1, CAST(floor((lon-side+180)/5) AS INTEGER) AS c0, CAST(floor((lon+side+180)/5) AS INTEGER) AS c1 FROM si)"""
+
+
 @query(
     "track_bounds",
-    f"""WITH {TRACK}, o AS (SELECT * FROM track WHERE ok),
-    l AS (SELECT event_id, lon, coalesce(lead(lon) OVER w, min(lon) OVER (PARTITION BY event_id)+360)-lon AS gap, coalesce(lead(lon) OVER w, min(lon) OVER (PARTITION BY event_id)) AS west FROM o WINDOW w AS (PARTITION BY event_id ORDER BY lon)),
-    b AS (SELECT event_id, max(gap) AS gap, arg_min(west, ROW(-gap, lon)) AS west FROM l GROUP BY event_id),
-    st AS (SELECT event_id, max(CASE WHEN ok AND nok THEN abs((nlon-lon+180)-floor((nlon-lon+180)/360)*360-180) ELSE 0 END) AS step FROM (SELECT *, lead(lon) OVER (PARTITION BY event_id ORDER BY k) AS nlon, coalesce(lead(ok) OVER (PARTITION BY event_id ORDER BY k), false) AS nok FROM track) GROUP BY event_id),
-    m AS (SELECT event_id, min(lat-(gs+r_km)/111.2::DOUBLE) AS lat_lo, max(lat+(gs+r_km)/111.2::DOUBLE) AS lat_hi, max((gs+r_km)/111.2::DOUBLE/greatest(cos(radians(lat)),0.05::DOUBLE)) AS pad, min(star_up-gs/6378.137::DOUBLE) AS sin_lo, max(star_up+gs/6378.137::DOUBLE) AS sin_hi FROM o GROUP BY event_id),
-    f AS (SELECT m.*, gap, west, greatest(abs(lat_lo),abs(lat_hi))>80 OR gap<4*step+1e-9::DOUBLE OR 360-gap+2*pad>=360 AS full_ FROM m JOIN b USING (event_id) JOIN st USING (event_id))
-    SELECT e.event_id, round(lat_lo,4) AS lat_lo, round(lat_hi,4) AS lat_hi, round(CASE WHEN full_ THEN -180 ELSE (west-pad+180)-floor((west-pad+180)/360)*360-180 END,3) AS lon_w, round(CASE WHEN full_ THEN 360 ELSE 360-gap+2*pad END,3) AS lon_width, round(sin_lo,5) AS sin_lo, round(sin_hi,5) AS sin_hi FROM {{elements}} e LEFT JOIN f USING (event_id)""",
+    f"""WITH {OCCUPIED}, co AS (SELECT DISTINCT event_id, ((c%72)+72)%72 AS col FROM (SELECT event_id, unnest(range(c0, least(c1, c0+71)+1)) AS c FROM oc)),
+    ga AS (SELECT event_id, col, coalesce(lead(col) OVER w, min(col) OVER (PARTITION BY event_id)+72)-col-1 AS empty, coalesce(lead(col) OVER w, min(col) OVER (PARTITION BY event_id)) AS west FROM co WINDOW w AS (PARTITION BY event_id ORDER BY col)),
+    be AS (SELECT event_id, max(empty) AS empty, arg_min(west, ROW(-empty, col)) AS west FROM ga GROUP BY event_id), al AS (SELECT event_id, min(r0) AS r0, max(r1) AS r1, min(star_up-sw) AS sin_lo, max(star_up+sw) AS sin_hi FROM oc GROUP BY event_id)
+    SELECT event_id, CAST(r0*5-90 AS DOUBLE) AS lat_lo, CAST(r1*5-85 AS DOUBLE) AS lat_hi, CAST(west*5-180 AS DOUBLE) AS lon_w, CAST(360-empty*5 AS DOUBLE) AS lon_width, round(sin_lo,5) AS sin_lo, round(sin_hi,5) AS sin_hi FROM al JOIN be USING (event_id)""",
 )
 def track_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digits = {"lat_lo": 4, "lat_hi": 4, "lon_w": 3, "lon_width": 3, "sin_lo": 5, "sin_hi": 5}
-    return shadow.bounds(tracked(spark, sf_dir), ["event_id"]).select("event_id", *[F.round(c, n).alias(c) for c, n in digits.items()])
+    return ground_index.bounds(ground(spark, sf_dir)).select("event_id", "lat_lo", "lat_hi", "lon_w", "lon_width", F.round("sin_lo", 5).alias("sin_lo"), F.round("sin_hi", 5).alias("sin_hi"))
+
 
+@query(
+    "index_cells",
+    f"""WITH {OCCUPIED}, c AS (SELECT event_id, k, unnest(range(r0, r1+1)) AS row, c0, c1 FROM oc), d AS (SELECT event_id, k, row, unnest(range(c0, least(c1, c0+71)+1)) AS c FROM c)
+    SELECT CAST(row AS INTEGER) AS row, CAST(((c%72)+72)%72 AS INTEGER) AS col, count(DISTINCT event_id) AS events, count(*) AS samples FROM d GROUP BY row, ((c%72)+72)%72""",
+)
+def index_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events and samples the stored index has in each cell of the ground."""
+    return ground(spark, sf_dir).groupBy("row", "col").agg(F.count_distinct("event_id").alias("events"), F.count("*").alias("samples"))
 
+
+REGION_TRACK = _track_sql(41, "30", "sin(radians(5::DOUBLE))", "sin(radians(-6::DOUBLE))")
 INBOX = "lat >= {s}-m/111.2::DOUBLE AND lat <= {n}+m/111.2::DOUBLE AND ((lon-({w})-floor((lon-({w}))/360)*360) <= {width} + m/(111.2::DOUBLE*greatest(cos(radians(lat)),0.02::DOUBLE)) OR (lon-({w})-floor((lon-({w}))/360)*360) >= 360 - m/(111.2::DOUBLE*greatest(cos(radians(lat)),0.02::DOUBLE)))"
 
 
 @query(
     "region_events",
-    f"WITH {TRACK}, i AS (SELECT *, dg+gs AS m FROM track WHERE ok), b AS (SELECT event_id, min(k) AS k FROM i WHERE {INBOX.format(s=34, n=72, w=-25, width=70)} GROUP BY event_id) SELECT event_id, round(i.lat,4) AS lat, round(degrees(asin(i.sun_up)),3) AS sun_alt FROM b JOIN i USING (event_id, k)",
+    f"WITH {REGION_TRACK}, i AS (SELECT *, dg+gs AS m FROM track WHERE ok), b AS (SELECT event_id, min(k) AS k FROM i WHERE {INBOX.format(s=34, n=72, w=-25, width=70)} GROUP BY event_id) SELECT event_id, round(i.lat,4) AS lat, round(degrees(asin(i.sun_up)),3) AS sun_alt FROM b JOIN i USING (event_id, k)",
 )
 def region_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = shadow.in_region(tracked(spark, sf_dir), shadow.region("europe"), ["event_id"])
+    found = ground_index.region_events(ground(spark, sf_dir), shadow.sides("europe"), ["event_id"], REACH, ALT, SUN)
     return found.select("event_id", F.round("at.lat", 4).alias("lat"), F.round(F.degrees(F.asin("at.sun_up")), 3).alias("sun_alt"))
 
 
-@query("region_numbers", f"WITH {TRACK}, i AS (SELECT *, dg+gs AS m FROM track WHERE ok) SELECT number, count(DISTINCT event_id) AS n_events FROM i WHERE {INBOX.format(s=-48, n=-34, w=166, width=13)} GROUP BY number")
+@query("region_numbers", f"WITH {REGION_TRACK}, i AS (SELECT *, dg+gs AS m FROM track WHERE ok) SELECT number, count(DISTINCT event_id) AS n_events FROM i WHERE {INBOX.format(s=-48, n=-34, w=166, width=13)} GROUP BY number")
 def region_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies with an event in a region that ends near the date line: widened, it crosses it."""
-    return shadow.in_region(tracked(spark, sf_dir), shadow.region("new-zealand"), ["number", "event_id"]).groupBy("number").agg(F.count_distinct("event_id").alias("n_events"))
+    return ground_index.region_events(ground(spark, sf_dir), shadow.sides("new-zealand"), ["number", "event_id"], REACH, ALT, SUN).groupBy("number").agg(F.count_distinct("event_id").alias("n_events"))
 
 
-#: The exact test over all pairs, without an index: near_site is held against it on a small table, as it's too slow on whole ones.
-ALL_PAIRS = """WITH a AS (SELECT e.*, s.site_id, s.lat, s.lon, s.ele_m, s.reach_km, cos(radians(e.dec))*cos(radians(e.ra)) AS sx, cos(radians(e.dec))*sin(radians(e.ra)) AS sy, sin(radians(e.dec)) AS sz, -sin(radians(e.ra)) AS ex, cos(radians(e.ra)) AS ey FROM {elements} e JOIN {sites} s ON true),
+#: The exact test over all pairs, without an index; steps that end in `near`. The straight course rules out in closed form what can't meet.
+ALL_PAIRS = """a AS (SELECT e.*, s.site_id, s.lat, s.lon, s.ele_m, s.reach_km, cos(radians(e.dec))*cos(radians(e.ra)) AS sx, cos(radians(e.dec))*sin(radians(e.ra)) AS sy, sin(radians(e.dec)) AS sz, -sin(radians(e.ra)) AS ex, cos(radians(e.ra)) AS ey FROM {elements} e JOIN {sites} s ON true),
   o AS (SELECT *, 1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE) AS e2, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz FROM a),
   n AS (SELECT *, 6378.137::DOUBLE/sqrt(1-e2*sin(radians(lat))*sin(radians(lat))) AS nn FROM o),
   f AS (SELECT *, (nn+ele_m/1000)*cos(radians(lat))*cos(radians(lon)) AS fx, (nn+ele_m/1000)*cos(radians(lat))*sin(radians(lon)) AS fy, (nn*(1-e2)+ele_m/1000)*sin(radians(lat)) AS fz FROM n),
-  t AS (SELECT f.*, k, half*(k*(2/80::DOUBLE)-1) AS dt FROM f CROSS JOIN (SELECT CAST(unnest(range(81)) AS INTEGER) AS k)),
+  g0 AS (SELECT *, 2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(2451545+et/86400-2451545)-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(2451545+et/86400-2451545))) AS era0 FROM f), h0 AS (SELECT *, fx*cos(era0)-fy*sin(era0) AS ox0, fx*sin(era0)+fy*cos(era0) AS oy0 FROM g0),
+  i0 AS (SELECT * EXCLUDE (era0, ox0, oy0), x0-(ox0*ex+oy0*ey) AS cx, y0-(ox0*nx+oy0*ny+fz*nz) AS cy, vx-7.2921150e-5::DOUBLE*(ox0*ey-oy0*ex) AS cu, vy-7.2921150e-5::DOUBLE*(ox0*ny-oy0*nx) AS cv FROM h0),
+  k0 AS (SELECT *, least(greatest(-(cx*cu+cy*cv)/greatest(cu*cu+cv*cv,1e-12::DOUBLE),-half),half) AS cd FROM i0),
+  l0 AS (SELECT * EXCLUDE (cx, cy, cu, cv, cd) FROM k0 WHERE sqrt(pow(cx+cd*cu,2)+pow(cy+cd*cv,2)) <= r_km+reach_km+10+(sqrt(ax*ax+ay*ay)+0.5::DOUBLE*7.2921150e-5::DOUBLE*7.2921150e-5::DOUBLE*6388.137::DOUBLE)*half*half),
+  t AS (SELECT l0.*, k, half*(k*(2/80::DOUBLE)-1) AS dt FROM l0 CROSS JOIN (SELECT CAST(unnest(range(81)) AS INTEGER) AS k)),
   j AS (SELECT *, 2451545+(et+dt)/86400 AS jd FROM t),
   r AS (SELECT *, 2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(jd-2451545)-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*(jd-2451545))) AS era,
     radians(280.460::DOUBLE+0.9856474::DOUBLE*(jd-2451545)+1.915::DOUBLE*sin(radians(357.528::DOUBLE+0.9856003::DOUBLE*(jd-2451545)))+0.020::DOUBLE*sin(2*radians(357.528::DOUBLE+0.9856003::DOUBLE*(jd-2451545)))) AS sl, radians(23.439::DOUBLE-4e-7::DOUBLE*(jd-2451545)) AS tilt FROM j),
   p AS (SELECT *, fx*cos(era)-fy*sin(era) AS ox, fx*sin(era)+fy*cos(era) AS oy, cos(radians(lat))*cos(radians(lon)+era) AS ux, cos(radians(lat))*sin(radians(lon)+era) AS uy, sin(radians(lat)) AS uz FROM r),
   q AS (SELECT *, x0+vx*dt+ax*dt*dt-(ox*ex+oy*ey) AS rx, y0+vy*dt+ay*dt*dt-(ox*nx+oy*ny+fz*nz) AS ry, ux*sx+uy*sy+uz*sz > sin(radians(4::DOUBLE)) AND ux*cos(sl)+uy*cos(tilt)*sin(sl)+uz*sin(tilt)*sin(sl) < sin(radians(-5::DOUBLE)) AS ok FROM p),
   d AS (SELECT *, lead(rx) OVER w - rx AS dx, lead(ry) OVER w - ry AS dy, ok OR lead(ok) OVER w AS seen FROM q WINDOW w AS (PARTITION BY event_id, site_id ORDER BY k)),
-  c AS (SELECT *, least(greatest(-(rx*dx+ry*dy)/greatest(dx*dx+dy*dy,1e-12::DOUBLE),0),1) AS u FROM d WHERE dx IS NOT NULL AND seen)
-  SELECT event_id, site_id, round(min(sqrt(pow(rx+u*dx,2)+pow(ry+u*dy,2))),3) AS closest_km FROM c GROUP BY event_id, site_id, r_km, reach_km HAVING min(sqrt(pow(rx+u*dx,2)+pow(ry+u*dy,2))) <= r_km+reach_km+10"""
+  c AS (SELECT *, least(greatest(-(rx*dx+ry*dy)/greatest(dx*dx+dy*dy,1e-12::DOUBLE),0),1) AS u FROM d WHERE dx IS NOT NULL AND seen),
+  near AS (SELECT event_id, site_id, min(sqrt(pow(rx+u*dx,2)+pow(ry+u*dy,2))) AS closest_km FROM c GROUP BY event_id, site_id, r_km, reach_km HAVING min(sqrt(pow(rx+u*dx,2)+pow(ry+u*dy,2))) <= r_km+reach_km+10)"""
 
 
 def passing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, site_id, r_km, reach_km, closest_km) of all events and all sites."""
-    events = table(spark, sf_dir, "elements")
-    # Fewer samples make wider boxes, not wrong ones, and what they let through is ruled out in closed form.
-    samples = shadow.track(events, 60.0 + shadow.TOL_KM, ALT - shadow.TOL_DEG, SUN + shadow.TOL_DEG, 41)
-    indexed = shadow.bounds(samples, events.columns)
-    return shadow.passes(shadow.near_sites(indexed, table(spark, sf_dir, "sites"), ALT), ALT, SUN)
+    """(event_id, site_id, r_km, reach_km, closest_km) of all events and all sites, by the stored index."""
+    return ground_index.passing(ground(spark, sf_dir), table(spark, sf_dir, "sites"), ALT, SUN)
 
 
-@query("near_site")
+@query("near_site", f"WITH {ALL_PAIRS} SELECT event_id, site_id, round(closest_km,3) AS closest_km FROM near")
 def near_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index must not lose what the exact test over all pairs keeps."""
     return passing(spark, sf_dir).select("event_id", "site_id", F.round("closest_km", 3).alias("closest_km"))
@@ -174,10 +214,13 @@ def best_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering.groupBy("region").agg(F.max("id").alias("id"))
 
 
-@query("named_regions", "SELECT * FROM (VALUES ('usa',24.0::DOUBLE,50.0::DOUBLE,-125.0::DOUBLE,-66.0::DOUBLE),('north-america',7.0,72.0,-170.0,-50.0),('central-america',7.0,33.0,-118.0,-59.0),('south-america',-56.0,13.0,-82.0,-34.0),('europe',34.0,72.0,-25.0,45.0),('africa',-35.0,38.0,-18.0,52.0),('middle-east',12.0,42.0,25.0,63.0),('east-asia',18.0,54.0,73.0,146.0),('japan',24.0,46.0,122.0,146.0),('australia',-44.0,-10.0,112.0,154.0),('new-zealand',-48.0,-34.0,166.0,179.0)) t(name, lat_min, lat_max, lon_min, lon_max)")
-def named_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, *v) for k, v in sorted(shadow.REGIONS.items())]
-    return spark.createDataFrame(rows, "name string, lat_min double, lat_max double, lon_min double, lon_max double")
+REGION_ROWS = ", ".join(f"('{k}', {', '.join(f'{x!r}::DOUBLE' for x in v)})" for k, v in shadow.REGIONS.items())
+
+
+@query("site_regions", f"SELECT site_id, name FROM {{sites}} JOIN (SELECT * FROM (VALUES {REGION_ROWS}) t(name, s, n, w, e)) r ON lat BETWEEN s AND n AND lon BETWEEN w AND e")
+def site_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named regions that hold each site."""
+    return shadow.with_regions(table(spark, sf_dir, "sites"), F.col("lat"), F.col("lon")).select("site_id", F.explode("regions").alias("name"))
 
 
 @query(

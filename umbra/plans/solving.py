@@ -13,7 +13,7 @@ from umbra.functions.sky import Vec, num
 from umbra.operators import orbits, scan, solve, tracks
 from umbra.plans import paths
 from umbra.plans.registry import query
-from umbra.plans.shadows import passing
+from umbra.plans.shadows import ALL_PAIRS, passing
 from umbra.plans.tables import table
 
 JD = 2460900.5
@@ -87,9 +87,11 @@ def _newton(i: int) -> str:
     n{i + 1} AS (SELECT * EXCLUDE (ox,oy,dt,rx,ry,ux,uy,wx,wy) REPLACE (least(greatest(t-(rx*ux+ry*uy)/CASE WHEN ux*ux+uy*uy+rx*wx+ry*wy > 1e-9 THEN ux*ux+uy*uy+rx*wx+ry*wy ELSE ux*ux+uy*uy END, et-half), et+half) AS t) FROM b{i})"""
 
 
-SITE = f"""p AS (SELECT e.*, s.site_id, s.lat, s.lon, s.ele_m, cos(radians(e.dec))*cos(radians(e.ra)) AS sx, cos(radians(e.dec))*sin(radians(e.ra)) AS sy, sin(radians(e.dec)) AS sz, -sin(radians(e.ra)) AS ex, cos(radians(e.ra)) AS ey, 1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE) AS e2 FROM {{elements}} e JOIN (SELECT *, row_number() OVER (ORDER BY site_id)-1 AS no, count(*) OVER () AS n FROM {{sites}}) s ON s.no = e.number % s.n),
-  q AS (SELECT *, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz, 6378.137::DOUBLE/sqrt(1-e2*sin(radians(lat))*sin(radians(lat))) AS nn FROM p),
+PAIRED = "e.*, s.site_id, s.lat, s.lon, s.ele_m, cos(radians(e.dec))*cos(radians(e.ra)) AS sx, cos(radians(e.dec))*sin(radians(e.ra)) AS sy, sin(radians(e.dec)) AS sz, -sin(radians(e.ra)) AS ex, cos(radians(e.ra)) AS ey, 1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE) AS e2"
+DEALT = f"p AS (SELECT {PAIRED} FROM {{elements}} e JOIN (SELECT *, row_number() OVER (ORDER BY site_id)-1 AS no, count(*) OVER () AS n FROM {{sites}}) s ON s.no = e.number % s.n)"
+SOLVING = f"""q AS (SELECT *, -sz*ey AS nx, sz*ex AS ny, sx*ey-sy*ex AS nz, 6378.137::DOUBLE/sqrt(1-e2*sin(radians(lat))*sin(radians(lat))) AS nn FROM p),
   n0 AS (SELECT *, et AS t, (nn+ele_m/1000)*cos(radians(lat))*cos(radians(lon)) AS fx, (nn+ele_m/1000)*cos(radians(lat))*sin(radians(lon)) AS fy, (nn*(1-e2)+ele_m/1000)*sin(radians(lat)) AS fz FROM q), {", ".join(_newton(i) for i in range(6))}, {_newton(6)}"""
+SITE = f"{DEALT}, {SOLVING}"
 SOLVED = f"{SITE}, done AS (SELECT *, sqrt(rx*rx+ry*ry) AS miss, sqrt(ux*ux+uy*uy) AS speed FROM b6)"
 
 
@@ -104,7 +106,11 @@ def solved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve.closest_at_site(dealt(spark, sf_dir))
 
 
-@query("site_events")
+# The steps of the solver have names that the test of all pairs uses too, so that comes as a subquery.
+@query(
+    "site_events",
+    f"WITH near AS (WITH {ALL_PAIRS} SELECT * FROM near), p AS (SELECT {PAIRED}, closest_km FROM {{elements}} e JOIN near USING (event_id) JOIN {{sites}} s USING (site_id)), {SOLVING} SELECT event_id, site_id, round(closest_km,1) AS closest_km, round(t-et,1) AS dt_s, round(sqrt(rx*rx+ry*ry),1) AS miss_km FROM b6",
+)
 def site_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events at all sites that they pass: index, exact test, then the time and distance of closest approach there."""
     sites = table(spark, sf_dir, "sites").select("site_id", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), "ele_m")
