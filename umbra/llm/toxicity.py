@@ -16,6 +16,7 @@ of one document: the highest. Equal rows get equal scores; very long texts are r
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -52,12 +53,12 @@ RIDGE, STEPS, PRIOR = 0.1, 1500, 5.0
 ALONE = 0.01
 THRESHOLD = 0.7
 #: Known tokens that a worker keeps.
-KNOWN = 1 << 16
+KNOWN = 1 << 18
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TWICE = re.compile(r"([^\W\d_])\1")
 APART = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}(?!\S)){2,}")
-AROUND, AFTER = "\"'(¿*[{<", ".,;:?!\"')…]}>*"
+AROUND, AFTER = "\"'(¿*[{<#%&~^", ".,;:?!\"')…]}>*#%&~^"
 Item = TypeVar("Item")
 _CODE = bytes(c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else OTHER if c >= 0xC2 else 0 for c in range(256))
 _INNER = bytes(range(0x80, 0xC0))
@@ -102,6 +103,27 @@ def letter_costs(counts: pd.DataFrame) -> np.ndarray:
     return -np.log2(p).ravel()
 
 
+def _undoubled(word: str, forks: list[int], cost: list[float] | np.ndarray) -> str:
+    """As `restored`, for letters whose repetitions lie four or more apart: what stays of one has no part in the next one's choice."""
+    c = [0, 0, 0, *(ord(ch) - 96 if "a" <= ch <= "z" else OTHER for ch in word), 0]
+    gone = []
+    for fork in forks:
+        f = fork + 3
+        x, y, z, same = c[f - 3], c[f - 2], c[f - 1], c[f]
+        keep, drop = cost[((x * CODES + y) * CODES + z) * CODES + same], REPEAT
+        long, short = [y, z, same], [x, y, z]
+        for code in c[f + 1 : f + 4]:
+            keep += cost[((long[-3] * CODES + long[-2]) * CODES + long[-1]) * CODES + code]
+            drop += cost[((short[-3] * CODES + short[-2]) * CODES + short[-1]) * CODES + code]
+            long.append(code)
+            short.append(code)
+        if drop < keep:
+            gone.append(fork)
+    for fork in reversed(gone):
+        word = word[:fork] + word[fork + 1 :]
+    return word
+
+
 def restored(stretch: str, cost: list[float] | np.ndarray) -> str:
     """The likeliest plain reading of a stretch in lower case, by Viterbi's algorithm. A state is the last three letters of the word so
     far, with whether the character before was read as a letter, so that its repetition can be left out."""
@@ -110,6 +132,8 @@ def restored(stretch: str, cost: list[float] | np.ndarray) -> str:
     states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     before = ""
     forks = [k for k, ch in enumerate(stretch) if not ch.isalpha() or (k and ch == stretch[k - 1])]
+    if stretch.isalpha() and all(b - a > 3 for a, b in itertools.pairwise(forks)):
+        return _undoubled(stretch, forks, cost)
     at, n = 0, len(stretch)
     for fork in (*forks, n):
         # Up to the next fork each state has one way on. A single state's bits decide nothing any more: it takes the rest as it is.
