@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from umbra.functions import earth, light, sky, text
 from umbra.functions.sky import Vec, num
-from umbra.operators import catalog, cells, ground_index, orbits, results, scan, solve, tracks
-from umbra.plans import solving
+from umbra.operators import catalog, cells, ephemeris, ground_index, orbits, results, scan, solve, tracks
+from umbra.plans import ephemerides, solving
 from umbra.plans.tables import table
 from umbra.sources import files
 from umbra.streaming import increments
@@ -88,15 +88,72 @@ def test_greedy_rules(spark):
     assert sorted(r.id for r in results.last_hits(df, ["k"], "t", "id").collect()) == [2, 4, 5]
 
 
+def bodies_of(spark, epochs: dict[int, float] | None = None):
+    """The table's bodies with heliocentric states at their epochs, other epochs by number modulo three."""
+    rows = table(spark, SF, "asteroids")
+    if epochs:
+        rows = rows.withColumn("epoch_jd", F.element_at(F.array(*[num(epochs[k]) for k in range(3)]), (F.col("number") % 3 + 1).cast("int")))
+    return orbits.two_body_states(rows, F.col("epoch_jd"))
+
+
+def by_number(df) -> pd.DataFrame:
+    return df.orderBy("number", "jd").toPandas()
+
+
 def test_integration_runs_back_and_holds_two_bodies(spark):
-    start = solving.states(spark, SF)
-    there = orbits.propagated(start, solving.PLANETS, 20.0)
-    back = orbits.propagated(there, solving.PLANETS.assign(phase0=solving.PLANETS["phase0"] + 20 * solving.PLANETS["rate"]), -20.0)
-    a, b = (x.orderBy("number").toPandas() for x in (start, back))
-    assert max(abs(a[c] - b[c]).max() for c in "xyz") < 1e-9
-    alone = orbits.propagated(start, solving.PLANETS.assign(gm=0.0), 10.0).orderBy("number").toPandas()
-    moved = orbits.two_body_states(table(spark, SF, "asteroids"), num(solving.JD + 10)).orderBy("number").toPandas()
-    assert max(abs(alone[c] - moved[c]).max() for c in "xyz") < 1e-8
+    day, sky_ = 2460800.5, ephemerides.planets(spark, 2460780.0, 2460860.0)
+    start = bodies_of(spark)
+    there = ephemeris.integrated(start, sky_, [day + 20])
+    # Heliocentric again, from the new time on.
+    sun = sky_.where(f"body = 10 AND jd IN ({day + 19.5}, {day + 20.5})").groupBy().agg(*[F.avg(c).alias(f"s{c}") for c in ephemeris.STATE])
+    again = there.crossJoin(sun).select("number", F.col("jd").alias("epoch_jd"), *[(F.col(c) - F.col(f"s{c}")).alias(c) for c in ephemeris.STATE])
+    back, here = by_number(ephemeris.integrated(again, sky_, [day])), by_number(ephemeris.integrated(start, sky_, [day]))
+    assert max(abs(back[c] - here[c]).max() for c in "xyz") < 1e-7
+    alone = sky_.withColumns({"gm": F.when(F.col("body") == 10, F.col("gm")).otherwise(num(0))} | {c: F.when(F.col("body") == 10, num(0)).otherwise(F.col(c)) for c in ephemeris.STATE})
+    free = by_number(ephemeris.integrated(start, alone, [day + 10, day + 30.3]))
+    moved = pd.concat([orbits.two_body_states(table(spark, SF, "asteroids"), num(t)).select("number", num(t).alias("jd"), *ephemeris.STATE).toPandas() for t in (day + 10, day + 30.3)]).sort_values(["number", "jd"]).reset_index(drop=True)
+    assert max(abs(free[c] - moved[c]).max() for c in ephemeris.STATE) < 1e-8
+
+
+def test_integration_by_epochs(spark):
+    """Epochs share a batch or not; one inside the window of times is an error, as is a table of planets that ends before."""
+    sky_ = ephemerides.planets(spark, 2460780.0, 2460860.0)
+    times = [2460830.5, 2460840.0, 2460850.25]
+    mixed = bodies_of(spark, {0: 2460800.5, 1: 2460850.25, 2: 2460815.0})
+    whole = by_number(ephemeris.integrated(mixed.coalesce(1), sky_, times))
+    parts = by_number(ephemeris.integrated(mixed.repartition(7), sky_, times))
+    alone = pd.concat([by_number(ephemeris.integrated(mixed.where(f"number % 3 = {k}"), sky_, times)) for k in range(3)]).sort_values(["number", "jd"]).reset_index(drop=True)
+    for other in (parts, alone):
+        assert max(abs(whole[c] - other[c]).max() for c in ephemeris.STATE) < 1e-12
+    fine = by_number(ephemeris.integrated(mixed, sky_, times, step=0.125))
+    assert max(abs(whole[c] - fine[c]).max() for c in "xyz") < 1e-8
+    with pytest.raises(Exception, match="lies inside the window"):
+        ephemeris.integrated(bodies_of(spark, {0: 2460835.0, 1: 2460800.5, 2: 2460800.5}), sky_, times).collect()
+    with pytest.raises(Exception, match="ends before"):
+        ephemeris.integrated(mixed, sky_, [2460900.0]).collect()
+    with pytest.raises(ValueError, match="more than 100 rows"):
+        ephemeris.integrated(mixed, sky_, times, most_rows=100)
+    assert ephemeris.integrated(mixed.limit(0), sky_, times).collect() == []
+
+
+def test_planets_balance_around_the_barycentre(spark):
+    rows = ephemerides.planets(spark, 2460800.0, 2460803.0).groupBy("jd").agg(*[F.sum(F.col("gm") * F.col(c)).alias(c) for c in ephemeris.STATE], F.count("*").alias("n")).collect()
+    assert len(rows) == 4 and all(r.n == 10 and max(abs(r[c]) for c in ephemeris.STATE) < 1e-15 for r in rows)
+    earth_ = ephemerides.planets(spark, 2460800.0, 2460800.0).where("body IN (3, 10)").orderBy("body").collect()
+    assert 0.98 < math.dist(earth_[0][3:6], earth_[1][3:6]) < 1.02
+
+
+def test_windows_of_nodes_follow_eccentric_orbits(spark):
+    off = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    four, two = (ephemerides.windowed(spark, SF, size).select(F.max(off).alias("most"), F.percentile(off, F.lit(0.5)).alias("median"), F.count("*").alias("n")).first() for size in (4, 2))
+    assert four.n == two.n == 10 * table(spark, SF, "asteroids").count()
+    # Up to 0.9 of eccentricity, a node each quarter radian.
+    assert four.most < 1e-3 and four.median < 1e-7 and two.median > 100 * four.median
+    nodes = spark.createDataFrame([(t, float(k), *(float(k + c) ** 3 for c in range(3)), *(3 * float(k + c) ** 2 for c in range(3))) for t in (1, 2) for k in (0, 1, 4, 6, 7) if t == 1 or k < 3], "target int, et double, x double, y double, z double, vx double, vy double, vz double")
+    asked = spark.createDataFrame([(1, t) for t in (0.0, 0.5, 4.0, 6.9, 7.0, -0.1, 7.1)] + [(2, 0.5), (3, 1.0)], "target int, et double")
+    got = {r.et: r for r in ephemeris.hermite_states(nodes, asked, 4, 2.0).collect()}
+    assert sorted(got) == [0.0, 0.5, 4.0, 6.9, 7.0] and all(r.target == 1 for r in got.values())
+    assert all(r.x == pytest.approx(t**3, abs=1e-9) and r.vz == pytest.approx(3 * (t + 2) ** 2, abs=1e-9) for t, r in got.items())
 
 
 def test_no_crossing_gives_null(spark):

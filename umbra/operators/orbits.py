@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,44 +42,6 @@ def two_body_states(bodies: DataFrame, jd: Column) -> DataFrame:
     return turned.withColumns(out).drop(*drop, "ecc")
 
 
-def propagated(states: DataFrame, planets: pd.DataFrame, days: float, step: float = 0.5) -> DataFrame:
-    """States (number, x, y, z, vx, vy, vz) some days later, by fourth-order Runge-Kutta steps under the Sun and planets.
-
-    planets: gm and the elements of circular paths (radius in AU, phase0 in radians, rate in radians a day); a handful of rows that
-    go with the code. Each batch of bodies is integrated as arrays; bodies need nothing from each other.
-    """
-    gm, radius, phase0, rate = (planets[c].to_numpy(float) for c in ("gm", "radius", "phase0", "rate"))
-
-    def pull(r: np.ndarray, t: float) -> np.ndarray:
-        a = -GM_SUN * r / np.linalg.norm(r, axis=1, keepdims=True) ** 3
-        for g, d, p, w in zip(gm, radius, phase0, rate, strict=True):
-            x, y = d * np.cos(p + w * t), d * np.sin(p + w * t)
-            at = np.array([x, y * np.cos(TILT), y * np.sin(TILT)])
-            to = at - r
-            a += g * (to / np.linalg.norm(to, axis=1, keepdims=True) ** 3 - at / d**3)
-        return a
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            r, v = b[["x", "y", "z"]].to_numpy(float), b[["vx", "vy", "vz"]].to_numpy(float)
-            n = max(1, int(np.ceil(abs(days) / step)))
-            h = days / n
-            for k in range(n if len(b) else 0):
-                t = k * h
-                a1 = pull(r, t)
-                r2, v2 = r + h / 2 * v, v + h / 2 * a1
-                a2 = pull(r2, t + h / 2)
-                r3, v3 = r + h / 2 * v2, v + h / 2 * a2
-                a3 = pull(r3, t + h / 2)
-                r4, v4 = r + h * v3, v + h * a3
-                a4 = pull(r4, t + h)
-                r, v = r + h / 6 * (v + 2 * v2 + 2 * v3 + v4), v + h / 6 * (a1 + 2 * a2 + 2 * a3 + a4)
-            yield pd.DataFrame({"number": b["number"], **dict(zip(("x", "y", "z"), r.T, strict=True)), **dict(zip(("vx", "vy", "vz"), v.T, strict=True))})
-
-    kept = states.select("number", *[F.col(c).cast("double") for c in ("x", "y", "z", "vx", "vy", "vz")])
-    return kept.mapInPandas(run, "number bigint, x double, y double, z double, vx double, vy double, vz double")
-
-
 def hermite(s: Column, h: Column, ends: tuple[tuple[Column, Column, Column], tuple[Column, Column, Column]]) -> Column:
     """Quintic interpolation at 0 <= s <= 1 of a step of h days, from value, rate and second rate at both ends."""
     (p0, v0, a0), (p1, v1, a1) = ends

@@ -122,15 +122,15 @@ def parallax_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "light_deflection",
-    """WITH u AS (SELECT source_id, cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z, 1.5e8::DOUBLE AS e FROM {stars} WHERE ra > 5 AND ra < 355),
+    """WITH u AS (SELECT source_id, cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z, 1.5e8::DOUBLE AS e FROM {stars}),
     w AS (SELECT *, 1 - x AS den, 2*1.32712440018e11::DOUBLE/(299792.458::DOUBLE*299792.458::DOUBLE*e) AS k FROM u)
-    SELECT source_id, round(sqrt(pow(k*(-1 + x*x)/den,2)+pow(k*x*y/den,2)+pow(k*x*z/den,2))*180/pi()*3.6e6::DOUBLE,4) AS mas FROM w""",
+    SELECT source_id, round(log10(sqrt(pow(k*(-1 + x*x)/den,2)+pow(k*x*y/den,2)+pow(k*x*z/den,2))*180/pi()*3.6e6::DOUBLE),4) AS log_mas FROM w""",
 )
 def light_deflection(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = sky.direction(F.col("ra"), F.col("dec"))
     bend = sky.light_bend(u, sky.Vec(num(-1.5e8), num(0), num(0)), u, 1.32712440018e11)
     mas = bend.norm() * (180 / 3.141592653589793 * 3.6e6)
-    return stars(spark, sf_dir).where("ra > 5 AND ra < 355").select("source_id", r(mas, 4).alias("mas"))
+    return stars(spark, sf_dir).select("source_id", r(F.log10(mas), 4).alias("log_mas"))
 
 
 @query(
