@@ -162,6 +162,73 @@ def test_no_crossing_gives_null(spark):
     assert found[1].t_in == pytest.approx(-600, abs=0.01) and found[2].t_in is None
 
 
+def test_contacts_and_closest_approach_equal_a_fine_grid(spark):
+    """To a millisecond, on curved tracks at turning sites; each place by plain Python with the observer's own light time."""
+    pairs = solving.curved(spark, SF).where("number % 3 = 0")
+    found = solve.contacts_at_sites(pairs, "limit")
+    rows = {r.event_id: r for r in pairs.join(found.where("dt_in IS NOT NULL"), ["event_id", "site_id"]).limit(25).collect()}
+    assert len(rows) == 25
+
+    def distance(r, dt: float) -> float:
+        jx, jy = (r.number % 7 - 3) * 1e-9, (r.number % 5 - 2) * 1e-9
+        ra, dec, lat, lon = (math.radians(x) for x in (r.ra, r.dec, r.site_lat, r.site_lon))
+        f = 1 / 298.257223563
+        c = 6378.137 / math.sqrt(1 - f * (2 - f) * math.sin(lat) ** 2)
+        x = 0.7790572732640 + 1.00273781191135448 * (r.et + dt) / 86400
+        angle = 2 * math.pi * (x % 1) + lon
+        rho, up = (c + r.ele_m / 1000) * math.cos(lat), (c * (1 - f) ** 2 + r.ele_m / 1000) * math.sin(lat)
+        o = (rho * math.cos(angle), rho * math.sin(angle), up)
+        s = (math.cos(dec) * math.cos(ra), math.cos(dec) * math.sin(ra), math.sin(dec))
+        e = (-math.sin(ra), math.cos(ra), 0.0)
+        n = (s[1] * e[2] - s[2] * e[1], s[2] * e[0] - s[0] * e[2], s[0] * e[1] - s[1] * e[0])
+        dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+        t = dt + dot(o, s) / 299792.458
+        return math.hypot(r.x0 + r.vx * t + r.ax * t * t + jx * t**3 - dot(o, e), r.y0 + r.vy * t + r.ay * t * t + jy * t**3 - dot(o, n))
+
+    for r in rows.values():
+        # Half a second around, then a tenth of a millisecond.
+        coarse = min((distance(r, -r.half + k * 0.5), -r.half + k * 0.5) for k in range(int(4 * r.half) + 1))[1]
+        best = min((distance(r, coarse + k * 1e-3), coarse + k * 1e-3) for k in range(-600, 601))
+        assert abs(best[1] - r.dt_ca) < 2e-3 and r.miss_km - 1e-9 <= best[0] <= r.miss_km + 1e-3
+        for t, sign in ((r.dt_in, -1), (r.dt_out, 1)):
+            assert distance(r, t + sign * 5e-4) > r.limit > distance(r, t - sign * 5e-4)
+    wide = solve.contacts_at_sites(pairs.withColumn("limit", num(1e6)), "limit").agg(F.count("dt_in").alias("a"), F.count("*").alias("n")).first()
+    none = solve.contacts_at_sites(pairs.withColumn("limit", num(1e-9)), "limit").agg(F.count("dt_in").alias("a")).first()
+    assert wide.a == none.a == 0 and wide.n > 100
+    assert solve.contacts_at_sites(pairs.limit(0), "limit").collect() == []
+
+
+def test_nutation_and_position_of_date(spark):
+    """The worked example of 1987 April 10, 0 h, to what the left-out terms make, and a star's place then."""
+    r = sky.with_nutation(spark.range(1), num(2446895.5)).first()
+    assert r.nut_lon == pytest.approx(-3.788, abs=0.01) and r.nut_tilt == pytest.approx(9.443, abs=0.01)
+    assert one(spark, sky.mean_tilt(num(2446895.5)))[0] == pytest.approx(23 + 26 / 60 + 27.407 / 3600, abs=1e-6)
+    pole = sky.with_nutation(spark.range(1), num(2451545.0))
+    x, y = pole.select(*(c.alias(n) for c, n in zip(sky.true_position(num(90), num(0), num(2451545.0)), "ad", strict=True))).first()
+    assert x == pytest.approx(90 + (-13.9 * 0.9175) / 3600, abs=1e-3) and y == pytest.approx(-5.8 / 3600, abs=1e-3)
+
+
+def test_instants_equal_a_grid(spark):
+    events = table(spark, SF, "elements")
+    found = {(r.event_id, r.instant): r.dt for r in solve.instants(events).collect()}
+    rows = events.limit(60).collect()
+    hit = 0
+    for r in rows:
+        k = math.sqrt(1 - (2 - 1 / 298.257223563) / 298.257223563 * math.cos(math.radians(r.dec)) ** 2)
+        at = lambda t, r=r, k=k: (r.x0 + t * (r.vx + t * r.ax), (r.y0 + t * (r.vy + t * r.ay)) / k)
+        off = lambda t, at=at: math.hypot(*at(t)) - 6378.137
+        centre = found[r.event_id, "centre"]
+        true = lambda t, at=at, k=k: math.hypot(at(t)[0], at(t)[1] * k)
+        assert true(centre) <= min(true(centre + d) for d in (-5.0, -0.01, 0.01, 5.0)) + 1e-6
+        assert ((r.event_id, "touch-down") in found) == ((r.event_id, "leaving") in found) == (off(centre) < 0)
+        if off(centre) < 0:
+            hit += 1
+            for name, sign in (("touch-down", -1), ("leaving", 1)):
+                t = found[r.event_id, name]
+                assert off(t + sign * 0.01) > 0 > off(t - sign * 0.01) and all(off(centre + (t - centre) * q / 50) < 0 for q in range(50))
+    assert 5 < hit < 60
+
+
 @pytest.mark.parametrize(("given", "want"), [("48.5, 16.25", (48.5, 16.25)), ("N 48°30' E 16°15'", (48.5, 16.25)), ("16°15'0\" W 48°30' S", (-48.5, -16.25)), ("48.5", None), ("95, 10", None), ("", None), (None, None)])
 def test_coordinates(spark, given, want):
     df = spark.createDataFrame([(given,)], "t string")

@@ -9,6 +9,7 @@ CATALOG_YEAR = 2016.0
 YEAR_DAYS = 365.25
 DAY_S = 86400.0
 EARTH_SPIN = 7.2921150e-5
+TDB_UTC = 69.184
 OBLIQUITY_ARCSEC = 84381.448
 KM_PER_DEGREE = 111.2
 POLAR_LAT = 80.0
@@ -53,3 +54,43 @@ RUWE_GOOD = 1.4
 UNKNOWN_PM_MAS_YR = 10.0
 #: Star kinds: main catalog, high RUWE, two parameters without motion, motion from one or another catalog.
 KIND_MAIN, KIND_RUWE, KIND_TWO, KIND_TWO_A, KIND_TWO_B = 0, 1, 2, 3, 4
+
+#: The largest terms of nutation (IAU 1980): multiples of the Moon's elongation, the Sun's and the Moon's anomalies, the Moon's argument of latitude
+#: and node; then longitude and its change a century, obliquity and its change, in units of 0.0001 arcseconds.
+NUTATION = [
+    (0, 0, 0, 0, 1, -171996, -174.2, 92025, 8.9),
+    (-2, 0, 0, 2, 2, -13187, -1.6, 5736, -3.1),
+    (0, 0, 0, 2, 2, -2274, -0.2, 977, -0.5),
+    (0, 0, 0, 0, 2, 2062, 0.2, -895, 0.5),
+    (0, 1, 0, 0, 0, 1426, -3.4, 54, -0.1),
+    (0, 0, 1, 0, 0, 712, 0.1, -7, 0.0),
+    (-2, 1, 0, 2, 2, -517, 1.2, 224, -0.6),
+    (0, 0, 0, 2, 1, -386, -0.4, 200, 0.0),
+    (0, 0, 1, 2, 2, -301, 0.0, 129, -0.1),
+    (-2, -1, 0, 2, 2, 217, -0.5, -95, 0.3),
+    (-2, 0, 1, 0, 0, -158, 0.0, 0, 0.0),
+    (-2, 0, 0, 2, 1, 129, 0.1, -70, 0.0),
+    (0, 0, -1, 2, 2, 123, 0.0, -53, 0.0),
+    (2, 0, 0, 0, 0, 63, 0.0, 0, 0.0),
+    (0, 0, 1, 0, 1, 63, 0.1, -33, 0.0),
+    (2, 0, -1, 2, 2, -59, 0.0, 26, 0.0),
+    (0, 0, -1, 0, 1, -58, -0.1, 32, 0.0),
+    (0, 0, 1, 2, 1, -51, 0.0, 27, 0.0),
+    (-2, 0, 2, 0, 0, 48, 0.0, 0, 0.0),
+    (0, 0, -2, 2, 1, 46, 0.0, -24, 0.0),
+    (2, 0, 0, 2, 2, -38, 0.0, 16, 0.0),
+    (0, 0, 2, 2, 2, -31, 0.0, 13, 0.0),
+    (0, 0, 2, 0, 0, 29, 0.0, 0, 0.0),
+    (-2, 0, 1, 2, 2, 29, 0.0, -12, 0.0),
+    (0, 0, 0, 2, 0, 26, 0.0, 0, 0.0),
+    (-2, 0, 0, 2, 0, -22, 0.0, 0, 0.0),
+    (0, 0, -1, 2, 1, 21, 0.0, -10, 0.0),
+]
+#: Their arguments: degrees at J2000, and by the first, second and third power of centuries.
+NUTATION_ARGUMENTS = [
+    (297.85036, 445267.111480, -0.0019142, 1 / 189474),
+    (357.52772, 35999.050340, -0.0001603, -1 / 300000),
+    (134.96298, 477198.867398, 0.0086972, 1 / 56250),
+    (93.27191, 483202.017538, -0.0036825, 1 / 327270),
+    (125.04452, -1934.136261, 0.0020708, 1 / 450000),
+]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import earth, sky
-from umbra.functions.constants import EARTH_SPIN, LIGHT_KM_S
+from umbra.functions.constants import DAY_S, EARTH_SPIN, LIGHT_KM_S, TDB_UTC
 from umbra.functions.sky import Vec, num
 from umbra.operators.shadow import _columns, _vec, _with_axes, jd_of, plane_at, turned
 
@@ -20,7 +20,8 @@ GOLDEN = (np.sqrt(5) - 1) / 2
 def closest_at_site(pairs: DataFrame, steps: int = 6) -> DataFrame:
     """Adds t_ca, miss_km and speed_kms: the shadow axis' closest approach to an observer (site_lat, site_lon, ele_m).
 
-    Newton's method on half the square of the distance, in plane coordinates relative to the turning site, whose velocity and
+    The observer sees at once what passes the plane through the Earth's centre later, by the light time of the way that the site lies nearer
+    to the star; so the axis is taken at that later time. Newton's method on half the square of the distance, in plane coordinates relative to the turning site, whose velocity and
     acceleration are exact; a fixed number of steps, each kept within the event's half length.
     """
     now = _columns(_with_axes(pairs), "o", earth.earth_fixed(F.col("site_lat"), F.col("site_lon"), F.col("ele_m")))
@@ -30,14 +31,15 @@ def closest_at_site(pairs: DataFrame, steps: int = 6) -> DataFrame:
         o = turned(_vec("o"), -earth.earth_turn(jd_of(t)))
         v = Vec(-o.y * EARTH_SPIN, o.x * EARTH_SPIN, num(0))
         a = Vec(-o.x * EARTH_SPIN**2, -o.y * EARTH_SPIN**2, num(0))
-        px, py = plane_at(t)
-        dt = t - F.col("et")
+        tau = t + o.dot(_vec("s")) / LIGHT_KM_S
+        px, py = plane_at(tau)
+        dt, sooner = tau - F.col("et"), 1 + v.dot(_vec("s")) / LIGHT_KM_S
         e, n = _vec("e"), _vec("n")
         return {
             "__x": px - o.dot(e),
             "__y": py - o.dot(n),
-            "__vx": F.col("vx") + 2 * F.col("ax") * dt - v.dot(e),
-            "__vy": F.col("vy") + 2 * F.col("ay") * dt - v.dot(n),
+            "__vx": (F.col("vx") + 2 * F.col("ax") * dt) * sooner - v.dot(e),
+            "__vy": (F.col("vy") + 2 * F.col("ay") * dt) * sooner - v.dot(n),
             "__ax": 2 * F.col("ax") - a.dot(e),
             "__ay": 2 * F.col("ay") - a.dot(n),
         }
@@ -120,6 +122,143 @@ def crossings(events: DataFrame, limit: str, step_s: float = 600.0, most: int =
     return raw.select("event_id", *[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in ("t_in", "t_out")])
 
 
+class _SiteTracks:
+    """Pairs of curved tracks and turning sites, all rows of a batch at once: place and velocity of the axis relative to each observer, with the
+    observer's own light time. A track is the polynomial through an event's nodes (array of dt, x, y: seconds from et, kilometres)."""
+
+    def __init__(self, b: pd.DataFrame) -> None:
+        col = lambda c: b[c].to_numpy(float)
+        self.et, self.half = col("et"), col("half")
+        ra, dec, lat, lon = (np.radians(col(c)) for c in ("ra", "dec", "site_lat", "site_lon"))
+        self.s = np.stack((np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)), -1)
+        self.e = np.stack((-np.sin(ra), np.cos(ra), np.zeros(len(b))), -1)
+        self.n = np.cross(self.s, self.e)
+        curve = earth.EARTH_KM / np.sqrt(1 - earth.E2 * np.sin(lat) ** 2)
+        h = col("ele_m") / 1000
+        self.rho, self.up, self.lon = (curve + h) * np.cos(lat), (curve * (1 - earth.E2) + h) * np.sin(lat), lon
+        nodes = [np.array([(p["dt"], p["x"], p["y"]) for p in row], float) for row in b["nodes"]]
+        grid = np.stack(nodes) if nodes else np.zeros((0, 2, 3))
+        # Newton's divided differences, for both axes together.
+        self.t = grid[:, :, 0]
+        c = grid[:, :, 1:].copy()
+        for k in range(1, c.shape[1]):
+            c[:, k:] = (c[:, k:] - c[:, k - 1 : -1]) / (self.t[:, k:] - self.t[:, :-k])[:, :, None]
+        self.c = c
+
+    def __call__(self, dt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, k, 2) places and velocities at the offsets dt (n, k) from et."""
+        days = (self.et[:, None] + dt) / DAY_S
+        turned = 0.7790572732640 + 1.00273781191135448 * days
+        angle = 2 * np.pi * (turned - np.floor(turned)) + self.lon[:, None]
+        rho = self.rho[:, None]
+        o = np.stack((rho * np.cos(angle), rho * np.sin(angle), np.broadcast_to(self.up[:, None], angle.shape)), -1)
+        v = EARTH_SPIN * np.stack((-o[..., 1], o[..., 0], np.zeros_like(angle)), -1)
+        on = lambda w, axis: np.einsum("nkj,nj->nk", w, axis)
+        tau, sooner = dt + on(o, self.s) / LIGHT_KM_S, 1 + on(v, self.s) / LIGHT_KM_S
+        p, d = np.zeros((*dt.shape, 2)), np.zeros((*dt.shape, 2))
+        for k in range(self.c.shape[1] - 1, -1, -1):
+            w = (tau - self.t[:, k : k + 1])[..., None]
+            p, d = self.c[:, k : k + 1] + w * p, p + w * d
+        site, motion = (np.stack((on(w, self.e), on(w, self.n)), -1) for w in (o, v))
+        return p - site, d * sooner[..., None] - motion
+
+    def distance(self, dt: np.ndarray) -> np.ndarray:
+        return np.linalg.norm(self(dt)[0], axis=-1)
+
+    def slope(self, dt: np.ndarray) -> np.ndarray:
+        p, v = self(dt)
+        return (p * v).sum(-1)
+
+
+def _root(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, tol: float) -> np.ndarray:
+    """Where f, not above 0 at `low` and above 0 at `high`, changes sign, row by row; `low` may lie on either side."""
+    most = float(np.max(np.abs(high - low), initial=tol))
+    for _ in range(max(1, int(np.ceil(np.log2(most / tol))) + 1)):
+        mid = (low + high) / 2
+        above = f(mid[:, None])[:, 0] > 0
+        low, high = np.where(above, low, mid), np.where(above, mid, high)
+    return (low + high) / 2
+
+
+def contacts_at_sites(pairs: DataFrame, limit: str, samples: int = 121, tol: float = 1e-6, rows: int = 2000) -> DataFrame:
+    """(event_id, site_id, dt_ca, miss_km, speed_kms, dt_in, dt_out): on curved tracks, the closest approach within the event to an observer and when
+    the axis comes within the column `limit` (km) of it and leaves; seconds from et. dt_in and dt_out are null where it stays outside, or
+    where one of them lies beyond the event's `half`. Pairs: event_id, site_id, et, half, ra, dec, nodes, site_lat, site_lon, ele_m.
+
+    The lowest of evenly spread samples brackets the least distance, whose slope then changes sign; the first samples outside brackets the
+    contacts. Both are found by halving, all rows of a batch at once.
+    """
+
+    def solved(b: pd.DataFrame) -> pd.DataFrame:
+        f = _SiteTracks(b)
+        step = 2 * f.half / (samples - 1)
+        grid = -f.half[:, None] + step[:, None] * np.arange(samples)
+        far = f.distance(grid)
+        k = far.argmin(1)
+        low, high = (np.clip(grid[np.arange(len(b)), np.clip(k + d, 0, samples - 1)], -f.half, f.half) for d in (-1, 1))
+        t = _root(f.slope, low, high, tol)
+        # Where the slope keeps its sign, halving ends at a border, as it should.
+        place, speed = f(t[:, None])
+        miss, r = np.linalg.norm(place[:, 0], axis=-1), b[limit].to_numpy(float)
+        ends = []
+        for sign in (-1, 1):
+            outside = (far > r[:, None]) & (sign * (grid - t[:, None]) > 0)
+            found = outside.any(1) & (miss < r)
+            first = outside.argmax(1) if sign > 0 else samples - 1 - outside[:, ::-1].argmax(1)
+            out = grid[np.arange(len(b)), first]
+            ends.append(np.where(found, _root(lambda x: f.distance(x) - r[:, None], t, np.where(found, out, t), tol), np.nan))
+        both = np.isfinite(ends[0]) & np.isfinite(ends[1])
+        return pd.DataFrame({"event_id": b["event_id"].to_numpy(), "site_id": b["site_id"].to_numpy(), "dt_ca": t, "miss_km": miss, "speed_kms": np.linalg.norm(speed[:, 0], axis=-1), "dt_in": np.where(both, ends[0], np.nan), "dt_out": np.where(both, ends[1], np.nan)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), rows):
+                yield solved(b.iloc[k : k + rows])
+
+    raw = pairs.select("event_id", "site_id", "et", "half", "ra", "dec", "nodes", "site_lat", "site_lon", "ele_m", limit).mapInPandas(run, "event_id bigint, site_id bigint, dt_ca double, miss_km double, speed_kms double, dt_in double, dt_out double")
+    return raw.select("event_id", "site_id", "dt_ca", "miss_km", "speed_kms", *[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in ("dt_in", "dt_out")])
+
+
+def instants(events: DataFrame, step_s: float = 30.0, most_s: float = 14400.0, tol: float = 1e-9) -> DataFrame:
+    """(event_id, instant, dt): when the axis touches down on the ellipsoid, is closest to the Earth's centre, and leaves; seconds from et. An axis that
+    passes by at its closest has the middle row only. The Earth's outline in the plane is an ellipse, by the star's declination."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c = {k: b[k].to_numpy(float)[:, None] for k in ("x0", "y0", "vx", "vy", "ax", "ay")}
+            polar = np.sqrt(1 - earth.E2 * np.cos(np.radians(b["dec"].to_numpy(float))) ** 2)[:, None]
+            x, y = (lambda t, a=a: c[f"{a}0"] + t * (c[f"v{a}"] + t * c[f"a{a}"]) for a in "xy")
+            slope = lambda t: x(t) * (c["vx"] + 2 * t * c["ax"]) + y(t) * (c["vy"] + 2 * t * c["ay"])
+            off = lambda t: np.hypot(x(t), y(t) / polar) - earth.EARTH_KM
+            grid = np.broadcast_to(np.arange(-most_s / 2, most_s / 2 + 1, step_s)[None], (len(b), int(most_s / step_s) + 1))
+            k = np.hypot(x(grid), y(grid)).argmin(1) if len(b) else np.zeros(0, int)
+            low, high = (grid[np.arange(len(b)), np.clip(k + d, 0, grid.shape[1] - 1)] for d in (-1, 1))
+            centre = _root(slope, low, high, tol)
+            hit = off(centre[:, None])[:, 0] < 0
+            out = [pd.DataFrame({"event_id": b["event_id"].to_numpy(), "instant": "centre", "dt": centre})]
+            for sign, name in ((-1, "touch-down"), (1, "leaving")):
+                near, far = centre.copy(), centre + sign * step_s
+                inside = hit & (off(far[:, None])[:, 0] <= 0)
+                while inside.any() and float(np.abs(far - centre).max()) < most_s:
+                    near, far = np.where(inside, far, near), np.where(inside, far + sign * step_s, far)
+                    inside = inside & (off(far[:, None])[:, 0] <= 0)
+                t = _root(off, near, far, tol)
+                found = hit & ~inside
+                out.append(pd.DataFrame({"event_id": b["event_id"].to_numpy()[found], "instant": name, "dt": t[found]}))
+            yield pd.concat(out, ignore_index=True)
+
+    return events.select("event_id", "dec", "x0", "y0", "vx", "vy", "ax", "ay").mapInPandas(run, "event_id bigint, instant string, dt double")
+
+
+def of_date(rows: DataFrame, t: Column) -> DataFrame:
+    """Adds d and mu (degrees) of the star at a time: declination and Greenwich hour angle for the true equator and equinox of date."""
+    jd = jd_of(t)
+    named = sky.with_nutation(rows.withColumn("__jd", jd), F.col("__jd"))
+    true = named.withColumns(dict(zip(("__ra", "d"), sky.true_position(F.col("ra"), F.col("dec"), F.col("__jd")), strict=True)))
+    hour = sky.sidereal(F.col("__jd") - TDB_UTC / DAY_S) + F.col("nut_lon") / 3600.0 * F.cos(F.radians(sky.mean_tilt(F.col("__jd")) + F.col("nut_tilt") / 3600.0)) - F.col("__ra")
+    return true.withColumn("mu", sky.turn(hour)).drop("__jd", "__ra", "nut_lon", "nut_tilt")
+
+
 def context(star: Vec, before: Vec, after: Vec, sun: Vec) -> dict[str, Column]:
     """motion_ra and motion_dec in arcseconds an hour, from directions a minute before and after, and the star's elongation."""
     (a1, d1), (a2, d2) = sky.position(before), sky.position(after)

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from umbra.functions import light, sky
-from umbra.functions.constants import EARTH_KM
+from umbra.functions.constants import EARTH_KM, NUTATION, NUTATION_ARGUMENTS
 from umbra.functions.sky import Vec, num
 from umbra.operators import orbits, scan, solve, tracks
+from umbra.operators.shadow import jd_of, plane_at
 from umbra.plans import paths
 from umbra.plans.registry import query
 from umbra.plans.shadows import ALL_PAIRS, passing
@@ -70,10 +71,13 @@ ERA = f"2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*{DAYS}-floor
 S = "7.2921150e-5::DOUBLE"
 
 
+C = "299792.458::DOUBLE"
+
+
 def _newton(i: int) -> str:
     era = ERA.format(t="t")
-    return f"""a{i} AS (SELECT *, fx*cos({era})-fy*sin({era}) AS ox, fx*sin({era})+fy*cos({era}) AS oy, t-et AS dt FROM n{i}),
-    b{i} AS (SELECT *, x0+vx*dt+ax*dt*dt-(ox*ex+oy*ey) AS rx, y0+vy*dt+ay*dt*dt-(ox*nx+oy*ny+fz*nz) AS ry, vx+2*ax*dt-{S}*(-oy*ex+ox*ey) AS ux, vy+2*ay*dt-{S}*(-oy*nx+ox*ny) AS uy, 2*ax+{S}*{S}*(ox*ex+oy*ey) AS wx, 2*ay+{S}*{S}*(ox*nx+oy*ny) AS wy FROM a{i}),
+    return f"""a{i} AS (SELECT *, fx*cos({era})-fy*sin({era}) AS ox, fx*sin({era})+fy*cos({era}) AS oy FROM n{i}), l{i} AS (SELECT *, t-et+(ox*sx+oy*sy+fz*sz)/{C} AS dt, 1+{S}*(-oy*sx+ox*sy)/{C} AS so FROM a{i}),
+    b{i} AS (SELECT * EXCLUDE (so), x0+vx*dt+ax*dt*dt-(ox*ex+oy*ey) AS rx, y0+vy*dt+ay*dt*dt-(ox*nx+oy*ny+fz*nz) AS ry, (vx+2*ax*dt)*so-{S}*(-oy*ex+ox*ey) AS ux, (vy+2*ay*dt)*so-{S}*(-oy*nx+ox*ny) AS uy, 2*ax+{S}*{S}*(ox*ex+oy*ey) AS wx, 2*ay+{S}*{S}*(ox*nx+oy*ny) AS wy FROM l{i}),
     n{i + 1} AS (SELECT * EXCLUDE (ox,oy,dt,rx,ry,ux,uy,wx,wy) REPLACE (least(greatest(t-(rx*ux+ry*uy)/CASE WHEN ux*ux+uy*uy+rx*wx+ry*wy > 1e-9 THEN ux*ux+uy*uy+rx*wx+ry*wy ELSE ux*ux+uy*uy END, et-half), et+half) AS t) FROM b{i})"""
 
 
@@ -134,6 +138,104 @@ def pick_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solved(spark, sf_dir).select("event_id", reason.alias("reason"))
 
 
+#: How much a track bends beyond its quadratic elements: kilometres by the third power of seconds.
+BENDX, BENDY = "1e-9::DOUBLE*(number%7-3)", "1e-9::DOUBLE*(number%5-2)"
+LIMIT = "(r_km*40)"
+
+
+def curved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, each at one of all sites, with nine nodes of a curved track and a body of planetary size as `limit`."""
+    dt = lambda k: F.col("half") * (k / 4.0 - 1.0)
+    at = lambda a, bend, t: F.col(f"{a}0") + F.col(f"v{a}") * t + F.col(f"a{a}") * t * t + bend * t * t * t
+    bends = ((F.col("number") % 7 - 3) * 1e-9, (F.col("number") % 5 - 2) * 1e-9)
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.struct(dt(k).alias("dt"), at("x", bends[0], dt(k)).alias("x"), at("y", bends[1], dt(k)).alias("y")))
+    return dealt(spark, sf_dir).withColumns({"nodes": nodes, "limit": F.col("r_km") * 40.0})
+
+
+def _curved(i: str, to: str, step: str) -> str:
+    """A round of Newton's method on a curved track, on the offset `t` from et: from table i to table `to`, by `step` of rx, ry, ux, uy, bx, by_."""
+    era = "2*pi()*(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*((et+t)/86400)-floor(0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*((et+t)/86400)))"
+    return f"""a{to} AS (SELECT *, fx*cos({era})-fy*sin({era}) AS ox, fx*sin({era})+fy*cos({era}) AS oy FROM {i}), l{to} AS (SELECT *, t+(ox*sx+oy*sy+fz*sz)/{C} AS dt, 1+{S}*(-oy*sx+ox*sy)/{C} AS so FROM a{to}),
+    b{to} AS (SELECT *, x0+vx*dt+ax*dt*dt+jx*dt*dt*dt-(ox*ex+oy*ey) AS rx, y0+vy*dt+ay*dt*dt+jy*dt*dt*dt-(ox*nx+oy*ny+fz*nz) AS ry, (vx+2*ax*dt+3*jx*dt*dt)*so-{S}*(-oy*ex+ox*ey) AS ux, (vy+2*ay*dt+3*jy*dt*dt)*so-{S}*(-oy*nx+ox*ny) AS uy, 2*ax+6*jx*dt+{S}*{S}*(ox*ex+oy*ey) AS wx, 2*ay+6*jy*dt+{S}*{S}*(ox*nx+oy*ny) AS wy FROM l{to}),
+    {to} AS (SELECT * EXCLUDE (ox,oy,dt,so,rx,ry,ux,uy,wx,wy) REPLACE ({step} AS t) FROM b{to})"""
+
+
+_TO_CLOSEST = "t-(rx*ux+ry*uy)/CASE WHEN ux*ux+uy*uy+rx*wx+ry*wy > 1e-9 THEN ux*ux+uy*uy+rx*wx+ry*wy ELSE ux*ux+uy*uy END"
+_TO_EDGE = f"t-(rx*rx+ry*ry-{LIMIT}*{LIMIT})/(2*(rx*ux+ry*uy))"
+
+
+def _chain(name: str, start: str, step: str, rounds: int) -> str:
+    return ", ".join(_curved(start if k == 0 else f"{name}{k}", f"{name}{k + 1}", step) for k in range(rounds))
+
+
+@query(
+    "site_contacts",
+    f"""WITH {DEALT}, {SOLVING.split(", a0 AS")[0]}, s0 AS (SELECT * REPLACE (0::DOUBLE AS t), {BENDX} AS jx, {BENDY} AS jy FROM n0), {_chain('c', 's0', f'least(greatest({_TO_CLOSEST}, -half), half)', 9)},
+    ca AS (SELECT bc9.* EXCLUDE (ox,oy,dt,so,wx,wy), sqrt(rx*rx+ry*ry) AS miss, sqrt(ux*ux+uy*uy) AS speed FROM bc9), us AS (SELECT * EXCLUDE (rx,ry,ux,uy) FROM ca WHERE miss < {LIMIT} AND abs(t) < half-1),
+    i0 AS (SELECT * REPLACE (t-sqrt({LIMIT}*{LIMIT}-miss*miss)/speed AS t) FROM us), {_chain('i', 'i0', _TO_EDGE, 9)}, o0 AS (SELECT * REPLACE (t+sqrt({LIMIT}*{LIMIT}-miss*miss)/speed AS t) FROM us), {_chain('o', 'o0', _TO_EDGE, 9)}
+    SELECT us.event_id, us.site_id, round(us.t,3) AS dt_ca, round(us.miss,4) AS miss_km, round(us.speed,5) AS speed_kms, round(i9.t,3) AS dt_in, round(o9.t,3) AS dt_out FROM us JOIN i9 USING (event_id, site_id) JOIN o9 USING (event_id, site_id) WHERE abs(i9.t) < us.half AND abs(o9.t) < us.half""",
+)
+def site_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When a large body's shadow reaches a site and leaves it, on curved tracks, with the site's own light time."""
+    found = solve.contacts_at_sites(curved(spark, sf_dir), "limit")
+    digits = {"dt_ca": 3, "miss_km": 4, "speed_kms": 5, "dt_in": 3, "dt_out": 3}
+    return found.where("dt_in IS NOT NULL").select("event_id", "site_id", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+_TERMS = ", ".join("(" + ", ".join(f"{float(x)!r}::DOUBLE" for x in row) + ")" for row in NUTATION)
+_ARGUMENTS = ", ".join(f"radians({c0!r}::DOUBLE+{c1!r}::DOUBLE*tc+({c2!r}::DOUBLE)*tc*tc+({c3!r}::DOUBLE)*tc*tc*tc) AS g{k}" for k, (c0, c1, c2, c3) in enumerate(NUTATION_ARGUMENTS))
+
+
+def _date_sql(source: str) -> str:
+    """Steps that end in `da`: the columns of `source` (with key, ra, dec, t) with d and mu."""
+    return f"""t0 AS (SELECT *, 2451545+t/86400 AS jd, (2451545+t/86400-2451545)/36525 AS tc, (2451545+t/86400-69.184::DOUBLE/86400-2451545)/36525 AS tu FROM {source}), t1 AS (SELECT *, {_ARGUMENTS} FROM t0),
+    nu AS (SELECT key, sum((a+at_*tc)*sin(g0*m0+g1*m1+g2*m2+g3*m3+g4*m4))/1e4::DOUBLE AS psi, sum((b+bt*tc)*cos(g0*m0+g1*m1+g2*m2+g3*m3+g4*m4))/1e4::DOUBLE AS eps FROM t1 CROSS JOIN (SELECT * FROM (VALUES {_TERMS}) v(m0,m1,m2,m3,m4,a,at_,b,bt)) GROUP BY key),
+    t2 AS (SELECT t0.*, psi, eps, (84381.448::DOUBLE-46.8150::DOUBLE*tc-0.00059::DOUBLE*tc*tc+0.001813::DOUBLE*tc*tc*tc)/3600 AS e0, radians((2306.2181::DOUBLE*tc+0.30188::DOUBLE*tc*tc+0.017998::DOUBLE*tc*tc*tc)/3600) AS ze, radians((2306.2181::DOUBLE*tc+1.09468::DOUBLE*tc*tc+0.018203::DOUBLE*tc*tc*tc)/3600) AS zz, radians((2004.3109::DOUBLE*tc-0.42665::DOUBLE*tc*tc-0.041833::DOUBLE*tc*tc*tc)/3600) AS th FROM t0 JOIN nu USING (key)),
+    t3 AS (SELECT *, atan2(cos(radians(dec))*sin(radians(ra)+ze), cos(th)*cos(radians(dec))*cos(radians(ra)+ze)-sin(th)*sin(radians(dec)))+zz AS am, asin(sin(th)*cos(radians(dec))*cos(radians(ra)+ze)+cos(th)*sin(radians(dec))) AS dm FROM t2),
+    t4 AS (SELECT *, atan2(cos(radians(e0))*cos(dm)*sin(am)+sin(radians(e0))*sin(dm), cos(dm)*cos(am))+radians(psi/3600) AS el, asin(cos(radians(e0))*sin(dm)-sin(radians(e0))*cos(dm)*sin(am)) AS eb, radians(e0+eps/3600) AS et_ FROM t3),
+    t5 AS (SELECT *, degrees(atan2(cos(et_)*cos(eb)*sin(el)-sin(et_)*sin(eb), cos(eb)*cos(el))) AS rt, degrees(asin(sin(et_)*cos(eb)*sin(el)+cos(et_)*sin(eb))) AS d FROM t4),
+    t6 AS (SELECT *, 280.46061837::DOUBLE+360.98564736629::DOUBLE*(tu*36525)+0.000387933::DOUBLE*tu*tu-tu*tu*tu/38710000+psi/3600*cos(et_)-rt AS h FROM t5), da AS (SELECT *, h-floor(h/360)*360 AS mu FROM t6)"""
+
+
+@query("besselian_of_date", f"WITH src AS (SELECT event_id AS key, ra, dec, et AS t FROM {{elements}}), {_date_sql('src')} SELECT key AS event_id, round(d,6) AS d, round(mu,4) AS mu, round(psi,5) AS nut_lon, round(eps,5) AS nut_tilt FROM da")
+def besselian_of_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = sky.with_nutation(table(spark, sf_dir, "elements"), jd_of(F.col("et"))).withColumns({"p": F.round("nut_lon", 5), "e": F.round("nut_tilt", 5)})
+    dated = solve.of_date(events.select("event_id", "ra", "dec", "et", "p", "e"), F.col("et"))
+    return dated.select("event_id", F.round("d", 6).alias("d"), F.round("mu", 4).alias("mu"), F.col("p").alias("nut_lon"), F.col("e").alias("nut_tilt"))
+
+
+_ROUNDS = 8
+_CLOSE = ", ".join(f"k{i + 1} AS (SELECT * REPLACE (dt-((x0+dt*(vx+dt*ax))*(vx+2*ax*dt)+(y0+dt*(vy+dt*ay))*(vy+2*ay*dt))/(pow(vx+2*ax*dt,2)+pow(vy+2*ay*dt,2)+2*ax*(x0+dt*(vx+dt*ax))+2*ay*(y0+dt*(vy+dt*ay))) AS dt) FROM k{i})" for i in range(_ROUNDS))
+
+
+def _rim(name: str, sign: str) -> str:
+    """Newton's rounds to where the axis crosses the Earth's outline, from the straight track's crossing of a circle."""
+    first = f"{name}0 AS (SELECT * REPLACE (dt{sign}sqrt(pow(6378.137::DOUBLE,2)-near2)/sqrt(pow(vx+2*ax*dt,2)+pow(vy+2*ay*dt,2)) AS dt) FROM cl WHERE near2 < pow(4000,2))"
+    value = "pow(x0+dt*(vx+dt*ax),2)+pow(y0+dt*(vy+dt*ay),2)/k2-pow(6378.137::DOUBLE,2)"
+    rate = "2*(x0+dt*(vx+dt*ax))*(vx+2*ax*dt)+2*(y0+dt*(vy+dt*ay))*(vy+2*ay*dt)/k2"
+    return ", ".join([first, *(f"{name}{i + 1} AS (SELECT * REPLACE (dt-({value})/({rate}) AS dt) FROM {name}{i})" for i in range(_ROUNDS))])
+
+
+@query(
+    "besselian_instants",
+    f"""WITH k0 AS (SELECT *, 1-1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE)*pow(cos(radians(dec)),2) AS k2, -(x0*vx+y0*vy)/(vx*vx+vy*vy) AS dt FROM {{elements}}), {_CLOSE}, cl AS (SELECT *, pow(x0+dt*(vx+dt*ax),2)+pow(y0+dt*(vy+dt*ay),2) AS near2 FROM k{_ROUNDS} WHERE abs(dt) < 7000),
+    {_rim('p', '-')}, {_rim('q', '+')}, al AS (SELECT *, 'centre' AS instant FROM cl WHERE near2 < pow(4000,2) UNION ALL SELECT *, 'touch-down' FROM p{_ROUNDS} UNION ALL SELECT *, 'leaving' FROM q{_ROUNDS}),
+    src AS (SELECT event_id || instant AS key, *, et+dt AS t FROM al), {_date_sql('src')}
+    SELECT event_id, instant, round(dt,2) AS dt_s, round((x0+dt*(vx+dt*ax))/6378.137::DOUBLE,5) AS x, round((y0+dt*(vy+dt*ay))/6378.137::DOUBLE,5) AS y, round(vx+2*ax*dt,5) AS dx, round(vy+2*ay*dt,5) AS dy, round(d,6) AS d, round(mu,3) AS mu FROM da""",
+)
+def besselian_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements where the axis touches down, is closest to the Earth's centre, and leaves; of axes that pass within 4000 km of it."""
+    events = table(spark, sf_dir, "elements")
+    found = solve.instants(events).join(events, "event_id").withColumns({"t": F.col("et") + F.col("dt")})
+    px, py = plane_at(F.col("t"))
+    placed = found.withColumns({"px": px, "py": py, "mx": F.col("vx") + 2 * F.col("ax") * F.col("dt"), "my": F.col("vy") + 2 * F.col("ay") * F.col("dt")})
+    closest = F.max(F.when(F.col("instant") == "centre", F.struct(F.hypot("px", "py").alias("km"), F.abs("dt").alias("dt")))).over(W.partitionBy("event_id"))
+    near = placed.withColumn("c", closest).where("c.km < 4000 AND c.dt < 7000")
+    dated = solve.of_date(near, F.col("t"))
+    rounded = {"dt_s": ("dt", 2), "dx": ("mx", 5), "dy": ("my", 5), "d": ("d", 6), "mu": ("mu", 3)}
+    return dated.select("event_id", "instant", F.round(F.col("px") / EARTH_KM, 5).alias("x"), F.round(F.col("py") / EARTH_KM, 5).alias("y"), *[F.round(c, n).alias(k) for k, (c, n) in rounded.items()])
+
+
 LINE = "(SELECT event_id, et, x0, y0, vx, vy, r_km, -(x0*vx+y0*vy)/(vx*vx+vy*vy) AS dt, vx*vx+vy*vy AS v2 FROM {elements})"
 
 
