@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import earth, light, sky, text
 from umbra.functions.sky import Vec, num
-from umbra.operators import catalog, cells, ephemeris, ground_index, orbits, results, scan, solve, tracks
+from umbra.operators import backfill, catalog, cells, ephemeris, ground_index, orbits, results, scan, solve, tracks
 from umbra.plans import ephemerides, solving
 from umbra.plans.tables import table
 from umbra.sources import files
@@ -242,13 +242,95 @@ def test_log_reader_is_tolerant(spark, tmp_path):
     assert sorted(map(tuple, files.read_log(spark, str(tmp_path / "log.csv"), ["id", "name"]).collect())) == [("1", "a, b"), ("2", "c")]
 
 
-def test_increments_take_files_once(spark, tmp_path):
-    rows = table(spark, SF, "elements").select("event_id", "g")
-    for k in range(2):
-        rows.where(f"event_id % 2 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        for _ in range(2):
-            increments.build(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "ck"), 12.0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.where("g <= 12").count()
+def test_log_headers_reach_over_splits(spark, tmp_path):
+    """A header far before, in another split of the file, still holds; before the first one no row counts; another file's doesn't matter."""
+    rng = random.Random(5)
+    want, lines, header, skipped = [], ["1,too early"], None, 1
+    for k in range(3000):
+        if rng.random() < 0.01:
+            header = rng.choice([["id", "a"], ["id", "b", "a"], ["id", "a", "c", "d"]])
+            lines.append(",".join(header))
+        width = len(header) if header and rng.random() < 0.9 else rng.randint(1, 5)
+        row = [str(k + 10), *(f"v{k}{c}" for c in range(width - 1))]
+        lines.append(",".join(row))
+        if header and len(header) == width:
+            want.append((row[0], row[header.index("a")], dict(zip(header, row, strict=True)).get("b")))
+        else:
+            skipped += 1
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.csv").write_text("\n".join(lines))
+    (tmp_path / "logs" / "b.csv").write_text("7,x\nid,b\n8,y\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = files.log_lines(spark, str(tmp_path / "logs"), "id")
+        got = sorted(map(tuple, files.read_log(spark, str(tmp_path / "logs"), ["id", "a", "b"]).collect()), key=str)
+        assert spark.read.text(str(tmp_path / "logs")).rdd.getNumPartitions() > 4 and rows.where("NOT ok").count() == skipped + 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([*want, ("8", None, "y")], key=str)
+
+
+def test_label_gives_the_layout(spark, tmp_path):
+    field_ = lambda n, a, w, t: f"<Field_Character><name> {n} </name><field_location unit='byte'>{a}</field_location><data_type>{t}</data_type><field_length>{w}</field_length></Field_Character>"
+    label = tmp_path / "label.xml"
+    label.write_text("<P>" + field_("N", 1, 4, "ASCII_Integer") + "\n" + field_("D", 6, 6, "ASCII_Real") + field_("T", 13, 5, "ASCII_String") + "</P>")
+    (tmp_path / "t.tab").write_text("   7  12.50 ab c\n  12 -9.999 \n\nx    -0.5   é\n")
+    assert files.labelled_layout(spark, str(label)) == {"N": (1, 4, "bigint"), "D": (6, 6, "double"), "T": (13, 5, "string")}
+    rows = files.read_labelled(spark, str(tmp_path / "t.tab"), str(label), ["T", "N", "D"], -9.9)
+    assert {tuple(r) for r in rows.collect()} == {("ab c", 7, 12.5), (None, 12, None), ("é", None, -0.5)}
+    with pytest.raises(ValueError, match="no field X"):
+        files.read_labelled(spark, str(tmp_path / "t.tab"), str(label), ["X"])
+    label.write_text("<P><Field_Character><name>N</name></Field_Character></P>")
+    with pytest.raises(ValueError, match="place, length"):
+        files.labelled_layout(spark, str(label))
+
+
+@pytest.mark.parametrize("killed_at", [(0, "todo"), (1, "screen"), (1, "events"), (2, "done")])
+def test_a_killed_build_goes_on_to_the_same_events(spark, tmp_path, killed_at):
+    """Killed anywhere in a batch, then run again: as one run, with no body in two batches; other settings are refused."""
+    numbers = table(spark, SF, "asteroids").select("number").where("number < 40")
+    source = str(tmp_path / "in")
+    for k in range(3):
+        numbers.where(f"number % 3 = {k} OR number % 10 = {k}").coalesce(1).write.mode("append").parquet(source)
+
+    def run(name: str, kill: tuple[int, str] | None = None, settings: dict | None = None) -> None:
+        calls = []
+
+        def screen(bodies):
+            calls.append(1)
+            if kill and kill[1] == "screen" and len(calls) == kill[0] + 1:
+                # Fails when the events are half written.
+                return bodies.repartition(5).withColumn("event", F.when(F.col("number") % 4 == 1, F.raise_error(F.lit("killed")).cast("int")).otherwise(1))
+            return bodies.select("number", F.explode(F.sequence(F.lit(0), (F.col("number") % 3).cast("int"))).alias("event"))
+
+        def said(batch: int, step: str) -> None:
+            if (batch, step) == kill:
+                raise RuntimeError("killed")
+
+        increments.build(source, numbers.schema, str(tmp_path / name), str(tmp_path / name / "ck"), screen, settings or {"g": 12}, spark, said=said)
+
+    run("one")
+    with pytest.raises(Exception, match="killed"):
+        run("two", killed_at)
+    run("two")
+    run("two")
+    one, two = (sorted(tuple(r) for r in increments.events_of(spark, str(tmp_path / n)).select("number", "event").collect()) for n in ("one", "two"))
+    assert one == two == sorted((r.number, e) for r in numbers.collect() for e in range(r.number % 3 + 1))
+    log = {r.batch: (r.bodies, r.events) for r in increments.batches_of(spark, str(tmp_path / "two")).collect()}
+    assert sorted(log) == [0, 1, 2] and sum(b for b, _ in log.values()) == numbers.count() and sum(e for _, e in log.values()) == len(two)
+    with pytest.raises(ValueError, match="other settings"):
+        run("two", settings={"g": 13})
+
+
+def test_filled_records_keep_what_they_have(spark):
+    rows = spark.createDataFrame([(1, "a", 5.0), (2, None, None), (3, " ", 7.0), (4, "nan", None), (None, "", None)], "id int, name string, size double")
+    sources = {"s": backfill.Source(spark.createDataFrame([(2, "two"), (3, None)], "k int, n string"), {"k": F.col("id")}), "t": backfill.Source(spark.createDataFrame([(3, "three", 1.5), (4, "", 2.5)], "k int, n string, z double"), {"k": F.col("id")})}
+    done = backfill.filled(rows, sources, {"name": [("s", F.col("s.n")), ("t", F.col("t.n"))], "size": [("t", F.col("t.z")), ("name", F.length("name").cast("double"))]})
+    got = {r.id: tuple(r)[1:] for r in done.select("id", "name", "size", "name_from", "size_from").collect()}
+    assert got == {1: ("a", 5.0, "own", "own"), 2: ("two", None, "s", None), 3: ("three", 7.0, "t", "own"), 4: (None, 2.5, None, "t"), None: (None, 0.0, None, "name")}
+    plan = plan_of(done)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_geodetic_round_trip(spark):

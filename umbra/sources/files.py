@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,14 +49,57 @@ def read_fixed(spark: SparkSession, path: str, layout: dict[str, tuple[int, int,
 OBSERVATORIES = {"code": (1, 3, "string"), "lon": (5, 9, "double"), "rho_cos": (14, 8, "double"), "rho_sin": (22, 9, "double"), "name": (31, 80, "string")}
 
 
+def labelled_layout(spark: SparkSession, label: str) -> dict[str, tuple[int, int, str]]:
+    """A fixed-width table's layout from its XML label: each `Field_Character` has a name, its first character, its length and a type."""
+    types = {"integer": "bigint", "real": "double"}
+    field = lambda tag: F.expr(f"xpath(value, '//Field_Character/{tag}/text()')")
+    label_text = spark.read.text(label, wholetext=True)
+    row = label_text.select(*[F.transform(field(t), lambda x: F.trim(x)).alias(n) for t, n in (("name", "names"), ("field_location", "places"), ("field_length", "widths"), ("data_type", "types"))]).first()
+    if row is None or not row.names or len({len(x) for x in row}) != 1:
+        raise ValueError(f"{label} doesn't give each field a name, place, length and type")
+    kind = lambda t: next((v for k, v in types.items() if k in t.lower()), "string")
+    return {n: (int(a), int(w), kind(t)) for n, a, w, t in zip(row.names, row.places, row.widths, row.types, strict=True)}
+
+
+def read_labelled(spark: SparkSession, path: str, label: str, columns: list[str], missing: float | None = None) -> DataFrame:
+    """Named columns of a fixed-width table whose layout stands in a label. Numbers not above `missing` (-9.9 for tables that write -9.99 and the like)
+    are null."""
+    layout = labelled_layout(spark, label)
+    unknown = [c for c in columns if c not in layout]
+    if unknown:
+        raise ValueError(f"{label} has no field {', '.join(unknown)}")
+    rows = read_fixed(spark, path, {c: layout[c] for c in columns})
+    return rows if missing is None else rows.select(*[F.when(F.col(c) > missing, F.col(c)).alias(c) if layout[c][2] == "double" else F.col(c) for c in columns])
+
+
+def log_lines(spark: SparkSession, path: str, first: str) -> DataFrame:
+    """(header, fields, ok): the rows of a log that runs have appended to, each with the header that stands before it in its file. A line whose first
+    field is `first` is a header; columns may come and go from one to the next. ok: there is a header, and the row is as wide. Blank lines are
+    none; byte-order marks are dropped.
+
+    Lines keep their order within a split of a file; a split that begins without a header takes the last one of the splits before. So
+    windows are as long as a split, and one row for each split goes through the other one.
+    """
+    read = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    pieces = F.regexp_extract_all(F.concat("line", F.lit(",")), F.lit(r'((?:"(?:[^"]++|"")*+"|[^,]*+)),'), F.lit(1))
+    plain = F.transform(pieces, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    rows = read.where(F.trim("line") != "").select("file", "block", "id", plain.alias("fields"))
+    is_header = F.trim(F.get("fields", F.lit(0))) == first
+    marked = rows.withColumn("own", F.when(is_header, F.transform("fields", lambda x: F.trim(x))))
+    split = W.partitionBy("file", "block").orderBy("id")
+    here = marked.withColumn("seen", F.last("own", ignorenulls=True).over(split))
+    ends = marked.groupBy("file", "block").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("id", "own"))).alias("end"))
+    before = ends.withColumn("carried", F.last("end.own", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
+    joined = here.join(before.select("file", "block", "carried"), ["file", "block"]).where(F.col("own").isNull()).withColumn("header", F.coalesce("seen", "carried"))
+    return joined.select("header", "fields", F.coalesce(F.size("header") == F.size("fields"), F.lit(False)).alias("ok"))
+
+
 def read_log(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A log of hits that runs have appended to: headers again and again, rows of the wrong width, a byte-order mark. Rows have
-    the known columns, by the order in the header that all headers share."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line")).where((F.trim("line") != "") & ~F.col("line").startswith(columns[0] + ","))
-    fields = F.from_csv("line", ", ".join(f"`{c}` string" for c in [*columns, "__more"]), {"mode": "PERMISSIVE"})
-    width = F.size(F.regexp_extract_all("line", F.lit(r'(?:"(?:[^"]|"")*"|[^,"])*(?:,|$)'), F.lit(0)))
-    # The pattern also matches the empty rest at the end of a line that doesn't end in a comma.
-    return lines.withColumn("f", fields).where((width - 1 == len(columns)) & F.col("f.__more").isNull()).select(*[F.col(f"f.`{c}`").alias(c) for c in columns])
+    """The named columns of a log's rows, by the header before each row (see `log_lines`); one that it lacks is null. The first of the columns starts
+    headers. Rows without a header or of another width are left out."""
+    rows = log_lines(spark, path, columns[0]).where("ok")
+    at = lambda c: F.try_element_at("fields", F.nullif(F.array_position("header", c), F.lit(0).cast("bigint")).cast("int"))
+    return rows.select(*[at(c).alias(c) for c in columns])
 
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
