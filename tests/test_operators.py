@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from umbra.functions import earth, light, sky, text
 from umbra.functions.sky import Vec, num
-from umbra.operators import backfill, catalog, cells, ephemeris, ground_index, orbits, results, scan, solve, tracks
-from umbra.plans import ephemerides, solving
+from umbra.operators import backfill, catalog, cells, ephemeris, globe, ground_index, orbits, results, scan, shadow, solve, tracks
+from umbra.plans import ephemerides, globes, solving
 from umbra.plans.tables import table
 from umbra.sources import files
 from umbra.streaming import increments
@@ -208,6 +208,57 @@ def test_nutation_and_position_of_date(spark):
     assert x == pytest.approx(90 + (-13.9 * 0.9175) / 3600, abs=1e-3) and y == pytest.approx(-5.8 / 3600, abs=1e-3)
 
 
+def test_day_side_has_the_area_of_its_phase(spark):
+    """Half of one and the cosine between star and Sun of the disc's area, for any view, the Sun in line or opposite too."""
+    events = table(spark, SF, "elements").select("event_id", "et", "ra", "dec").limit(60)
+    jd = shadow.jd_of(F.col("et"))
+    sun = shadow.sun_direction(jd)
+    ra, dec = sky.position(sun)
+    line = events.limit(2).withColumns({"ra": F.when(F.col("event_id") % 2 == 0, ra).otherwise(sky.turn(ra + 180.0)), "dec": F.when(F.col("event_id") % 2 == 0, dec).otherwise(-dec), "event_id": F.col("event_id") + 10**9})
+    both = events.unionByName(line)
+    cosine = {r.event_id: r.c for r in both.select("event_id", sky.direction(F.col("ra"), F.col("dec")).dot(sun).alias("c")).collect()}
+    outline: dict[int, list] = {}
+    for r in globe.day_polygon(both, 400).orderBy("event_id", "k").collect():
+        outline.setdefault(r.event_id, []).append((r.x, r.y))
+    for i, points in outline.items():
+        area = abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(points, [*points[1:], points[0]], strict=True))) / 2
+        assert area == pytest.approx(math.pi * (1 + cosine[i]) / 2, abs=1e-3)
+        assert max(math.hypot(*q) for q in points) <= 1 + 1e-9
+    assert len(outline) == 62 and min(cosine.values()) < -0.99 and max(cosine.values()) > 0.99
+
+
+def test_clipped_land_closes_and_covers_what_its_corners_enclose(spark):
+    """Pieces meet end to start; the area equals a count of disc points within the outline, corners behind the Earth included."""
+    rng = random.Random(11)
+    pairs, lands = globes.views(spark, SF).limit(40), globes.land(spark, SF)
+    pieces = globe.clipped(pairs, lands)
+    rows: dict[int, list] = {}
+    for r in pieces.collect():
+        rows.setdefault(r.view, []).append(r)
+    area = {r.view: r for r in globe.visible_area(pieces).collect()}
+    assert set(area) == set(rows) and any(r.arcs for r in area.values()) and any(not r.arcs for r in area.values())
+    points = [(x, y) for x, y in ((rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(4000)) if math.hypot(x, y) < 1]
+    for view, part in rows.items():
+        starts, ends = (sorted((round(a, 7) + 0.0, round(b, 7) + 0.0) for a, b in ((getattr(r, p), getattr(r, q)) for r in part)) for p, q in (("x", "y"), ("to_x", "to_y")))
+        assert all(math.dist(a, b) < 1e-5 for a, b in zip(starts, ends, strict=True))
+        segments = []
+        for r in part:
+            steps = 1
+            if r.kind == "limb":
+                a, b = math.atan2(r.y, r.x), math.atan2(r.to_y, r.to_x)
+                steps = 200
+                arc = [(math.cos(a + (b - a) % (2 * math.pi) * k / steps), math.sin(a + (b - a) % (2 * math.pi) * k / steps)) for k in range(steps + 1)]
+                segments += list(zip(arc, arc[1:], strict=False))
+            else:
+                segments.append(((r.x, r.y), (r.to_x, r.to_y)))
+        inside = 0
+        for x, y in points:
+            odd = sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in segments) % 2
+            inside += odd
+        assert area[view].area == pytest.approx(math.pi * inside / len(points), abs=0.09) and area[view].area > 0
+    assert globe.clipped(pairs.limit(0), lands).count() == 0
+
+
 def test_instants_equal_a_grid(spark):
     events = table(spark, SF, "elements")
     found = {(r.event_id, r.instant): r.dt for r in solve.instants(events).collect()}

@@ -94,15 +94,24 @@ def _bend_sql(q: str) -> str:
 )
 def star_deflection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the Sun, Jupiter and Saturn bend each event's star against its body, without the body's own system."""
+    found = ephemeris.deflected(rays_of(spark, sf_dir).drop("far"), deflecting(spark, sf_dir))
+    most = F.array_max(F.transform("by", lambda x: x["mas"]))
+    return found.select(F.col("ray").alias("event_id"), F.size("by").cast("bigint").alias("bodies"), F.round(F.log10("bent_mas"), 4).alias("log_mas"), F.round(F.log10(most), 4).alias("log_most"))
+
+
+def rays_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ray, day, centre, far in km, px .. pz, tx .. tz) of all events."""
     events = table(spark, sf_dir, "elements").withColumns({"day": F.floor(F.col("et") / 86400).cast("int"), "centre": F.expr(CENTRE), "far": (1.5 + F.col("number") % 17 / 10.0) * 149597870.7})
     p = sky.direction(F.col("ra"), F.col("dec"))
     east, north = sky.plane_axes(p)
     t = p.times(F.col("far")).plus(east.times(F.col("x0"))).plus(north.times(F.col("y0")))
-    rays = events.select(F.col("event_id").alias("ray"), "day", "centre", *[c.alias(f"p{k}") for k, c in zip("xyz", p, strict=True)], *[c.alias(f"t{k}") for k, c in zip("xyz", t, strict=True)])
+    return events.select(F.col("event_id").alias("ray"), "day", "centre", "far", *[c.alias(f"p{k}") for k, c in zip("xyz", p, strict=True)], *[c.alias(f"t{k}") for k, c in zip("xyz", t, strict=True)])
+
+
+def deflecting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(day, body, gm, bx, by_, bz) of the bending bodies on each day that has events."""
     bodies = F.array(*[F.struct(F.lit(b).alias("body"), num(gm).alias("gm"), num(r).alias("r"), num(ph).alias("ph"), num(w).alias("w")) for b, gm, r, ph, w in BENDING])
     angle = F.col("b.ph") + F.col("b.w") * F.col("day")
     there = {"bx": F.col("b.r") * F.cos(angle), "by_": F.col("b.r") * F.sin(angle) * 0.9175, "bz": F.col("b.r") * F.sin(angle) * 0.3978}
-    deflectors = events.select("day").distinct().withColumn("b", F.explode(bodies)).select("day", "b.body", "b.gm", *[x.alias(c) for c, x in there.items()])
-    found = ephemeris.deflected(rays, deflectors)
-    most = F.array_max(F.transform("by", lambda x: x["mas"]))
-    return found.select(F.col("ray").alias("event_id"), F.size("by").cast("bigint").alias("bodies"), F.round(F.log10("bent_mas"), 4).alias("log_mas"), F.round(F.log10(most), 4).alias("log_most"))
+    days = table(spark, sf_dir, "elements").select(F.floor(F.col("et") / 86400).cast("int").alias("day")).distinct()
+    return days.withColumn("b", F.explode(bodies)).select("day", "b.body", "b.gm", *[x.alias(c) for c, x in there.items()])
