@@ -293,6 +293,24 @@ def test_log_reader_is_tolerant(spark, tmp_path):
     assert sorted(map(tuple, files.read_log(spark, str(tmp_path / "log.csv"), ["id", "name"]).collect())) == [("1", "a, b"), ("2", "c")]
 
 
+def test_order_of_a_key_over_many_ranges(spark):
+    """One key of nearly all rows, a null one, ties settled by id: places as one sort gives them, over several ranges."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.choice([None, 1, 2, 3]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = results.ordered(df, ["k"], [F.asc_nulls_last("v"), F.col("id")])
+        got = {(r.k, r.id): r.pos for r in done.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for key in ("hot", "b", None):
+        want = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        assert [got[key, r[2]] for r in want] == list(range(1, len(want) + 1))
+    assert len(got) == 3000 and results.ordered(df.limit(0), ["k"], [F.col("id")]).collect() == []
+
+
 def test_log_headers_reach_over_splits(spark, tmp_path):
     """A header far before, in another split of the file, still holds; before the first one no row counts; another file's doesn't matter."""
     rng = random.Random(5)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from umbra.functions import sky
 from umbra.functions.constants import FAST_MAS_YR, KIND_MAIN, KIND_RUWE, KIND_TWO, KIND_TWO_A, RUWE_GOOD
 from umbra.functions.sky import num
-from umbra.operators.cells import cell_join
+from umbra.operators.cells import cell_join, size_for
 
 MISSING_MAG = 65535
 
@@ -69,12 +69,12 @@ def first_wins(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct("__side", *columns)).alias("r")).select("r.*")
 
 
-def matched(ours: DataFrame, theirs: DataFrame, radius_arcsec: float, accept: Column, cell_deg: float = 0.25) -> DataFrame:
+def matched(ours: DataFrame, theirs: DataFrame, radius_arcsec: float, accept: Column) -> DataFrame:
     """The nearest acceptable partner of each of our stars: (source_id, other_id, sep). Ties go to the smaller id.
 
     `theirs` has other_id, other_ra, other_dec and what `accept` needs.
     """
-    pairs = cell_join(ours, theirs, radius_arcsec / 3600.0 * 1.001, cell_deg, right_at=("other_ra", "other_dec"))
+    pairs = cell_join(ours, theirs, radius_arcsec / 3600.0 * 1.001, size_for(radius_arcsec / 3600.0), right_at=("other_ra", "other_dec"))
     near = pairs.withColumn("sep", sky.separation(F.col("ra"), F.col("dec"), F.col("other_ra"), F.col("other_dec"))).where((F.col("sep") <= radius_arcsec) & accept)
     return near.groupBy("source_id").agg(F.min(F.struct("sep", "other_id")).alias("m")).select("source_id", "m.other_id", "m.sep")
 
@@ -86,7 +86,7 @@ def companions(events: DataFrame, stars: DataFrame, years: float, radius_arcsec:
     """
     a, d = sky.moved(F.col("ra"), F.col("dec"), F.col("pmra"), F.col("pmdec"), years)
     there = stars.where("g IS NOT NULL").select(F.col("source_id").alias("other_id"), a.alias("other_ra"), d.alias("other_dec"), F.col("g").alias("other_g"))
-    near = cell_join(events, there, radius_arcsec / 3600.0 * 1.001, 0.25, right_at=("other_ra", "other_dec"))
+    near = cell_join(events, there, radius_arcsec / 3600.0 * 1.001, size_for(radius_arcsec / 3600.0), right_at=("other_ra", "other_dec"))
     sep = sky.separation(F.col("ra"), F.col("dec"), F.col("other_ra"), F.col("other_dec"))
     kept = near.withColumn("sep", sep).where((F.col("sep") <= radius_arcsec) & (F.col("other_id") != F.col("source_id")) & (F.col("other_g") <= F.col("g") + fainter))
     lists = kept.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct(F.col("sep"), F.col("other_g").alias("g"), F.col("other_id").alias("source_id")))).alias("companions"))

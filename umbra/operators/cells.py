@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions import sky
+from umbra.functions.constants import CELL_DEG
 from umbra.functions.sky import num
 
 
@@ -33,6 +34,11 @@ def touched_cells(df: DataFrame, ra: Column, dec: Column, radius: Column, size:
     return spread.select("*", F.explode(F.sequence("__west", "__east")).alias("__col")).withColumn(out, (F.col("__row") * cols + F.pmod("__col", F.lit(cols))).cast("bigint")).drop("__row", "__col", "__west", "__east")
 
 
+def size_for(radius_deg: float, least: float = CELL_DEG) -> float:
+    """The size of cells that a circle touches a few of: about its radius, a whole number of them from pole to pole."""
+    return 180.0 / max(1, math.floor(180.0 / max(radius_deg, least)))
+
+
 def cell_join(left: DataFrame, right: DataFrame, radius: Column | float, size: float, left_at: tuple[str, str] = ("ra", "dec"), right_at: tuple[str, str] = ("star_ra", "star_dec")) -> DataFrame:
     """Pairs within `radius` degrees (a number or a column of the left side); column names of the sides must differ."""
     r = num(radius)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from umbra.sources.files import scratch
+
 
 def current_series(runs: DataFrame, by: list[str]) -> DataFrame:
     """(by…, series): the newest series of each list."""
@@ -89,6 +91,27 @@ def last_hits(events: DataFrame, key: list[str], time: str, order: str, tol: flo
     return _folded(events, key, time, order, tol, True)
 
 
+def ordered(rows: DataFrame, key: list[str], order: list[Column], out: str = "pos") -> DataFrame:
+    """Adds `out`, each row's place from 1 in the order of its key's rows, however many those are; ties by `order` alone are settled at random, so it ends
+    in an id.
+
+    Rows are dealt by ranges of key and order, so a key of a third of all rows spreads over many tasks; each range is numbered by itself, and
+    begins where the ranges of its key before it end. The dealt rows are written, as ranges that are read twice must be the same.
+    """
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "ordered")
+    rows.repartitionByRange(*[F.col(k) for k in key], *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(rows.schema.add("__part", "integer")).parquet(path)
+    # A row for each range.
+    before = W.partitionBy(*key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = dealt.groupBy(*key, "__part").agg(F.count("*").alias("__n")).select(*key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    numbered = dealt.withColumn("__k", F.row_number().over(W.partitionBy(*key, "__part").orderBy(*order)))
+    on = numbered["__part"] == starts["__part"]
+    for k in key:
+        on = on & numbered[k].eqNullSafe(starts[k])
+    joined = numbered.join(starts.select("__part", "__first", *key), on)
+    return joined.select(*[numbered[c] for c in rows.columns], (F.col("__k") + F.col("__first")).cast("bigint").alias(out))
+
+
 def upserted(known: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Known rows, replaced by new ones of the same key, and the new rows of other keys; of several new ones the last by `seq`."""
     columns = [c for c in known.columns if c not in key]

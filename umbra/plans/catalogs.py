@@ -83,14 +83,14 @@ def merged_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.first_wins(main, more, "source_id").select("source_id", "side", F.round("g", 6).alias("g"))
 
 
-OTHERS = "(SELECT source_id AS other_id, ra + (CASE WHEN (source_id//1000)%4=0 THEN 0.00008::DOUBLE ELSE 0.00003::DOUBLE END)/cos(radians(dec)) AS ora, dec + 0.00002::DOUBLE AS odec, g + ((source_id//1000)%5)*0.2::DOUBLE AS og FROM {stars} WHERE abs(dec) < 85)"
+OTHERS = "(SELECT source_id AS other_id, ra + (CASE WHEN (source_id//1000)%4=0 THEN 0.00008::DOUBLE ELSE 0.00003::DOUBLE END)/cos(radians(dec)) AS ora, dec + 0.00002::DOUBLE AS odec, g + ((source_id//1000)%5)*0.2::DOUBLE AS og FROM {stars})"
 HAV = "degrees(2*asin(sqrt(least(greatest(pow(sin((radians(o.odec)-radians(s.dec))/2),2)+cos(radians(s.dec))*cos(radians(o.odec))*pow(sin((radians(o.ora)-radians(s.ra))/2),2),0),1))))*3600"
 
 
 def others(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.expr("source_id div 1000")
     shift = F.when(key % 4 == 0, num(0.00008)).otherwise(num(0.00003))
-    return table(spark, sf_dir, "stars").where("abs(dec) < 85").select(F.col("source_id").alias("other_id"), (F.col("ra") + shift / F.cos(F.radians("dec"))).alias("other_ra"), (F.col("dec") + 0.00002).alias("other_dec"), (F.col("g") + (key % 5) * 0.2).alias("other_g"))
+    return table(spark, sf_dir, "stars").select(F.col("source_id").alias("other_id"), (F.col("ra") + shift / F.cos(F.radians("dec"))).alias("other_ra"), (F.col("dec") + 0.00002).alias("other_dec"), (F.col("g") + (key % 5) * 0.2).alias("other_g"))
 
 
 def _match_sql(radius: float, accept: str) -> str:

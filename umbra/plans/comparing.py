@@ -11,18 +11,19 @@ from umbra.operators import compare, tracks
 from umbra.plans.registry import query
 from umbra.plans.tables import base, table
 
-REF = "(SELECT id AS ref_id, target_id, best_et + (id % 13)*120::DOUBLE - 700 AS ref_t, 1+(id%5)*0.3::DOUBLE AS ref_drop, 2+(id%4)::DOUBLE AS ref_dur FROM {hits} WHERE id % 11 = 0)"
-HIT = "(SELECT id AS hit_id, target_id, best_et AS hit_t, 1+(id%6)*0.3::DOUBLE AS hit_drop, 2+(id%3)::DOUBLE AS hit_dur FROM {hits} WHERE id % 3 = 0)"
+REF = "(SELECT id AS ref_id, target_id, best_et + (id % 13)*120::DOUBLE - 700 AS ref_t, 1+(id%5)*0.3::DOUBLE AS ref_drop, 2+(id%4)::DOUBLE AS ref_dur FROM {hits} WHERE id % 3 = 0)"
+HIT = "(SELECT id AS hit_id, target_id, best_et AS hit_t, 1+(id%6)*0.3::DOUBLE AS hit_drop, 2+(id%3)::DOUBLE AS hit_dur FROM {hits} WHERE id % 3 <> 0)"
 MATCH = f"""b AS (SELECT r.ref_id, h.hit_id, h.hit_t - r.ref_t AS dt, h.hit_drop, h.hit_dur, row_number() OVER (PARTITION BY r.ref_id ORDER BY abs(h.hit_t-r.ref_t), h.hit_id) AS k FROM {REF} r JOIN {HIT} h ON h.target_id=r.target_id AND abs(h.hit_t-r.ref_t) <= 600),
   m AS (SELECT r.*, b.hit_id, b.dt, b.hit_drop, b.hit_dur FROM {REF} r LEFT JOIN b ON b.ref_id=r.ref_id AND b.k=1)"""
 
 
+# A third of the hits plays the reference list, the others are ours.
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "hits").where("id % 11 = 0").select(F.col("id").alias("ref_id"), "target_id", (F.col("best_et") + (F.col("id") % 13) * num(120) - 700).alias("ref_t"), (1 + (F.col("id") % 5) * num(0.3)).alias("ref_drop"), (2 + (F.col("id") % 4) * num(1)).alias("ref_dur"))
+    return table(spark, sf_dir, "hits").where("id % 3 = 0").select(F.col("id").alias("ref_id"), "target_id", (F.col("best_et") + (F.col("id") % 13) * num(120) - 700).alias("ref_t"), (1 + (F.col("id") % 5) * num(0.3)).alias("ref_drop"), (2 + (F.col("id") % 4) * num(1)).alias("ref_dur"))
 
 
 def ours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "hits").where("id % 3 = 0").select(F.col("id").alias("hit_id"), "target_id", F.col("best_et").alias("hit_t"), (1 + (F.col("id") % 6) * num(0.3)).alias("hit_drop"), (2 + (F.col("id") % 3) * num(1)).alias("hit_dur"))
+    return table(spark, sf_dir, "hits").where("id % 3 <> 0").select(F.col("id").alias("hit_id"), "target_id", F.col("best_et").alias("hit_t"), (1 + (F.col("id") % 6) * num(0.3)).alias("hit_drop"), (2 + (F.col("id") % 3) * num(1)).alias("hit_dur"))
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +117,9 @@ def regr_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("number", *[F.round(c, 6).alias(c) for c in ("intercept", "slope", "rms_before", "rms_after")])
 
 
-@query("sample_fractions", "WITH n AS (SELECT number, j, count(*) OVER (PARTITION BY number) AS c FROM {path_samples} WHERE j < 20 + number % 9) SELECT number, j FROM n WHERE j IN (SELECT CAST(round(f*0.1::DOUBLE*(c-1)) AS INTEGER) FROM (SELECT unnest(range(11)) AS f))")
+@query("sample_fractions", "WITH n AS (SELECT number, j, count(*) OVER (PARTITION BY number) AS c FROM {path_samples}) SELECT number, j FROM n WHERE j IN (SELECT CAST(round(f*0.1::DOUBLE*(c-1)) AS INTEGER) FROM (SELECT unnest(range(11)) AS f))")
 def sample_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = table(spark, sf_dir, "path_samples").where("j < 20 + number % 9").withColumn("c", F.count("*").over(W.partitionBy("number")))
+    counted = table(spark, sf_dir, "path_samples").withColumn("c", F.count("*").over(W.partitionBy("number")))
     wanted = F.array(*[F.round(f * num(0.1) * (F.col("c") - 1)).cast("int") for f in range(11)])
     return counted.where(F.array_contains(wanted, F.col("j"))).select("number", "j")
 

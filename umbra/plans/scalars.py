@@ -89,15 +89,18 @@ def gnomonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "space_motion",
-    """WITH b AS (SELECT source_id, ra, dec, radians(ra) AS a, radians(dec) AS d, pi()/648e6::DOUBLE AS k, greatest(coalesce(parallax,0),0.01::DOUBLE) AS p, coalesce(pmra,0) AS mu, coalesce(pmdec,0) AS nu, 30::DOUBLE AS rv FROM {stars} WHERE abs(dec) < 89),
+    """WITH b AS (SELECT source_id, ra, dec, radians(ra) AS a, radians(dec) AS d, pi()/648e6::DOUBLE AS k, greatest(coalesce(parallax,0),0.01::DOUBLE) AS p, coalesce(pmra,0) AS mu, coalesce(pmdec,0) AS nu, 30::DOUBLE AS rv FROM {stars}),
     v AS (SELECT source_id, cos(d)*cos(a) + 10*(-sin(a)*mu*k - sin(d)*cos(a)*nu*k + cos(d)*cos(a)*rv*p/4.740470463::DOUBLE*k) AS x,
       cos(d)*sin(a) + 10*(cos(a)*mu*k - sin(d)*sin(a)*nu*k + cos(d)*sin(a)*rv*p/4.740470463::DOUBLE*k) AS y, sin(d) + 10*(cos(d)*nu*k + sin(d)*rv*p/4.740470463::DOUBLE*k) AS z FROM b),
-    u AS (SELECT source_id, degrees(atan2(y,x)) AS ra, degrees(asin(z/sqrt(x*x+y*y+z*z))) AS dec FROM v)
-    SELECT source_id, round(ra-floor(ra/360)*360,8) AS ra, round(dec,8) AS dec FROM u""",
+    u AS (SELECT source_id, x, y, z, sqrt(x*x+y*y+z*z) AS n FROM v)
+    SELECT source_id, round(x/n,10) AS x, round(y/n,10) AS y, round(z/n,10) AS z FROM u""",
 )
 def space_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     ra, dec = sky.space_motion(F.col("ra"), F.col("dec"), F.col("parallax"), F.col("pmra"), F.col("pmdec"), num(30), 10)
-    return stars(spark, sf_dir).where("abs(dec) < 89").select("source_id", r(ra, 8).alias("ra"), r(dec, 8).alias("dec"))
+    # As a direction, which has no seam and no poles.
+    moved = stars(spark, sf_dir).select("source_id", ra.alias("ra"), dec.alias("dec"))
+    there = sky.direction(F.col("ra"), F.col("dec"))
+    return moved.select("source_id", *[r(c, 10).alias(k) for k, c in zip("xyz", there, strict=True)])
 
 
 @query("perspective", "SELECT source_id, round(sqrt(pmra*pmra+pmdec*pmdec)*(40/4.740470463::DOUBLE*parallax*pi()/648e6::DOUBLE)*100,9) AS mas FROM {stars} WHERE parallax IS NOT NULL")

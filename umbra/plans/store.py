@@ -140,12 +140,12 @@ def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("id", both["k"].alias("k"), both["k_next"].alias("k_next"))
 
 
-@query("report_order", "SELECT run_id, id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN id%4=0 THEN 1 ELSE 0 END, CASE WHEN id%4<>0 THEN star END, best_et, id) AS INTEGER) AS pos FROM {hits} QUALIFY pos <= 50")
+@query("report_order", "SELECT run_id, id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN id%4=0 THEN 1 ELSE 0 END, CASE WHEN id%4<>0 THEN star END, best_et, id) AS pos FROM {hits}")
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each run's report of its first fifty: by magnitude, missing ones last, then by time. Tasks cut to fifty before rows move."""
+    """Each run's report in whole: by magnitude, missing ones last, then by time."""
     mag = F.when(F.col("id") % 4 != 0, F.col("star"))
-    order = W.partitionBy("run_id").orderBy(F.asc_nulls_last("mag"), "best_et", "id")
-    return hits(spark, sf_dir).withColumn("mag", mag).withColumn("pos", F.row_number().over(order)).where("pos <= 50").select("run_id", "id", "pos")
+    rows = hits(spark, sf_dir).select("run_id", "id", "best_et", mag.alias("mag"))
+    return results.ordered(rows, ["run_id"], [F.asc_nulls_last("mag"), F.col("best_et"), F.col("id")]).select("run_id", "id", "pos")
 
 
 @query("rank_targets", "WITH b AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY best_et DESC, id) AS k FROM {hits}) SELECT target_id, id, best_et FROM b WHERE k=1 ORDER BY best_et DESC, target_id LIMIT 25")
