@@ -36,9 +36,10 @@ def spread(df: DataFrame, by: list[str], value: str, subsets: dict[str, Column])
 
 
 def plane_fit(df: DataFrame, by: list[str]) -> DataFrame:
-    """Least squares of offsets (px, py) in the plane by a constant (cx, cy) and a rotation with partials (dx, dy): cx, cy, angle, rms.
+    """Least squares of offsets (px, py) in the plane by a constant (cx, cy) and a rotation with partials (dx, dy): cx, cy, angle, rms, and the unknowns'
+    errors (1 sigma): const_sigma, cx_sigma, cy_sigma, angle_sigma, null where there aren't more values than unknowns.
 
-    The normal equations need eight sums; the three unknowns follow in closed form.
+    The normal equations need eight sums; the three unknowns and their covariance follow in closed form.
     """
     s = {
         "n": F.count("*").cast("double"),
@@ -54,12 +55,22 @@ def plane_fit(df: DataFrame, by: list[str]) -> DataFrame:
     n, sx, sy, sdx, sdy, sdd, sdp, spp = (F.col(k) for k in s)
     den = sdd - (sdx * sdx + sdy * sdy) / n
     angle = F.when(den > 0, (sdp - (sdx * sx + sdy * sy) / n) / den).otherwise(num(0))
-    fitted = sums.withColumn("angle", angle)
+    fitted = sums.withColumns({"angle": angle, "den": den})
     cx, cy = (sx - F.col("angle") * sdx) / n, (sy - F.col("angle") * sdy) / n
     done = fitted.withColumns({"cx": cx, "cy": cy, "const_x": sx / n, "const_y": sy / n})
     left = spp - F.col("cx") * sx - F.col("cy") * sy - F.col("angle") * sdp
     flat = spp - (sx * sx + sy * sy) / n
-    return done.select(*by, "const_x", "const_y", F.sqrt(F.greatest(flat, num(0)) / (2 * n)).alias("const_rms"), "cx", "cy", "angle", F.sqrt(F.greatest(left, num(0)) / (2 * n)).alias("rms"))
+    spare = lambda k: F.when(2 * n > k, 2 * n - k)
+    unit = F.greatest(left, num(0)) / spare(3)
+    turn_ = F.when(F.col("den") > 0, 1 / F.col("den"))
+    sigmas = {
+        "const_sigma": F.sqrt(F.greatest(flat, num(0)) / spare(2) / n),
+        "cx_sigma": F.sqrt(unit * (1 / n + (sdx / n) ** 2 * F.coalesce(turn_, num(0)))),
+        "cy_sigma": F.sqrt(unit * (1 / n + (sdy / n) ** 2 * F.coalesce(turn_, num(0)))),
+        "angle_sigma": F.sqrt(unit * turn_),
+    }
+    done = done.withColumns(sigmas)
+    return done.select(*by, *sigmas, "const_x", "const_y", F.sqrt(F.greatest(flat, num(0)) / (2 * n)).alias("const_rms"), "cx", "cy", "angle", F.sqrt(F.greatest(left, num(0)) / (2 * n)).alias("rms"))
 
 
 def line_fit(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:

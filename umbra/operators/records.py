@@ -139,3 +139,36 @@ def summed(covariances: list[tuple[Column, Column, Column]]) -> tuple[Column, Co
 def event_error(major: Column, minor: Column, pa: Column, sigma: Column) -> tuple[Column, Column, Column]:
     """The ellipse of a body's error and a star's round one, together."""
     return light.ellipse(*summed([light.covariance(major, minor, pa), light.covariance(sigma, sigma, num(0))]))
+
+
+#: Slope of a moon's brightness where only its H is known.
+MOON_SLOPE, DWARF_SLOPE = 0.1, 0.15
+
+
+def body_sizes(bodies: DataFrame) -> DataFrame:
+    """Adds r_km, r_min_km, r_max_km, source, h and g. bodies: kind (planet, moon, dwarf), a_km, b_km, c_km (radii from the constants, null without), listed_km and
+    estimated (from the list of satellites), mag_h.
+
+    A planet counts with its equator's radius, others with the mean of the three. Without constants the list's radius stands for all; `source` tells them
+    apart: constants, listed, estimated (from the brightness alone), unknown (0 km). A planet has no H: its light swamps any star.
+    """
+    c = F.col
+    three, listed = c("a_km").isNotNull(), F.coalesce("listed_km", F.lit(0.0))
+    radius = F.when(c("kind") == "planet", c("a_km")).otherwise((c("a_km") + c("b_km") + c("c_km")) / 3)
+    sizes = {"r_km": F.when(three, radius).otherwise(listed), "r_min_km": F.when(three, c("c_km")).otherwise(listed), "r_max_km": F.when(three, c("a_km")).otherwise(listed)}
+    source = F.when(three, "constants").when(c("listed_km").isNull(), "unknown").when(c("estimated"), "estimated").otherwise("listed")
+    h = F.when(c("kind") != "planet", c("mag_h"))
+    slope = F.when(c("kind") == "dwarf", DWARF_SLOPE).when((c("kind") == "moon") & c("mag_h").isNotNull(), MOON_SLOPE)
+    return bodies.withColumns(sizes | {"source": source, "h": h, "g": slope})
+
+
+def satellites(rows: DataFrame) -> DataFrame:
+    """(number, satellites, n): a line of text for each body with satellites, by id, and how many are listed. rows: number, id, name (empty: unnamed), d_km, a_km (null:
+    unknown), listed (false: only reported). A body has a handful of them."""
+    c = F.col
+    name = F.when(F.coalesce("name", F.lit("")) == "", "unnamed satellite").otherwise(c("name"))
+    known = F.concat_ws(", ", F.concat(F.lit("D "), c("d_km").cast("string"), F.lit(" km")), F.concat(c("a_km").cast("string"), F.lit(" km from the primary")))
+    part = F.concat_ws(" ", name, F.nullif(known, F.lit("")))
+    grouped = rows.groupBy("number").agg(F.array_sort(F.collect_list(F.when(c("listed"), F.struct("id", part.alias("part"))))).alias("all"))
+    text = F.when(F.size("all") == 0, "Satellite reported, not confirmed").otherwise(F.concat(F.lit("Satellites: "), F.array_join(F.transform("all", lambda x: x["part"]), "; ")))
+    return grouped.select("number", text.alias("satellites"), F.size("all").cast("bigint").alias("n"))

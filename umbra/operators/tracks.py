@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-from umbra.functions import sky
+from umbra.functions import earth, sky
 from umbra.functions.constants import AU_KM
 from umbra.functions.sky import Vec, num
+from umbra.operators import shadow
 
 U = ("ux", "uy", "uz")
 
@@ -48,6 +49,17 @@ def with_speed(samples: DataFrame, step_s: float) -> DataFrame:
     return raw.withColumn("speed_kms", F.coalesce("__v", F.lead("__v").over(path()))).drop("__v")
 
 
+def with_visibility(samples: DataFrame, lat: Column, lon: Column, min_alt: float, max_sun_alt: float) -> DataFrame:
+    """Adds vis: whether a body (ux, uy, uz at et) stands above an altitude at a place while the Sun is below another."""
+    jd = shadow.jd_of(F.col("et"))
+    angle = earth.earth_turn(jd) + F.radians(lon)
+    phi = F.radians(lat)
+    named = samples.withColumns({"__zx": F.cos(phi) * F.cos(angle), "__zy": F.cos(phi) * F.sin(angle), "__zz": F.sin(phi)})
+    up = Vec(F.col("__zx"), F.col("__zy"), F.col("__zz"))
+    least, most = F.sin(F.radians(num(min_alt))), F.sin(F.radians(num(max_sun_alt)))
+    return named.withColumn("vis", (up.dot(u_of()) > least) & (up.dot(shadow.sun_direction(jd)) < most)).drop("__zx", "__zy", "__zz")
+
+
 def dilated(samples: DataFrame, flag: str) -> DataFrame:
     """`flag`, true also one sample before and after."""
     near = path().rowsBetween(-1, 1)

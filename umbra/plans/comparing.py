@@ -111,6 +111,16 @@ def fit_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.plane_fit(points(spark, sf_dir), ["number"]).select("number", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "angle", "rms")])
 
 
+@query(
+    "fit_errors",
+    f"""WITH {FIT}, r AS (SELECT *, greatest(pp-cx*sx-cy*sy-angle*dp,0)/(2*n-3) AS u, dd-(dx*dx+dy*dy)/n AS den FROM c)
+    SELECT number, round(sqrt(greatest(pp-(sx*sx+sy*sy)/n,0)/(2*n-2)/n),7) AS const_sigma, round(sqrt(u*(1/n+pow(dx/n,2)/den)),7) AS cx_sigma, round(sqrt(u*(1/n+pow(dy/n,2)/den)),7) AS cy_sigma, round(sqrt(u/den),7) AS angle_sigma FROM r""",
+)
+def fit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sigma of the fitted constant and rotation."""
+    return compare.plane_fit(points(spark, sf_dir), ["number"]).select("number", *[F.round(c, 7).alias(c) for c in ("const_sigma", "cx_sigma", "cy_sigma", "angle_sigma")])
+
+
 @query("regr_alt", f"SELECT number, round(regr_intercept(px, dx),6) AS intercept, round(regr_slope(px, dx),6) AS slope, round(stddev_pop(px),6) AS rms_before, round(sqrt((regr_syy(px,dx)-regr_sxy(px,dx)*regr_sxy(px,dx)/regr_sxx(px,dx))/count(*)),6) AS rms_after FROM {POINTS} GROUP BY number")
 def regr_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = compare.line_fit(points(spark, sf_dir), ["number"], "px", "dx")

@@ -21,6 +21,10 @@ STARS = "(SELECT source_id, ra AS sra, dec AS sdec, g, cos(radians(dec))*cos(rad
 SPEED = f"(SELECT *, coalesce(v, lead(v) OVER (PARTITION BY number ORDER BY j)) AS speed FROM (SELECT *, sqrt(pow(ux-pux,2)+pow(uy-puy,2)+pow(uz-puz,2))/600*dk AS v FROM {NEAR}))"
 
 
+SEEN = f"""(SELECT number, j, cos(radians(48::DOUBLE))*cos(w)*ux+cos(radians(48::DOUBLE))*sin(w)*uy+sin(radians(48::DOUBLE))*uz > sin(radians(12::DOUBLE)) AND cos(radians(48::DOUBLE))*cos(w)*cos(l)+cos(radians(48::DOUBLE))*sin(w)*cos(t)*sin(l)+sin(radians(48::DOUBLE))*sin(t)*sin(l) < sin(radians(-6::DOUBLE)) AS vis
+    FROM (SELECT *, 2*pi()*(x-floor(x))+radians(16::DOUBLE) AS w, radians(280.460::DOUBLE+0.9856474::DOUBLE*d+1.915::DOUBLE*sin(radians(357.528::DOUBLE+0.9856003::DOUBLE*d))+0.020::DOUBLE*sin(2*radians(357.528::DOUBLE+0.9856003::DOUBLE*d))) AS l, radians(23.439::DOUBLE-4e-7::DOUBLE*d) AS t FROM (SELECT *, 0.7790572732640::DOUBLE+1.00273781191135448::DOUBLE*d AS x FROM (SELECT *, (2451545::DOUBLE+et/86400)-2451545 AS d FROM {DIRS}))))"""
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.with_directions(table(spark, sf_dir, "path_samples"))
 
@@ -67,13 +71,12 @@ def max_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "visibility_dilate",
-    f"""WITH v AS (SELECT number, j, asin(ux*cos(radians(48::DOUBLE))+uz*sin(radians(48::DOUBLE))) > radians(12::DOUBLE) AND j % 12 < 5 AS vis FROM {DIRS}),
+    f"""WITH v AS {SEEN},
     d AS (SELECT number, j, max(vis) OVER (PARTITION BY number ORDER BY j ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS vis FROM v)
     SELECT number, j, vis, CAST(sum(vis::INT) OVER (PARTITION BY number ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS seen FROM d""",
 )
 def visibility_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = F.asin(F.col("ux") * F.cos(F.radians(num(48))) + F.col("uz") * F.sin(F.radians(num(48))))
-    flagged = samples(spark, sf_dir).withColumn("vis", (up > F.radians(num(12))) & (F.col("j") % 12 < 5))
+    flagged = tracks.with_visibility(samples(spark, sf_dir), num(48), num(16), 12.0, -6.0)
     return tracks.with_running_count(tracks.dilated(flagged, "vis"), "vis", "seen").select("number", "j", "vis", "seen")
 
 
@@ -106,13 +109,14 @@ def mag_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pick_cap",
-    f"""WITH d AS (SELECT s.number, max(a.h+5*log10(a.a*s.delta_au)) AS faint, max(20/greatest(s.speed-0.5::DOUBLE,0.3::DOUBLE)) AS dur FROM {SPEED} s JOIN {{asteroids}} a USING (number) WHERE s.j%12<5 GROUP BY s.number)
+    f"""WITH d AS (SELECT s.number, max(a.h+5*log10(a.a*s.delta_au)) AS faint, max(20/greatest(s.speed-0.5::DOUBLE,0.3::DOUBLE)) AS dur FROM {SPEED} s JOIN {{asteroids}} a USING (number) JOIN {SEEN} v ON v.number=s.number AND v.j=s.j WHERE v.vis GROUP BY s.number)
     SELECT number, round(dur,5) AS max_dur, round(least(least(16, faint-2.5::DOUBLE*log10(pow(10,0.4::DOUBLE*0.1::DOUBLE)-1)), 5*log10(20::DOUBLE)+2.5::DOUBLE*log10(greatest(dur,1e-9::DOUBLE)/4)+8.5::DOUBLE),5) AS cap FROM d""",
 )
 def pick_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = table(spark, sf_dir, "asteroids").select("number", "h", "a")
     m = light.hg_magnitude(F.col("h"), num(0.15), F.col("a"), F.col("delta_au"), num(1))
-    seen = tracks.with_speed(samples(spark, sf_dir), STEP_S).where("j % 12 < 5").join(bodies, "number")
+    fast = tracks.with_speed(samples(spark, sf_dir), STEP_S)
+    seen = tracks.with_visibility(fast, num(48), num(16), 12.0, -6.0).where("vis").join(bodies, "number")
     most = seen.groupBy("number").agg(F.max(m).alias("faint"), F.max(20.0 / F.greatest(F.col("speed_kms") - 0.5, num(0.3))).alias("dur"))
     cap = F.least(num(16), F.col("faint") + light.drop_margin(0.1), light.faintest_observable(num(20), F.col("dur"), num(4)))
     return most.where(cap >= 0).select("number", F.round("dur", 5).alias("max_dur"), F.round(cap, 5).alias("cap"))

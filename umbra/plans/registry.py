@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from umbra.plans.tables import filled
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("derived", "scalars", "paths", "catalogs", "shadows", "ephemerides", "solving", "globes", "accepting", "store", "recording", "comparing", "texts", "sinks", "resuming")
+MODULES = ("derived", "scalars", "paths", "catalogs", "shadows", "ephemerides", "solving", "globes", "accepting", "store", "recording", "comparing", "texts", "sinks", "resuming", "showing")
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 

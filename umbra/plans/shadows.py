@@ -79,14 +79,18 @@ INDEX_REACH = 60.0
 _INDEXES: dict[tuple[str, str], str] = {}
 
 
-def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored index of all events of a folder, written the first time that a session asks for it."""
+def ground_path(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the stored index of all events of a folder, written the first time that a session asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
         path = scratch(spark, "ground")
         ground_index.build(table(spark, sf_dir, "elements"), path, INDEX_REACH, ALT, SUN)
         _INDEXES[key] = path
-    return ground_index.load(spark, _INDEXES[key], INDEX_REACH, ALT, SUN)
+    return _INDEXES[key]
+
+
+def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_index.load(spark, ground_path(spark, sf_dir), INDEX_REACH, ALT, SUN)
 
 
 def _reach_sql(s: str, wide: str, lo: str) -> str:
