@@ -246,6 +246,68 @@ def test_license_spans_are_verified(spark):
     assert found == [("mit", 0, len(w), 1.0), ("bsd", len(w) + 1, len(w) + 1 + len(license_scan.NOTICES[6][1].split()), 1.0)]
 
 
+def plain_labels(text: str) -> tuple[str, float]:
+    """Labels and score by plain lists: each template's runs in the text, by diagonal, merged, verified."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    labels, best, found = set(), 0.0, []
+    for phrase, label in license_scan.PHRASES:
+        p = phrase.split()
+        if any(w[k : k + len(p)] == p for k in range(len(w))):
+            labels.add(label)
+            best = 1.0
+    k = license_scan.NOTICE_K
+    for label, notice in license_scan.NOTICES:
+        t = notice.split()
+        places = collections.defaultdict(list)
+        for i in range(len(t) - k + 1):
+            places[tuple(t[i : i + k])].append(i)
+        diagonals = collections.defaultdict(list)
+        for pos in range(len(w) - k + 1):
+            for place in places.get(tuple(w[pos : pos + k]), ()):
+                diagonals[pos - place].append((pos, place))
+        bands, last = [], None
+        for d, votes in sorted(diagonals.items(), key=lambda x: (x[0], min(x[1])[0])):
+            low, high = min(votes)[0], max(votes)[0]
+            if last is None or d - last[0] > license_scan.DRIFT or abs(low - last[1]) > license_scan.LOOSE:
+                bands.append([])
+            bands[-1] += votes
+            last = (d, high)
+        for votes in bands:
+            cover = lambda starts: len({s + j for s in starts for j in range(k)})
+            start, end = min(votes)[0], max(votes)[0] + k
+            in_text, in_template = cover([p for p, _ in votes]), cover([q for _, q in votes])
+            score = min(in_text, in_template) / len(t)
+            if score >= license_scan.LEAST and in_text >= license_scan.DENSE * (end - start):
+                found.append((end, min(in_text, in_template), round(score, 6), label))
+    for end, covered, score, label in found:
+        if (score, covered) == max((s, c) for e, c, s, _ in found if e == end):
+            labels.add(label)
+            best = max(best, score)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_labels_equal_brute_force(spark):
+    """Whole bodies, cut, mixed and changed ones; and each passage is told from the others."""
+    rng = random.Random(31)
+    bodies = {label: " ".join(n for x, n in license_scan.NOTICES if x == label) for label, _ in license_scan.NOTICES}
+    texts = [n for _, n in license_scan.NOTICES] + list(bodies.values())
+    for _ in range(250):
+        w = " and ".join(rng.choice(license_scan.NOTICES)[1] for _ in range(rng.randint(1, 3))).split()
+        for _ in range(rng.randint(0, len(w) // 6)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.choice((0, 1, 3))] = rng.choices(["the", "software", "license", "zebra"], k=rng.choice((0, 1, 2)))
+        cut = rng.randrange(len(w))
+        texts.append(" ".join(["Copyright (c) 2020 A B."] + w[cut // 2 :] + w[:cut]).upper())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.query(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_labels(t), t
+    for i, (label, n) in enumerate(license_scan.NOTICES):
+        extra = {b for p, b in license_scan.PHRASES if p in n}
+        assert set(got[i][0].split(",")) == {label, *extra}, n
+    assert {"epl", "zlib", "boost", "cc0", "agpl", "wtfpl"} <= set(bodies)
+
+
 def linked(prints):
     ids = sorted({i for i, _ in prints}, key=lambda i: (i is None, i))
     root = {i: i for i in ids}

@@ -4,7 +4,7 @@ Every run of k words of a text joins the places where license templates have the
 its position in the template is a diagonal: a text that quotes a template gives many votes on one diagonal, and on
 neighbouring ones where words were added or left out. Votes are summed by diagonal and neighbouring diagonals merge. A
 merged span is then verified: the words of the template that its runs cover, each counted once however often the text repeats
-it, must be enough of the template, and the words of the text that they cover enough of the span. Names of licenses are
+it, must be enough of the template, and the words of the text that they cover enough of the span. Of spans that end together the best stays. Names of licenses are
 templates too: a few words that must all stand.
 
 Words: the text in lower case (A-Z), runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Null and empty texts have no words and no
@@ -36,6 +36,37 @@ NOTICES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("bsd", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("boost", "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law"),
+    ("cc-by", "you are free to share copy and redistribute the material in any medium or format and adapt remix transform and build upon the material for any purpose even commercially"),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made you may do so in any reasonable manner but not in any way that suggests the licensor endorses you or your use"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
+    ("gpl", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users"),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("apache", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("apache", "you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and in source or object form provided that you meet the following conditions"),
+    ("mpl", "each contributor hereby grants you a world wide royalty free non exclusive license under intellectual property rights other than patent or trademark licensable by such contributor to use reproduce make available modify display perform distribute and otherwise exploit its contributions"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
 ]
 PHRASE_K, NOTICE_K = 2, 4
 #: Diagonals this near each other, of votes no farther apart in the text than LOOSE words, merge.
@@ -58,7 +89,7 @@ def templates(spark: SparkSession) -> DataFrame:
 def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, tpl, label, exact, k, runs, place, pos): where a text has a run of words of a template; a written table.
 
-    The templates are a fixed list of about 300 runs, so they are broadcast; texts are read once and only their hits move on.
+    The templates are a fixed list of some 1500 runs, so they are broadcast; texts are read once and only their hits move on.
     """
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words_by(ascii_lower(F.coalesce(text_col, F.lit(""))), SEPARATORS).alias("words"))
     at = words.select("id", "text_hash", "words", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
@@ -92,17 +123,23 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     along = W.partitionBy("id", "text_hash", "tpl").orderBy("diagonal", "low")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT) | (F.abs(F.col("low") - F.lag("high").over(along)) > LOOSE)
     banded = loose.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("band", F.sum("fresh").over(along))
-    # A diagonal's places are as many as the template's runs at most; a template has some sixty words.
+    # A diagonal's places are as many as the template's runs at most; a template has ninety words at most.
     pos = F.transform("places", lambda p: p + F.col("diagonal"))
     merged = banded.groupBy(*key, "band").agg(
         F.min("low").alias("start"), (F.max("high") + F.first("k")).alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(pos)))).alias("at")
     )
     length = F.col("runs") + F.col("k") - 1
     verified = merged.withColumns({"template": _covered(F.col("places"), F.col("k")), "text": _covered(F.col("at"), F.col("k"))})
-    score = F.least("template", "text") / length
+    verified = verified.withColumn("covered", F.least("template", "text"))
+    score = F.col("covered") / length
     fits = F.col("text") >= DENSE * (F.col("end") - F.col("start"))
-    partial = verified.where((score >= LEAST) & fits).select("id", "text_hash", "tpl", "label", "exact", "start", "end", F.round(score, 6).alias("score"))
-    return whole.unionByName(partial)
+    partial = verified.where((score >= LEAST) & fits).select("id", "text_hash", "tpl", "label", "exact", "start", "end", F.round(score, 6).alias("score"), "covered")
+    # Licenses of a family share most words: of spans that end at the same word those with the best score stay, then those that cover most words;
+    # as many as there are templates at most.
+    value = F.struct("score", "covered")
+    best = F.max(value).over(W.partitionBy("id", "text_hash", "end"))
+    kept = partial.withColumn("best", best).where(value == F.col("best")).drop("best", "covered")
+    return whole.unionByName(kept)
 
 
 def query(docs: DataFrame) -> DataFrame:
