@@ -14,12 +14,12 @@ WARNING, FLAG, SUN, TICK = "⚠", "⚑", "☼", "✓"
 TWILIGHT_ALT = -12.0
 
 
-def number(x: Column, digits: int = 2, unit: str = "", none: str = NONE) -> Column:
+def number(x: Column, digits: int = 2, unit: str = "", none: str | None = NONE) -> Column:
     """A number with so many decimals, halves to even; what rounds to nothing from below keeps its sign."""
     value = x.cast("double")
     near = F.bround(value, digits)
     sign = F.when((value < 0) & (near == 0), "-").otherwise("")
-    return F.when(value.isNull() | F.isnan(value), none).otherwise(F.concat(sign, F.format_string(f"%.{digits}f", near), F.lit(unit)))
+    return F.when(value.isNull() | F.isnan(value), F.lit(none)).otherwise(F.concat(sign, F.format_string(f"%.{digits}f", near), F.lit(unit)))
 
 
 def _stamp(et: Column) -> Column:

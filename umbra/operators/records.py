@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from umbra.functions import earth, light, sky
+from umbra.functions import earth, light, shown, sky
 from umbra.functions.sky import num
 
 
@@ -172,3 +172,39 @@ def satellites(rows: DataFrame) -> DataFrame:
     grouped = rows.groupBy("number").agg(F.array_sort(F.collect_list(F.when(c("listed"), F.struct("id", part.alias("part"))))).alias("all"))
     text = F.when(F.size("all") == 0, "Satellite reported, not confirmed").otherwise(F.concat(F.lit("Satellites: "), F.array_join(F.transform("all", lambda x: x["part"]), "; ")))
     return grouped.select("number", text.alias("satellites"), F.size("all").cast("bigint").alias("n"))
+
+
+#: A match is marked apart if its time differs by more than this, in seconds.
+LATE_S = 1.5
+MATCH, LATE, MISSING, ONLY_OURS = "✅", "🟠", "🔴", "🔵"
+
+
+def comparison(rows: DataFrame, extras: DataFrame) -> DataFrame:
+    """(order, line): a whole comparison with a list as rows of a table, to be sorted by `order` (the star's magnitude, ours or the list's) and then the line.
+
+    rows: one for each event of the list: target, name, listed_utc, result (`ok`, `ok, size differs`, `NOT FOUND`, or `FAIL ...`), dt_s, star_g, star_v, and ours and
+    theirs of drop, dur, size (km): drop, drop_listed and so on, miss_km. extras: our events that the list lacks: target, utc, star_g, drop, dur, size, miss_km.
+    """
+    c = F.col
+    cell = lambda x, digits=2: shown.number(x, digits, none="")
+    pair = lambda ours, theirs: F.concat(cell(ours), F.lit(" / "), theirs)
+    bold = lambda x: F.concat(F.lit("**"), x, F.lit("**"))
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    ok = c("result").startswith("ok")
+    late = F.abs("dt_s") > LATE_S
+    mark = F.when(ok & late, LATE).when(ok, MATCH).otherwise(MISSING)
+    words = F.when(c("result") == "ok", "match").when(ok, "match, *size differs*").when(c("result") == "NOT FOUND", "**not found**").otherwise(bold(F.regexp_replace(F.lower("result"), "^fail", "differs:")))
+    signed = F.concat(F.when(c("dt_s") >= 0, "+").otherwise(""), cell(c("dt_s"), 1))
+    dt = F.when(c("dt_s").isNull(), "").when(late, bold(signed)).otherwise(signed)
+    label = F.concat(F.lit("("), c("target").cast("string"), F.lit(")"))
+    g = F.coalesce(shown.number(c("star_g"), 2, none=None), F.concat(cell(c("star_v")), F.lit(" (list)")))
+    listed = rows.select(
+        F.coalesce("star_g", "star_v", F.lit(99.0)).alias("order"),
+        line(mark, F.concat(label, F.lit(" "), c("name")), c("listed_utc"), dt, g, pair(c("drop"), cell(c("drop_listed"))), pair(c("dur"), cell(c("dur_listed"))), pair(c("size"), cell(c("size_listed"))), cell(c("miss_km"), 1), words).alias("line"),
+    )
+    dash = F.lit("—")
+    own = extras.select(
+        F.coalesce("star_g", F.lit(99.0)).alias("order"),
+        line(F.lit(ONLY_OURS), label, F.concat(c("utc"), F.lit(" (ours)")), F.lit(""), cell(c("star_g")), pair(c("drop"), dash), pair(c("dur"), dash), pair(c("size"), dash), cell(c("miss_km"), 1), F.lit("**only ours**")).alias("line"),
+    )
+    return listed.unionByName(own)

@@ -102,7 +102,7 @@ def ordered(rows: DataFrame, key: list[str], order: list[Column], out: str = "po
     rows.repartitionByRange(*[F.col(k) for k in key], *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
     dealt = spark.read.schema(rows.schema.add("__part", "integer")).parquet(path)
     # A row for each range.
-    before = W.partitionBy(*key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*[F.col(k) for k in key]).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy(*key, "__part").agg(F.count("*").alias("__n")).select(*key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     numbered = dealt.withColumn("__k", F.row_number().over(W.partitionBy(*key, "__part").orderBy(*order)))
     on = numbered["__part"] == starts["__part"]

@@ -240,3 +240,33 @@ def header_facts(text: DataFrame) -> DataFrame:
     tag = F.get(F.filter("w", lambda w: w.startswith("JPL#")), F.lit(0))
     jpl = F.coalesce(F.nullif(F.substring_index(tag, "#", -1), F.lit("")), F.when(tag == "JPL#", behind("JPL#", 1)))
     return rows.select(jpl.alias("jpl"), (15.0 * parts("RA")).alias("star_ra"), (F.when(behind("Dec", 1).startswith("-"), -1.0).otherwise(1.0) * parts("Dec")).alias("star_dec"), F.regexp_replace(behind("Dia", 1), "[^0-9.].*$", "").try_cast("double").alias("dia_km"))
+
+
+def targets_text(picks: DataFrame) -> DataFrame:
+    """(pick, text): each pick's targets as a file that Python can import: a line that names window and site, the numbers in order with what is expected behind
+    each, and their names. Rows: pick, site, start (date), days, pos, number, name, note. A pick has as many targets as were asked for."""
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    rows = picks.groupBy("pick", "site", "start", "days").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("number").cast("string").alias("number"), "name", "note"))).alias("all"))
+    head = F.concat(F.lit("# events "), F.col("start").cast("string"), F.lit(" + "), F.col("days").cast("string"), F.lit(" d, site "), F.col("site"), F.lit(", best first\n\n"))
+    numbers = F.array_join(F.transform("all", lambda x: F.concat(F.lit("    "), quoted(x["number"]), F.lit(",  # "), F.replace(x["note"], F.lit("\n"), F.lit(" ")), F.lit("\n"))), "")
+    names = F.array_join(F.transform("all", lambda x: F.concat(F.lit("    "), quoted(x["number"]), F.lit(": "), quoted(x["name"]), F.lit(",\n"))), "")
+    return rows.select("pick", F.concat(head, F.lit("targets = [\n"), numbers, F.lit("]\n\ntarget_names = {\n"), names, F.lit("}\n")).alias("text"))
+
+
+def read_targets(text: DataFrame) -> DataFrame:
+    """Files of targets (columns of `text` and `text`): site, start, days, pos, number, name of each; a file without a line that names its window has no rows.
+    A target without a name has a null one."""
+    keep = [c for c in text.columns if c != "text"]
+    window = r"(?m)^# events (\d{4}-\d\d-\d\d) \+ ([0-9.]+) d, site ([^,\n]*)"
+    part = lambda k: F.regexp_extract("text", window, k)
+    body = F.substring_index(F.substring_index("text", "targets = [", -1), "]\n", 1)
+    numbers = F.regexp_extract_all(body, F.lit(r"(?m)^\s*'([^'\n]*)',"), F.lit(1))
+    name = lambda k: F.regexp_extract_all("text", F.lit(r"(?m)^\s*'([^'\n]*)': '((?:[^'\\\n]|\\.)*)',$"), F.lit(k))
+    pairs = F.map_from_entries(F.arrays_zip(name(1).alias("a"), F.transform(name(2), lambda x: F.regexp_replace(x, r"\\(.)", "$1")).alias("b")))
+    found = text.where(part(1) != "").select(*keep, F.trim(part(3)).alias("site"), part(1).cast("date").alias("start"), part(2).cast("double").alias("days"), F.posexplode(numbers).alias("pos", "number"), pairs.alias("names"))
+    return found.select(*keep, "site", "start", "days", "pos", "number", F.try_element_at("names", F.col("number")).alias("name"))
+
+
+def save_picks(picks: DataFrame, path: str) -> None:
+    """Adds picks to a store by site and window. A pick of the same site and window is replaced, the others stay."""
+    picks.write.partitionBy("site", "start", "days").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
