@@ -799,7 +799,11 @@ def test_langid_costs_are_code_lengths():
     texts = {"a": "abra cadabra abracadabra, ça va", "b": "bella ciao bella bella ciao"}
     counts = pd.concat([pd.DataFrame({"lang": k, "gram": g, "n": n}) for k, t in texts.items() for g, n in [np.unique(langid._grams(langid.symbols(t.encode())), return_counts=True)]])
     model = langid.Model(counts.reset_index(drop=True))
-    assert (np.exp2(-model.rows.astype(float)).sum(axis=1) <= 1 + 1e-5).all()
+    # All symbols behind each context that a language knows, and behind some that none knows.
+    contexts = np.unique(np.concatenate([x.contexts for x in model.languages] + [np.arange(0, model.size**3, 97)]))
+    all_runs = (contexts[:, None] * model.size + np.arange(model.size)).ravel()
+    handed = np.exp2(-model.costs(all_runs).astype(float)).reshape(len(contexts), model.size, 2).sum(axis=1)
+    assert (handed <= 1 + 1e-5).all() and (handed > 0.3).all()
     alphabet = {0} | {c for t in texts.values() for c in langid.symbols(t.encode()).tolist()}
     for lang, t in texts.items():
         codes = [0, 0, 0, *langid.symbols(t.encode()).tolist()]
@@ -808,8 +812,14 @@ def test_langid_costs_are_code_lengths():
             for order in range(4):
                 tree[order][tuple(codes[k - order : k])][codes[k]] += 1
         for probe in (*texts.values(), "bra ciao zebra", "xyz", "cadabella!", "ñandú"):
-            assert model.lengths(probe)[model.langs.index(lang)] == pytest.approx(ppm_bits(probe, tree, alphabet), rel=1e-4)
-    assert model.lengths(texts["a"]).argmin() == 0 and model.lengths(texts["b"]).argmin() == 1
+            assert model.lengths([probe])[0][model.langs.index(lang)] == pytest.approx(ppm_bits(probe, tree, alphabet), rel=1e-4)
+    both = model.lengths([texts["a"], "", texts["b"] * 3])
+    assert both[0].argmin() == 0 and both[2].argmin() == 1 and (both[1] == 0).all()
+    # Chunks and a full cache change nothing.
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "CHUNK", 7)
+        m.setattr(langid, "CACHE_BYTES", 64)
+        assert np.allclose(model.lengths([texts["a"], "", texts["b"] * 3]), both)
 
 
 def test_langid_groups_of_languages_agree(spark):
@@ -827,6 +837,9 @@ def test_langid_groups_of_languages_agree(spark):
     few = df.where("doc_id <= 40")
     one, many = langid.trained(few, most_bytes=1 << 40), langid.trained(few, most_bytes=1)
     assert len(one.groups) == 1 and len(many.groups) == 20
+    # A language's tables are as large beside others as alone, so groups grow in proportion.
+    some = [len(langid.trained(df.where(f"doc_id <= {k}"), most_bytes=1 << 20).groups) for k in (600, 1200, 2400)]
+    assert some[2] <= 2.1 * some[1] <= 4.4 * some[0]
     a, b = ({r.doc_id: (r.lang_pred, r.score) for r in langid.predict(few, m).collect()} for m in (one, many))
     assert {i: x for i, (x, _) in a.items()} == {i: x for i, (x, _) in b.items()} and all(a[i][1] == pytest.approx(b[i][1], abs=1e-6) for i in a)
     assert a[0] == a[-1] == ("und", 0.0) and sum(a[i][0] == lang for i, _, lang in rows[:40]) >= 38

@@ -3,12 +3,14 @@
 Each language has a tree of contexts of up to three bytes with counts of the byte that follows. A byte is coded in the longest
 context known; where it is new there, an escape goes to the next shorter context, without the bytes already ruled out (method
 C with exclusion), down to all bytes alike. Counts are frozen after training, so the cost of a byte depends on the three before
-it only, and exact costs are laid out as one table: a text's code length in each language is a sum of looked-up rows. The
-shortest code names the language.
+it only. A language's tables hold what it has seen: costs of its own runs of four, and for each context what an escape from it costs and
+what then divides the counts of the next shorter one, from which any other cost follows. A text's code length is the sum of the costs of its
+runs. The shortest code names the language.
 
 Training reads whole texts of at most `TRAIN_DOCS` documents of each language, those with the smallest hash. All languages that
-occur are learned. A few share one table, of `MODEL_BYTES` at most, that is broadcast; where all languages together need more, the texts
-are scored once for each group of them, and the groups' best ones are compared. Scoring reads every text in full.
+occur are learned. As many as fit `MODEL_BYTES` together are broadcast; where all languages need more, the texts are scored once for each group of
+them, one group after the other, and the groups' best ones are compared: as a language's tables don't depend on the others, passes grow
+with the number of languages. Scoring reads every text in full.
 
 Null text, or one without a letter: `und`, score 0. Empty training set: `und`. Ties go to the first language by code point.
 Very long texts are scored a megabyte at a time.
@@ -17,6 +19,7 @@ Very long texts are scored a megabyte at a time.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,8 @@ BROADCAST_LANGS = 100_000
 #: Bytes of the table of one group of languages.
 MODEL_BYTES = 1 << 27
 CHUNK = 1 << 20
+#: Costs of runs that a worker keeps.
+CACHE_BYTES = 1 << 25
 UNKNOWN = "und"
 
 
@@ -95,8 +100,90 @@ def counted(sampled: DataFrame) -> DataFrame:
     return small_batches(sampled).mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+#: What a language's tables take: bytes of a run of four, of a context of three, of a run of three, and of each pair of symbols.
+RUN4, CONTEXT3, RUN3, PAIR = 16, 24, 16, 32
+
+
+def _grouped(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their n."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, len(found))
+
+
+class Language:
+    """Costs in one language of runs of four symbols, each run a number of base `size`."""
+
+    def __init__(self, runs: np.ndarray, n: np.ndarray, size: int) -> None:
+        self.size = a = size
+        self.runs, n4 = _grouped(runs, n)
+        self.contexts, at3 = np.unique(self.runs // a, return_inverse=True)
+        total3, kinds3 = np.bincount(at3, n4), np.bincount(at3)
+        self.cost = -np.log2(n4 / (total3 + kinds3)[at3])
+        self.runs3, self.n3 = _grouped(self.runs % a**3, n4)
+        pairs, n2 = _grouped(self.runs3 % a**2, self.n3)
+        self.n2 = np.zeros(a * a)
+        self.n2[pairs] = n2
+        self.n1 = np.bincount(pairs % a, n2, a)
+        context2, context1 = self.runs3 // a, pairs // a
+        total2, kinds2 = np.bincount(context2, self.n3, a * a), np.bincount(context2, minlength=a * a)
+        total1, kinds1 = np.bincount(context1, n2, a), np.bincount(context1, minlength=a)
+        total0, kinds0 = self.n1.sum(), int((self.n1 > 0).sum())
+        # What a context has seen its shorter ones have seen too, so each escape leaves out just what the context before it had.
+        of3 = self.n3[np.searchsorted(self.runs3, self.runs % a**3)]
+        shorter = self.contexts % (a * a)
+        self.after3 = self._after(total2[shorter] - np.bincount(at3, of3), kinds2[shorter] - kinds3)
+        self.escape3 = -np.log2(kinds3 / (total3 + kinds3))
+        self.after0 = self._after(total2, kinds2)
+        every = np.arange(a * a)
+        self.after2 = self._after(total1[every % a] - np.bincount(context2, self.n2[self.runs3 % (a * a)], a * a), kinds1[every % a] - kinds2)
+        self.known2 = kinds2 > 0
+        self.new1 = self._after(total1, kinds1)
+        self.after1 = self._after(total0 - np.bincount(context1, self.n1[pairs % a], a), kinds0 - kinds1)
+        self.known1 = kinds1 > 0
+        self.new0 = self._after(np.array([total0]), np.array([kinds0]))
+        self.last = math.log2(max(a - kinds0, 1))
+
+    @staticmethod
+    def _after(total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What divides the counts that are left, and the bits of an escape from them; no bits where none are left."""
+        some = total > 0
+        whole = np.where(some, total + kinds, 1.0)
+        return whole, np.where(some, -np.log2(np.where(some, kinds, 1) / whole), 0.0)
+
+    def costs(self, runs: np.ndarray) -> np.ndarray:
+        """Bits of each run's last symbol behind its first three."""
+        a = self.size
+        if not len(self.runs):
+            return np.full(len(runs), math.log2(a))
+
+        def place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return at, keys[at] == wanted
+
+        at4, own4 = place(self.runs, runs)
+        at3, own3 = place(self.contexts, runs // a)
+        at_n3, has3 = place(self.runs3, runs % a**3)
+        symbol, context2 = runs % a, runs // a % (a * a)
+        context1 = context2 % a
+        escaped = np.where(own3, self.escape3[at3], 0.0)
+        with np.errstate(divide="ignore"):
+            whole = np.where(own3, self.after3[0][at3], self.after0[0][context2])
+            bits2 = escaped - np.log2(self.n3[at_n3] / whole)
+            escaped = escaped + np.where(own3, self.after3[1][at3], self.after0[1][context2])
+            known2 = self.known2[context2]
+            n2 = self.n2[context1 * a + symbol]
+            bits1 = escaped - np.log2(n2 / np.where(known2, self.after2[0][context2], self.new1[0][context1]))
+            escaped = escaped + np.where(known2, self.after2[1][context2], self.new1[1][context1])
+            known1 = self.known1[context1]
+            n1 = self.n1[symbol]
+            bits0 = escaped - np.log2(n1 / np.where(known1, self.after1[0][context1], self.new0[0][0]))
+            escaped = escaped + np.where(known1, self.after1[1][context1], self.new0[1][0])
+        shorter = np.where(has3, bits2, np.where(n2 > 0, bits1, np.where(n1 > 0, bits0, escaped + self.last)))
+        return np.where(own4, self.cost[at4], shorter)
+
+
 class Model:
-    """Costs in bits: `rows[index[context], symbol]` has one for each language.
+    """Code lengths in each of some languages.
 
     counts: (lang, gram, n). seen: all symbols of the training set, if these are the counts of some of its languages.
     """
@@ -106,54 +193,64 @@ class Model:
         grams = counts["gram"].to_numpy(np.int64)
         parts = np.stack([(grams >> s) & 255 for s in (24, 16, 8, 0)], 1)
         seen = np.unique(np.concatenate(([0], parts.ravel() if seen is None else seen)))
-        self.size = len(seen) + 1  # the last symbol stands for all bytes that training never saw
-        self.code = np.full(256, self.size - 1, np.int64)
+        self.size = a = len(seen) + 1  # the last symbol stands for all bytes that training never saw
+        self.code = np.full(256, a - 1, np.int64)
         self.code[seen] = np.arange(len(seen))
-        p, a = self.code[parts], self.size
-        context = (p[:, 0] * a + p[:, 1]) * a + p[:, 2]
-        contexts = np.unique(context)
-        # A context of three that no language knows costs what the context of its last two costs.
-        tail = np.arange(a * a)
-        self.index = np.tile(tail + len(contexts), a).astype(np.int32)
-        self.index[contexts] = np.arange(len(contexts))
-        last2 = np.concatenate((contexts % (a * a), tail))
-        self.rows = np.empty((len(last2), a, len(self.langs)), np.float32)
-        for k, lang in enumerate(self.langs):
-            own = (counts["lang"] == lang).to_numpy()
-            n, q = counts["n"].to_numpy(np.float64)[own], p[own]
-            tables = [np.zeros((len(last2), a)), np.zeros((a * a, a)), np.zeros((a, a)), np.zeros((1, a))]
-            np.add.at(tables[0], (self.index[context[own]], q[:, 3]), n)
-            np.add.at(tables[1], (q[:, 1] * a + q[:, 2], q[:, 3]), n)
-            np.add.at(tables[2], (q[:, 2], q[:, 3]), n)
-            np.add.at(tables[3], (0, q[:, 3]), n)
-            at = [np.arange(len(last2)), last2, last2 % a, np.zeros(len(last2), np.int64)]
-            self.rows[:, :, k] = self._costs(tables, at)
-
-    def _costs(self, tables: list[np.ndarray], at: list[np.ndarray]) -> np.ndarray:
-        m, a = len(at[0]), self.size
-        cost, open_, gone, escaped = np.zeros((m, a)), np.ones((m, a), bool), np.zeros((m, a), bool), np.zeros((m, 1))
-        for table, where in zip(tables, at, strict=True):
-            c = np.where(gone, 0.0, table[where])
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            here = open_ & (c > 0)
-            known = total > 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cost = np.where(here, escaped - np.log2(c / (total + kinds)), cost)
-                escaped = np.where(known, escaped - np.log2(kinds / (total + kinds)), escaped)
-            open_ &= ~here
-            gone |= c > 0
-        left = np.maximum((~gone).sum(1, keepdims=True), 1)
-        return np.where(open_, escaped + np.log2(left), cost)
-
-    def lengths(self, text: str) -> np.ndarray:
-        """Code length of the text in each language, in bits."""
-        codes = self.code[symbols(text.encode("utf-8", "surrogatepass"))]
-        zero, a = int(self.code[0]), self.size
-        padded = np.concatenate((np.full(ORDER, zero), codes))
-        total = np.zeros(len(self.langs))
-        for lo in range(0, len(codes), CHUNK):
-            x = padded[lo : lo + CHUNK + ORDER]
-            total += self.rows[self.index[(x[:-3] * a + x[1:-2]) * a + x[2:-1]], x[3:]].sum(0, dtype=np.float64)
+        p = self.code[parts]
+        runs, n = ((p[:, 0] * a + p[:, 1]) * a + p[:, 2]) * a + p[:, 3], counts["n"].to_numpy(np.float64)
+        own = counts.groupby("lang").indices
+        self.languages = [Language(runs[own[x]], n[own[x]], a) for x in self.langs]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.table = np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32)
+
+    def costs(self, runs: np.ndarray) -> np.ndarray:
+        """(run, language): costs of distinct runs. Those looked up stay for the next texts, up to CACHE_BYTES."""
+        at = np.searchsorted(self.known, runs)
+        new = runs[(at >= len(self.known)) | (self.known[np.minimum(at, max(len(self.known) - 1, 0))] != runs)] if len(self.known) else runs
+        if len(new):
+            if (len(self.known) + len(new)) * len(self.langs) * 4 > CACHE_BYTES:
+                self._forget()
+                new = runs
+            rows = np.stack([x.costs(new) for x in self.languages], 1).astype(np.float32)
+            keys = np.concatenate((self.known, new))
+            order = np.argsort(keys, kind="stable")
+            self.known, self.table = keys[order], np.concatenate((self.table, rows))[order]
+            at = np.searchsorted(self.known, runs)
+        return self.table[at]
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """(text, language): code lengths in bits. Texts go together up to CHUNK symbols; longer ones a chunk at a time."""
+        total = np.zeros((len(texts), len(self.langs)))
+        held: list[np.ndarray] = []
+        owner: list[int] = []
+
+        def done() -> None:
+            found, distinct = pd.factorize(np.concatenate(held))
+            order = np.argsort(distinct)
+            costs = np.empty((len(distinct), len(self.langs)), np.float32)
+            costs[order] = self.costs(distinct[order])
+            whose = np.repeat(np.array(owner), [len(h) for h in held])
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(whose, costs[found, k], len(texts))
+            held.clear()
+            owner.clear()
+
+        size, a = 0, self.size
+        for i, text in enumerate(texts):
+            codes = self.code[symbols(text.encode("utf-8", "surrogatepass"))]
+            padded = np.concatenate((np.full(ORDER, self.code[0]), codes))
+            for lo in range(0, len(codes), CHUNK):
+                x = padded[lo : lo + CHUNK + ORDER]
+                held.append(((x[:-3] * a + x[1:-2]) * a + x[2:-1]) * a + x[3:])
+                owner.append(i)
+                size += len(held[-1])
+                if size >= CHUNK:
+                    done()
+                    size = 0
+        if held:
+            done()
         return total
 
 
@@ -165,15 +262,17 @@ class Models:
         parts = F.array(*[F.shiftright("gram", s).bitwiseAND(F.lit(255)) for s in (24, 16, 8, 0)])
         seen = counts.select(F.explode(parts).alias("s")).distinct().collect()
         self.seen = np.array(sorted(int(r.s) for r in seen), np.int64)
-        sizes = counts.groupBy("lang").agg(F.count_distinct(F.shiftright("gram", 8)).alias("contexts")).orderBy("lang").collect()
+        runs3 = F.col("gram").bitwiseAND(F.lit((1 << 24) - 1))
+        sizes = counts.groupBy("lang").agg(F.count("*").alias("runs"), F.count_distinct(F.shiftright("gram", 8)).alias("contexts"), F.count_distinct(runs3).alias("runs3")).orderBy("lang").collect()
         a = len(self.seen) + 2
         self.groups: list[list[str]] = []
-        contexts = 0
+        taken = 0
         for r in sizes:
-            contexts += r.contexts
-            if not self.groups or (contexts + a * a) * a * 4 * (len(self.groups[-1]) + 1) > most_bytes:
+            own = r.runs * RUN4 + r.contexts * CONTEXT3 + r.runs3 * RUN3 + a * a * PAIR
+            taken += own
+            if not self.groups or taken > most_bytes:
                 self.groups.append([])
-                contexts = r.contexts
+                taken = own
             self.groups[-1].append(r.lang)
 
     def model(self, group: list[str]) -> Model:
@@ -195,8 +294,10 @@ def _scored(ready: DataFrame, held: Broadcast, text_col: str) -> DataFrame:
         m = held.value
         for b in batches:
             langs, lengths, sums = [], [], []
-            for text, letters in zip(b.column("__text"), b.column("__letters"), strict=True):
-                bits = m.lengths(text.as_py()) if letters.as_py() else None
+            letters = b.column("__letters").to_pylist()
+            found = iter(m.lengths([t.as_py() for t, x in zip(b.column("__text"), letters, strict=True) if x]))
+            for x in letters:
+                bits = next(found) if x else None
                 best = None if bits is None else int(bits.argmin())
                 langs.append(None if best is None else m.langs[best])
                 lengths.append(None if best is None else float(bits[best]))
@@ -221,7 +322,12 @@ def predict(docs: DataFrame, models: Models, text_col: str = "text") -> DataFram
     else:
         # Written with a number for each row, by which the groups' results meet again.
         table = written(ready.withColumn("__row", F.monotonically_increasing_id()), "texts")
-        scored = [_scored(table.select("__row", "__text", "__letters"), send(models.model(g)), "__text") for g in models.groups]
+        # One group after the other: its model leaves the driver and the executors when its results are written.
+        scored = []
+        for g in models.groups:
+            held = send(models.model(g))
+            scored.append(written(_scored(table.select("__row", "__text", "__letters"), held, "__text"), "scored"))
+            held.destroy()
         first = F.min(F.when(F.col("__bits").isNotNull(), F.struct("__bits", "__lang")))
         together = functools.reduce(DataFrame.unionByName, scored)
         least = together.groupBy("__row").agg(first.alias("b"), F.collect_list(F.struct("__bits", "__sum")).alias("all"))
