@@ -13,7 +13,8 @@ text. A null conversation is a conversation like any other.
 
 Rendering: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Texts and roles cannot hold a control string: a backslash
 becomes `\\s` and `<|` becomes `<\\p`, and a line break in a role `\\n`; reading back turns `\\p` into `|` and then `\\s`
-into a backslash. Built-in SQL functions only. A conversation becomes one row, as its rendered text is one string; hence its
+into a backslash. Very long texts are as any other, in time that grows with the conversation. Of a table only the six columns are read; others
+are left out of the results, so their names don't matter. Built-in SQL functions only. A conversation becomes one row, as its rendered text is one string; hence its
 events meet in one task, but events of other conversations needn't.
 """
 

@@ -12,7 +12,8 @@ copies, small ones still agree when half of a text is new. Likeness is the share
 that are equal, of those for which either text has terms; 1 if neither has any.
 
 Null and empty texts have no terms: an empty fingerprint part each. Equal texts have equal fingerprints. Very long texts: as any
-other. A null id stands before all others, rows of one id follow each other by a hash of the text.
+other. A null id stands before all others, rows of one id follow each other by a hash of the text. Empty tables give empty tables. Only the id and the
+text are read, so other columns and their names don't matter.
 """
 
 from __future__ import annotations

@@ -89,7 +89,7 @@ def templates(spark: SparkSession) -> DataFrame:
 def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, tpl, label, exact, k, runs, place, pos): where a text has a run of words of a template; a written table.
 
-    The templates are a fixed list of some 1500 runs, so they are broadcast; texts are read once and only their hits move on.
+    The templates are a fixed list of some 1400 runs, so they are broadcast; texts are read once and only their hits move on.
     """
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words_by(ascii_lower(F.coalesce(text_col, F.lit(""))), SEPARATORS).alias("words"))
     at = words.select("id", "text_hash", "words", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
@@ -123,7 +123,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     along = W.partitionBy("id", "text_hash", "tpl").orderBy("diagonal", "low")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT) | (F.abs(F.col("low") - F.lag("high").over(along)) > LOOSE)
     banded = loose.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("band", F.sum("fresh").over(along))
-    # A diagonal's places are as many as the template's runs at most; a template has ninety words at most.
+    # A diagonal's places are as many as the template's runs at most; a template has eighty words at most.
     pos = F.transform("places", lambda p: p + F.col("diagonal"))
     merged = banded.groupBy(*key, "band").agg(
         F.min("low").alias("start"), (F.max("high") + F.first("k")).alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(pos)))).alias("at")

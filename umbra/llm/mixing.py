@@ -9,6 +9,7 @@ Where documents must stay whole, each shard's edge is taken or left, and what th
 
 Null text: size 0. A null source is a source of its own, after all others. Equal rows share one place in the order and split
 what falls on it evenly, rounded down. No documents: no rows. Very long texts are documents like any other. Reruns give the same mix: all chance comes from hashes and seeds.
+Other columns come through whatever their names; `n_chars`, where there is one, is counted anew for a text that is cut.
 """
 
 from __future__ import annotations

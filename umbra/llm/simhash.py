@@ -14,7 +14,9 @@ only proposes the nearer ones; the others are proposed by keys made of least has
 agree in one of them but for 3 cases in a million). Every proposal is held against the exact sets. What a group of equal keys
 still holds of different components is compared in salted parts, each in a task, all against all; so no candidate is left out.
 
-Null and empty texts and texts without words have fingerprint zero, linked like any other. Equal rows each get a result.
+Null and empty texts and texts without words have fingerprint zero, linked like any other. Equal rows each get a result. Very long texts are read
+whole. Empty tables give empty tables. Fingerprints read the id and the text only; `dedupe` returns all columns as they were, and adds one of
+its own, `__key`, on the way, which must not be there before.
 """
 
 from __future__ import annotations
