@@ -2,6 +2,10 @@
 
 Quality rules drop what they reject; of near-duplicates one document stays; secrets are masked; sources are mixed to their
 weights, in whole documents, of which one may then stand twice; the last stage turns texts into tokens.
+
+Null and empty texts have no words and go in the first stage, as do texts of very few; very long ones are read whole by every stage. Of equal
+rows one is left after the second. A null source or language is one of its own. An empty table passes through all stages as one. Stages but the last
+return the columns of documents; further columns come through, whatever their names.
 """
 
 from __future__ import annotations
