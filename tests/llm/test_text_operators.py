@@ -847,5 +847,6 @@ def test_langid_groups_of_languages_agree(spark):
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op6_chat"}))
 def test_empty_table(spark, empty, tmp_path, name):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.queries()[name](spark, str(tmp_path)).collect() == []
