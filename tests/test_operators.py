@@ -446,17 +446,19 @@ def test_empty_index_and_request_at_the_seam(spark, tmp_path):
     none = table(spark, SF, "elements").limit(0)
     ground_index.build(none, f"{tmp_path}/none", 60.0, 5.0, -6.0)
     assert ground_index.bounds(ground_index.load(spark, f"{tmp_path}/none", 60.0, 5.0, -6.0)).count() == 0
-    rows = lambda lat, lon, km: {tuple(c) for c in spark.range(1).select(ground_index.cells(num(lat), num(lon), num(km)).alias("c")).first().c}
-    assert rows(0.1, 179.9, 100.0) == {(17, 71), (17, 0), (18, 71), (18, 0)}
-    assert {c for r, c in rows(88.5, 10.0, 100.0)} == set(range(72)) and max(r for r, _ in rows(88.5, 10.0, 100.0)) == 35
-    assert tuple(spark.range(1).select(ground_index.cell(num(90), num(180)).alias("c")).first().c) == (35, 0)
+    rows = lambda lat, lon, km: {(r.row, r.col) for r in ground_index.with_cells(spark.range(1).select(num(lat).alias("lat"), num(lon).alias("lon"), num(km).alias("__km"))).collect()}
+    assert rows(0.1, 179.9, 100.0) == {(5, 23), (5, 0), (6, 23), (6, 0)}
+    assert {c for r, c in rows(88.5, 10.0, 100.0)} == set(range(24)) and max(r for r, _ in rows(88.5, 10.0, 100.0)) == 11
+    assert tuple(spark.range(1).select(ground_index.cell(num(90), num(180)).alias("c")).first().c) == (11, 0)
 
 
 def test_circles_of_cells_hold_all_places_within(spark):
     rng = random.Random(14)
     circles = [(rng.uniform(-90, 90), rng.uniform(-180, 180), rng.choice([1.0, 300.0, 2000.0])) for _ in range(150)]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(circles)], "i int, lat double, lon double, km double")
-    held = {r.i: {tuple(c) for c in r.c} for r in df.select("i", ground_index.cells(F.col("lat"), F.col("lon"), F.col("km")).alias("c")).collect()}
+    held: dict[int, set] = {}
+    for r in ground_index.with_cells(df.withColumnRenamed("km", "__km")).collect():
+        held.setdefault(r.i, set()).add((r.row, r.col))
     near = []
     for i, (lat, lon, km) in enumerate(circles):
         for _ in range(40):

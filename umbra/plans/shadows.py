@@ -84,7 +84,8 @@ def ground_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
         path = scratch(spark, "ground")
-        ground_index.build(table(spark, sf_dir, "elements"), path, INDEX_REACH, ALT, SUN)
+        events = table(spark, sf_dir, "elements").select("event_id", "number", "et", "half", "r_km", "ra", "dec", *shadow.ELEMENTS)
+        ground_index.build(events, path, INDEX_REACH, ALT, SUN)
         _INDEXES[key] = path
     return _INDEXES[key]
 
@@ -107,15 +108,15 @@ OCCUPIED = f"""{_track_sql(41, "70", SIN4, "sin(radians(-5::DOUBLE))")},
     mg AS (SELECT *, gs/6378.137::DOUBLE AS sw, 1.03::DOUBLE*greatest({", ".join(_reach_sql(f"(least(greatest(star_up+({k})*gs/6378.137::DOUBLE,-1),1))", "(r_km+70)", SIN4) for k in (-1, 0, 1))})+gs+1 AS km FROM track WHERE ok),
     ce AS (SELECT *, km/111.2::DOUBLE+0.2::DOUBLE AS up, abs(lat)+km/111.2::DOUBLE+0.2::DOUBLE AS edge FROM mg),
     si AS (SELECT *, CASE WHEN edge<89 THEN up/cos(radians(least(edge,89))) ELSE 180 END AS side FROM ce),
-    oc AS (SELECT *, CAST(floor((least(greatest(lat-up,-90),89.999999::DOUBLE)+90)/5) AS INTEGER) AS r0, CAST(floor((least(greatest(lat+up,-90),89.999999::DOUBLE)+90)/5) AS INTEGER) AS r1, CAST(floor((lon-side+180)/5) AS INTEGER) AS c0, CAST(floor((lon+side+180)/5) AS INTEGER) AS c1 FROM si)"""
+    oc AS (SELECT *, CAST(floor((least(greatest(lat-up,-90),89.999999::DOUBLE)+90)/15) AS INTEGER) AS r0, CAST(floor((least(greatest(lat+up,-90),89.999999::DOUBLE)+90)/15) AS INTEGER) AS r1, CAST(floor((lon-side+180)/15) AS INTEGER) AS c0, CAST(floor((lon+side+180)/15) AS INTEGER) AS c1 FROM si)"""
 
 
 @query(
     "track_bounds",
-    f"""WITH {OCCUPIED}, co AS (SELECT DISTINCT event_id, ((c%72)+72)%72 AS col FROM (SELECT event_id, unnest(range(c0, least(c1, c0+71)+1)) AS c FROM oc)),
-    ga AS (SELECT event_id, col, coalesce(lead(col) OVER w, min(col) OVER (PARTITION BY event_id)+72)-col-1 AS empty, coalesce(lead(col) OVER w, min(col) OVER (PARTITION BY event_id)) AS west FROM co WINDOW w AS (PARTITION BY event_id ORDER BY col)),
+    f"""WITH {OCCUPIED}, co AS (SELECT DISTINCT event_id, ((c%24)+24)%24 AS col FROM (SELECT event_id, unnest(range(c0, least(c1, c0+23)+1)) AS c FROM oc)),
+    ga AS (SELECT event_id, col, coalesce(lead(col) OVER w, min(col) OVER (PARTITION BY event_id)+24)-col-1 AS empty, coalesce(lead(col) OVER w, min(col) OVER (PARTITION BY event_id)) AS west FROM co WINDOW w AS (PARTITION BY event_id ORDER BY col)),
     be AS (SELECT event_id, max(empty) AS empty, arg_min(west, ROW(-empty, col)) AS west FROM ga GROUP BY event_id), al AS (SELECT event_id, min(r0) AS r0, max(r1) AS r1, min(star_up-sw) AS sin_lo, max(star_up+sw) AS sin_hi FROM oc GROUP BY event_id)
-    SELECT event_id, CAST(r0*5-90 AS DOUBLE) AS lat_lo, CAST(r1*5-85 AS DOUBLE) AS lat_hi, CAST(west*5-180 AS DOUBLE) AS lon_w, CAST(360-empty*5 AS DOUBLE) AS lon_width, round(sin_lo,5) AS sin_lo, round(sin_hi,5) AS sin_hi FROM al JOIN be USING (event_id)""",
+    SELECT event_id, CAST(r0*15-90 AS DOUBLE) AS lat_lo, CAST(r1*15-75 AS DOUBLE) AS lat_hi, CAST(west*15-180 AS DOUBLE) AS lon_w, CAST(360-empty*15 AS DOUBLE) AS lon_width, round(sin_lo,5) AS sin_lo, round(sin_hi,5) AS sin_hi FROM al JOIN be USING (event_id)""",
 )
 def track_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground_index.bounds(ground(spark, sf_dir)).select("event_id", "lat_lo", "lat_hi", "lon_w", "lon_width", F.round("sin_lo", 5).alias("sin_lo"), F.round("sin_hi", 5).alias("sin_hi"))
@@ -123,8 +124,8 @@ def track_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "index_cells",
-    f"""WITH {OCCUPIED}, c AS (SELECT event_id, k, unnest(range(r0, r1+1)) AS row, c0, c1 FROM oc), d AS (SELECT event_id, k, row, unnest(range(c0, least(c1, c0+71)+1)) AS c FROM c)
-    SELECT CAST(row AS INTEGER) AS row, CAST(((c%72)+72)%72 AS INTEGER) AS col, count(DISTINCT event_id) AS events, count(*) AS samples FROM d GROUP BY row, ((c%72)+72)%72""",
+    f"""WITH {OCCUPIED}, c AS (SELECT event_id, k, unnest(range(r0, r1+1)) AS row, c0, c1 FROM oc), d AS (SELECT event_id, k, row, unnest(range(c0, least(c1, c0+23)+1)) AS c FROM c)
+    SELECT CAST(row AS INTEGER) AS row, CAST(((c%24)+24)%24 AS INTEGER) AS col, count(DISTINCT event_id) AS events, count(*) AS samples FROM d GROUP BY row, ((c%24)+24)%24""",
 )
 def index_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events and samples the stored index has in each cell of the ground."""
