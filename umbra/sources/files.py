@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,12 +17,14 @@ CATALOG = "source_id bigint, ra double, dec double, parallax double, pmra double
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or, in a local session without it, a temporary one."""
+    """A new folder that all executors share: below spark.checkpoint.dir, or, in a local session without it, a temporary one that goes when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='umbra-')}"
+        folder = tempfile.mkdtemp(prefix="umbra-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = f"file://{folder}"
     return f"{root.rstrip('/')}/umbra/{name}-{uuid.uuid4().hex}"
 
 
