@@ -10,7 +10,7 @@ from umbra.functions.sky import num
 from umbra.operators import ground_index, shadow, tracks
 from umbra.plans.registry import query
 from umbra.plans.tables import table
-from umbra.sources.files import scratch
+from umbra.sources.files import exists, scratch
 
 ARRAYS = "list_transform(range(9), lambda i: {0}0 + v{0}*(half*(i/4-1::DOUBLE)) + a{0}*pow(half*(i/4-1::DOUBLE),2) + 0.05::DOUBLE*sin(i::DOUBLE*7))"
 
@@ -80,9 +80,9 @@ _INDEXES: dict[tuple[str, str], str] = {}
 
 
 def ground_path(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the stored index of all events of a folder, written the first time that a session asks for it."""
+    """The folder of the stored index of all events of a folder, written the first time that a session asks for it, and again if it was cleared."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(spark, f"{_INDEXES[key]}/_SUCCESS"):
         path = scratch(spark, "ground")
         events = table(spark, sf_dir, "elements").select("event_id", "number", "et", "half", "r_km", "ra", "dec", *shadow.ELEMENTS)
         ground_index.build(events, path, INDEX_REACH, ALT, SUN)

@@ -28,6 +28,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/umbra/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Catalog files: gzip CSV with # comments and `null`; only the named columns are parsed. The header names all columns of a file."""
     known = T.StructType.fromDDL(CATALOG)

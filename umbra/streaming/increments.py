@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from umbra.sources.files import exists
+
 BATCH_LOG = "bodies bigint, events bigint"
 
 
@@ -30,8 +32,7 @@ def batches_of(spark: SparkSession, out: str) -> DataFrame:
 def _held(spark: SparkSession, out: str, settings: dict[str, object]) -> None:
     """Writes the settings beside a new build; another build's are an error, as its events would differ."""
     text = json.dumps(settings, sort_keys=True)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/settings")
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if exists(spark, f"{out}/settings"):
         before = spark.read.text(f"{out}/settings", wholetext=True).first().value.strip()
         if before != text:
             raise ValueError(f"{out} was begun with other settings: {before}")
