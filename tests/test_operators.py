@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions import earth, light, sky, text
 from umbra.functions.sky import Vec, num
-from umbra.operators import backfill, catalog, cells, ephemeris, globe, ground_index, orbits, results, scan, shadow, solve, tracks
+from umbra.operators import backfill, catalog, cells, ephemeris, globe, ground_index, orbits, records, results, scan, shadow, solve, tracks
 from umbra.plans import ephemerides, globes, solving
 from umbra.plans.tables import table
 from umbra.sources import files
@@ -488,3 +488,23 @@ def test_list_rows_and_settings(spark):
     first, none, _ = [r.asDict() for r in files.list_settings(df).collect()]
     assert first == {"starmag": 13.5, "mindur": 0.2, "aperture": 25.0, "detectionframes": 6.0, "minstaraltitude": 10.0, "km_from_shadow": 35.0}
     assert none["starmag"] == 15.0 and none["km_from_shadow"] == 20.0
+
+
+def test_best_picks_equal_all_pairs(spark):
+    import datetime
+
+    random.seed(8)
+    day = lambda: datetime.date(2026, 1, 1) + datetime.timedelta(random.randrange(6))
+    picks = [(k, random.randrange(3), day(), random.randrange(1, 6), random.randrange(4), random.choice([None, 40.0, 40.02]), 10.0) for k in range(300)]
+    asked = [(k, random.randrange(4), day(), random.randrange(1, 4), 40.0, 10.0) for k in range(300)]
+    got = records.covering_pick(spark.createDataFrame(asked, "request bigint, site int, start date, days int, lat double, lon double"), spark.createDataFrame(picks, "pick bigint, site int, start date, days int, picked int, lat double, lon double"))
+    want = {}
+    for r, site, start, days, lat, _ in asked:
+        fit = [(p[4], p[2], p[0]) for p in picks if p[1] == site and p[2] <= start and p[2] + datetime.timedelta(p[3]) >= start + datetime.timedelta(days) and (p[5] is None or abs(p[5] - lat) <= 0.01)]
+        if fit:
+            want[r] = max(fit)[2]
+    assert {r.request: r.pick for r in got.collect()} == want
+    # Many requests and picks of few days and places meet in few pairs.
+    alike = spark.range(2000)
+    many = records.covering_pick(alike.selectExpr("id AS request", "1 AS site", "DATE'2026-01-02' AS start", "1 AS days", "40D AS lat", "10D AS lon"), alike.selectExpr("id AS pick", "1 AS site", "DATE'2026-01-01' AS start", "3 AS days", "1 AS picked", "CAST(NULL AS DOUBLE) AS lat", "10D AS lon"))
+    assert many.select("pick").distinct().collect() == [(1999,)] and many.count() == 2000

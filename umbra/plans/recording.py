@@ -98,16 +98,16 @@ def favorites_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.kept_since(stamped, "2024-01-15").select("event_id")
 
 
-PICKS = "(SELECT o_orderkey AS pick, o_custkey AS site, CAST('2026-01-01' AS DATE)+CAST(o_orderkey%90 AS INTEGER) AS start, CAST(o_orderkey%12+1 AS INTEGER) AS days, o_orderkey%17 AS picked, CASE WHEN o_orderkey%9<>0 THEN 40+(o_orderkey%4)*0.008::DOUBLE END AS lat, 10+(o_orderkey%3)*0.006::DOUBLE AS lon FROM orders)"
-ASKED = "(SELECT o_orderkey AS request, o_custkey AS site, CAST('2026-01-01' AS DATE)+CAST(o_orderkey%80+4 AS INTEGER) AS start, CAST(o_orderkey%5+1 AS INTEGER) AS days, 40.01::DOUBLE AS lat, 10.005::DOUBLE AS lon FROM orders)"
+PICKS = "(SELECT o_orderkey AS pick, o_orderkey%50 AS site, CAST('2026-01-01' AS DATE)+CAST(o_orderkey%90 AS INTEGER) AS start, CAST(o_orderkey%12+1 AS INTEGER) AS days, o_orderkey%17 AS picked, CASE WHEN o_orderkey%9<>0 THEN 40+(o_orderkey%4)*0.008::DOUBLE END AS lat, 10+(o_orderkey%3)*0.006::DOUBLE AS lon FROM orders)"
+ASKED = "(SELECT o_orderkey AS request, o_orderkey%50 AS site, CAST('2026-01-01' AS DATE)+CAST(o_orderkey%80+4 AS INTEGER) AS start, CAST(o_orderkey%5+1 AS INTEGER) AS days, 40.01::DOUBLE AS lat, 10.005::DOUBLE AS lon FROM orders)"
 
 
 @query("best_pick", f"SELECT a.request, arg_max(p.pick, ROW(p.picked, p.start, p.pick)) AS pick FROM {ASKED} a JOIN {PICKS} p ON p.site=a.site AND p.start<=a.start AND p.start+p.days>=a.start+a.days AND (p.lat IS NULL OR greatest(abs(p.lat-a.lat),abs(p.lon-a.lon))<=0.01::DOUBLE) GROUP BY a.request")
 def best_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The saved pick that serves each request."""
     o = base(spark, sf_dir, "orders")
-    picks = o.selectExpr("o_orderkey AS pick", "o_custkey AS site", "date_add(DATE'2026-01-01', CAST(o_orderkey%90 AS INT)) AS start", "CAST(o_orderkey%12+1 AS INT) AS days", "o_orderkey%17 AS picked", "CASE WHEN o_orderkey%9<>0 THEN 40+(o_orderkey%4)*CAST(0.008 AS DOUBLE) END AS lat", "10+(o_orderkey%3)*CAST(0.006 AS DOUBLE) AS lon")
-    asked = o.selectExpr("o_orderkey AS request", "o_custkey AS site", "date_add(DATE'2026-01-01', CAST(o_orderkey%80+4 AS INT)) AS start", "CAST(o_orderkey%5+1 AS INT) AS days", "CAST(40.01 AS DOUBLE) AS lat", "CAST(10.005 AS DOUBLE) AS lon")
+    picks = o.selectExpr("o_orderkey AS pick", "o_orderkey%50 AS site", "date_add(DATE'2026-01-01', CAST(o_orderkey%90 AS INT)) AS start", "CAST(o_orderkey%12+1 AS INT) AS days", "o_orderkey%17 AS picked", "CASE WHEN o_orderkey%9<>0 THEN 40+(o_orderkey%4)*CAST(0.008 AS DOUBLE) END AS lat", "10+(o_orderkey%3)*CAST(0.006 AS DOUBLE) AS lon")
+    asked = o.selectExpr("o_orderkey AS request", "o_orderkey%50 AS site", "date_add(DATE'2026-01-01', CAST(o_orderkey%80+4 AS INT)) AS start", "CAST(o_orderkey%5+1 AS INT) AS days", "CAST(40.01 AS DOUBLE) AS lat", "CAST(10.005 AS DOUBLE) AS lon")
     return records.covering_pick(asked, picks)
 
 
