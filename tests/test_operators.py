@@ -508,3 +508,13 @@ def test_best_picks_equal_all_pairs(spark):
     alike = spark.range(2000)
     many = records.covering_pick(alike.selectExpr("id AS request", "1 AS site", "DATE'2026-01-02' AS start", "1 AS days", "40D AS lat", "10D AS lon"), alike.selectExpr("id AS pick", "1 AS site", "DATE'2026-01-01' AS start", "3 AS days", "1 AS picked", "CAST(NULL AS DOUBLE) AS lat", "10D AS lon"))
     assert many.select("pick").distinct().collect() == [(1999,)] and many.count() == 2000
+
+
+def test_roots_are_finer_than_the_last_half():
+    import numpy as np
+
+    at = np.array([0.3, -7.77, 12.34567])
+    found = solve._root(lambda t: t - at[:, None], np.full(3, -30.0), np.full(3, 30.0), 1e-6)
+    assert np.abs(found - at).max() < 1e-12
+    # One whose sign stays the same ends at the border.
+    assert solve._root(lambda t: t * 0 - 1.0, np.array([0.0]), np.array([8.0]), 1e-6)[0] == pytest.approx(8.0, abs=1e-5)

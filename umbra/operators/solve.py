@@ -171,13 +171,16 @@ class _SiteTracks:
 
 
 def _root(f: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, tol: float) -> np.ndarray:
-    """Where f, not above 0 at `low` and above 0 at `high`, changes sign, row by row; `low` may lie on either side."""
+    """Where f, not above 0 at `low` and above 0 at `high`, changes sign, row by row; `low` may lie on either side. Halved to `tol`, then taken from the
+    chord of what is left, whose error goes with the square of that; where f keeps its sign, the middle."""
     most = float(np.max(np.abs(high - low), initial=tol))
     for _ in range(max(1, int(np.ceil(np.log2(most / tol))) + 1)):
         mid = (low + high) / 2
         above = f(mid[:, None])[:, 0] > 0
         low, high = np.where(above, low, mid), np.where(above, mid, high)
-    return (low + high) / 2
+    a, b = f(low[:, None])[:, 0], f(high[:, None])[:, 0]
+    between = (a <= 0) & (b > 0)
+    return low + np.where(between, -a / np.where(between, b - a, 1.0), 0.5) * (high - low)
 
 
 def contacts_at_sites(pairs: DataFrame, limit: str, samples: int = 121, tol: float = 1e-6, rows: int = 2000) -> DataFrame:
