@@ -518,3 +518,13 @@ def test_roots_are_finer_than_the_last_half():
     assert np.abs(found - at).max() < 1e-12
     # One whose sign stays the same ends at the border.
     assert solve._root(lambda t: t * 0 - 1.0, np.array([0.0]), np.array([8.0]), 1e-6)[0] == pytest.approx(8.0, abs=1e-5)
+
+
+def test_minimum_of_a_flat_distance_is_exact(spark):
+    # From the driver's 0.1 GB: sections alone were 1e-6 s off and so fell on the other side of half a second.
+    x, y, vx, vy = 8000.0, -2890.0, 6.0, 3.1
+    rows = [(k, 604800.0 + k, x + k * 7.3, y - k, vx, vy, 0.0, 0.0) for k in range(200)]
+    found = solve.minimised(spark.createDataFrame(rows, "event_id bigint, et double, x0 double, y0 double, vx double, vy double, ax double, ay double"), 7200.0, 1e-6).collect()
+    for r in found:
+        _, et, a, b, *_ = rows[r.event_id]
+        assert r.t_min - et == pytest.approx(-(a * vx + b * vy) / (vx * vx + vy * vy), abs=1e-9)

@@ -82,7 +82,8 @@ def _bisected(f: Callable[[np.ndarray], np.ndarray], inside: np.ndarray, outside
 
 def minimised(events: DataFrame, half_s: float, tol: float = 1e-3) -> DataFrame:
     """(event_id, t_min, d_km): the least distance between axis and centre within half_s of et, by golden sections on the offset
-    from et, so that large times lose no digits; rows of a batch together."""
+    from et, so that large times lose no digits; rows of a batch together. Near its least the distance hardly changes, so sections alone
+    leave some 1e-5 s open; a step of Newton's method on its slope settles the rest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -92,7 +93,13 @@ def minimised(events: DataFrame, half_s: float, tol: float = 1e-3) -> DataFrame:
                 x, y = hi - GOLDEN * (hi - lo), lo + GOLDEN * (hi - lo)
                 left = f(et + x) < f(et + y)
                 hi, lo = np.where(left, y, hi), np.where(left, lo, x)
-            t = et + (lo + hi) / 2
+            off = (lo + hi) / 2
+            px, py, vx, vy, ax, ay = (b[k].to_numpy(float) for k in ("x0", "y0", "vx", "vy", "ax", "ay"))
+            px, py, vx, vy = px + off * (vx + off * ax), py + off * (vy + off * ay), vx + 2 * off * ax, vy + 2 * off * ay
+            bend = vx * vx + vy * vy + 2 * (px * ax + py * ay)
+            finer = off - (px * vx + py * vy) / np.where(bend > 0, bend, np.inf)
+            better = (np.abs(finer) <= half_s) & (f(et + finer) <= f(et + off) * (1 + 1e-12))
+            t = et + np.where(better, finer, off)
             yield pd.DataFrame({"event_id": b["event_id"], "t_min": t, "d_km": f(t)})
 
     return events.mapInPandas(run, "event_id bigint, t_min double, d_km double")
