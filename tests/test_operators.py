@@ -528,3 +528,10 @@ def test_minimum_of_a_flat_distance_is_exact(spark):
     for r in found:
         _, et, a, b, *_ = rows[r.event_id]
         assert r.t_min - et == pytest.approx(-(a * vx + b * vy) / (vx * vx + vy * vy), abs=1e-9)
+
+
+def test_moons_by_the_planet_that_is_given(spark):
+    moons = spark.createDataFrame([(60003, 32.0, None), (603, 32.0, None)], "naif bigint, radius_km double, h double")
+    by = lambda df: {r.naif: r.h for r in df.collect()}
+    given, own = by(light.completed_moons(moons, F.expr("naif div 100"))), by(light.completed_moons(moons))
+    assert given[60003] == pytest.approx(9.47) and own[60003] == pytest.approx(7.34) and given[603] == own[603] == pytest.approx(7.34)

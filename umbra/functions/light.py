@@ -81,10 +81,11 @@ def diameter_of(h: Column, albedo: Column | float) -> Column:
 DARK, ICY, OTHER = 0.05, 0.5, 0.07
 
 
-def completed_moons(moons: DataFrame) -> DataFrame:
+def completed_moons(moons: DataFrame, planet: Column | None = None) -> DataFrame:
     """Satellites (naif, radius_km, h) with a missing size from the brightness or a missing brightness from the size, rounded to two places,
-    and radius_est and h_est that say so. The planet is in the number: its hundreds, or ten thousands for five-digit ones."""
-    planet = F.when(F.col("naif") < 1000, F.expr("naif div 100")).otherwise(F.expr("naif div 10000"))
+    and radius_est and h_est that say so. `planet` is each one's planet; without it, it is in the number: its hundreds, or ten thousands for
+    five-digit ones."""
+    planet = planet if planet is not None else F.when(F.col("naif") < 1000, F.expr("naif div 100")).otherwise(F.expr("naif div 10000"))
     albedo = F.when(planet == 6, ICY).otherwise(OTHER)
     no_size = F.col("radius_km").isNull() & F.col("h").isNotNull()
     no_light = ~no_size & F.col("h").isNull() & F.coalesce(F.col("radius_km") > 0, F.lit(False))
