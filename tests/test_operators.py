@@ -535,3 +535,17 @@ def test_moons_by_the_planet_that_is_given(spark):
     by = lambda df: {r.naif: r.h for r in df.collect()}
     given, own = by(light.completed_moons(moons, F.expr("naif div 100"))), by(light.completed_moons(moons))
     assert given[60003] == pytest.approx(9.47) and own[60003] == pytest.approx(7.34) and given[603] == own[603] == pytest.approx(7.34)
+
+
+def test_observatories_with_long_codes(spark, tmp_path):
+    from umbra.plans import texts
+
+    ids = (7, 999, 1083, 123456)
+    spark.createDataFrame([(i, f"s{i}", i % 5, 1.0) for i in ids], "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.code: r for r in texts.observatory_rows(spark, str(tmp_path)).collect()}
+    sites = {r.site_id: r for r in table(spark, str(tmp_path), "sites").collect()}
+    assert set(got) == {f"{i:03d}" for i in ids}
+    for i in ids:
+        assert got[f"{i:03d}"].lat == pytest.approx(sites[i].lat, abs=6e-4)
+        # Rounded once: by way of five places 11.70449... would end as 11.705.
+        assert got[f"{i:03d}"].lon == pytest.approx(round(sites[i].lon % 360, 3), abs=1e-9)

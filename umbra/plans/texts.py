@@ -85,6 +85,8 @@ def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 E2 = "(1/298.257223563::DOUBLE*(2-1/298.257223563::DOUBLE))"
+#: Characters of the longest code, and of a longitude with all its digits: it is shown to three places, and rounded once only.
+CODE, LON = 19, 18
 #: Latitudes from the constants as the file has them, by iteration.
 OBSERVATORY = f"""WITH g AS (SELECT site_id, lon, radians(lat) AS f, ele_m/6378137::DOUBLE AS h, 1/sqrt(1-{E2}*sin(radians(lat))*sin(radians(lat))) AS n FROM {{sites}}),
     c AS (SELECT site_id, lon, CAST(printf('%.6f', (n+h)*cos(f)) AS DOUBLE) AS rc, CAST(printf('%.6f', (n*(1-{E2})+h)*sin(f)) AS DOUBLE) AS rs FROM g),
@@ -94,11 +96,12 @@ OBSERVATORY = f"""WITH g AS (SELECT site_id, lon, radians(lat) AS f, ele_m/63781
 
 @query("observatory_rows", OBSERVATORY)
 def observatory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-width observatory codes, written and read again, with geodetic latitude from the parallax constants; longitudes count eastward."""
+    """Fixed-width observatory codes, written and read again, with geodetic latitude from the parallax constants; longitudes count eastward. A code
+    has three digits or more, up to a bigint's, and longitudes keep their digits, so the fields are wider than in the files of others."""
     v = earth.earth_fixed(F.col("lat"), F.col("lon"), F.col("ele_m"))
-    line = F.concat(F.format_string("%03d %9.5f", "site_id", F.when(F.col("lon") < 0, F.col("lon") + 360.0).otherwise(F.col("lon"))), F.format_string("%8.6f%+9.6f", hypot(v.x, v.y) / earth.EARTH_KM, v.z / earth.EARTH_KM), F.concat(F.lit("Site "), F.col("site_id").cast("string")))
+    line = F.concat(F.rpad(F.format_string("%03d", "site_id"), CODE, " "), F.format_string(f" %{LON}.14f", F.when(F.col("lon") < 0, F.col("lon") + 360.0).otherwise(F.col("lon"))), F.format_string("%8.6f%+9.6f", hypot(v.x, v.y) / earth.EARTH_KM, v.z / earth.EARTH_KM), F.concat(F.lit("Site "), F.col("site_id").cast("string")))
     path = files.scratch(spark, "observatories")
     table(spark, sf_dir, "sites").select(line.alias("value")).write.text(path)
-    read = files.read_fixed(spark, path, files.OBSERVATORIES)
+    read = files.read_fixed(spark, path, files.observatories(CODE, LON))
     lat, _ = earth.geodetic(F.col("rho_cos"), F.col("rho_sin"))
     return read.select("code", F.round(lat, 3).alias("lat"), F.round("lon", 3).alias("lon"))

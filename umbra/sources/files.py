@@ -59,6 +59,12 @@ def read_fixed(spark: SparkSession, path: str, layout: dict[str, tuple[int, int,
 OBSERVATORIES = {"code": (1, 3, "string"), "lon": (5, 9, "double"), "rho_cos": (14, 8, "double"), "rho_sin": (22, 9, "double"), "name": (31, 80, "string")}
 
 
+def observatories(code: int, lon: int) -> dict[str, tuple[int, int, str]]:
+    """The layout of observatory codes for tables with longer codes and finer longitudes, of so many characters: the other fields move along."""
+    wide, moved = {"code": code, "lon": lon}, {"code": 0, "lon": code - 3}
+    return {c: (a + moved.get(c, code - 3 + lon - 9), wide.get(c, n), t) for c, (a, n, t) in OBSERVATORIES.items()}
+
+
 def labelled_layout(spark: SparkSession, label: str) -> dict[str, tuple[int, int, str]]:
     """A fixed-width table's layout from its XML label: each `Field_Character` has a name, its first character, its length and a type."""
     types = {"integer": "bigint", "real": "double"}
