@@ -549,3 +549,15 @@ def test_observatories_with_long_codes(spark, tmp_path):
         assert got[f"{i:03d}"].lat == pytest.approx(sites[i].lat, abs=6e-4)
         # Rounded once: by way of five places 11.70449... would end as 11.705.
         assert got[f"{i:03d}"].lon == pytest.approx(round(sites[i].lon % 360, 3), abs=1e-9)
+
+
+def test_circles_of_many_sizes_join_by_levels(spark):
+    random.seed(5)
+    point = lambda i: (i, random.uniform(0, 360), math.degrees(math.asin(random.uniform(-1, 1))))
+    seam = [(900, 0.05, 10.0), (901, 359.95, 10.0), (902, 10.0, 89.9), (903, 190.0, 89.95), (904, 200.0, -89.99)]
+    a = spark.createDataFrame([(*p, random.choice([0.4, 1.5, 4.0, 40.0, 170.0])) for p in [point(i) for i in range(200)] + seam] + [(950, 5.0, 5.0, None)], "a bigint, ra double, dec double, r double")
+    b = spark.createDataFrame([point(i) for i in range(300)] + seam, "b bigint, star_ra double, star_dec double")
+    want = {tuple(r) for r in cells.cell_join(a, b, F.col("r"), 1.5).select("a", "b").collect()}
+    found = cells.cell_join(a, b, F.col("r"), 1.5, spread_right=True, right_u=("x", "y", "z")).select("a", "b", "z", "star_dec").collect()
+    assert len(found) == len(want) and {(r.a, r.b) for r in found} == want and any(x >= 900 and y >= 900 and x != y for x, y in want)
+    assert all(r.z == pytest.approx(math.sin(math.radians(r.star_dec))) for r in found)
