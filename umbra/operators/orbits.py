@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.constants import AU_KM, DAY_S, GM_SUN, LIGHT_KM_S, OBLIQUITY_ARCSEC
 from umbra.functions.sky import Vec, num
+from umbra.operators.cells import unfolded
 
 TILT = np.radians(OBLIQUITY_ARCSEC / 3600.0)
 
@@ -77,7 +78,7 @@ def interpolated(nodes: DataFrame, asked: DataFrame, step_s: float) -> DataFrame
     step = asked.withColumn("__k", F.floor(F.col("et") / step_s))
     placed = nodes.withColumn("__k", F.floor(F.col("et") / step_s + 0.5))
     side = lambda tag, by: placed.select("target", (F.col("__k") - by).alias("__k"), *[F.col(c).alias(f"__{c}{tag}") for c in states])
-    both = step.join(side("a", 0), ["target", "__k"]).join(side("b", 1), ["target", "__k"]).withColumn("__s", F.col("et") / step_s - F.col("__k"))
+    both = unfolded(step).join(unfolded(side("a", 0)), ["target", "__k"]).join(unfolded(side("b", 1)), ["target", "__k"]).withColumn("__s", F.col("et") / step_s - F.col("__k"))
     s = F.col("__s")
     out = {}
     for c in "xyz":
