@@ -561,3 +561,12 @@ def test_circles_of_many_sizes_join_by_levels(spark):
     found = cells.cell_join(a, b, F.col("r"), 1.5, spread_right=True, right_u=("x", "y", "z")).select("a", "b", "z", "star_dec").collect()
     assert len(found) == len(want) and {(r.a, r.b) for r in found} == want and any(x >= 900 and y >= 900 and x != y for x, y in want)
     assert all(r.z == pytest.approx(math.sin(math.radians(r.star_dec))) for r in found)
+
+
+def test_unfolded_rows_are_not_sent_to_all_tasks(spark):
+    # Spark takes unfolded rows for as few as before: a join would gather all samples on the driver.
+    from umbra.plans import registry
+
+    for name in ("local_minima", "cone_cells", "windows_screen", "pick_slice_topk", "mag_cap", "pick_cap", "ephemeris_states", "hermite_window"):
+        plan = plan_of(registry.queries()[name](spark, SF))
+        assert "BroadcastHashJoin" not in plan and "NestedLoop" not in plan and "SortMergeJoin" in plan, name

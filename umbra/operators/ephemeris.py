@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from umbra.functions import sky
 from umbra.functions.constants import DAY_S, GM_PLANETS, GM_SUN
 from umbra.functions.sky import Vec, num
+from umbra.operators.cells import unfolded
 from umbra.operators.orbits import two_body_states
 
 STATE = ("x", "y", "z", "vx", "vy", "vz")
@@ -45,7 +46,7 @@ def hermite_states(nodes: DataFrame, asked: DataFrame, size: int = 4, bucket_s:
     names = list(asked.columns)
     keyed = asked.withColumn("__bucket", F.floor(F.col("et") / bucket_s))
     inside = (F.col("et") >= F.col("__from")) & ((F.col("et") < F.col("__to")) | (F.col("__last") & (F.col("et") == F.col("__to"))))
-    now = keyed.join(windows(nodes, size, bucket_s), ["target", "__bucket"]).where(inside)
+    now = unfolded(keyed).join(windows(nodes, size, bucket_s), ["target", "__bucket"]).where(inside)
     # Times from the asked one, in units of the window, so that powers stay near one.
     unit = (F.get("__nodes", F.lit(size - 1))["et"] - F.get("__nodes", F.lit(0))["et"]) / (size - 1)
     now = now.withColumn("__u", unit)
