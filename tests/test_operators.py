@@ -570,3 +570,13 @@ def test_unfolded_rows_are_not_sent_to_all_tasks(spark):
     for name in ("local_minima", "cone_cells", "windows_screen", "pick_slice_topk", "mag_cap", "pick_cap", "ephemeris_states", "hermite_window"):
         plan = plan_of(registry.queries()[name](spark, SF))
         assert "BroadcastHashJoin" not in plan and "NestedLoop" not in plan and "SortMergeJoin" in plan, name
+
+
+def test_names_of_targets_are_no_column_of_each_row(spark):
+    rows = [("p", "s", 2.5, k, k, f"O'Neil \\ {k}" if k % 2 else f"Body {k}", "n") for k in range(60)]
+    picks = spark.createDataFrame(rows, "pick string, site string, days double, pos int, number bigint, name string, note string").withColumn("start", F.lit("2026-01-01").cast("date"))
+    back = files.read_targets(files.targets_text(picks))
+    assert sorted((r.pos, r.number, r.name) for r in back.collect()) == [(k, str(k), name) for _, _, _, k, _, name, _ in rows]
+    assert "map<" not in back._jdf.queryExecution().analyzed().schema().json() and "map_from_entries" not in plan_of(back)
+    own = spark.createDataFrame([(1, "# events 2026-01-01 + 1.0 d, site A\n\ntargets = [\n    '7',  # x\n    '8',  # y\n    '7',  # z\n]\n\ntarget_names = {\n    '7': 'one',\n    '7': 'two',\n}\n"), (2, "no window")], "id int, text string")
+    assert sorted((r.id, r.pos, r.number, r.name) for r in files.read_targets(own).collect()) == [(1, 0, "7", "two"), (1, 1, "8", None), (1, 2, "7", "two")]

@@ -278,9 +278,16 @@ def read_targets(text: DataFrame) -> DataFrame:
     body = F.substring_index(F.substring_index("text", "targets = [", -1), "]\n", 1)
     numbers = F.regexp_extract_all(body, F.lit(r"(?m)^\s*'([^'\n]*)',"), F.lit(1))
     name = lambda k: F.regexp_extract_all("text", F.lit(r"(?m)^\s*'([^'\n]*)': '((?:[^'\\\n]|\\.)*)',$"), F.lit(k))
-    pairs = F.map_from_entries(F.arrays_zip(name(1).alias("a"), F.transform(name(2), lambda x: F.regexp_replace(x, r"\\(.)", "$1")).alias("b")))
-    found = text.where(part(1) != "").select(*keep, F.trim(part(3)).alias("site"), part(1).cast("date").alias("start"), part(2).cast("double").alias("days"), F.posexplode(numbers).alias("pos", "number"), pairs.alias("names"))
-    return found.select(*keep, "site", "start", "days", "pos", "number", F.try_element_at("names", F.col("number")).alias("name"))
+    # Numbers and names as rows of their own, which meet by file and number: a map of all names on each number's row would make a file's rows as wide as the file.
+    listed = F.transform(numbers, lambda x, i: F.struct(i.alias("pos"), x.alias("number"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("name")))
+    called = F.transform(F.arrays_zip(name(1).alias("a"), name(2).alias("b")), lambda x, i: F.struct(F.lit(None).cast("int").alias("pos"), x["a"].alias("number"), i.alias("at"), F.regexp_replace(x["b"], r"\\(.)", "$1").alias("name")))
+    # What stands once in a file is worked out before its rows unfold, so no row carries the text.
+    head = text.where(part(1) != "").select(*keep, F.trim(part(3)).alias("site"), part(1).cast("date").alias("start"), part(2).cast("double").alias("days"), F.sha2("text", 256).alias("__file"), F.concat(listed, called).alias("__all"))
+    rows = head.select(*keep, "site", "start", "days", "__file", F.explode("__all").alias("__r")).select(*keep, "site", "start", "days", "__file", "__r.*")
+    # Of several names of one number the last; files of the same text and columns name alike.
+    last = F.max(F.when(F.col("at").isNotNull(), F.struct("at", "name"))).over(W.partitionBy(*keep, "__file", "number"))
+    named = rows.withColumn("__last", last).where("pos IS NOT NULL")
+    return named.select(*keep, "site", "start", "days", "pos", "number", F.col("__last.name").alias("name"))
 
 
 def save_picks(picks: DataFrame, path: str) -> None:
