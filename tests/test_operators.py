@@ -580,3 +580,16 @@ def test_names_of_targets_are_no_column_of_each_row(spark):
     assert "map<" not in back._jdf.queryExecution().analyzed().schema().json() and "map_from_entries" not in plan_of(back)
     own = spark.createDataFrame([(1, "# events 2026-01-01 + 1.0 d, site A\n\ntargets = [\n    '7',  # x\n    '8',  # y\n    '7',  # z\n]\n\ntarget_names = {\n    '7': 'one',\n    '7': 'two',\n}\n"), (2, "no window")], "id int, text string")
     assert sorted((r.id, r.pos, r.number, r.name) for r in files.read_targets(own).collect()) == [(1, 0, "7", "two"), (1, 1, "8", None), (1, 2, "7", "two")]
+
+
+def test_index_has_one_row_for_an_event_in_a_cell(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    events = table(spark, SF, "elements").where("event_id % 50 = 0")
+    ground_index.build(events, path, 60.0, 5.0, -6.0)
+    rows = ground_index.load(spark, path, 60.0, 5.0, -6.0)
+    assert rows.count() == rows.select("event_id", "row", "col").distinct().count() > 0
+    # The bits are the usable samples whose observers reach the cell.
+    used = shadow.usable(shadow.samples(events, 41), 70.0, 4.0, -5.0).where("ok")
+    spread = ground_index.with_cells(ground_index.with_margin(used, 70.0, 4.0)).select("event_id", "row", "col", F.expr("shiftleft(1L, k)").alias("bit"))
+    want = {(r.event_id, r.row, r.col): r.ks for r in spread.groupBy("event_id", "row", "col").agg(F.sum("bit").alias("ks")).collect()}
+    assert {(r.event_id, r.row, r.col): r.ks for r in rows.collect()} == want
