@@ -593,3 +593,18 @@ def test_index_has_one_row_for_an_event_in_a_cell(spark, tmp_path):
     spread = ground_index.with_cells(ground_index.with_margin(used, 70.0, 4.0)).select("event_id", "row", "col", F.expr("shiftleft(1L, k)").alias("bit"))
     want = {(r.event_id, r.row, r.col): r.ks for r in spread.groupBy("event_id", "row", "col").agg(F.sum("bit").alias("ks")).collect()}
     assert {(r.event_id, r.row, r.col): r.ks for r in rows.collect()} == want
+
+
+def test_companions_are_added_up_without_lists(spark):
+    rng = random.Random(9)
+    stars = spark.createDataFrame([(k, rng.uniform(10, 12), rng.uniform(60, 61), rng.choice([None, 5.0, 90.0]), 3.0, rng.choice([None, 8.0, 12.0, 16.0])) for k in range(300)] + [(900, 200.0, -80.0, 0.0, 0.0, 9.0)], "source_id bigint, ra double, dec double, pmra double, pmdec double, g double")
+    events = stars.where("source_id % 3 = 0").select("source_id", "ra", "dec", "g")
+    lists = catalog.companions(events, stars, 10.0, 900.0).select("source_id", F.size("companions").alias("n"), F.get("companions", F.lit(0))["sep"].alias("nearest"), F.get("companions", F.lit(0))["g"].alias("near_g"), F.aggregate("companions", num(0), lambda a, c: a + F.pow(F.lit(10.0), c["g"] * -0.4)).alias("light"))
+    want, found = {r.source_id: r for r in lists.collect()}, catalog.companion_light(events, stars, 10.0, 900.0)
+    got = found.select("source_id", "n", "nearest", "near_g", "light").collect()
+    assert len(got) == len(want) and max(r.n for r in got) > 20 and any(r.n == 0 for r in got)
+    for r in got:
+        w = want[r.source_id]
+        assert (r.n, r.near_g) == (w.n, w.near_g) and r.light == pytest.approx(w.light) and r.nearest == pytest.approx(w.nearest, abs=1e-8)
+    plan = plan_of(found)
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "NestedLoop" not in plan
