@@ -608,3 +608,12 @@ def test_companions_are_added_up_without_lists(spark):
         assert (r.n, r.near_g) == (w.n, w.near_g) and r.light == pytest.approx(w.light) and r.nearest == pytest.approx(w.nearest, abs=1e-8)
     plan = plan_of(found)
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "NestedLoop" not in plan
+
+
+def test_unfolded_rows_are_grouped_where_they_stand(spark):
+    """Only the events are shuffled, once: neither a join back to them nor the grouping of their many points moves any."""
+    from umbra.plans import registry
+
+    for name in ("axis_course",):
+        plan = plan_of(registry.queries()[name](spark, SF))
+        assert plan.count("Exchange ") == 1 and "Join" not in plan, name

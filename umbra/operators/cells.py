@@ -93,6 +93,12 @@ def unfolded(rows: DataFrame) -> DataFrame:
     return rows.hint("merge")
 
 
+def together(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key before they unfold: what they unfold to may then be grouped by that key, and further columns, where it stands, and only the rows
+    themselves are shuffled."""
+    return rows.repartition(*keys)
+
+
 def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
     """Pairs whose closed intervals touch. Both sides are placed into buckets of `width`; a pair counts in the first bucket that it
     shares, so it comes once."""

@@ -85,8 +85,8 @@ def visible_area(pieces: DataFrame) -> DataFrame:
 
 
 def axis_course(events: DataFrame, reach: float = 1.6, step_s: float = 20.0) -> DataFrame:
-    """(event_id, t, minute, x_km, y_km): the axis' course over the disc, at steps of `step_s` and at whole minutes besides: from `reach` Earth radii
-    before et to as far behind it at the event's speed; minute is true at whole ones."""
+    """(event_id, et, t, minute, x_km, y_km): the axis' course over the disc, at steps of `step_s` and at whole minutes besides: from `reach` Earth radii
+    before the event's et to as far behind it at the event's speed; minute is true at whole ones."""
     speed = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2)
     span = events.withColumn("__span", reach * EARTH_KM / speed)
     first, last = F.col("et") - F.col("__span"), F.col("et") + F.col("__span")
@@ -95,7 +95,7 @@ def axis_course(events: DataFrame, reach: float = 1.6, step_s: float = 20.0) ->
     both = F.array_sort(F.array_distinct(F.concat(steps, minutes)))
     rows = span.withColumn("t", F.explode(both))
     px, py = plane_at(F.col("t"))
-    return rows.select("event_id", "t", (F.col("t") % 60 == 0).alias("minute"), px.alias("x_km"), py.alias("y_km"))
+    return rows.select("event_id", "et", "t", (F.col("t") % 60 == 0).alias("minute"), px.alias("x_km"), py.alias("y_km"))
 
 
 def facts(dist_km: Column, speed_kms: Column, radius_km: Column, sigma_km: Column) -> dict[str, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.sky import num
 from umbra.operators import globe
+from umbra.operators.cells import together
 from umbra.plans.ephemerides import BENDING, deflecting, rays_of
 from umbra.plans.registry import query
 from umbra.plans.solving import ERA, dealt
@@ -75,8 +76,7 @@ def land_on_disc(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def axis_course(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The axis' course in steps of 20 s and at whole minutes, summed up for each event."""
-    events = table(spark, sf_dir, "elements")
-    rows = globe.axis_course(events).join(events.select("event_id", "et"), "event_id")
+    rows = globe.axis_course(together(table(spark, sf_dir, "elements"), "event_id"))
     dt = F.col("t") - F.col("et")
     away = F.sqrt(F.col("x_km") ** 2 + F.col("y_km") ** 2)
     return rows.groupBy("event_id").agg(F.count("*").alias("n"), F.sum(F.col("minute").cast("bigint")).alias("minutes"), F.round(F.min(dt), 3).alias("first_s"), F.round(F.max(dt), 3).alias("last_s"), F.round(F.min(away), 3).alias("nearest_km"), F.round(F.avg("x_km"), 2).alias("mean_x"))
