@@ -614,6 +614,6 @@ def test_unfolded_rows_are_grouped_where_they_stand(spark):
     """Only the events are shuffled, once: neither a join back to them nor the grouping of their many points moves any."""
     from umbra.plans import registry
 
-    for name in ("axis_course",):
+    for name in ("axis_course", "shadow_paths"):
         plan = plan_of(registry.queries()[name](spark, SF))
         assert plan.count("Exchange ") == 1 and "Join" not in plan, name
