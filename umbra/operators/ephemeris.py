@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from umbra.functions import sky
-from umbra.functions.constants import DAY_S, GM_PLANETS, GM_SUN
+from umbra.functions.constants import DAY_S, GM_PLANETS, GM_SUN, LIGHT_KM_S
 from umbra.functions.sky import Vec, num
 from umbra.operators.cells import unfolded
 from umbra.operators.orbits import two_body_states
@@ -210,6 +210,13 @@ def integrated(bodies: DataFrame, planets: DataFrame, times: list[float], step:
     return kept.mapInPandas(run, "number bigint, jd double, " + ", ".join(f"{c} double" for c in STATE))
 
 
+def beside(rays: DataFrame, deflectors: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Rays with __bodies, the deflectors of their `key` as an array, by body. There are few bodies to a key and few keys (days, say) to many rays, so a key's
+    rays would be all in one task if they were shuffled by it: the deflectors go to all tasks instead."""
+    listed = deflectors.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("body", "gm", "bx", "by_", "bz"))).alias("__bodies"))
+    return rays.join(listed.hint("broadcast"), key, how)
+
+
 def deflected(rays: DataFrame, deflectors: DataFrame, key: str = "day") -> DataFrame:
     """(ray, dx, dy, dz, bent_mas, by): how bodies bend a star's light against that of a target which they bend too, as one vector to add to the star's
     direction.
@@ -218,17 +225,37 @@ def deflected(rays: DataFrame, deflectors: DataFrame, key: str = "day") -> DataF
     target belongs to, null for none). deflectors: `key`, body, gm (km^3/s^2), bx, by_, bz (from the Earth to the body, km). The
     target's own system bends nothing here. `by` has the bodies' shares in mas, by body.
     """
-    both = rays.join(deflectors, key, "left").withColumn("__own", F.col("body").isNull() | F.coalesce(F.col("centre") == F.col("body"), F.lit(False)))
-    p, t, b = (Vec(*(F.col(c) for c in names)) for names in (("px", "py", "pz"), ("tx", "ty", "tz"), ("bx", "by_", "bz")))
-    named = both.withColumns({f"__{k}": c for k, c in zip("xyz", t.minus(b).unit(), strict=True)})
-    from_body, q = b.times(-1.0), Vec(*(F.col(f"__{k}") for k in "xyz"))
-    bend = sky.light_bend(p, from_body, p, F.col("gm")).minus(sky.light_bend(p, from_body, q, F.col("gm")))
-    shifts = named.withColumns({f"__d{k}": F.when(F.col("__own"), num(0)).otherwise(c) for k, c in zip("xyz", bend, strict=True)})
+    p, t = (Vec(*(F.col(c) for c in names)) for names in (("px", "py", "pz"), ("tx", "ty", "tz")))
     mas = 180 / np.pi * 3.6e6
-    size = F.sqrt(sum((F.col(f"__d{k}") ** 2 for k in "xyz"), num(0))) * mas
-    summed = shifts.groupBy("ray").agg(
-        *[F.sum(f"__d{k}").alias(f"d{k}") for k in "xyz"],
-        # A handful of bodies a ray.
-        F.array_sort(F.collect_list(F.when(~F.col("__own"), F.struct("body", size.alias("mas"))))).alias("by"),
-    )
-    return summed.select("ray", "dx", "dy", "dz", (F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2) * mas).alias("bent_mas"), "by")
+
+    # In steps, as what is said twice within a step is worked out twice.
+    vec = lambda x, name: Vec(*(x[f"{name}{k}"] for k in "xyz"))
+    named = lambda v, name: [c.alias(f"{name}{k}") for k, c in zip("xyz", v, strict=True)]
+    also = lambda x, *names: [x[n].alias(n) for n in ("body", *names)]
+    axes = lambda *names: [f"{n}{k}" for n in names for k in "xyz"]
+
+    def placed(x: Column) -> Column:
+        b = Vec(x["bx"], x["by_"], x["bz"])
+        return F.struct(*also(x, "gm"), b.norm().alias("away"), *named(b, "b"), *named(t.minus(b), "t"))
+
+    def directed(x: Column) -> Column:
+        return F.struct(*also(x), (x["gm"] * (2.0 / LIGHT_KM_S**2) / x["away"]).alias("g"), *named(vec(x, "b").times(-1 / x["away"]), "o"), *named(vec(x, "t").unit(), "q"))
+
+    def turned(x: Column) -> Column:
+        o, q = vec(x, "o"), vec(x, "q")
+        return F.struct(*also(x, "g", *axes("o", "q")), p.dot(o).alias("po"), p.dot(q).alias("pq"), sky.unless_opposite(1.0 + p.dot(o)).alias("star"), sky.unless_opposite(1.0 + q.dot(o)).alias("near"))
+
+    def bent_by(x: Column) -> Column:
+        o, q = vec(x, "o"), vec(x, "q")
+        d = o.minus(p.times(x["po"])).times(x["star"]).minus(o.times(x["pq"]).minus(q.times(x["po"])).times(x["near"]))
+        return F.struct(*also(x), *named(d.times(x["g"]), "d"))
+
+    shares = F.filter("__bodies", lambda body: ~F.coalesce(F.col("centre") == body["body"], F.lit(False)))
+    for step in (placed, directed, turned, bent_by):
+        shares = F.transform(shares, step)
+    bent = beside(rays, deflectors, key, "left").withColumn("__bent", F.coalesce(shares, F.array()))
+    total = lambda name: F.aggregate("__bent", num(0), lambda a, x: a + x[name]).alias(name)
+    summed = bent.select("ray", "__bent", *[total(f"d{k}") for k in "xyz"])
+    size = lambda x: F.sqrt(x["dx"] * x["dx"] + x["dy"] * x["dy"] + x["dz"] * x["dz"]) * mas
+    by = F.transform("__bent", lambda x: F.struct(x["body"].alias("body"), size(x).alias("mas")))
+    return summed.select("ray", "dx", "dy", "dz", (F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2) * mas).alias("bent_mas"), by.alias("by"))
