@@ -617,3 +617,22 @@ def test_unfolded_rows_are_grouped_where_they_stand(spark):
     for name in ("axis_course", "shadow_paths"):
         plan = plan_of(registry.queries()[name](spark, SF))
         assert plan.count("Exchange ") == 1 and "Join" not in plan, name
+
+
+def test_bodies_that_bend_light_are_added_up_on_the_row(spark):
+    """No ray is shuffled or grouped, for few keys would be few tasks; a ray without bodies stays, one without the Sun has no plane."""
+    rays = spark.createDataFrame([(1, "a", None, 0.6), (2, "a", 5, -0.8), (3, "none", None, 0.1), (4, "dark", None, 0.2)], "ray bigint, day string, centre int, px double").withColumns({"py": F.sqrt(1 - F.col("px") ** 2), "pz": num(0), "tx": 3e8 * F.col("px"), "ty": 3e8 * F.sqrt(1 - F.col("px") ** 2), "tz": num(1e4), "target_au": num(2)})
+    bodies = spark.createDataFrame([("a", 10, 1.3e11, 1.4e8, 3e7, 2e7), ("a", 5, 1.3e8, -8e8, 1e7, 3e7), ("dark", 5, 1.3e8, -8e8, 1e7, 3e7)], "day string, body int, gm double, bx double, by_ double, bz double")
+    found = ephemeris.deflected(rays, bodies)
+    got = {r.ray: r for r in found.collect()}
+    assert {k: [b.body for b in r["by"]] for k, r in got.items()} == {1: [5, 10], 2: [10], 3: [], 4: [5]} and got[3].bent_mas == 0
+    both = rays.join(bodies, "day").where("NOT centre <=> body")
+    p, t, b = (Vec(*(F.col(c) for c in names)) for names in (("px", "py", "pz"), ("tx", "ty", "tz"), ("bx", "by_", "bz")))
+    bend = sky.light_bend(p, b.times(-1.0), p, F.col("gm")).minus(sky.light_bend(p, b.times(-1.0), t.minus(b).unit(), F.col("gm")))
+    for r in both.groupBy("ray").agg(*[F.sum(c).alias(f"d{k}") for k, c in zip("xyz", bend, strict=True)]).collect():
+        assert tuple(got[r.ray][c] for c in ("dx", "dy", "dz")) == pytest.approx((r.dx, r.dy, r.dz), rel=1e-6, abs=1e-18)
+    _, curve = globe.system(rays, bodies, 5, 6)
+    assert {(r.ray, r.k) for r in curve.collect()} == {(ray, k) for ray in (1, 2) for k in range(1, 12)}
+    for df in (ephemerides.star_deflection(spark, SF), globes.star_ray(spark, SF)):
+        # The days that have events are found by grouping, and listed; nothing else is.
+        assert "SortMergeJoin" not in plan_of(df) and "ray" not in "".join(line for line in plan_of(df).splitlines() if "Aggregate" in line or "hashpartitioning" in line)

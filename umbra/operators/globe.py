@@ -4,14 +4,18 @@ radii where not said otherwise; x points east, y north, in the plane through the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from umbra.functions import earth, sky
-from umbra.functions.constants import AU_KM, EARTH_KM
+from umbra.functions.constants import AU_KM, EARTH_KM, LIGHT_KM_S
 from umbra.functions.sky import Vec, num
+from umbra.operators.ephemeris import beside
 from umbra.operators.shadow import _columns, _vec, _with_axes, jd_of, plane_at, sun_direction, turned
 
 MAS = 180 / math.pi * 3.6e6
@@ -120,24 +124,55 @@ def system(rays: DataFrame, deflectors: DataFrame, inner: int = 59, outer: int =
     rays: ray, `key`, px, py, pz (the star), target_au. deflectors as in `ephemeris.deflected`, the Sun's number 10. A source on the star's line at a distance is bent less
     than the star; the difference, times the distance, is how far the ray lies off the line there.
     """
-    p, b = Vec(*(F.col(f"p{c}") for c in "xyz")), Vec(F.col("bx"), F.col("by_"), F.col("bz"))
-    met = rays.join(deflectors, key)
-    sun = met.where("body = 10").select("ray", *[F.col(c).alias(f"__u{c}") for c in ("bx", "by_", "bz")])
-    u = Vec(*(F.col(f"__u{c}") for c in ("bx", "by_", "bz")))
+    p = Vec(*(F.col(f"p{c}") for c in "xyz"))
+    of = lambda body: Vec(body["bx"], body["by_"], body["bz"])
+    met = beside(rays, deflectors, key).withColumn("__sun", F.get(F.filter("__bodies", lambda x: x["body"] == 10), F.lit(0))).where("__sun IS NOT NULL")
+    u = of(F.col("__sun"))
     across = u.minus(p.times(u.dot(p)))
     # With the Sun on the star's line any direction across it serves.
     flat = F.sqrt(p.x * p.x + p.y * p.y)
     spare = Vec(p.y / flat, -p.x / flat, num(0))
     on_line = across.norm() < 1e-9 * u.norm()
-    based = _columns(met.join(sun, "ray"), "y", Vec(*(F.when(on_line, a).otherwise(c) for a, c in zip(spare, across.unit(), strict=True))))
+    based = _columns(met, "y", Vec(*(F.when(on_line, a).otherwise(c) for a, c in zip(spare, across.unit(), strict=True))))
     y = _vec("y")
     based = _columns(based, "w", p.cross(y))
-    bodies = based.select("ray", "body", *[(b.dot(v) / AU_KM).alias(c) for c, v in (("x", p), ("y", y), ("w", _vec("w")))])
-    t, far = F.col("target_au"), F.greatest(num(2.6), 1.7 * F.col("target_au"))
-    k = F.col("k")
-    x = F.when(k <= inner, t * (k.cast("double") / inner)).otherwise(t + (far - t) * ((k - inner).cast("double") / outer))
-    rows = based.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(inner + outer)))).withColumn("__x", x)
-    rows = _columns(rows, "q", p.times(F.col("__x") * AU_KM).minus(b).unit())
-    bend = sky.light_bend(p, b.times(-1.0), p, F.col("gm")).minus(sky.light_bend(p, b.times(-1.0), _vec("q"), F.col("gm")))
-    curve = rows.groupBy("ray", "k").agg(F.first("__x").alias("x"), F.sum(bend.dot(y)).alias("__d")).select("ray", "k", "x", (F.col("x") * F.col("__d")).alias("y"))
+    apart = based.withColumn("__b", F.explode("__bodies"))
+    bodies = apart.select("ray", F.col("__b.body").alias("body"), *[(of(F.col("__b")).dot(v) / AU_KM).alias(c) for c, v in (("x", p), ("y", y), ("w", _vec("w")))])
+    rows = based.select("ray", "target_au", "__bodies", *[f"p{c}" for c in "xyz"], *[f"__y{c}" for c in "xyz"])
+    curve = rows.mapInArrow(lambda batches: _bent(batches, inner, outer), f"ray {dict(rays.dtypes)['ray']}, k int, x double, y double")
     return bodies, curve
+
+
+#: Points of curves that are worked out at once, times bodies.
+POINTS = 250_000
+
+
+def _bent(batches: Iterator[pa.RecordBatch], inner: int, outer: int) -> Iterator[pa.RecordBatch]:
+    """A ray's points from its row: the bodies' shares are added up here, so that no point is grouped. Each body bends by its place along the line (ahead), across it
+    and its distance; the share is that of the star less that of a source at the point."""
+    k = np.arange(1, inner + outer + 1)
+    beyond = np.clip((k - inner) / outer, 0, None)
+    for whole in batches:
+        step = max(1, POINTS // len(k))
+        for b in (whole.slice(first, step) for first in range(0, whole.num_rows, step)):
+            numbers = lambda c: c.to_numpy(zero_copy_only=False).astype(float)
+            p, y = (np.stack([numbers(b.column(f"{n}{c}")) for c in "xyz"], 1) for n in ("p", "__y"))
+            target = numbers(b.column("target_au"))[:, None]
+            far = np.fmax(2.6, 1.7 * target)
+            x = np.where(k <= inner, target * (k / inner), target + (far - target) * beyond)
+            listed = b.column("__bodies")
+            count, flat = numbers(listed.value_lengths()).astype(int), listed.flatten()
+            place, gm = np.stack([numbers(flat.field(c)) for c in ("bx", "by_", "bz")], 1), numbers(flat.field("gm"))
+            row = np.repeat(np.arange(b.num_rows), count)
+            along, up, r = (place * p[row]).sum(1), (place * y[row]).sum(1), np.linalg.norm(place, axis=1)
+            across = place - along[:, None] * p[row]
+            along, up, r = along[:, None], up[:, None], r[:, None]
+            at = x[row] * AU_KM
+            away = np.sqrt((at - along) ** 2 + (across**2).sum(1)[:, None])
+            share = lambda opening: np.where(opening > 1e-12, 1 / np.where(opening > 1e-12, opening, 1), 0)
+            star = -up / r * share(1 - along / r)
+            source = -up * at / (r * away) * share(1 + (r * r - at * along) / (r * away))
+            bend = gm[:, None] * (2.0 / LIGHT_KM_S**2) / r * (star - source)
+            total = x * np.add.reduceat(bend, np.cumsum(count) - count, axis=0)
+            rays = b.column("ray").take(pa.array(np.repeat(np.arange(b.num_rows), len(k))))
+            yield pa.RecordBatch.from_arrays([rays, pa.array(np.tile(k, b.num_rows), pa.int32()), *[pa.array(c.ravel(), pa.float64(), from_pandas=True) for c in (x, total)]], ["ray", "k", "x", "y"])
