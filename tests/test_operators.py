@@ -636,3 +636,9 @@ def test_bodies_that_bend_light_are_added_up_on_the_row(spark):
     for df in (ephemerides.star_deflection(spark, SF), globes.star_ray(spark, SF)):
         # The days that have events are found by grouping, and listed; nothing else is.
         assert "SortMergeJoin" not in plan_of(df) and "ray" not in "".join(line for line in plan_of(df).splitlines() if "Aggregate" in line or "hashpartitioning" in line)
+
+
+def test_bodies_of_one_file_are_dealt_to_all_tasks(spark):
+    sky_ = ephemerides.planets(spark, 2460780.0, 2460860.0)
+    found = ephemeris.integrated(bodies_of(spark).coalesce(1), sky_, [2460820.5])
+    assert len({r.task for r in found.select(F.spark_partition_id().alias("task")).distinct().collect()}) == 4
