@@ -642,3 +642,12 @@ def test_bodies_of_one_file_are_dealt_to_all_tasks(spark):
     sky_ = ephemerides.planets(spark, 2460780.0, 2460860.0)
     found = ephemeris.integrated(bodies_of(spark).coalesce(1), sky_, [2460820.5])
     assert len({r.task for r in found.select(F.spark_partition_id().alias("task")).distinct().collect()}) == 4
+
+
+def test_log_windows_are_short(spark, tmp_path):
+    """A header holds over any number of pieces of a split."""
+    lines = ["1,early", "id,a", *[f"{k},x{k}" for k in range(50)], "id,b,a", "60,y,z"]
+    (tmp_path / "log.csv").write_text("\n".join(lines))
+    want = sorted(map(tuple, files.log_lines(spark, str(tmp_path / "log.csv"), "id").select(F.array_join("header", ","), F.array_join("fields", ","), "ok").collect()), key=str)
+    got = sorted(map(tuple, files.log_lines(spark, str(tmp_path / "log.csv"), "id", most=3).select(F.array_join("header", ","), F.array_join("fields", ","), "ok").collect()), key=str)
+    assert got == want and len(got) == 52 and sum(r[2] for r in got) == 51

@@ -88,25 +88,29 @@ def read_labelled(spark: SparkSession, path: str, label: str, columns: list[str]
     return rows if missing is None else rows.select(*[F.when(F.col(c) > missing, F.col(c)).alias(c) if layout[c][2] == "double" else F.col(c) for c in columns])
 
 
-def log_lines(spark: SparkSession, path: str, first: str) -> DataFrame:
+#: Lines of a log that one window holds at most.
+LOG_LINES = 65536
+
+
+def log_lines(spark: SparkSession, path: str, first: str, most: int = LOG_LINES) -> DataFrame:
     """(header, fields, ok): the rows of a log that runs have appended to, each with the header that stands before it in its file. A line whose first
     field is `first` is a header; columns may come and go from one to the next. ok: there is a header, and the row is as wide. Blank lines are
     none; byte-order marks are dropped.
 
-    Lines keep their order within a split of a file; a split that begins without a header takes the last one of the splits before. So
-    windows are as long as a split, and one row for each split goes through the other one.
+    Lines keep their order within a split of a file, and a split is cut into pieces of `most` lines; a piece that begins without a header takes the last one
+    of the pieces before. So windows are as long as a piece, and one row for each piece goes through the other one.
     """
     read = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     pieces = F.regexp_extract_all(F.concat("line", F.lit(",")), F.lit(r'((?:"(?:[^"]++|"")*+"|[^,]*+)),'), F.lit(1))
     plain = F.transform(pieces, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
-    rows = read.where(F.trim("line") != "").select("file", "block", "id", plain.alias("fields"))
+    rows = read.where(F.trim("line") != "").select("file", "block", F.floor(F.col("id") / most).alias("piece"), "id", plain.alias("fields"))
     is_header = F.trim(F.get("fields", F.lit(0))) == first
     marked = rows.withColumn("own", F.when(is_header, F.transform("fields", lambda x: F.trim(x))))
-    split = W.partitionBy("file", "block").orderBy("id")
-    here = marked.withColumn("seen", F.last("own", ignorenulls=True).over(split))
-    ends = marked.groupBy("file", "block").agg(F.max(F.when(F.col("own").isNotNull(), F.struct("id", "own"))).alias("end"))
-    before = ends.withColumn("carried", F.last("end.own", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
-    joined = here.join(before.select("file", "block", "carried"), ["file", "block"]).where(F.col("own").isNull()).withColumn("header", F.coalesce("seen", "carried"))
+    piece = ["file", "block", "piece"]
+    here = marked.withColumn("seen", F.last("own", ignorenulls=True).over(W.partitionBy(*piece).orderBy("id")))
+    ends = marked.groupBy(*piece).agg(F.max(F.when(F.col("own").isNotNull(), F.struct("id", "own"))).alias("end"))
+    before = ends.withColumn("carried", F.last("end.own", ignorenulls=True).over(W.partitionBy("file").orderBy("block", "piece").rowsBetween(W.unboundedPreceding, -1)))
+    joined = here.join(before.select(*piece, "carried"), piece).where(F.col("own").isNull()).withColumn("header", F.coalesce("seen", "carried"))
     return joined.select("header", "fields", F.coalesce(F.size("header") == F.size("fields"), F.lit(False)).alias("ok"))
 
 
