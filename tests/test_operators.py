@@ -651,3 +651,18 @@ def test_log_windows_are_short(spark, tmp_path):
     want = sorted(map(tuple, files.log_lines(spark, str(tmp_path / "log.csv"), "id").select(F.array_join("header", ","), F.array_join("fields", ","), "ok").collect()), key=str)
     got = sorted(map(tuple, files.log_lines(spark, str(tmp_path / "log.csv"), "id", most=3).select(F.array_join("header", ","), F.array_join("fields", ","), "ok").collect()), key=str)
     assert got == want and len(got) == 52 and sum(r[2] for r in got) == 51
+
+
+def test_points_of_paths_lose_no_digits_of_time(spark):
+    """Points agree with SQL far below what a map shows, so that hardly one of millions is rounded otherwise."""
+    import duckdb
+
+    from umbra.plans.tables import filled
+
+    events = table(spark, SF, "elements").withColumn("sigma_km", F.col("r_km") / 4)
+    got = {(r.event_id, r.line, r.k): (r.lat, r.lon) for r in solve.path_lines(events, 21).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
+    want = {tuple(r[:3]): r[3:] for r in duck.execute(f"WITH {filled(solving.lines_sql(21))} SELECT event_id, line, k, lat, lon FROM pts").fetchall()}
+    off = [abs(a - b) for k in want for a, b in zip(got[k], want[k], strict=True)]
+    assert got.keys() == want.keys() and sum(off) / len(off) < 5e-14
