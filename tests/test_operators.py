@@ -666,3 +666,36 @@ def test_points_of_paths_lose_no_digits_of_time(spark):
     want = {tuple(r[:3]): r[3:] for r in duck.execute(f"WITH {filled(solving.lines_sql(21))} SELECT event_id, line, k, lat, lon FROM pts").fetchall()}
     off = [abs(a - b) for k in want for a, b in zip(got[k], want[k], strict=True)]
     assert got.keys() == want.keys() and sum(off) / len(off) < 5e-14
+
+
+def test_paths_meet_stars_in_blocks(spark, monkeypatch):
+    """Minima over paths of several pieces and blocks equal those of all pairs; no pair of a sample and a star is a row, and none is refined by lambdas."""
+    from umbra.operators import swath
+    from umbra.plans import registry
+
+    monkeypatch.setattr(swath, "SAMPLE_BLOCK", 70)
+    monkeypatch.setattr(swath, "STAR_BLOCK", 40)
+    rng = random.Random(11)
+    # The last sample of one path, and a star, aren't known; paths cross the seam and pass near the pole.
+    starts = [(1, 358.9, 10.0, 0.02, 0.003), (2, 100.0, -20.0, -0.03, 0.03), (3, 40.0, 89.0, 0.5, 0.004), (4, 2.0, 10.3, 0.0, 0.0)]
+    rows = [(n, j, 600.0 * j, None if (n, j) == (2, 149) else (ra + vra * j) % 360, dec + vdec * j, 2.0) for n, ra, dec, vra, vdec in starts for j in range(150 if n < 4 else 1)]
+    samples = tracks.with_directions(spark.createDataFrame(rows, "number bigint, j int, et double, ra double, dec double, delta_au double"))
+    points = [(359.5 + rng.uniform(0, 4), 10.3 + rng.uniform(-1.5, 1.5)) for _ in range(150)] + [(97.0 + rng.uniform(-4, 4), -18.0 + rng.uniform(-3, 3)) for _ in range(150)] + [(rng.uniform(0, 360), rng.uniform(87.5, 90)) for _ in range(60)]
+    stars = spark.createDataFrame([(k, ra % 360, dec) for k, (ra, dec) in enumerate(points)] + [(999, None, 10.0)], "source_id bigint, star_ra double, star_dec double")
+    got = {(r.number, r.source_id, r.j) for r in scan.minima(samples, stars, 4e6, 600.0, 2.0).collect()}
+    unit = lambda ra, dec: (math.cos(math.radians(dec)) * math.cos(math.radians(ra)), math.cos(math.radians(dec)) * math.sin(math.radians(ra)), math.sin(math.radians(dec)))
+    limits = {r.number: r.limit_km for r in scan._ready(samples, 4e6, 600.0).groupBy("number").agg(F.max("limit_km").alias("limit_km")).collect()}
+    want = set()
+    for n in (1, 2, 3):
+        path = [(r[1], unit(r[3], r[4]) if r[3] is not None else None) for r in rows if r[0] == n]
+        for k, (ra, dec) in enumerate(points):
+            s, km = unit(ra, dec), 2.0 * 149597870.7
+            d2 = [math.inf] + [max(2 - 2 * sum(a * b for a, b in zip(s, u, strict=True)), 0) * km * km if u else math.inf for _, u in path] + [math.inf]
+            want |= {(n, k, path[i - 1][0]) for i in range(1, len(d2) - 1) if d2[i] <= d2[i - 1] and d2[i] < d2[i + 1] and d2[i] < limits[n] ** 2}
+    assert got == want and {n for n, _, _ in got} == {1, 2, 3} and {j for _, _, j in got} >= {63, 64} and len({r.k for r in spark.createDataFrame([(k,) for _, k, _ in got], "k int").collect()}) > 100
+    near = scan.candidates(samples, stars, 4e6, 600.0, 2.0, 4.2e6).collect()
+    assert {(r.number, r.source_id, r.j) for r in near} < got and all(r.d_km <= 4.2e6 and abs(r.et_guess - 600.0 * r.j) <= 600.0 for r in near)
+    for name in ("candidates_refined", "refine_and_bracket", "candidates_order", "local_minima"):
+        plan = plan_of(registry.queries()[name](spark, SF))
+        joined = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+        assert "MapInArrow" in plan and "121" not in plan and "__cell" in joined, name

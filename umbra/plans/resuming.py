@@ -23,8 +23,7 @@ def screened(stars: DataFrame):
     """The pre-screen of some bodies: close passages of stars along their paths, refined."""
 
     def screen(bodies: DataFrame) -> DataFrame:
-        found = scan.minima(tracks.with_directions(samples_of(bodies)), stars, 4e6, 600, 1.0)
-        near = scan.refined(found, 600, num(4.2e6))
+        near = scan.candidates(tracks.with_directions(samples_of(bodies)), stars, 4e6, 600, 2.0, 4.2e6)
         return near.select("number", "source_id", "j", F.round("et_guess", 1).alias("et_guess"))
 
     return screen
