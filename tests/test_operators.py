@@ -699,3 +699,35 @@ def test_paths_meet_stars_in_blocks(spark, monkeypatch):
         plan = plan_of(registry.queries()[name](spark, SF))
         joined = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
         assert "MapInArrow" in plan and "121" not in plan and "__cell" in joined, name
+
+
+def test_nearest_star_and_windows_make_no_rows_of_pairs(spark):
+    """Both equal all pairs, over paths of several pieces; neither sorts nor shuffles pairs of a sample and a star."""
+    from umbra.plans import registry
+
+    rng = random.Random(12)
+    rows = [(n, j, 600.0 * j, (359.0 + n + 0.01 * j) % 360, 5.0 + 0.004 * j, 2.0, 13.0 + 0.01 * j, 13.0 + (j % 5) - n) for n in range(4) for j in range(140)]
+    samples = tracks.with_directions(spark.createDataFrame(rows, "number bigint, j int, et double, ra double, dec double, delta_au double, m_ast double, faintest double"))
+    points = [(k, rng.uniform(-3, 6) % 360, rng.uniform(3, 8), rng.uniform(9, 18)) for k in range(200)]
+    points += [(500 + k, ra, dec, g) for k, ra, dec, g in points[:100]]
+    stars = spark.createDataFrame(points, "source_id bigint, star_ra double, star_dec double, g double")
+    unit = lambda ra, dec: (math.cos(math.radians(dec)) * math.cos(math.radians(ra)), math.cos(math.radians(dec)) * math.sin(math.radians(ra)), math.sin(math.radians(dec)))
+    gaps = [(r[0], r[1], p[0], math.dist(unit(r[3], r[4]), unit(p[1], p[2])), r[7] >= p[3]) for r in rows for p in points]
+    for radius in (0.8, 0.02):
+        widest = 2 * math.sin(math.radians(radius) / 2)
+        got = {r.number: (r.source_id, r.j, r.sep) for r in scan.nearest(samples, stars, radius, 1.0).collect()}
+        for n in range(4):
+            near = [(math.degrees(2 * math.asin(c / 2)), k, j) for m, j, k, c, bright in gaps if m == n and c <= widest and bright]
+            assert (n in got) == bool(near)
+            if near:
+                sep, k, j = min((round(s, 12), k, j) for s, k, j in near)
+                assert got[n][:2] == (k, j) and got[n][2] == pytest.approx(sep, abs=1e-11)
+        km = 2.0 * 149597870.7
+        want: dict = {}
+        for n, _, k, c, _ in gaps:
+            if c <= widest and c * km < 2e6:
+                want[n, k] = min(want.get((n, k), math.inf), c * km)
+        found = {(r.number, r.source_id): math.sqrt(r.d2) for r in scan.closest(samples, stars, radius, 1.0, 2e6).collect()}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=50) for k in want)
+    pick, windows = (plan_of(registry.queries()[n](spark, SF)) for n in ("pick_slice_topk", "windows_screen"))
+    assert "MapInArrow" in pick and "row_number" not in pick and windows.index("MapInArrow") < windows.index("Aggregate")
