@@ -731,3 +731,21 @@ def test_nearest_star_and_windows_make_no_rows_of_pairs(spark):
         assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=50) for k in want)
     pick, windows = (plan_of(registry.queries()[n](spark, SF)) for n in ("pick_slice_topk", "windows_screen"))
     assert "MapInArrow" in pick and "row_number" not in pick and windows.index("MapInArrow") < windows.index("Aggregate")
+
+
+def test_index_is_summed_up_without_writing_it(spark, tmp_path):
+    """Bounds and loads equal those of the written index; neither they nor regions write it, sort all samples, or move more than the events."""
+    from umbra.plans import registry, shadows
+
+    events = table(spark, SF, "elements").where("event_id % 10 = 0")
+    ground_index.build(events, f"{tmp_path}/index", 60.0, 5.0, -6.0)
+    index, found = ground_index.load(spark, f"{tmp_path}/index", 60.0, 5.0, -6.0), ground_index.occupied(events, 60.0, 5.0, -6.0)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(ground_index.bounds_of(found)) == rows(ground_index.bounds(index)) != []
+    stored = index.groupBy("row", "col").agg(F.count("*").alias("events"), F.sum(F.bit_count("ks")).alias("samples"))
+    assert rows(ground_index.load_of_cells(found).select("row", "col", "events", "samples")) == rows(stored)
+    before = dict(shadows._INDEXES)
+    for name in ("track_bounds", "index_cells", "region_events", "region_numbers"):
+        plan = plan_of(registry.queries()[name](spark, SF))
+        assert "Window" not in plan and "/ground-" not in plan, name
+    assert before == shadows._INDEXES
